@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, quality_rules
+from plumbline.llm import licences, mixing, quality_rules, sharding, url_rules
 from plumbline.session import table
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.op1_query(table(s, d, "documents")),
+        "op4_url_rules": lambda s, d: url_rules.op4_query(table(s, d, "pages")),
+        "op6_sharding": lambda s, d: sharding.op6_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
+        "op10_licences": lambda s, d: licences.op10_query(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {
+        "op1_quality_rules": quality_rules.OP1_SQL,
+        "op4_url_rules": url_rules.OP4_SQL,
+        "op6_sharding": sharding.OP6_SQL,
+        "op9_mixing": mixing.OP9_SQL,
+        "op10_licences": licences.op10_sql(),
+    }
