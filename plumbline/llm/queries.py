@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licences, mixing, quality_rules, sharding, url_rules
+from plumbline.llm import licences, mixing, packing, quality_rules, secrets, sharding, url_rules
 from plumbline.session import table
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.op1_query(table(s, d, "documents")),
+        "op2_secrets": lambda s, d: secrets.op2_query(table(s, d, "documents")),
+        "op3_packing": lambda s, d: packing.op3_query(table(s, d, "documents")),
         "op4_url_rules": lambda s, d: url_rules.op4_query(table(s, d, "pages")),
         "op6_sharding": lambda s, d: sharding.op6_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
