@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licences, mixing, packing, quality_rules, secrets, sharding, url_rules
+from plumbline.llm import licences, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
 from plumbline.session import table
 
 
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op2_secrets": lambda s, d: secrets.op2_query(table(s, d, "documents")),
         "op3_packing": lambda s, d: packing.op3_query(table(s, d, "documents")),
         "op4_url_rules": lambda s, d: url_rules.op4_query(table(s, d, "pages")),
+        "op5_vectors": lambda s, d: vector_dedup.op5_query(table(s, d, "embeddings")),
         "op6_sharding": lambda s, d: sharding.op6_query(table(s, d, "documents")),
+        "op7_simhash": lambda s, d: simhash.op7_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
         "op10_licences": lambda s, d: licences.op10_query(table(s, d, "documents")),
     }
