@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licences, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
+from plumbline.llm import licences, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
 from plumbline.session import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_vectors": lambda s, d: vector_dedup.op5_query(table(s, d, "embeddings")),
         "op6_sharding": lambda s, d: sharding.op6_query(table(s, d, "documents")),
         "op7_simhash": lambda s, d: simhash.op7_query(table(s, d, "documents")),
+        "op8_lm_scores": lambda s, d: lm_scoring.op8_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
         "op10_licences": lambda s, d: licences.op10_query(table(s, d, "documents")),
     }
