@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lines that name a holder and say nothing of the licence.
-COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright\b[^\n]*(\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
 #: Spellings that count as equal, applied in this order to canonical text.
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), (r"\b(author|organ)is(e|ation)", "$1iz$2"), (r"\b(favo|behavio)ur", "$1r"), ("copyright owner", "copyright holder"), ("non commercial", "noncommercial"), (r"\bhttps\b", "http")]
 
