@@ -30,7 +30,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size) with target: the total shared by weight, none above EPOCHS times its source's size.
 
     Water filling in closed form: with sources sorted by cap over weight, the level at k is the total less the caps
-    before k, over the weights from k on; sources stop at their cap while the level is above it.
+    before k, over the weights from k on; sources stop at their cap while the level is above it. The level rises while
+    it is above a source's cap and falls from then on, so the first level within reach is the largest.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     by_ratio = W.orderBy("_ratio", F.col("source").asc_nulls_last())
@@ -44,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
         .withColumn("_weights", F.sum("_w").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("_total", F.sum("source_size").over(whole))
         .withColumn("_level", (F.col("_total") - F.coalesce("_before", F.lit(0))).cast("double") / F.col("_weights"))
-        .withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
+        .withColumn("_final", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
     )
     capped = F.col("_final").isNull() | (F.col("_ratio") < F.col("_final"))
     return found.select("source", "source_size", F.when(capped, F.col("_cap").cast("double")).otherwise(F.col("_w") * F.col("_final")).alias("target"))
@@ -71,15 +72,15 @@ def _cut(timed: DataFrame, budget: int) -> float | None:
     return cut
 
 
-def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken, copies) for every row of ``docs`` (doc_id, source, text).
+def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken, copies, *carry) for every row of ``docs`` (doc_id, source, text).
 
     Sizes are words; a null text has none and is never taken. A null source is a source of its own, ordered last;
     sources without words get target 0. Documents shuffle by md5 of seed and id, ties by id and size, so reruns agree;
     rows equal in all three are alike. Copies with equal finish times are all in or all out. An empty table gives none.
     """
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    narrow = saved(docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), hashed.alias("_h"), F.substring(hashed, 1, 3).alias("_b")), "mix-sizes")
+    narrow = saved(docs.select("doc_id", "source", *carry, n_words(F.col(text)).alias("size"), hashed.alias("_h"), F.substring(hashed, 1, 3).alias("_b")), "mix-sizes")
     buckets = narrow.groupBy("source", "_b").agg(F.sum("size").alias("_bucket_size"))
     sources = targets(buckets.groupBy("source").agg(F.sum("_bucket_size").alias("source_size")), weights)
     upto = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
     run = narrow.withColumn("_cum", F.sum("size").over(within))
     timed = run.join(offsets, F.expr("source <=> _source AND _b = _bucket"))
     finish = {f"_f{e}": F.expr(f"try_divide(CAST({e} * source_size + _offset + _cum AS DOUBLE), target)") for e in range(EPOCHS)}
-    timed = saved(timed.withColumns(finish).select("doc_id", "source", "size", "source_size", "target", *finish), "mix-times")
+    timed = saved(timed.withColumns(finish).select("doc_id", "source", "size", "source_size", "target", *carry, *finish), "mix-times")
     budget = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     cut = _cut(timed, budget)
     copies = sum((F.when(F.col(k) <= F.lit(cut), 1).otherwise(0) for k in finish), F.lit(0)) if cut is not None else F.lit(0)
@@ -97,6 +98,17 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
     return timed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop(*finish)
 
 
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; rows that it doesn't take are gone.
+
+    Rows are numbered where they are written, so repeated rows and null ids are told apart without grouping them.
+    """
+    held = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    taken = mix(held.select("doc_id", "source", "text", "_row"), weights=weights, seed=seed, carry=("_row",)).where("copies > 0").select("_row", "copies")
+    out = held.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*docs.columns)
+
+
 def op9_query(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -109,7 +121,7 @@ w AS (SELECT *, ([1, 2, 3])[((row_number() OVER (ORDER BY source ASC NULLS LAST)
 x AS (SELECT *, cap::DOUBLE / w AS ratio FROM w),
 y AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / (sum(w) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM x),
-z AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS final FROM y),
+z AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS final FROM y),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL OR ratio < final THEN cap::DOUBLE ELSE w * final END AS target FROM z),
 c AS (SELECT n.*, t.source_size, t.target, (sum(size) OVER (PARTITION BY n.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS cum
     FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
