@@ -14,8 +14,10 @@ hash bucket) groups and the buckets' counts, so a length shared by many document
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ CAPACITY = 4096
 END_ID = 2
 BUCKETS = 1024
 #: Words whose ids a worker remembers; forgotten all at once when there are more.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 #: One row of the plan: documents of remainder length0 with rank_from <= rank < rank_from + n put their tokens
 #: [start, start + length) of the remainder at offset base + slot * length of sequence seq + item // per, where
@@ -130,33 +132,64 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer that drops white space, so each word's ids can be looked up."""
+    """Token ids of texts by a lower-casing tokenizer that drops white space, so each word's ids can be looked up.
+
+    What is remembered are lower-cased words without the marks at their end: such marks are always tokens of their
+    own after a letter or digit. Words of plain Latin letters need neither the tokenizer's normal form nor its
+    splitting, so a lighter copy of it encodes them.
+    """
+
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.light = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.light.normalizer = normalizers.Lowercase()
+        self.light.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        plain: list[bytes] = []
+        other: list[bytes] = []
+        for w in words:
+            text = w.decode()
+            (plain if text.lower().isalpha() and max(text) < "\u0250" else other).append(w)
+        for tokenizer, some in ((self.light, plain), (self.tokenizer, other)):
+            for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+
+    def stem(self, word: bytes) -> tuple[bytes, bytes]:
+        """(word without the marks at its end, the marks), or the word whole if it doesn't end in a letter or digit then."""
+        core = word.rstrip(self.MARKS)
+        if core and core[-1:].isalnum():
+            return core, word[len(core) :]
+        last = core[-3:].decode("utf-8", "ignore")[-1:]
+        return (core, word[len(core) :]) if last.isalpha() and last < "\u0250" else (word, b"")
 
     def ids(self, text: str | None, end_id: int | None = END_ID) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").split()  # ASCII white space only
-        try:
-            parts = [self.known[w] for w in words]
-        except KeyError:
-            self.learn(set(words))
-            parts = [self.known[w] for w in words]
+        words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII spaces only
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        get = self.known.get
+        parts = list(map(get, words))
+        missing = [(i, *self.stem(words[i])) for i, x in enumerate(parts) if x is None]
+        if missing:
+            new = {w for _, core, marks in missing for w in (core, marks) if w and w not in self.known}
+            if new:
+                self.learn(new)
+            for i, core, marks in missing:
+                parts[i] = get(core) + get(marks) if marks else get(core)
         if end_id is not None:
-            parts.append(np.array([end_id], "<u4").tobytes())
-        return np.frombuffer(b"".join(parts), "<u4")
+            parts.append(array("I", [end_id]).tobytes())
+        return np.frombuffer(b"".join(parts), np.uint32)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, with what it has learned in earlier tasks."""
+    return Encoder(path)
 
 
 TOKENS = "n_tokens long, crcs array<long>, ids binary"
@@ -171,12 +204,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text:
     names = [id_col, "n_tokens", "crcs", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        known = encoder(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
                 for value in part.column(1):
-                    ids = encoder.ids(value.as_py(), end_id)
+                    ids = known.ids(value.as_py(), end_id)
                     crcs = [zlib.crc32(ids[k : k + capacity].tobytes()) for k in range(0, len(ids), capacity)]
                     rows.append((len(ids), crcs, ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\0" + ids.tobytes()))
                 n, crcs, ids = zip(*rows, strict=True)
