@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.components import Forest, components
 from plumbline.llm.scratch import saved
+from plumbline.llm.skew import join_counted
 
 SHINGLE = 3
 SEED = 42
@@ -191,12 +192,12 @@ def near_components(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def cluster(prints: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
-    """(fp, component): for each distinct fingerprint of ``prints`` (id, fp) the least id reachable."""
-    classes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("_least")), "simhash-classes")
+    """(fp, component, _n): for each distinct fingerprint of ``prints`` (id, fp) the least id reachable, and its rows."""
+    classes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_n")), "simhash-classes")
     linked = saved(near_components(classes, radius).select("node", "root"), "simhash-links")
     roots = linked.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("_least").alias("_component"))
     named = linked.join(roots, "root").select("node", "_component")
-    return classes.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("_component", "_least").alias("component"))
+    return classes.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("_component", "_least").alias("component"), "_n")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -206,8 +207,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: i
     is never a component's id unless all its ids are null. An empty table gives none. Other columns are not read.
     """
     prints = saved(docs.select(F.col(id_col), fingerprints(F.col(text)).alias("fp")), "simhash-prints")
-    named = cluster(prints, id_col, radius)
-    return prints.join(named, "fp").select(id_col, "fp", "component")
+    named = saved(cluster(prints, id_col, radius), "simhash-named")
+    return join_counted(prints, named, "fp").select(id_col, "fp", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
