@@ -83,6 +83,19 @@ def test_word_cache_equals_whole_text(texts):
         assert encoder.ids(x, None).tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
+def test_ranked_words_equal_the_tokenizer():
+    rng = random.Random(1)
+    t, encoder = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    whole = [w.removesuffix("</w>") for w in t.get_vocab() if w.endswith("</w>")]
+    words = {w for w in whole if w.isalpha() and w.isascii()}
+    words |= {"".join(rng.choice("etaoinshrdlcumwfgypbvkjxqzéüñß") for _ in range(rng.randint(1, 16))) for _ in range(30000)}
+    words |= {rng.choice(whole) + rng.choice(whole) for _ in range(30000)} | {"a" * 3000}
+    words = sorted(w for w in words if w.isalpha() and w.lower() == w)
+    encoder.encode([w.encode() for w in words])
+    for w, e in zip(words, t.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.known[w.encode()], np.uint32).tolist() == e.ids, w
+
+
 def test_pack_round_trip(spark, texts):
     docs = spark.createDataFrame([(i, x, 1, "y") for i, x in enumerate(texts)], "doc_id long, text string, start int, ids string").repartition(5)
     t = Tokenizer.from_file(packing.default_tokenizer())
