@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.components import Forest, components
 from plumbline.llm.scratch import saved
+from plumbline.llm.skew import join_counted
 
 THRESHOLD = 0.9
 PIVOTS = 8
@@ -168,10 +169,11 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     roots = linked.join(classes.select("_cid", "_least"), F.col("node") == F.col("_cid")).groupBy("root").agg(F.min("_least").alias("_component"))
     named = linked.join(roots, "root").select(F.col("node").alias("_cid"), "_component")
     full = classes.join(links, "_cid", "left").join(named, "_cid", "left")
-    full = full.select(F.col("_hash").alias("_h"), F.col("_v").alias("_u"), (F.coalesce("_links", F.lit(0)) + F.col("_w") - 1).alias("_n"), F.coalesce("_component", "_least").alias("_c"))
-    out = held.join(full, F.expr("_hash = _h AND _v = _u"), "left")
-    component = F.when(F.col("_fine"), F.col("_c")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    full = full.select(F.struct("_hash", "_v").alias("_key"), F.col("_w").alias("_n"), (F.coalesce("_links", F.lit(0)) + F.col("_w") - 1).alias("_links"), F.coalesce("_component", "_least").alias("_c"))
+    fine_rows = held.where("_fine").select("_id", F.struct("_hash", "_v").alias("_key"))
+    out = join_counted(fine_rows, saved(full, "vector-named"), "_key").select("_id", "_links", "_c")
+    out = out.unionByName(held.where("NOT _fine").select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_c")))
+    return out.select(F.col("_id").alias(id_col), F.col("_links").cast("long").alias("n_links"), F.col("_c").alias("component_id"), F.col("_id").eqNullSafe(F.col("_c")).alias("kept"))
 
 
 def op5_query(vectors: DataFrame) -> DataFrame:
