@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from plumbline.plans import retrieval, statistics, texts
+
+MODULES = [statistics, texts, retrieval]
 
 
 def queries() -> dict[str, Callable]:
