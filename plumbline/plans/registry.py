@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from plumbline.plans import retrieval, statistics, texts
+from plumbline.plans import evidence, retrieval, statistics, texts
 
-MODULES = [statistics, texts, retrieval]
+MODULES = [statistics, texts, retrieval, evidence]
 
 
 def queries() -> dict[str, Callable]:
