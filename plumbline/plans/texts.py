@@ -47,7 +47,7 @@ def _phrases(s, d, asserted):
 def _numbers(s, d):
     rows = T.normalized(table(s, d, "documents").select("doc_id", "text"), "text")
     v = F.col("_v")
-    return rows.select("doc_id", T.numbers(F.col("normal")).alias("_v")).select("doc_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 3).alias("total"), F.exists(v, lambda x: x == 4).alias("has_four"))
+    return rows.select("doc_id", T.numbers(F.col("normal")).alias("_v")).select("doc_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x % 1e6), 3).alias("total"), F.exists(v, lambda x: x == 4).alias("has_four"))
 
 
 def _abstention(s, d):
@@ -186,7 +186,9 @@ SAYS = """len(list_filter(range(1, greatest(1, length({t}) - length({p}) + 2)),
   AND len(list_filter({cues}, lambda c: contains(substr({t}, greatest(1, i - 70), least(70, i - 1)), c))) = 0)) > 0"""
 _rows = lambda k: [(i, g, p) for i, *key in KEYS for g, ps in enumerate(key[k] if k < 2 else [key[3]]) for p in ps]
 KEYSQL = ", ".join(f"{n}(item_id, g, p) AS (VALUES {', '.join(f'({i}, {g}, {_q(p)})' for i, g, p in _rows(k))})" for n, k in (("kr", 0), ("kf", 1), ("ka", 3)))
-NUM = r"list_concat(list_transform(regexp_extract_all(regexp_replace({t}, '([a-z_0-9.]|\p{{L}})([0-9])', '\1\2', 'g'), '{d}'), lambda x: replace(x, ',', '')::DOUBLE), [])"
+#: A digit number starts where a run of word characters and dots does; the rest of the run goes with it.
+NUM = r"regexp_extract_all(t, '(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)[\p{L}\p{N}_.]*|[\p{L}\p{N}_.]+', 1)"
+SPELLED = ", ".join(f"({_q(w)}, {v}::DOUBLE)" for w, v in T.number_words().items() if " " not in w)
 CUE_RE = "(^|[^a-z0-9])({})"
 EMPTY, DECLINES = "length({t}) < 3", "regexp_matches({t}, {a}) AND NOT regexp_matches({t}, {b})"
 ABST = DECLINES.format(t="t", a=_q(CUE_RE.format("|".join(T.ABSTENTION_CUES))), b=_q(CUE_RE.format("|".join(T.COMMITMENT_CUES))))
@@ -212,6 +214,9 @@ ORACLES = {
     "contains_phrase": f"WITH {SAID}, p AS (SELECT unnest({_list(PHRASES)}) AS phrase) SELECT conv_id, turn, phrase, {HAS.format(t='t', p='phrase')} AS found FROM said, p",
     "asserted_phrase": f"WITH {SAID}, p AS (SELECT unnest({_list(PHRASES)}) AS phrase) SELECT conv_id, turn, phrase, {SAYS.format(t='t', p='phrase', cues=_list(CUES))} AS found FROM said, p",
     "abstention": f"WITH n AS (SELECT conv_id, turn, {_norm('text')} AS t FROM conversations) SELECT conv_id, turn, length(t) < 3 AS empty, length(t) >= 3 AND {ABST} AS abstained FROM n",
+    "extract_numbers": f"""WITH n AS (SELECT doc_id, {_norm('text')} AS t FROM documents), w(x, v) AS (VALUES {SPELLED}), e AS (SELECT doc_id, replace(x, ',', '')::DOUBLE AS v FROM (SELECT doc_id, unnest({NUM}) AS x FROM n) WHERE x <> ''
+  UNION ALL SELECT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_-]+')) AS x FROM n) JOIN w USING (x))
+SELECT doc_id, count(v) AS n, round(coalesce(sum(v % 1e6::DOUBLE), 0), 3) AS total, coalesce(bool_or(v = 4), false) AS has_four FROM n LEFT JOIN e USING (doc_id) GROUP BY ALL""",
     "number_variants": "WITH v AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 1 END)::BIGINT AS v FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN v >= 1000 THEN v || '|' || format('{:,}', v) ELSE v::VARCHAR END AS variants FROM v",
     "answer_parser": r"""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN text ELSE 'ANSWER: ' || text || chr(10) || 'CITATION: ' || CASE WHEN turn % 3 = 0 THEN 'none' ELSE 'clause ' || turn END END AS r FROM conversations WHERE role = 'assistant'),
 p AS (SELECT *, CASE WHEN conv_id % 4 = 0 THEN trim(r, ' ') ELSE trim(split_part(substr(r, 9), chr(10), 1), ' ') END AS a FROM c)
