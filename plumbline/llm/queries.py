@@ -25,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.OP1_SQL,
         "op4_url_rules": url_rules.OP4_SQL,
+        "op5_vectors": vector_dedup.OP5_SQL,
         "op6_sharding": sharding.OP6_SQL,
         "op9_mixing": mixing.OP9_SQL,
         "op10_licences": licences.op10_sql(),

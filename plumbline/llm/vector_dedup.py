@@ -178,3 +178,13 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
 
 def op5_query(vectors: DataFrame) -> DataFrame:
     return dedup(vectors.select("vec_id", "embedding"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+c AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT c.vec_id, l.b FROM c JOIN l ON c.r = l.a),
+m AS (SELECT vec_id, min(r) AS component_id FROM c GROUP BY ALL), k AS (SELECT a, count(*) AS n FROM l GROUP BY ALL)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k ON vec_id = a
+"""
