@@ -13,8 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 16
-CLASS_SIZE = 64
+HIDDEN = 8
+CLASS_SIZE = 32
 WINDOW = 16
 LANES = 512
 RATE = 0.2
@@ -96,39 +96,49 @@ def _recur(p: Params, x: np.ndarray, h: np.ndarray, keep: list | None) -> tuple[
     return out, h
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Down the columns, in place."""
-    x -= x.max(axis=0)
-    np.exp(x, out=x)
-    x /= x.sum(axis=0)
-    return x
+def _exp(w: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """exp(w.T s + b) down the columns, up to a factor for each column.
+
+    States lie within (-1, 1), so a column's entries are bounded by the weights; the usual shift by the column's
+    largest entry is needed only where that bound is near what float32 holds.
+    """
+    x = w.T @ s
+    x += b[:, None]
+    if np.abs(w).sum(axis=0).max() + np.abs(b.max()) > 60:
+        x -= x.max(axis=0)
+    return np.exp(x, out=x)
 
 
 def _output(p: Params, s: np.ndarray, y: np.ndarray, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
     """(natural log probability of each target y from its state, a column of s; the loss's gradient by s)."""
-    order = np.argsort(y // CLASS_SIZE, kind="stable")
-    s, y = np.ascontiguousarray(s[:, order]), y[order]
+    order = np.argsort((y // CLASS_SIZE).astype(np.int16), kind="stable")
+    s, y = s.take(order, axis=1), y[order]
     kind, own, at = y // CLASS_SIZE, y % CLASS_SIZE, np.arange(len(y))
-    found = _softmax(p[2].T @ s + p[3][:, None])
-    score = np.log(np.maximum(found[kind, at], 1e-38))
+    found = _exp(p[2], p[3], s)
+    total = found.sum(axis=0)
+    odds = found[kind, at] / total
     ds = None
     if grads is not None:
+        found /= total
         found[kind, at] -= 1
         grads[2] += s @ found.T
         grads[3] += found.sum(1)
         ds = p[2] @ found
     for k, a, b in zip(*_runs(kind), strict=True):
         sk, rows = s[:, a:b], at[: b - a]
-        found = _softmax(p[4][k].T @ sk + p[5][k][:, None])
-        score[a:b] += np.log(np.maximum(found[own[a:b], rows], 1e-38))
+        found = _exp(p[4][k], p[5][k], sk)
+        total = found.sum(axis=0)
+        odds[a:b] *= found[own[a:b], rows] / total
         if grads is not None:
+            found /= total
             found[own[a:b], rows] -= 1
             grads[4][k] += sk @ found.T
             grads[5][k] += found.sum(1)
             ds[:, a:b] += p[4][k] @ found
     back = np.empty_like(order)
     back[order] = at
-    return score[back], None if ds is None else ds[:, back]
+    score = np.log(np.maximum(odds, 1e-38))
+    return score[back], None if ds is None else ds.take(back, axis=1)
 
 
 def _runs(kind: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -136,13 +146,19 @@ def _runs(kind: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return kind[cuts[:-1]].tolist(), cuts[:-1], cuts[1:]
 
 
+def _columns(states: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """(H, real tokens) of states (window, H, lanes)."""
+    flat = states.transpose(1, 0, 2).reshape(HIDDEN, -1)
+    return flat if real.all() else flat[:, real.ravel()]
+
+
 def score(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document (an array of symbols), state carried through all of it."""
     total, lanes = np.zeros(len(docs)), Lanes(docs)
     h = np.zeros((HIDDEN, len(lanes.lengths)), np.float32)
     for x, y, o, real in lanes.windows():
         states, h = _recur(p, x, h[:, : x.shape[1]], None)
-        found, _ = _output(p, states.transpose(1, 0, 2)[:, real], y[real], None)
+        found, _ = _output(p, _columns(states, real), y[real], None)
         total += np.bincount(o[real], found, len(docs))
     return total
 
@@ -155,7 +171,7 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.n
     kept: list = []
     states, last = _recur(p, x, h, kept)
     grads = [np.zeros((0, 0), np.float32), *(np.zeros_like(a) for a in p[1:])]
-    found, ds = _output(p, states.transpose(1, 0, 2)[:, real], y[real], grads)
+    found, ds = _output(p, _columns(states, real), y[real], grads)
     d_states = np.zeros((HIDDEN, *x.shape), np.float32)
     d_states[:, real] = ds
     n2, u, dh = 2 * HIDDEN, p[1], np.zeros_like(last)

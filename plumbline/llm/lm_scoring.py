@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
@@ -31,14 +31,14 @@ FOLDS, HELD_OUT = 7, 2
 #: Words whose counts every worker has.
 KNOWN_WORDS = 1 << 17
 #: Symbols of the recurrent model: the end of a text, classes of other words, and the most frequent words.
-SYMBOLS, ENDINGS = 2048, 16
+SYMBOLS, ENDINGS = 1024, 16
 END = b""
 #: Training rounds by the share (in sixteenths) of the training documents that each takes; together all of them.
 ROUNDS = (1, 3, 12)
 #: A task's table of words is passed on when it has so many.
-COUNTED = 200_000
+COUNTED = 400_000
 #: Tokens that a worker trains on or scores at a time.
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -54,6 +54,11 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+class _Symbols(dict):
+    def __missing__(self, word: bytes) -> int:
+        return 1 + ending(word)
+
+
 @dataclass
 class Lexicon:
     """What workers know of the counts: total tokens and types, and the most frequent words by falling count."""
@@ -65,9 +70,10 @@ class Lexicon:
     tail_tokens: np.ndarray
     tail_types: np.ndarray
     index: dict[bytes, int] = field(default_factory=dict, repr=False)
+    symbol_of: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": {}}
+        return self.__dict__ | {"index": {}, "symbol_of": {}}
 
     def ready(self) -> Lexicon:
         if not self.index:
@@ -104,10 +110,10 @@ class Lexicon:
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         """Symbols of a text, its end included."""
-        at, _, ends = self.look_up(words)
-        out = np.zeros(len(words) + 1, np.int64)
-        out[:-1] = self.symbols[at] if len(self.symbols) else 0
-        out[:-1][at < 0] = 1 + ends
+        if not self.symbol_of:
+            self.symbol_of = _Symbols(zip(self.words, self.symbols.tolist(), strict=True))
+        out = np.zeros(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.symbol_of.__getitem__, words), np.int32, len(words))
         return out
 
 
@@ -154,13 +160,16 @@ def lexicon(counts: DataFrame, known: int | None = None) -> Lexicon:
     return Lexicon(total, types, [w for w, _ in rows], np.array([c for _, c in rows], float), tails[:, 0], tails[:, 1])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Rows (all columns) in chunks of about CHUNK_TOKENS; the first column is the text, given as tokens."""
+def _chunks(batches: Iterator[pa.RecordBatch], read: Callable[[list[bytes]], tuple]) -> Iterator[list[tuple]]:
+    """Rows in chunks of about CHUNK_TOKENS: what ``read`` makes of the text's tokens, then the other columns.
+
+    Words are let go text by text; a chunk holds numbers only.
+    """
     held, n = [], 0
     for b in batches:
         for row in zip(*(b.column(k) for k in range(b.num_columns)), strict=True):
             words = tokens(row[0].as_py())
-            held.append((words, *(x.as_py() for x in row[1:])))
+            held.append((*read(words), *(x.as_py() for x in row[1:])))
             n += len(words) + 1
             if n >= CHUNK_TOKENS:
                 yield held
@@ -183,12 +192,10 @@ def fit(training: DataFrame, words: Lexicon, rounds: tuple[int, ...] = ROUNDS) -
         def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            like, known, n = gru.fresh(SYMBOLS), None, 0
-            for chunk in _chunks(batches):
-                if known is None:
-                    known = shared.value.ready()
-                    own, sums = (gru.unpacked(x, like) for x in start.value)
-                docs = [known.encode(w) for w, *_ in chunk]
+            like, known, n = gru.fresh(SYMBOLS), shared.value.ready(), 0
+            own, sums = (gru.unpacked(x, like) for x in start.value)
+            for chunk in _chunks(batches, lambda words: (known.encode(words),)):
+                docs = [d for (d,) in chunk]
                 gru.train(own, sums, docs)
                 n += sum(map(len, docs))
             if n:
@@ -231,31 +238,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     shared, params = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(gru.packed(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = gru.unpacked(params.value, gru.fresh(SYMBOLS)), None
+        model, known = gru.unpacked(params.value, gru.fresh(SYMBOLS)), shared.value.ready()
         first = next(batches, None)
         if first is None:
             return
-        id_type = first.schema.field(1).type
-        for chunk in _chunks(chain([first], batches)):
-            known = known or shared.value.ready()
-            encoded, n_known, bases, owns, rares = [], [], [], [], []
-            end = known.index.get(END, -1)
-            for w, _, _ in chunk:
-                at, rare, ends = known.look_up(w)
-                symbols = np.zeros(len(w) + 1, np.int64)
-                if len(known.words):
-                    symbols[:-1] = known.symbols[at]
-                symbols[:-1][at < 0] = 1 + ends
-                at = np.append(at, end)
-                hit = at[at >= 0]
-                encoded.append(symbols)
-                n_known.append(len(hit))
-                bases.append(float(known.base_logs[hit].sum()) - known.unseen_log * (len(at) - len(hit)))
-                owns.append(float(known.own_logs[hit].sum() + known.rare_logs[ends].sum()))
-                rares.append(Counter(rare))
+        id_type, end = first.schema.field(1).type, known.index.get(END, -1)
+
+        def read(words: list[bytes]) -> tuple:
+            at, rare, ends = known.look_up(words)
+            symbols = np.zeros(len(words) + 1, np.int32)
+            if len(known.words):
+                symbols[:-1] = known.symbols[at]
+            symbols[:-1][at < 0] = 1 + ends
+            at = np.append(at, end)
+            hit = at[at >= 0]
+            base = float(known.base_logs[hit].sum()) - known.unseen_log * (len(at) - len(hit))
+            return symbols, len(hit), base, float(known.own_logs[hit].sum() + known.rare_logs[ends].sum()), list(Counter(rare).items())
+
+        for chunk in _chunks(chain([first], batches), read):
+            encoded, n_known, bases, owns, rares, ids, folds = zip(*chunk, strict=True)
             found = gru.score(model, encoded) / np.log(10) + np.array(owns)
-            pairs = pa.array([list(r.items()) for r in rares], pa.map_(pa.binary(), pa.int64()))
-            ids, folds = zip(*((i, f) for _, i, f in chunk), strict=True)
+            pairs = pa.array(rares, pa.map_(pa.binary(), pa.int64()))
             columns = [pa.array(ids, id_type), pa.array(folds, pa.int64()), pa.array([len(e) for e in encoded], pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(found, pa.float64()), pairs]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "_fold", "n_tokens", "_known", "_base", "_own", "_rare"])
 
