@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.prefix import hex_bucket, running
+
 
 def stratified(rows: DataFrame, stratum: str, key: list[str], share: float = 0.2, seed: int = 20260904) -> DataFrame:
     """``rows`` sampled: of each stratum of n rows max(1, round(n * share)), in hash order, with rating_id.
@@ -13,11 +14,12 @@ def stratified(rows: DataFrame, stratum: str, key: list[str], share: float = 0.2
     Rounds half to even. Ids number the sample in another hash order, so they tell nothing of the stratum.
     """
     word = lambda salt: F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), *[F.col(k).cast("string") for k in key]))
-    n = F.count("*").over(W.partitionBy(stratum))
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy("_h", *key))
-    picked = rows.withColumn("_h", word("")).withColumns({"_n": n, "_r": rank}).where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share)))
-    number = F.row_number().over(W.orderBy(word("id"), *key)) - 1
-    return picked.withColumn("rating_id", F.concat(F.lit("adj-"), F.lpad(number.cast("string"), 4, "0"))).drop("_h", "_n", "_r")
+    sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.greatest(F.lit(1), F.bround(F.count("*") * share)).alias("_take"))
+    hashed = rows.withColumn("_h", word(""))
+    ranked = running(hashed, [stratum], hex_bucket(F.col("_h")), [F.col("_h"), *map(F.col, key)], {"_r": F.lit(1)})
+    picked = ranked.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_s"))).where("_r <= _take").drop("_s", "_take", "_r", "_h")  # strata are few
+    numbered = running(picked.withColumn("_h", word("id")), [], hex_bucket(F.col("_h")), [F.col("_h"), *map(F.col, key)], {"_r": F.lit(1)})
+    return numbered.withColumn("rating_id", F.concat(F.lit("adj-"), F.lpad((F.col("_r") - 1).cast("string"), 4, "0"))).drop("_h", "_r")
 
 
 def blinded(sample: DataFrame, shown: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.prefix import running
+
 EULER_GAMMA = 0.5772156649015329
+#: Buckets of confidence in which running sums are taken, a unit of confidence.
+BUCKETS = 1024
 
 
 def confident(df: DataFrame) -> DataFrame:
@@ -21,31 +24,39 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 0, 0.0).when(n <= 32, small).otherwise(series)
 
 
+def _falling(df: DataFrame, by: str, order: str, ties: list[str], **sums: Column) -> DataFrame:
+    """Running sums from the highest confidence down."""
+    return running(df, [by], F.floor(F.col(order) * BUCKETS), [F.desc(order), *map(F.col, ties)], sums, descending=True)
+
+
+def _total(df: DataFrame, by: str, value: Column) -> DataFrame:
+    """``df`` with _all, the group's sum of value: an aggregate joined back, of one row a group."""
+    totals = df.groupBy(F.col(by).alias("_g")).agg(F.sum(value).alias("_all"))
+    return df.join(F.broadcast(totals), F.col(by).eqNullSafe(F.col("_g"))).drop("_g")  # arms are few
+
+
 def tie_groups(df: DataFrame, by: str = "arm") -> DataFrame:
     """(by, confidence, size, hits, before_n, before_hits): one row a distinct confidence, with what ranks above it.
 
     Ties are summed before anything is ordered, so the windows see distinct confidences only.
     """
     groups = confident(df).groupBy(by, "confidence").agg(F.count("*").alias("size"), F.count_if("correct").alias("hits"))
-    above = W.partitionBy(by).orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, -1)
-    none = F.lit(0)
-    return groups.withColumns({"before_n": F.coalesce(F.sum("size").over(above), none), "before_hits": F.coalesce(F.sum("hits").over(above), none)})
+    run = _falling(groups, by, "confidence", [], before_n=F.col("size"), before_hits=F.col("hits"))
+    return run.withColumns({"before_n": F.col("before_n") - F.col("size"), "before_hits": F.col("before_hits") - F.col("hits")})
 
 
 def curve_points(df: DataFrame, by: str = "arm") -> DataFrame:
     """(by, threshold, n_answered, coverage, selective_accuracy, selective_risk): tie-aware, a point a confidence."""
-    total = F.sum("size").over(W.partitionBy(by))
+    total = F.col("_all")
     n, h = F.col("before_n") + F.col("size"), F.col("before_hits") + F.col("hits")
-    return tie_groups(df, by).select(by, F.col("confidence").alias("threshold"), n.alias("n_answered"), (n / total).alias("coverage"), (h / n).alias("selective_accuracy"), (1 - h / n).alias("selective_risk"))
+    return _total(tie_groups(df, by), by, F.col("size")).select(by, F.col("confidence").alias("threshold"), n.alias("n_answered"), (n / total).alias("coverage"), (h / n).alias("selective_accuracy"), (1 - h / n).alias("selective_risk"))
 
 
 def curve_rows(df: DataFrame, by: str = "arm", tie: str = "item_id") -> DataFrame:
     """(by, tie, rank, coverage, selective_accuracy): a point a row, ties by id."""
-    order = W.partitionBy(by).orderBy(F.desc("confidence"), tie)
-    run = order.rowsBetween(W.unboundedPreceding, 0)
-    n = F.row_number().over(order)
-    rows = confident(df).select(by, tie, n.cast("long").alias("rank"), F.sum(F.col("correct").cast("int")).over(run).alias("_h"), F.count("*").over(W.partitionBy(by)).alias("_n"))
-    return rows.select(by, tie, "rank", (F.col("rank") / F.col("_n")).alias("coverage"), (F.col("_h") / F.col("rank")).alias("selective_accuracy"))
+    rows = confident(df).select(by, tie, "confidence", F.col("correct").cast("int").alias("_y"))
+    run = _total(_falling(rows, by, "confidence", [tie], rank=F.lit(1), _h=F.col("_y")), by, F.lit(1))
+    return run.select(by, tie, "rank", (F.col("rank") / F.col("_all")).alias("coverage"), (F.col("_h") / F.col("rank")).alias("selective_accuracy"))
 
 
 def aurc(df: DataFrame, by: str = "arm") -> DataFrame:
@@ -83,11 +94,10 @@ def threshold_curve(df: DataFrame, by: str = "arm") -> DataFrame:
     pair = rows.groupBy(by, "pair_id").agg(F.count("*").alias("_k"), F.min("confidence").alias("_lo"), F.max("confidence").alias("_hi"), F.bool_and("correct").alias("_ok")).where("_k = 2")
     steps = pair.select(by, F.explode(F.array(F.struct(F.col("_lo").alias("t"), F.lit(1).alias("c"), F.lit(0).alias("o"), F.col("_ok").cast("int").alias("b")), F.struct(F.col("_hi").alias("t"), F.lit(0).alias("c"), F.lit(1).alias("o"), F.lit(0).alias("b")))).alias("s"))
     moves = steps.groupBy(by, F.col("s.t").alias("threshold")).agg(F.sum("s.c").alias("_c"), F.sum("s.o").alias("_o"), F.sum("s.b").alias("_b"))
-    run = W.partitionBy(by).orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(run)
-    out = at.join(moves, [by, "threshold"], "left")
-    share = total("_n") / F.sum("_n").over(W.partitionBy(by))
-    return out.select(by, "threshold", total("_n").alias("n_answered"), total("_p").alias("n_pass"), share.alias("coverage"), total("_c").alias("complete_pairs"), (total("_o") - total("_c")).alias("fractured_pairs"), total("_b").alias("both_pass_pairs"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = _total(at.join(moves, [by, "threshold"], "left"), by, F.col("_n"))
+    out = _falling(out, by, "threshold", [], n_answered=F.col("_n"), n_pass=F.col("_p"), complete_pairs=zero("_c"), _touched=zero("_o"), both_pass_pairs=zero("_b"))
+    return out.select(by, "threshold", "n_answered", "n_pass", (F.col("n_answered") / F.col("_all")).alias("coverage"), "complete_pairs", (F.col("_touched") - F.col("complete_pairs")).alias("fractured_pairs"), "both_pass_pairs")
 
 
 def guard_confidence(df: DataFrame) -> DataFrame:
