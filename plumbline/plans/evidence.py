@@ -12,7 +12,7 @@ from plumbline.operators import reports, selective, significance
 from plumbline.operators import retrieval as R
 from plumbline.plans.retrieval import BASE, PLUS, TOP, _index
 from plumbline.plans.scores import SCORES_SQL, scores
-from plumbline.plans.statistics import DRAWS, FIRST, HAR, POINTS, TIES, _boot, _first
+from plumbline.plans.statistics import DRAWS, EVERY, HAR, POINTS, _boot
 from plumbline.session import table
 
 
@@ -63,12 +63,12 @@ def _intervals(s, d):
 
 def _brier(s, d):
     gap = F.col("confidence") - F.col("correct").cast("double")
-    out = significance.bootstrap_mean(selective.confident(_first(s, d)), ["arm"], "family", gap * gap, DRAWS)
+    out = significance.bootstrap_mean(selective.confident(scores(s, d)), ["arm"], "family", gap * gap, DRAWS)
     return out.withColumns({c: F.round(c, 6) for c in ("estimate", "ci_low", "ci_high")})
 
 
 def _selective(s, d):
-    rows = _first(s, d)
+    rows = scores(s, d)
     points = selective.at_coverage(rows).groupBy("arm").pivot("target", [0.25, 0.5, 0.75]).agg(F.first("selective_accuracy"))
     points = points.toDF("arm", "at_25", "at_50", "at_75")
     distinct = selective.confident(rows).groupBy("arm").agg(F.count_distinct("confidence").alias("n_distinct"))
@@ -113,9 +113,9 @@ SELECT doc_id AS item_id, CASE WHEN u < 0.55::DOUBLE THEN 'correct' WHEN u < 0.5
 UNION ALL SELECT arm, family, 'clause', (citation_grade = 'correct_clause')::INT FROM scores UNION ALL SELECT arm, family, 'utility', CASE WHEN outcome = 'abstained' AND abstention_acceptable THEN 0.9 WHEN outcome = 'correct' THEN 1 WHEN outcome = 'abstained' THEN 0.25
   WHEN outcome = 'other_incorrect' THEN -0.5 WHEN outcome = 'adjacent_substitution' THEN -1 ELSE 0 END FROM scores), {_boot('sv', 'arm, metric', DRAWS)}
 SELECT arm, metric, nc AS n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm, metric)""",
-    "brier_interval": f"""{FIRST}, sv AS (SELECT arm, family, (confidence - correct::INT) * (confidence - correct::INT) AS v FROM f WHERE confidence IS NOT NULL), {_boot('sv', 'arm', DRAWS)}
+    "brier_interval": f"""{EVERY}, sv AS (SELECT arm, family, (confidence - correct::INT) * (confidence - correct::INT) AS v FROM f WHERE confidence IS NOT NULL), {_boot('sv', 'arm', DRAWS)}
 SELECT arm, nc AS n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm)""",
-    "selective_summary": f"""{FIRST}, {POINTS}, x AS (SELECT arm, sum(m * (1 - h::DOUBLE / m) - (bh - h::DOUBLE / m * b) * (coalesce({HAR.format(n='b + m')}, 0) - coalesce({HAR.format(n='b')}, 0))) / sum(m) AS aurc, sum(m)::BIGINT AS n, count(*) AS n_distinct FROM t GROUP BY ALL),
+    "selective_summary": f"""{EVERY}, {POINTS}, x AS (SELECT arm, sum(m * (1 - h::DOUBLE / m) - (bh - h::DOUBLE / m * b) * (coalesce({HAR.format(n='b + m')}, 0) - coalesce({HAR.format(n='b')}, 0))) / sum(m) AS aurc, sum(m)::BIGINT AS n, count(*) AS n_distinct FROM t GROUP BY ALL),
 a AS (SELECT arm, target, selective_accuracy AS s FROM p, (VALUES (0.25), (0.5), (0.75)) AS v(target) WHERE coverage >= target - 1e-12 QUALIFY row_number() OVER (PARTITION BY arm, target ORDER BY n_answered) = 1)
 SELECT arm, n, round(aurc, 9) AS aurc, n_distinct, round((SELECT s FROM a WHERE a.arm = x.arm AND target = 0.25), 9) AS at_25, round((SELECT s FROM a WHERE a.arm = x.arm AND target = 0.5), 9) AS at_50, round((SELECT s FROM a WHERE a.arm = x.arm AND target = 0.75), 9) AS at_75 FROM x""",
     "self_match": f"{BASE}, {PLUS}, t AS ({TOP.format('p').replace('rank <= 3', 'rank = 1')}) SELECT count(*) AS n, count(*) FILTER (contains(d.text, b.text)) AS n_self FROM t JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id)",

@@ -115,7 +115,7 @@ ORACLES = {
     "tokenize": f"WITH t AS (SELECT doc_id, text, {TOKENS} AS t FROM documents) SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct, md5(array_to_string(t, ' ')) AS digest, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS prompt_tokens FROM t",
     "doc_freq": f"{BASE} SELECT term, df FROM df WHERE term IN (SELECT term FROM q)",
     "bm25_topk": f"""{BASE}, b AS (SELECT query_id, doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + norm)) AS score FROM q JOIN df USING (term) JOIN nm USING (term), st GROUP BY ALL),
-al AS (SELECT item_id AS query_id, doc_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN b ON b.query_id = item_id AND b.doc_id = documents.doc_id) """ + TOP.format("al"),
+al AS (SELECT item_id AS query_id, documents.doc_id AS doc_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN b ON b.query_id = item_id AND b.doc_id = documents.doc_id) """ + TOP.format("al"),
     "bm25plus_topk": f"{BASE}, {PLUS} " + TOP.format("p"),
     "tfidf_topk": f"{BASE}, {COS} " + TOP.format("co"),
     "rrf_fusion": f"""{BASE}, {PLUS}, {COS}, ra AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS a FROM co),

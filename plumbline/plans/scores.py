@@ -1,7 +1,7 @@
 """Scored observations over the driver's events: the fact table on which the statistics are exercised.
 
-An event is one response of an arm (event type) to an item (user); the first three of an item are its repeats. The
-number k in props decides outcome, citation grade and confidence.
+An event is one response of an arm (event type) to an item (user); the events of an item are its repeats. The number k
+in props decides outcome, citation grade and confidence.
 """
 
 from __future__ import annotations
@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 
 from plumbline.session import table
 
-REPEATS = 3
-
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("arm"), F.col("user_id").alias("item_id"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     nth = F.row_number().over(W.partitionBy("arm", "item_id").orderBy("event_id")) - 1
-    first = events.withColumn("repeat", nth.cast("long")).where(F.col("repeat") < REPEATS)
-    return first.selectExpr(
+    return events.withColumn("repeat", nth.cast("long")).selectExpr(
         "arm", "item_id", "repeat",
         "concat('d', item_id % 4) AS domain", "item_id DIV 4 AS family", "item_id DIV 2 AS pair_id",
         "IF(item_id % 2 = 0, 'a', 'b') AS pair_role",
@@ -45,4 +42,4 @@ scores AS (SELECT arm, item_id, nth - 1 AS repeat, 'd' || (item_id % 4) AS domai
   CASE WHEN k < 40 THEN 'correct' WHEN k < 55 THEN 'adjacent_substitution' WHEN k < 80 THEN 'other_incorrect' WHEN k < 95 THEN 'abstained' ELSE 'unscorable' END AS outcome,
   (['none', 'wrong', 'correct_section', 'correct_clause'])[k % 4 + 1] AS citation_grade, k % 23 = 0 AS paywalled,
   CASE WHEN k % 17 = 0 THEN NULL ELSE (100 - k) / 100.0::DOUBLE END AS confidence, k < 40 AS correct
-  FROM ev WHERE nth <= 3)"""
+  FROM ev)"""

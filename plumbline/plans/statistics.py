@@ -56,19 +56,19 @@ QUERIES = {
     "utility_policy": lambda s, d: _rounded(reports.utility_table(scores(s, d)), "mean_utility", "risk_weighted"),
     "identical_item_sets": lambda s, d: reports.same_items(scores(s, d)),
     "release_gate": lambda s, d: _rounded(reports.gate(scores(s, d)), "accuracy", "abstained", "declined", "precision_answered"),
-    "risk_coverage_rows": lambda s, d: _rounded(selective.curve_rows(_first(s, d)), "coverage", "selective_accuracy"),
-    "risk_coverage_points": lambda s, d: _rounded(selective.curve_points(_first(s, d)), "coverage", "selective_accuracy", "selective_risk"),
-    "aurc": lambda s, d: _rounded(selective.aurc(_first(s, d)), "aurc", "aurc_random", "aurc_optimal", "e_aurc").withColumn("e_aurc", F.col("e_aurc") + 0.0),
-    "selective_at_coverage": lambda s, d: _rounded(selective.at_coverage(_first(s, d)), "coverage", "selective_accuracy"),
+    "risk_coverage_rows": lambda s, d: _rounded(selective.curve_rows(scores(s, d), ties=("item_id", "repeat")), "coverage", "selective_accuracy"),
+    "risk_coverage_points": lambda s, d: _rounded(selective.curve_points(scores(s, d)), "coverage", "selective_accuracy", "selective_risk"),
+    "aurc": lambda s, d: _rounded(selective.aurc(scores(s, d)), "aurc", "aurc_random", "aurc_optimal", "e_aurc").withColumn("e_aurc", F.col("e_aurc") + 0.0),
+    "selective_at_coverage": lambda s, d: _rounded(selective.at_coverage(scores(s, d)), "coverage", "selective_accuracy"),
     "threshold_curve": lambda s, d: _rounded(selective.threshold_curve(_first(s, d)), "coverage"),
-    "brier": lambda s, d: _rounded(selective.brier(_first(s, d)), "brier", "brier_constant", "mean_confidence"),
-    "reliability_table": lambda s, d: _rounded(selective.reliability(_first(s, d)), "low", "high", "mean_confidence", "accuracy"),
-    "ece": lambda s, d: _rounded(selective.ece(_first(s, d)), "ece"),
+    "brier": lambda s, d: _rounded(selective.brier(scores(s, d)), "brier", "brier_constant", "mean_confidence"),
+    "reliability_table": lambda s, d: _rounded(selective.reliability(scores(s, d)), "low", "high", "mean_confidence", "accuracy"),
+    "ece": lambda s, d: _rounded(selective.ece(scores(s, d)), "ece"),
     "mcnemar_exact": lambda s, d: _rounded(significance.mcnemar(scores(s, d)), "p_value"),
     "holm_adjust": lambda s, d: _rounded(significance.holm(significance.mcnemar(scores(s, d)), "p_value", "arm_a", "arm_b").select("arm_a", "arm_b", "p_value", "p_holm"), "p_value", "p_holm"),
     "arm_comparisons": lambda s, d: _rounded(significance.compare_arms(scores(s, d)), "difference", "ci_low", "ci_high", "p_value", "p_holm", places=6),
     "bootstrap_accuracy": _bootstrap,
-    "bootstrap_aurc": lambda s, d: _rounded(significance.bootstrap_aurc(_first(s, d), n_draws=DRAWS), "ci_low", "ci_high", places=6),
+    "bootstrap_aurc": lambda s, d: _rounded(significance.bootstrap_aurc(scores(s, d), n_draws=DRAWS), "ci_low", "ci_high", places=6),
     "cohen_kappa": lambda s, d: _rounded(agreement.cohen(_quality_rule(s, d), "human", "automatic", []), "agreement", "expected", "kappa"),
     "multiclass_kappa": lambda s, d: _rounded(agreement.cohen(_first(s, d).withColumn("human", F.when(F.col("item_id") % 5 == 0, "other_incorrect").otherwise(F.col("outcome"))), "human", "outcome", ["arm"]), "agreement", "expected", "kappa"),
     "fleiss_kappa": lambda s, d: _rounded(agreement.fleiss(_first(s, d)), "mean_agreement", "expected", "kappa"),
@@ -81,6 +81,7 @@ QUERIES = {
 
 W = f"WITH {SCORES_SQL}"
 FIRST = f"{W}, f AS (SELECT * FROM scores WHERE repeat = 0)"
+EVERY = f"{W}, f AS (SELECT * FROM scores)"
 PAIRS = "pr AS (SELECT arm, repeat, pair_id, bool_or(correct) FILTER (pair_role = 'a') AS a_correct, bool_or(correct) FILTER (pair_role = 'b') AS b_correct FROM {src} GROUP BY ALL HAVING count(DISTINCT pair_role) = 2)"
 WILSON = "(({k}::DOUBLE/{n} + 3.841458820694124/(2*{n}) {s} 1.959963984540054*sqrt(({k}::DOUBLE/{n})*(1-{k}::DOUBLE/{n})/{n} + 3.841458820694124/(4.0*{n}*{n})))/(1+3.841458820694124/{n}))"
 HAR = "list_sum(list_transform(range(1, ({n})::BIGINT + 1), lambda i: 1.0 / i))"
@@ -165,13 +166,13 @@ SELECT arm_a, arm_b, (SELECT count(*) FROM h x WHERE x.arm = arm_a AND NOT EXIST
     "release_gate": f"""{W}, g AS (SELECT arm, avg(correct::INT) FILTER (item_type = 'factual') AS a, avg((outcome = 'abstained')::INT) FILTER (item_type = 'factual') AS b,
   avg((outcome = 'abstained')::INT) FILTER (item_type = 'category_error') AS c, avg(correct::INT) FILTER (item_type = 'factual' AND outcome NOT IN ('abstained', 'unscorable')) AS p FROM scores GROUP BY ALL)
 SELECT arm, round(a, 9) AS accuracy, round(b, 9) AS abstained, round(c, 9) AS declined, round(p, 9) AS precision_answered, coalesce(a >= 0.3 AND p >= 0.4 AND b <= 0.5, false) AS passes FROM g""",
-    "risk_coverage_rows": f"""{FIRST}, c AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY confidence DESC, item_id) AS rank FROM f WHERE confidence IS NOT NULL)
-SELECT arm, item_id, rank, round(rank::DOUBLE / count(*) OVER (PARTITION BY arm), 9) AS coverage, round((sum(correct::INT) OVER (PARTITION BY arm ORDER BY rank))::DOUBLE / rank, 9) AS selective_accuracy FROM c""",
-    "risk_coverage_points": f"{FIRST}, {POINTS} SELECT arm, threshold, n_answered, round(coverage, 9) AS coverage, round(selective_accuracy, 9) AS selective_accuracy, round(1 - selective_accuracy, 9) AS selective_risk FROM p",
-    "aurc": f"""{FIRST}, {TIES}, x AS (SELECT arm, sum(m * (1 - h::DOUBLE / m) - (bh - h::DOUBLE / m * b) * (coalesce({HAR.format(n='b + m')}, 0) - coalesce({HAR.format(n='b')}, 0))) AS area, sum(m)::BIGINT AS n, sum(h)::BIGINT AS h FROM t GROUP BY ALL),
+    "risk_coverage_rows": f"""{EVERY}, c AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY confidence DESC, item_id, repeat) AS rank FROM f WHERE confidence IS NOT NULL)
+SELECT arm, item_id, repeat, rank, round(rank::DOUBLE / count(*) OVER (PARTITION BY arm), 9) AS coverage, round((sum(correct::INT) OVER (PARTITION BY arm ORDER BY rank))::DOUBLE / rank, 9) AS selective_accuracy FROM c""",
+    "risk_coverage_points": f"{EVERY}, {POINTS} SELECT arm, threshold, n_answered, round(coverage, 9) AS coverage, round(selective_accuracy, 9) AS selective_accuracy, round(1 - selective_accuracy, 9) AS selective_risk FROM p",
+    "aurc": f"""{EVERY}, {TIES}, x AS (SELECT arm, sum(m * (1 - h::DOUBLE / m) - (bh - h::DOUBLE / m * b) * (coalesce({HAR.format(n='b + m')}, 0) - coalesce({HAR.format(n='b')}, 0))) AS area, sum(m)::BIGINT AS n, sum(h)::BIGINT AS h FROM t GROUP BY ALL),
 y AS (SELECT *, ((n - h) - h * (coalesce({HAR.format(n='n')}, 0) - coalesce({HAR.format(n='h')}, 0))) / n AS best FROM x)
 SELECT arm, n, round(area / n, 9) AS aurc, round(1 - h::DOUBLE / n, 9) AS aurc_random, round(best, 9) AS aurc_optimal, round(area / n - best, 9) + 0.0 AS e_aurc FROM y""",
-    "selective_at_coverage": f"""{FIRST}, {POINTS} SELECT arm, target::DOUBLE AS target, round(coverage, 9) AS coverage, round(selective_accuracy, 9) AS selective_accuracy
+    "selective_at_coverage": f"""{EVERY}, {POINTS} SELECT arm, target::DOUBLE AS target, round(coverage, 9) AS coverage, round(selective_accuracy, 9) AS selective_accuracy
 FROM p, (VALUES (0.25), (0.5), (0.75)) AS v(target) WHERE coverage >= target - 1e-12 QUALIFY row_number() OVER (PARTITION BY arm, target ORDER BY n_answered) = 1""",
     "threshold_curve": f"""{FIRST}, c AS (SELECT * FROM f WHERE confidence IS NOT NULL), th AS (SELECT DISTINCT arm, confidence AS threshold FROM c),
 pr AS (SELECT arm, pair_id, min(confidence) AS lo, max(confidence) AS hi, bool_and(correct) AS ok FROM c GROUP BY ALL HAVING count(*) = 2)
@@ -179,10 +180,10 @@ SELECT arm, threshold, (SELECT count(*) FROM c WHERE c.arm = th.arm AND confiden
   round((SELECT count(*) FROM c WHERE c.arm = th.arm AND confidence >= threshold)::DOUBLE / (SELECT count(*) FROM c WHERE c.arm = th.arm), 9) AS coverage,
   (SELECT count(*) FROM pr WHERE pr.arm = th.arm AND lo >= threshold) AS complete_pairs, (SELECT count(*) FROM pr WHERE pr.arm = th.arm AND hi >= threshold AND lo < threshold) AS fractured_pairs,
   (SELECT count(*) FROM pr WHERE pr.arm = th.arm AND lo >= threshold AND ok) AS both_pass_pairs FROM th""",
-    "brier": f"""{FIRST} SELECT arm, count(*) AS n, round(avg((confidence - correct::INT) * (confidence - correct::INT)), 9) AS brier, round(avg(correct::INT) * (1 - avg(correct::INT)), 9) AS brier_constant,
+    "brier": f"""{EVERY} SELECT arm, count(*) AS n, round(avg((confidence - correct::INT) * (confidence - correct::INT)), 9) AS brier, round(avg(correct::INT) * (1 - avg(correct::INT)), 9) AS brier_constant,
   round(avg(confidence), 9) AS mean_confidence FROM f WHERE confidence IS NOT NULL GROUP BY ALL""",
-    "reliability_table": f"{FIRST}, {BINS} SELECT arm, bin, round(bin / 10.0::DOUBLE, 9) AS low, round((bin + 1) / 10.0::DOUBLE, 9) AS high, n, round(mean_confidence, 9) AS mean_confidence, round(accuracy, 9) AS accuracy FROM r",
-    "ece": f"{FIRST}, {BINS} SELECT arm, round(sum(n * abs(mean_confidence - accuracy)) / sum(n), 9) AS ece FROM r GROUP BY ALL",
+    "reliability_table": f"{EVERY}, {BINS} SELECT arm, bin, round(bin / 10.0::DOUBLE, 9) AS low, round((bin + 1) / 10.0::DOUBLE, 9) AS high, n, round(mean_confidence, 9) AS mean_confidence, round(accuracy, 9) AS accuracy FROM r",
+    "ece": f"{EVERY}, {BINS} SELECT arm, round(sum(n * abs(mean_confidence - accuracy)) / sum(n), 9) AS ece FROM r GROUP BY ALL",
     "mcnemar_exact": f'{W}, {MC} SELECT arm_a, arm_b, both_right, a_only, b_only, neither, n, round(p_value, 9) AS p_value FROM mc',
     "holm_adjust": f"{W}, {MC}{HOLM} SELECT arm_a, arm_b, round(p_value, 9) AS p_value, round(p_holm, 9) AS p_holm FROM ho",
     "arm_comparisons": f"""{W}, {MC}{HOLM}, sv AS (SELECT arm_a, arm_b, family, x::INT - y::INT AS v FROM d), {_boot('sv', 'arm_a, arm_b', significance.DRAWS)}
@@ -190,7 +191,7 @@ SELECT arm_a, arm_b, n, a_only, b_only, round(p_value, 6) AS p_value, round(p_ho
 FROM ho JOIN gn USING (arm_a, arm_b) JOIN bs USING (arm_a, arm_b)""",
     "bootstrap_accuracy": f"""{W}, sv AS (SELECT arm, family, correct::INT AS v FROM scores WHERE item_type = 'factual'), {_boot('sv', 'arm', significance.DRAWS)}
 SELECT arm, nc AS n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm)""",
-    "bootstrap_aurc": f"""{FIRST}, c AS (SELECT * FROM f WHERE confidence IS NOT NULL), hn AS (SELECT i, sum(1.0 / i) OVER (ORDER BY i) AS har FROM (SELECT range AS i FROM range(1, 100000))), h0 AS (SELECT 0 AS i, 0.0 AS har UNION ALL SELECT * FROM hn),
+    "bootstrap_aurc": f"""{EVERY}, c AS (SELECT * FROM f WHERE confidence IS NOT NULL), hn AS (SELECT i, sum(1.0 / i) OVER (ORDER BY i) AS har FROM (SELECT range AS i FROM range(1, 100000))), h0 AS (SELECT 0 AS i, 0.0 AS har UNION ALL SELECT * FROM hn),
 cl AS (SELECT DISTINCT arm, family FROM c), ci AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY family) - 1 AS ix, count(*) OVER (PARTITION BY arm) AS nc FROM cl),
 dr AS (SELECT arm, rep, (('0x' || substr(md5(concat_ws('|', '20260904', rep::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT) % nc AS ix
   FROM (SELECT *, unnest(range(0, nc)) AS slot FROM (SELECT DISTINCT arm, nc FROM ci) CROSS JOIN (SELECT range AS rep FROM range({DRAWS})))),
