@@ -84,6 +84,11 @@ def select(items: DataFrame, domains: list[str] | None = None, ids: list | None
     return items.where(reduce(lambda a, b: a & b, tests)) if tests else items
 
 
+def labels(items: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column (domain, family, id) in order."""
+    return items.select(column).distinct().orderBy(column)
+
+
 def one(items: DataFrame, item_id) -> DataFrame:
     """The item of an id; raises if there is none."""
     found = items.where(F.col("item_id") == item_id)
