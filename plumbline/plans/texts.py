@@ -243,7 +243,10 @@ b AS (SELECT *, strpos(lower(trim(t, ' ')), lower(an)) AS pos, contains(lower(t)
 l AS (SELECT *, regexp_extract_all(left(trim(t, ' '), greatest(pos - 1, 0)::BIGINT), '\((?:[a-z]{1,2}|[0-9]{1,2}|[ivxlc]{1,5}|[A-Z]{1,2})\)') AS pre FROM b)
 SELECT doc_id AS item_id, has AS anchor_present, CASE WHEN k = 2 AND NOT contains(t, '(c)') THEN '(c)' ELSE '' END AS markers_missing,
   CASE WHEN an <> '' AND pos > 0 THEN list_has_any(list_slice(pre, greatest(len(pre) - 5, 1), len(pre)), mk) END AS anchor_local, has AND NOT (k = 2 AND NOT contains(t, '(c)')) AS ok FROM l""",
-    "corpus_digest": "WITH h AS (SELECT doc_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, lang, source, text)) AS h FROM documents) SELECT count(*) AS n_items, sha256(string_agg(h, chr(30) ORDER BY doc_id)) AS digest FROM h",
+    "corpus_digest": """WITH h AS (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS p, count(*) AS n FROM documents GROUP BY ALL),
+a AS (SELECT left(p, 5) AS p, sum(n)::BIGINT AS n, sha256(string_agg(p || ':' || n, chr(30) ORDER BY p)) AS d FROM h GROUP BY left(p, 5)),
+b AS (SELECT left(p, 3) AS p, sum(n)::BIGINT AS n, sha256(string_agg(d, chr(30) ORDER BY p)) AS d FROM a GROUP BY left(p, 3))
+SELECT sum(n)::BIGINT AS n_items, sha256(string_agg(d, chr(30) ORDER BY p)) AS digest FROM b""",
     "offline_recheck": f"WITH {DOCS}, st AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'old' ELSE clause END AS c, item_id % 11 <> 0 AS ok FROM it WHERE item_id % 7 <> 0), j AS (SELECT item_id, CASE WHEN c IS NULL THEN 'not_in_report' WHEN c <> clause THEN 'clause_differs' WHEN NOT ok THEN 'failed' END AS problem FROM it LEFT JOIN st USING (item_id)) SELECT * FROM j WHERE problem IS NOT NULL",
     "corpus_stats": rf"WITH {DOCS} SELECT lang AS domain, count(*) AS n_items, count(*) FILTER (item_id % 2 = 0) AS n_pairs, round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_question_words, count(DISTINCT regexp_extract(clause, '(\d+)\.', 1)) AS n_parts FROM it GROUP BY ALL",
     "unsourced_numbers": r"WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\d+(?:,\d{3})*(?:\.\d+)?')) AS number FROM documents), s AS (SELECT DISTINCT unnest(regexp_extract_all(html, '\d+(?:,\d{3})*(?:\.\d+)?')) AS number FROM pages) SELECT doc_id, number FROM n ANTI JOIN s USING (number)",
