@@ -47,7 +47,7 @@ def _lines(text: Column) -> Column:
 RULES = [
     Rule("symbol_ratio", lambda t, f: f["n_symbols"] * 10 > f["n_words"]),
     Rule("word_length", lambda t, f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 12 * f["n_words"])),
-    Rule("duplicate_lines", lambda t, f: f["n_dup_lines"] * 10 > 3 * F.size(_lines(t))),
+    Rule("duplicate_lines", lambda t, f: (f["n_dup_lines"] >= 3) & (f["n_dup_lines"] * 10 > 3 * F.size(_lines(t)))),
     Rule("few_letter_words", lambda t, f: F.size(F.filter(words(t), lambda w: w.rlike(r"\p{L}"))) * 10 < 7 * f["n_words"]),
     Rule("shouting", lambda t, f: _count(t, r"\P{Lu}+") * 2 > _count(t, r"\P{L}+")),
     Rule("exclamations", lambda t, f: _count(t, "[^!?]+") * 10 > 3 * f["n_words"]),
@@ -163,7 +163,7 @@ f AS (SELECT doc_id, t, ws, ls, len(ws)::BIGINT AS n_words, length(array_to_stri
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
-    OR n_dup_lines * 10 > 3 * len(ls)
+    OR (n_dup_lines >= 3 AND n_dup_lines * 10 > 3 * len(ls))
     OR len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) * 10 < 7 * n_words
     OR length(regexp_replace(t, '\P{Lu}+', '', 'g')) * 2 > length(regexp_replace(t, '\P{L}+', '', 'g'))
     OR length(regexp_replace(t, '[^!?]+', '', 'g')) * 10 > 3 * n_words
