@@ -18,6 +18,7 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from plumbline.llm.scratch import saved
 CAPACITY = 4096
 END_ID = 2
 BUCKETS = 1024
-#: Words whose ids a worker remembers; forgotten all at once when there are more.
-CACHE_WORDS = 700_000
+#: Words whose ids a worker remembers; when there are more it forgets all but the first, which are mostly common ones.
+CACHE_WORDS, KEPT_WORDS = 250_000, 80_000
 
 #: One row of the plan: documents of remainder length0 with rank_from <= rank < rank_from + n put their tokens
 #: [start, start + length) of the remainder at offset base + slot * length of sequence seq + item // per, where
@@ -172,47 +173,52 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, words: list[bytes]) -> None:
-        """Remembers the ids of words as they are."""
-        plain: list[str] = []
-        other: list[str] = []
-        for w in words:
-            text = w.decode()
-            (plain if (low := text.lower()).isalpha() and max(low) < "\u0250" else other).append(text)
+        """Remembers the ids of lower-cased words as they are."""
+        plain = [w for w in words if w.isalpha()]  # bytes: ASCII letters only
+        lows, other = [w.decode() for w in plain], []
+        for w in words if len(plain) < len(words) else ():
+            if not w.isalpha():
+                low = (text := w.decode()).lower()
+                if low.isalpha() and max(low) < "\u0250":
+                    plain.append(w)
+                    lows.append(low)
+                else:
+                    other.append((w, text))
         known = self.known
         if plain:
-            ids = np.array(self.ranked.encode_ordinary(self.STOP.join(map(str.lower, plain)) + self.STOP), np.uint32)
-            data, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()]
-            for text, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
-                known[text.encode()] = data[a:b]
-        for text, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[text.encode()] = array("I", e.ids).tobytes()
+            ids = np.array(self.ranked.encode_ordinary(self.STOP.join(lows) + self.STOP), np.uint32)
+            data, cuts = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            known.update(zip(plain, [data[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))
+        for (w, _), e in zip(other, self.tokenizer.encode_batch_fast([text for _, text in other], add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Remembers words, those with marks at their end as their parts together."""
-        known, parts = self.known, {w: self.stem(w) for w in words}
-        self.encode([w for w in {x for p in parts.values() for x in p} if w and w not in known])
-        for w, (core, marks) in parts.items():
-            if marks:
-                known[w] = known[core] + known[marks]
-
-    def stem(self, word: bytes) -> tuple[bytes, bytes]:
-        """(word without the marks at its end, the marks), or the word whole if it doesn't end in a letter or digit then."""
-        core = word.rstrip(self.MARKS)
-        if len(core) == len(word):
-            return word, b""
+        known, marks = self.known, self.MARKS
+        cores = {w: core for w in words if len(core := w.rstrip(marks)) < len(w) and self.ends_plainly(core)}
+        new = {core for core in cores.values() if core not in known} | {t for w, core in cores.items() if (t := w[len(core) :]) not in known}
+        self.encode([*new.difference(words), *(w for w in words if w not in cores)])
+        for w, core in cores.items():
+            known[w] = known[core] + known[w[len(core) :]]
+
+    @staticmethod
+    def ends_plainly(core: bytes) -> bool:
+        """Whether the last character is a Latin letter or an ASCII digit, which marks after it never join."""
         if core[-1:].isalnum():
-            return core, word[len(core) :]
+            return True
         last = core[-3:].decode("utf-8", "ignore")[-1:]
-        return (core, word[len(core) :]) if last.isalpha() and last < "\u0250" else (word, b"")
+        return last.isalpha() and last < "\u0250"
 
     def ids(self, text: str | None, end_id: int | None = END_ID) -> np.ndarray:
         words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII spaces only
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), KEPT_WORDS))
         parts = list(map(self.known.get, words))
         if None in parts:
-            self.learn({w for w, x in zip(words, parts, strict=True) if x is None})
-            parts = list(map(self.known.get, words))
+            missing = [i for i, x in enumerate(parts) if x is None]
+            self.learn({words[i] for i in missing})
+            for i in missing:
+                parts[i] = self.known[words[i]]
         if end_id is not None:
             parts.append(array("I", [end_id]).tobytes())
         return np.frombuffer(b"".join(parts), np.uint32)
