@@ -19,6 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables of this driver that are still there.
+_MADE: list[Table] = []
+
+
 class Table:
     """A written table: ``df`` reads it back, ``drop`` removes its files."""
 
@@ -27,8 +31,10 @@ class Table:
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _MADE.append(self)
 
     def drop(self) -> None:
+        _MADE.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -37,3 +43,9 @@ class Table:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: later reads survive lost executors and agree with each other."""
     return Table(df, name).df
+
+
+def clear() -> None:
+    """Removes all tables that this driver's operators have written; call it when their results are stored."""
+    for made in list(_MADE):
+        made.drop()
