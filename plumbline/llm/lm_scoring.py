@@ -253,20 +253,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             at = np.append(at, end)
             hit = at[at >= 0]
             base = float(known.base_logs[hit].sum()) - known.unseen_log * (len(at) - len(hit))
-            return symbols, len(hit), base, float(known.own_logs[hit].sum() + known.rare_logs[ends].sum()), list(Counter(rare).items())
+            return symbols, len(hit), base, float(known.own_logs[hit].sum() + known.rare_logs[ends].sum()), rare
 
         for chunk in _chunks(chain([first], batches), read):
             encoded, n_known, bases, owns, rares, ids, folds = zip(*chunk, strict=True)
             found = gru.score(model, encoded) / np.log(10) + np.array(owns)
-            pairs = pa.array(rares, pa.map_(pa.binary(), pa.int64()))
-            columns = [pa.array(ids, id_type), pa.array(folds, pa.int64()), pa.array([len(e) for e in encoded], pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(found, pa.float64()), pairs]
+            starts = np.concatenate(([0], np.cumsum([len(r) for r in rares])))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array([w for r in rares for w in r], pa.binary()))
+            columns = [pa.array(ids, id_type), pa.array(folds, pa.int64()), pa.array([len(e) for e in encoded], pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(found, pa.float64()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["_id", "_fold", "n_tokens", "_known", "_base", "_own", "_rare"])
 
-    schema = f"_id {base.schema['_id'].dataType.simpleString()}, _fold long, n_tokens long, _known long, _base double, _own double, _rare map<binary,long>"
+    schema = f"_id {base.schema['_id'].dataType.simpleString()}, _fold long, n_tokens long, _known long, _base double, _own double, _rare array<binary>"
     scored = base.select("text", "_id", "_fold").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
     held = saved(scored, "lm-scores")
-    rare = held.select("_row", F.explode("_rare").alias("_word", "_tf")).join(counts.select(F.col("word").alias("_word"), "c"), "_word")
-    sums = rare.groupBy("_row").agg(F.sum(F.col("_tf") * F.log10(F.col("c") + 1)).alias("_logs"), F.sum("_tf").alias("_found"))
+    rare = held.select("_row", F.explode("_rare").alias("_word")).join(counts.select(F.col("word").alias("_word"), "c"), "_word")
+    sums = rare.groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("_logs"), F.count("*").alias("_found"))
     out = held.drop("_rare").join(sums, "_row", "left")
     more = F.coalesce("_logs", F.lit(0.0))
     return out.select(
