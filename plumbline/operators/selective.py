@@ -52,11 +52,11 @@ def curve_points(df: DataFrame, by: str = "arm") -> DataFrame:
     return _total(tie_groups(df, by), by, F.col("size")).select(by, F.col("confidence").alias("threshold"), n.alias("n_answered"), (n / total).alias("coverage"), (h / n).alias("selective_accuracy"), (1 - h / n).alias("selective_risk"))
 
 
-def curve_rows(df: DataFrame, by: str = "arm", tie: str = "item_id") -> DataFrame:
-    """(by, tie, rank, coverage, selective_accuracy): a point a row, ties by id."""
-    rows = confident(df).select(by, tie, "confidence", F.col("correct").cast("int").alias("_y"))
-    run = _total(_falling(rows, by, "confidence", [tie], rank=F.lit(1), _h=F.col("_y")), by, F.lit(1))
-    return run.select(by, tie, "rank", (F.col("rank") / F.col("_all")).alias("coverage"), (F.col("_h") / F.col("rank")).alias("selective_accuracy"))
+def curve_rows(df: DataFrame, by: str = "arm", ties: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """(by, ties, rank, coverage, selective_accuracy): a point a row, equal confidences in the order of ``ties``."""
+    rows = confident(df).select(by, *ties, "confidence", F.col("correct").cast("int").alias("_y"))
+    run = _total(_falling(rows, by, "confidence", list(ties), rank=F.lit(1), _h=F.col("_y")), by, F.lit(1))
+    return run.select(by, *ties, "rank", (F.col("rank") / F.col("_all")).alias("coverage"), (F.col("_h") / F.col("rank")).alias("selective_accuracy"))
 
 
 def aurc(df: DataFrame, by: str = "arm") -> DataFrame:
