@@ -13,8 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 8
-CLASS_SIZE = 32
+HIDDEN = 16
+CLASS_SIZE = 64
 WINDOW = 16
 LANES = 512
 RATE = 0.2

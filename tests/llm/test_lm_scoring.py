@@ -86,3 +86,11 @@ def test_empty_table_and_nothing_to_train_on(spark, small):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = lm_scoring.op8_query(spark.createDataFrame([(held, "a b")], schema)).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0)
+
+
+def test_size_of_the_model():
+    p = gru.fresh(lm_scoring.SYMBOLS)
+    assert p[1].shape[0] >= 16
+    words = [b"w%d" % i for i in range(3000)]
+    known = lm_scoring.Lexicon(3000, 3000, words, np.ones(3000), np.zeros(16), np.zeros(16)).ready()
+    assert len({s for s in known.encode(words).tolist() if s > lm_scoring.ENDINGS}) >= 2031  # words with a symbol of their own
