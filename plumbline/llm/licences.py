@@ -2,11 +2,13 @@
 
 Canonical form: copyright lines dropped, lower case, everything but letters and digits one space, equivalent
 spellings made one. Known texts are put in the same form by the same columns, so the two sides cannot drift apart.
-The known table is a constant of this module and is broadcast; documents are not shuffled.
+The known table is made of constants of this module and of the full texts in ``licence_texts``, and is broadcast; documents are not shuffled.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,10 @@ KNOWN = [
     ("GPL-3.0-notice", [], "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0-notice", [], "Licensed under CC BY-NC 4.0."),
 ]
+#: Full texts by file, each named as its licence.
+FOLDER = Path(__file__).parent / "licence_texts"
+#: Licence identifiers of the files whose names are not theirs.
+IDENTIFIERS = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "Artistic": "Artistic-1.0-Perl"}
 
 
 def canonical(text: Column) -> Column:
@@ -54,7 +60,9 @@ def digest(text: Column) -> Column:
 
 
 def known_texts() -> list[tuple[str, str]]:
-    return [(name, f"{title}\n\n{body}".strip()) for name, titles, body in KNOWN for title in ["", *titles]]
+    """(licence, text): the constants and the files; an apostrophe is a space, as in canonical form, so SQL can quote."""
+    short = [(name, f"{title}\n\n{body}".strip()) for name, titles, body in KNOWN for title in ["", *titles]]
+    return short + [(IDENTIFIERS.get(f.name, f.name), f.read_text("utf-8").replace("'", " ")) for f in sorted(FOLDER.iterdir())]
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
