@@ -13,6 +13,7 @@ hash bucket) groups and the buckets' counts, so a length shared by many document
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import deque
@@ -147,6 +148,9 @@ class Encoder:
     splitting: their pairs merge by rank alone, and a ranked encoder of the same vocabulary does that many times as
     fast. In it the end of a word is a character of its own, which only occurs there. The two agreed on each of a
     million words of text and of random letters; a test compares them.
+
+    Special tokens are matched as they stand, in the raw text and before anything else, so a text is first cut at them.
+    What lies between is read without special tokens: a lower-cased ``<|ENDOFTEXT|>`` is text, as it is in the whole.
     """
 
     MARKS = b".,;:!?"
@@ -160,11 +164,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         byte_of, stop = byte_characters(), self.STOP.encode()
         ranks: dict[bytes, int] = {}
         for token, i in vocabulary.items():
-            if token not in special:
+            if token not in self.special:
                 core = token.removesuffix(self.WORD_END)
                 ranks[bytes(byte_of[c] for c in core) + (stop if core != token else b"")] = i
         self.ranked = Encoding("words", pat_str=f"[^{self.STOP}]+{self.STOP}", mergeable_ranks=ranks, special_tokens={})
@@ -210,7 +216,18 @@ class Encoder:
         return last.isalpha() and last < "\u0250"
 
     def ids(self, text: str | None, end_id: int | None = END_ID) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII spaces only
+        text = text or ""
+        if any(t in text for t in self.special):
+            parts = [self.special.get(x) or self.plain(x) for x in self.cut.split(text) if x]
+        else:
+            parts = [self.plain(text)]
+        if end_id is not None:
+            parts.append(array("I", [end_id]).tobytes())
+        return np.frombuffer(b"".join(parts), np.uint32)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        words = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and the six ASCII spaces only
         if len(self.known) > CACHE_WORDS:
             self.known = dict(islice(self.known.items(), KEPT_WORDS))
         parts = list(map(self.known.get, words))
@@ -219,9 +236,7 @@ class Encoder:
             self.learn({words[i] for i in missing})
             for i in missing:
                 parts[i] = self.known[words[i]]
-        if end_id is not None:
-            parts.append(array("I", [end_id]).tobytes())
-        return np.frombuffer(b"".join(parts), np.uint32)
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=1)

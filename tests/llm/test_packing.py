@@ -68,7 +68,7 @@ def test_a_third_of_rows_with_one_length_gives_a_short_plan():
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(7)
-    words = ["alpha", "Beta,", "don't", "été", "x\x1cy", "a b", "中文字", "é", "<|endoftext|>", "42", "…", "ǅ", "İ", "ΑΣ"]
+    words = ["alpha", "Beta,", "don't", "été", "x\x1cy", "a b", "中文字", "é", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "é<|startoftext|><|endoftext|>.", "<|endof", "text|>", "<|end<|endoftext|>oftext|>", "42", "…", "ǅ", "İ", "ΑΣ"]
     out = [None, "", " \n\t ", "one", "one"]
     out += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 900))) for _ in range(30)]
     out += ["\v".join(rng.choice(words) for _ in range(9000))]
@@ -77,7 +77,6 @@ def texts():
 
 def test_word_cache_equals_whole_text(texts):
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     encoder = packing.Encoder(packing.default_tokenizer())
     for x in texts:
         assert encoder.ids(x, None).tolist() == t.encode(x or "", add_special_tokens=False).ids
@@ -99,7 +98,6 @@ def test_ranked_words_equal_the_tokenizer():
 def test_pack_round_trip(spark, texts):
     docs = spark.createDataFrame([(i, x, 1, "y") for i, x in enumerate(texts)], "doc_id long, text string, start int, ids string").repartition(5)
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
     rows = packing.pack(docs, packing.default_tokenizer(), with_ids=True).collect()
     plain = packing.op3_query(docs)
