@@ -2,8 +2,9 @@
 
 Strong spans stand alone: assignments to secret-like names, access key ids and long hex runs. Weak candidates (a
 random-looking token, a user or client id, an endpoint) mean little alone; each text's candidates are joined as
-intervals with the parts around them, within scopes, and one is reported only where its complements co-occur:
-a secret needs an identifier, an identifier needs a secret, an endpoint needs both.
+intervals with the parts around them, within scopes (paragraphs, which blank lines part), and one is reported only where
+its complements co-occur: a secret needs an identifier, an identifier needs a secret, an endpoint needs both. Strong
+spans are parts too: access key ids are identifiers, assigned values and hex runs are secrets.
 
 The join is a sweep over sorted positions inside one document, so documents stay where they are: no shuffle.
 """
@@ -40,8 +41,8 @@ IDENTIFIER_HINTS = ("user", "login", "account", "client", "access")
 ENDPOINT = re.compile(r"""(?a:[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.:/-]+)""", re.A)
 ENDPOINT_HINTS = ("://", "host", "endpoint", "server")
 
-#: A scope is the blank-line-separated paragraph of a candidate, cut this many characters to either side.
-REACH = 256
+#: What parts two scopes: a line with nothing but blanks.
+BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 
 Span = tuple[int, int, str]
 
@@ -87,7 +88,7 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     free = lambda s, e: not strong_at.meets(s, e)
     identifiers = [(m.start(), m.end()) for m in IDENTIFIER.finditer(text) if free(m.start(), m.end())] if any(h in low for h in IDENTIFIER_HINTS) else []
     strong_identifiers = [(s, e) for s, e, k in strong if k == "access"]
-    strong_secrets = [(s, e) for s, e, k in strong if k == "assign"]
+    strong_secrets = [(s, e) for s, e, k in strong if k != "access"]
     if not (identifiers or strong_identifiers):
         return []  # every weak kind needs an identifier, weak or strong
     taken = _Starts(identifiers)
@@ -95,12 +96,12 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     if not (secrets or strong_secrets):
         return []
     endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text) if free(m.start(), m.end())] if any(h in low for h in ENDPOINT_HINTS) else []
-    breaks = [m.start() for m in re.finditer(r"\n[\x20\t]*\n", text)]
+    breaks = [m.start() for m in BLANK_LINE.finditer(text)]
     all_ids, all_secrets = _Starts(identifiers + strong_identifiers), _Starts(secrets + strong_secrets)
 
     def scope(s: int, e: int) -> tuple[int, int]:
-        k = bisect_left(breaks, s)
-        return max(s - REACH, breaks[k - 1] if k else 0), min(e + REACH, breaks[j] if (j := bisect_left(breaks, e)) < len(breaks) else len(text))
+        before, after = bisect_left(breaks, s), bisect_left(breaks, e)
+        return breaks[before - 1] if before else 0, breaks[after] if after < len(breaks) else len(text)
 
     out = [(s, e, "weak_secret") for s, e in secrets if all_ids.meets(*scope(s, e))]
     out += [(s, e, "weak_identifier") for s, e in identifiers if all_secrets.meets(*scope(s, e))]
