@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a native boolean expression that says whether a document is rejected. A bounded sample gives each
-rule's cost (time to evaluate it there) and which sampled rows it rejects; the cascade then takes, again and again,
-the rule that rejects most of the rows still standing per second of cost. The cascade is one CASE expression:
+Every rule is a native boolean expression that says whether a document is rejected. A bounded sample of the rows past
+the base thresholds gives each rule's cost (time to evaluate it there, repeatedly) and which rows it rejects; the
+cascade then takes, again and again, the rule that rejects most of the rows still standing per second of cost. The cascade is one CASE expression:
 Spark evaluates a branch only when all branches before it were false, so later (dear) rules run on survivors only.
 The order never changes a verdict: a document is kept if no rule rejects it.
 """
@@ -16,16 +16,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.scratch import Table
 from plumbline.llm.words import words
 
-#: Rows that the estimate of cost and selectivity looks at. It decides only the order of the rules.
-SAMPLE_ROWS = 256
+#: Rows from which cost and selectivity are estimated, about; they decide only the order of the rules.
+SAMPLE_ROWS = 512
+#: How often a job asks a rule about each of them, how many jobs are timed, and the least cost of a rule in seconds a row.
+REPEATS, TIMES, LEAST_COST = 2, 2, 1e-5
+#: Rejections per cost that differ by less count as equal, since clocks are not exact.
+NEAR = 1.5
 
 #: Base thresholds.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 SYMBOLS = "#*$%&|<>"
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -94,36 +100,55 @@ def base_failed() -> Column:
 
 def _verdicts(text: str, rules: list[Rule]) -> list[Column]:
     t = F.coalesce(F.col(text), F.lit(""))
-    named = {k: F.col(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    named = {k: F.col(k) for k in FEATURES}
     return [F.coalesce(r.rejects(t, named), F.lit(False)).alias(r.name) for r in rules]
 
 
-def estimate(featured: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(name, seconds, share of the sample that it rejects) in cascade order, best rejection per cost first.
+def sample(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` rows (text and base features) drawn by the hash of their place, so from all partitions alike.
 
-    ``take`` reads only as many partitions as the sample needs; only booleans come to the driver.
-    Shares are conditional: each counts the rows that no earlier rule rejects. An empty table keeps the given order.
+    Only rows that pass the base are in it, as the cascade asks its rules about no others.
     """
-    columns = _verdicts(text, rules)
+    n = docs.count()
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("sample")), F.lit(1 << 40))
+    drawn = docs.select(F.col(text).alias("text")).where(place * F.lit(n) < F.lit(rows << 40)) if n > rows else docs.select(F.col(text).alias("text"))
+    return features(drawn).where(~base_failed())
 
-    def timed(cols: list[Column]) -> tuple[float, list]:
-        best, rows = float("inf"), []
-        for _ in range(2):
+
+def estimate(sampled: DataFrame, rules: list[Rule], text: str = "text") -> list[tuple[str, float, float]]:
+    """(name, seconds a row, share of the sample that it rejects) in cascade order, best rejection per cost first.
+
+    ``sampled`` holds the base features as columns, so a rule is charged with its own work only. A rule's cost is the
+    least time of TIMES jobs, each of which asks it REPEATS times about every row, above that of a job that asks for
+    the text's length; rules take turns, so that all meet the same state of the machine. Shares are conditional: each
+    counts the rows that no earlier rule rejects. Of rules whose rejection per cost differs by less than NEAR times,
+    and of those that reject nothing, the one named first goes first. An empty sample keeps the given order. The
+    driver gets one row a rule.
+    """
+    columns = dict(zip([r.name for r in rules], _verdicts(text, rules), strict=True))
+    held = Table(sampled.select(text, *FEATURES), "quality-sample")
+    n = held.df.count()
+    again = held.df.select("*", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("_again"))
+    asked = {"": F.length(text) < F.col("_again")} | columns
+    took = dict.fromkeys(asked, float("inf"))
+    for _ in range(TIMES if n else 0):
+        for name, column in asked.items():
             began = time.perf_counter()
-            rows = featured.select(*cols).take(sample_rows)
-            best = min(best, time.perf_counter() - began)
-        return best, rows
-
-    floor, _ = timed([F.length(F.col(text)).alias("none")])
-    cost = {r.name: max(timed([c])[0] - floor, 1e-4) for r, c in zip(rules, columns, strict=True)}
-    _, rows = timed(columns)
-    left, order, standing = list(rules), [], list(rows)
+            again.agg(F.count_if(column)).collect()
+            took[name] = min(took[name], time.perf_counter() - began)
+    cost = {r.name: max((took[r.name] - took[""]) / (n * REPEATS), LEAST_COST) if n else LEAST_COST for r in rules}
+    left, order, standing = list(rules), [], F.lit(True)
     while left:
-        best = max(left, key=lambda r: (sum(x[r.name] for x in standing) / cost[r.name], -cost[r.name] if standing else 0))
-        share = sum(x[best.name] for x in standing) / max(len(rows), 1)
-        order.append((best.name, cost[best.name], share))
-        standing = [x for x in standing if not x[best.name]]
+        counts = held.df.where(standing).agg(*[F.count_if(columns[r.name]).alias(r.name) for r in left]).first()
+        worth = {r.name: counts[r.name] / cost[r.name] for r in left}
+        best = next(r for r in left if worth[r.name] * NEAR >= max(worth.values()))
+        order.append((best.name, cost[best.name], counts[best.name] / max(n, 1)))
+        standing = standing & ~columns[best.name]
         left.remove(best)
+        if not any(counts):
+            order += [(r.name, cost[r.name], 0.0) for r in left]
+            break
+    held.drop()
     return order
 
 
@@ -137,7 +162,7 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
     rules = RULES if rules is None else rules
     featured = features(docs, text)
     by_name = {r.name: r for r in rules}
-    ordered = [by_name[name] for name, _, _ in estimate(featured, rules, text, sample_rows)]
+    ordered = [by_name[name] for name, _, _ in estimate(sample(docs, text, sample_rows), rules)]
     cascade = F.when(base_failed(), F.lit("base"))
     for rule, rejects in zip(ordered, _verdicts(text, ordered), strict=True):
         cascade = cascade.when(rejects, F.lit(rule.name))

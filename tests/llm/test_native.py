@@ -57,23 +57,46 @@ def test_quality_base_and_verdicts(spark):
 
 def test_quality_rules_reject_junk_and_keep_prose(spark):
     prose = " ".join(f"{w}{i}" for i in range(40) for w in ("plain", "words", "réel", "of"))
-    junk = {"pipes": prose.replace(" ", " | "), "shout": prose.upper(), "marks": prose.replace(" ", "!! "), "lines": (prose[:40] + "\n") * 3 + prose, "numbers": " ".join(map(str, range(200))), "dots": "\n".join(f"{a} {a}x..." for a in prose.split())}
-    docs = spark.createDataFrame([("clean", prose), *((k, v) for k, v in junk.items() if k != "lines")], "doc_id string, text string")
+    junk = {"pipes": prose.replace(" ", " | "), "shout": prose.upper(), "marks": prose.replace(" ", "!! "), "lines": (prose[:40] + "\n") * 4 + prose, "numbers": " ".join(map(str, range(200))), "dots": "\n".join(f"{a} {a}x..." for a in prose.split())}
+    few = (prose[:40] + "\n") * 2 + prose  # one repeated line is no reason
+    docs = spark.createDataFrame([("clean", prose), ("few", few), *junk.items()], "doc_id string, text string")
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert got["clean"].kept and got["clean"].rejected_by is None
-    assert [k for k, r in got.items() if r.kept] == ["clean"]
+    assert [k for k, r in got.items() if r.kept] == ["clean", "few"]
+    assert got["lines"].rejected_by == "duplicate_lines"
+
+
+def sampled(spark, lengths, times=1):
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),) for n in lengths for _ in range(times)], "text string")
+    return quality_rules.sample(docs)
 
 
 def test_cascade_order_follows_rejection_per_cost(spark, monkeypatch):
     ticks = iter(range(10**6))
     monkeypatch.setattr(quality_rules.time, "perf_counter", lambda: next(ticks))  # every rule costs the same
-    rules = [quality_rules.Rule("few", lambda t, f: f["n_words"] < 3), quality_rules.Rule("most", lambda t, f: f["n_words"] < 9), quality_rules.Rule("rest", lambda t, f: f["n_words"] >= 9)]
-    docs = quality_rules.features(spark.createDataFrame([(" w" * n,) for n in range(1, 12)], "text string"))
-    order = quality_rules.estimate(docs, rules)
+    rules = [quality_rules.Rule("few", lambda t, f: f["n_words"] < 103), quality_rules.Rule("most", lambda t, f: f["n_words"] < 109), quality_rules.Rule("rest", lambda t, f: f["n_words"] >= 109)]
+    order = quality_rules.estimate(sampled(spark, [*range(101, 112), 3, 4]), rules)  # the last two fail the base
     assert [n for n, _, _ in order] == ["most", "rest", "few"]
     assert [round(s * 11) for _, _, s in order] == [8, 3, 0]
 
 
+def test_estimates_agree(spark):
+    """Rules of like rejection and unlike cost, and one that rejects nothing: three runs give one order."""
+    dear = lambda t: F.size(F.filter(F.split(t, ""), lambda x: x.rlike("[0-8]"))) >= 0
+    rules = [quality_rules.Rule("none", lambda t, f: f["n_words"] < 0), quality_rules.Rule("dear", lambda t, f: dear(t) & (f["n_words"] < 160)), quality_rules.Rule("cheap", lambda t, f: f["n_words"] >= 160)]
+    held = sampled(spark, range(100, 220), 4)
+    orders = [quality_rules.estimate(held, rules) for _ in range(3)]
+    assert [[n for n, _, _ in o] for o in orders] == [["cheap", "dear", "none"]] * 3
+    assert all(o[0][1] < o[1][1] for o in orders)
+
+
+def test_sample_is_from_all_partitions(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(20000).repartition(8).select(F.concat(F.lit(text), F.spark_partition_id().cast("string")).alias("text"))
+    rows = quality_rules.sample(docs, rows=400).groupBy("text").count().collect()
+    assert len(rows) == 8 and 250 < sum(r["count"] for r in rows) < 550
+
+
 def test_quality_empty(spark):
     assert quality_rules.op1_query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
