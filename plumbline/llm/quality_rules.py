@@ -54,10 +54,10 @@ RULES = [
     Rule("symbol_ratio", lambda t, f: f["n_symbols"] * 10 > f["n_words"]),
     Rule("word_length", lambda t, f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 12 * f["n_words"])),
     Rule("duplicate_lines", lambda t, f: (f["n_dup_lines"] >= 3) & (f["n_dup_lines"] * 10 > 3 * F.size(_lines(t)))),
-    Rule("few_letter_words", lambda t, f: F.size(F.filter(words(t), lambda w: w.rlike(r"\p{L}"))) * 10 < 7 * f["n_words"]),
+    Rule("few_letter_words", lambda t, f: F.regexp_count(t, F.lit(r"\p{L}[^\x20\x09-\x0D]*")) * 10 < 7 * f["n_words"]),
     Rule("shouting", lambda t, f: _count(t, r"\P{Lu}+") * 2 > _count(t, r"\P{L}+")),
     Rule("exclamations", lambda t, f: _count(t, "[^!?]+") * 10 > 3 * f["n_words"]),
-    Rule("ellipsis_lines", lambda t, f: F.size(F.filter(_lines(t), lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))) * 10 > 3 * F.size(_lines(t))),
+    Rule("ellipsis_lines", lambda t, f: (t.contains("...") | t.contains("…")) & (F.size(F.filter(_lines(t), lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))) * 10 > 3 * F.size(_lines(t)))),
 ]
 
 #: Positions covered by a 3-word window that occurs twice or more: windows are sorted by hash, equal neighbours are
