@@ -16,8 +16,9 @@ import numpy as np
 HIDDEN = 16
 CLASS_SIZE = 64
 WINDOW = 16
-LANES = 512
-RATE = 0.2
+#: Lanes in training, where each window is a step of the parameters, and in scoring.
+LANES, SCORE_LANES = 256, 512
+RATE = 0.15
 START = -1  # the symbol before the first; row -1 of the input table
 
 Params = list[np.ndarray]
@@ -45,9 +46,9 @@ def set_biases(p: Params, counts: np.ndarray) -> None:
 class Lanes:
     """Documents laid end to end in lanes of like length, longest lane first; ``windows`` cuts them."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], most: int) -> None:
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        load = [(0, k) for k in range(min(LANES, len(docs)))]
+        load = [(0, k) for k in range(min(most, len(docs)))]
         lanes: list[list[int]] = [[] for _ in load]
         for i in order:
             n, k = load[0]
@@ -96,48 +97,67 @@ def _recur(p: Params, x: np.ndarray, h: np.ndarray, keep: list | None) -> tuple[
     return out, h
 
 
-def _exp(w: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """exp(w.T s + b) down the columns, up to a factor for each column.
+def _with_biases(p: Params) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(class weights, word weights, whether exp needs a shift), biases as a last row that meets a state of one.
 
-    States lie within (-1, 1), so a column's entries are bounded by the weights; the usual shift by the column's
-    largest entry is needed only where that bound is near what float32 holds.
+    States lie within (-1, 1), so an entry is bounded by the weights; the usual shift by a column's largest entry is
+    needed only where that bound is near what float32 holds.
     """
+    top, own = np.concatenate((p[2], p[3][None])), np.concatenate((p[4], p[5][:, None]), axis=1)
+    most = max(np.abs(p[2]).sum(axis=0).max() + np.abs(p[3].max()), (np.abs(p[4]).sum(axis=1).max(axis=1) + np.abs(p[5].max(axis=1))).max())
+    return top, own, bool(most > 60)
+
+
+def _exp(w: np.ndarray, s: np.ndarray, shift: bool) -> np.ndarray:
+    """exp(w.T s) down the columns, up to a factor for each column."""
     x = w.T @ s
-    x += b[:, None]
-    if np.abs(w).sum(axis=0).max() + np.abs(b.max()) > 60:
+    if shift:
         x -= x.max(axis=0)
     return np.exp(x, out=x)
 
 
 def _output(p: Params, s: np.ndarray, y: np.ndarray, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """(natural log probability of each target y from its state, a column of s; the loss's gradient by s)."""
+    """(natural log probability of each target y from its state, a column of s; the loss's gradient by s).
+
+    With t the sum of a column's entries e and a mark m at its target, the gradient e / t - m is (e - t m) / t: what is
+    divided are the few rows of the states and of the result, not the entries.
+    """
     order = np.argsort((y // CLASS_SIZE).astype(np.int16), kind="stable")
-    s, y = s.take(order, axis=1), y[order]
+    y, h = y[order], len(s)
+    held = np.empty((h + 1, len(y)), s.dtype)
+    s.take(order, axis=1, out=held[:h], mode="clip")
+    held[h] = 1
     kind, own, at = y // CLASS_SIZE, y % CLASS_SIZE, np.arange(len(y))
-    found = _exp(p[2], p[3], s)
+    top, inner, shift = _with_biases(p)
+    found = _exp(top, held, shift)
     total = found.sum(axis=0)
-    odds = found[kind, at] / total
+    odds = found[kind, at].astype(float) / total  # the product of two may be less than float32 holds
     ds = None
     if grads is not None:
-        found /= total
-        found[kind, at] -= 1
-        grads[2] += s @ found.T
-        grads[3] += found.sum(1)
+        found[kind, at] -= total
+        inverse = 1 / total
+        both = (held * inverse) @ found.T
+        grads[2] += both[:h]
+        grads[3] += both[h]
         ds = p[2] @ found
+        ds *= inverse
     for k, a, b in zip(*_runs(kind), strict=True):
-        sk, rows = s[:, a:b], at[: b - a]
-        found = _exp(p[4][k], p[5][k], sk)
+        sk, mark = held[:, a:b], (own[a:b], at[: b - a])
+        found = _exp(inner[k], sk, shift)
         total = found.sum(axis=0)
-        odds[a:b] *= found[own[a:b], rows] / total
+        odds[a:b] *= found[mark] / total
         if grads is not None:
-            found /= total
-            found[own[a:b], rows] -= 1
-            grads[4][k] += sk @ found.T
-            grads[5][k] += found.sum(1)
-            ds[:, a:b] += p[4][k] @ found
+            found[mark] -= total
+            inverse = 1 / total
+            both = (sk * inverse) @ found.T
+            grads[4][k] += both[:h]
+            grads[5][k] += both[h]
+            back = p[4][k] @ found
+            back *= inverse
+            ds[:, a:b] += back
     back = np.empty_like(order)
     back[order] = at
-    score = np.log(np.maximum(odds, 1e-38))
+    score = np.log(np.maximum(odds, 1e-300))
     return score[back], None if ds is None else ds.take(back, axis=1)
 
 
@@ -154,7 +174,7 @@ def _columns(states: np.ndarray, real: np.ndarray) -> np.ndarray:
 
 def score(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document (an array of symbols), state carried through all of it."""
-    total, lanes = np.zeros(len(docs)), Lanes(docs)
+    total, lanes = np.zeros(len(docs)), Lanes(docs, SCORE_LANES)
     h = np.zeros((HIDDEN, len(lanes.lengths)), np.float32)
     for x, y, o, real in lanes.windows():
         states, h = _recur(p, x, h[:, : x.shape[1]], None)
@@ -172,33 +192,39 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.n
     states, last = _recur(p, x, h, kept)
     grads = [np.zeros((0, 0), np.float32), *(np.zeros_like(a) for a in p[1:])]
     found, ds = _output(p, _columns(states, real), y[real], grads)
-    d_states = np.zeros((HIDDEN, *x.shape), np.float32)
-    d_states[:, real] = ds
+    if real.all():
+        d_states = ds.reshape(HIDDEN, *x.shape)
+    else:
+        d_states = np.zeros((HIDDEN, *x.shape), ds.dtype)
+        d_states[:, real] = ds
     n2, u, dh = 2 * HIDDEN, p[1], np.zeros_like(last)
-    d_table = np.empty((x.shape[0], 3 * HIDDEN, x.shape[1]), np.float32)
+    d_table = np.empty((*x.shape, 3 * HIDDEN), last.dtype)
     for t in range(len(x) - 1, -1, -1):
         h, z, r, c, hc = kept[t]
         dh = dh + d_states[:, t]
         dc = dh * (1 - z) * (1 - c * c)
-        d = d_table[t]
+        d = np.empty((3 * HIDDEN, x.shape[1]), last.dtype)
         d[:HIDDEN] = dh * (h - c) * z * (1 - z)
         d[HIDDEN:n2] = dc * hc * r * (1 - r)
         d[n2:] = dc
-        du = d.copy()
-        du[n2:] *= r
-        grads[1] += h @ du.T
-        dh = (dh * z + u @ du) * (x[t] != START)
-    flat = x[real] % len(p[0])  # START is the last row
-    order = np.argsort(flat, kind="stable")
-    rows, first = np.unique(flat[order], return_index=True)
-    by_token = np.ascontiguousarray(d_table.transpose(0, 2, 1))[real][order]
+        d_table[t] = d.T
+        d[n2:] *= r
+        grads[1] += h @ d.T
+        dh = (dh * z + u @ d) * (x[t] != START)
+    at = np.flatnonzero(real)
+    flat = x.ravel()[at]
+    flat = np.where(flat == START, len(p[0]) - 1, flat)
+    order = np.argsort(flat.astype(np.int16 if len(p[0]) < 1 << 15 else np.int64), kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else flat
+    by_token = d_table.reshape(-1, 3 * HIDDEN).take(at[order], axis=0)
     grads[0] = np.add.reduceat(by_token, first, axis=0) if len(order) else np.zeros((0, 3 * HIDDEN), np.float32)
-    return grads, rows, last, -float(found.sum())
+    return grads, flat[first], last, -float(found.sum())
 
 
 def train(p: Params, seen: Params, docs: list[np.ndarray], rate: float = RATE) -> None:
     """One pass over the documents in place: Adagrad, a step a window. ``seen`` holds the sums of squares."""
-    lanes = Lanes(docs)
+    lanes = Lanes(docs, LANES)
     h = np.zeros((HIDDEN, len(lanes.lengths)), np.float32)
     for x, y, _, real in lanes.windows():
         grads, rows, h, _ = gradients(p, x, y, real, h[:, : x.shape[1]])

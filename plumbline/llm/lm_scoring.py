@@ -6,6 +6,8 @@ by its count. Every document but the held-out ones is counted and trained on.
 
 Counting: tasks count words in bounded tables, Spark sums them. The most frequent words, at most KNOWN_WORDS however
 large the corpus, go to the workers; what a document has beyond them is joined to the table of counts by word.
+Symbols: with the words known, each text is read once more and written as symbols of two bytes, with its base score and
+its rare words; training and scoring read those.
 Training: rounds of local passes, each partition starting from the same parameters, which are then averaged in two
 steps (groups of partitions on the executors, then the groups). The driver sees one set of parameters a group.
 """
@@ -14,9 +16,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ END = b""
 ROUNDS = (1, 3, 12)
 #: A task's table of words is passed on when it has so many.
 COUNTED = 400_000
+#: Texts whose symbols a worker passes on at a time.
+ROWS_AT_ONCE = 256
 #: Tokens that a worker trains on or scores at a time.
 CHUNK_TOKENS = 1 << 21
 
@@ -54,11 +58,6 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-class _Symbols(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 1 + ending(word)
-
-
 @dataclass
 class Lexicon:
     """What workers know of the counts: total tokens and types, and the most frequent words by falling count."""
@@ -70,10 +69,9 @@ class Lexicon:
     tail_tokens: np.ndarray
     tail_types: np.ndarray
     index: dict[bytes, int] = field(default_factory=dict, repr=False)
-    symbol_of: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": {}, "symbol_of": {}}
+        return self.__dict__ | {"index": {}}
 
     def ready(self) -> Lexicon:
         if not self.index:
@@ -108,13 +106,18 @@ class Lexicon:
         rare = [words[i] for i in np.flatnonzero(at < 0).tolist()]
         return at, rare, np.array([ending(w) for w in rare], np.int64)
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of a text, its end included."""
-        if not self.symbol_of:
-            self.symbol_of = _Symbols(zip(self.words, self.symbols.tolist(), strict=True))
-        out = np.zeros(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.symbol_of.__getitem__, words), np.int32, len(words))
-        return out
+    def read(self, text: str | None) -> tuple[int, int, float, float, list[bytes], bytes]:
+        """What ``encode`` says of a text: n_tokens, _known, _base, _own, _rare, symbols."""
+        found = tokens(text)
+        at, rare, ends = self.look_up(found)
+        symbols = np.zeros(len(found) + 1, "<u2")
+        if len(self.words):
+            symbols[:-1] = self.symbols[at]
+        symbols[:-1][at < 0] = 1 + ends
+        at = np.append(at, self.index.get(END, -1))
+        hit = at[at >= 0]
+        base = float(self.base_logs[hit].sum()) - self.unseen_log * (len(at) - len(hit))
+        return len(at), len(hit), base, float(self.own_logs[hit].sum() + self.rare_logs[ends].sum()), rare, symbols.tobytes()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -160,31 +163,50 @@ def lexicon(counts: DataFrame, known: int | None = None) -> Lexicon:
     return Lexicon(total, types, [w for w, _ in rows], np.array([c for _, c in rows], float), tails[:, 0], tails[:, 1])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], read: Callable[[list[bytes]], tuple]) -> Iterator[list[tuple]]:
-    """Rows in chunks of about CHUNK_TOKENS: what ``read`` makes of the text's tokens, then the other columns.
+def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """(_id, _fold, _part, n_tokens, _known, _base, _own, _rare, symbols) of docs (text, _id, _fold, _part).
 
-    Words are let go text by text; a chunk holds numbers only.
+    symbols are the text's, its end included, as little-endian uint16. _known tokens are among the lexicon's words and
+    _base is their base score and the constant part of the others'; _own is what the drawing of words within classes
+    adds to the model's score, but for the counts of the rare words, which are listed.
     """
-    held, n = [], 0
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # KNOWN_WORDS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.ready()
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                columns = zip(*(known.read(x.as_py()) for x in part.column(0)), strict=True)
+                made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
+
+    names = ["_id", "_fold", "_part", "n_tokens", "_known", "_base", "_own", "_rare", "symbols"]
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names[:3])
+    return docs.select("text", *names[:3]).mapInArrow(run, f"{kept}, n_tokens long, _known long, _base double, _own double, _rare array<binary>, symbols binary")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
+    """(symbols of each row, the other columns) in chunks of CHUNK_TOKENS or a batch more; symbols come last."""
+    held, docs, n = [], [], 0
     for b in batches:
-        for row in zip(*(b.column(k) for k in range(b.num_columns)), strict=True):
-            words = tokens(row[0].as_py())
-            held.append((*read(words), *(x.as_py() for x in row[1:])))
-            n += len(words) + 1
-            if n >= CHUNK_TOKENS:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
+        own = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in b.column(b.num_columns - 1)]
+        held.append(b.select(range(b.num_columns - 1)))
+        docs += own
+        n += sum(map(len, own))
+        if n >= CHUNK_TOKENS:
+            yield docs, pa.Table.from_batches(held)
+            held, docs, n = [], [], 0
+    if docs:
+        yield docs, pa.Table.from_batches(held)
 
 
 def fit(training: DataFrame, words: Lexicon, rounds: tuple[int, ...] = ROUNDS) -> gru.Params:
-    """Parameters learned from all rows of ``training`` (_part in 0..15, text)."""
+    """Parameters learned from all rows of ``training`` (_part in 0..15, symbols)."""
     spark = training.sparkSession
     p = gru.fresh(SYMBOLS)
     gru.set_biases(p, words.ready().symbol_counts())
     seen = [np.full_like(a, 1e-6) for a in p]
-    shared = spark.sparkContext.broadcast(words)
     low = 0
     for share in rounds:
         start = spark.sparkContext.broadcast((gru.packed(p), gru.packed(seen)))
@@ -192,10 +214,9 @@ def fit(training: DataFrame, words: Lexicon, rounds: tuple[int, ...] = ROUNDS) -
         def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            like, known, n = gru.fresh(SYMBOLS), shared.value.ready(), 0
+            like, n = gru.fresh(SYMBOLS), 0
             own, sums = (gru.unpacked(x, like) for x in start.value)
-            for chunk in _chunks(batches, lambda words: (known.encode(words),)):
-                docs = [d for (d,) in chunk]
+            for docs, _ in _chunks(batches):
                 gru.train(own, sums, docs)
                 n += sum(map(len, docs))
             if n:
@@ -208,7 +229,7 @@ def fit(training: DataFrame, words: Lexicon, rounds: tuple[int, ...] = ROUNDS) -
             total = sum(np.frombuffer(r[2].as_py(), "<f4").astype(float) * (r[1] / n) for r in rows)
             return pa.table({"part": [rows[0][0]], "n": [n], "p": [total.astype("<f4").tobytes()]})
 
-        taken = training.where(F.col("_part").between(low, low + share - 1)).select("text")
+        taken = training.where(F.col("_part").between(low, low + share - 1)).select("symbols")
         low += share
         groups = max(1, round(taken.rdd.getNumPartitions() ** 0.5)) if share else 1
         kind = "part long, n long, p binary"
@@ -225,54 +246,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Null and empty texts are the end alone. Repeated rows count, train and are scored each for itself; a null id
-    counts as the empty text in the fold. Without training documents every count is zero. Scores are log10.
+    counts as the empty text in the fold. Without training documents every count is zero. Scores are log10; a factor of
+    the model's below 1e-300 counts as that.
     """
     rest = fold(id_col)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"), rest.alias("_fold"))
-    training = base.where(F.col("_fold") != HELD_OUT)
-    counts = saved(count_words(training.select("text")), "lm-counts")
+    counts = saved(count_words(base.where(F.col("_fold") != HELD_OUT).select("text")), "lm-counts")
     words = lexicon(counts)
     part = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("round")), F.lit(16))
-    p = fit(training.select("text", part.alias("_part")), words)
-    spark = docs.sparkSession
-    shared, params = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(gru.packed(p))
+    held = saved(encode(base.withColumn("_part", part), words).withColumn("_row", F.monotonically_increasing_id()), "lm-symbols")
+    p = fit(held.where(F.col("_fold") != HELD_OUT).select("symbols", "_part"), words)
+    params = docs.sparkSession.sparkContext.broadcast(gru.packed(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = gru.unpacked(params.value, gru.fresh(SYMBOLS)), shared.value.ready()
-        first = next(batches, None)
-        if first is None:
-            return
-        id_type, end = first.schema.field(1).type, known.index.get(END, -1)
-
-        def read(words: list[bytes]) -> tuple:
-            at, rare, ends = known.look_up(words)
-            symbols = np.zeros(len(words) + 1, np.int32)
-            if len(known.words):
-                symbols[:-1] = known.symbols[at]
-            symbols[:-1][at < 0] = 1 + ends
-            at = np.append(at, end)
-            hit = at[at >= 0]
-            base = float(known.base_logs[hit].sum()) - known.unseen_log * (len(at) - len(hit))
-            return symbols, len(hit), base, float(known.own_logs[hit].sum() + known.rare_logs[ends].sum()), rare
-
-        for chunk in _chunks(chain([first], batches), read):
-            encoded, n_known, bases, owns, rares, ids, folds = zip(*chunk, strict=True)
-            found = gru.score(model, encoded) / np.log(10) + np.array(owns)
-            starts = np.concatenate(([0], np.cumsum([len(r) for r in rares])))
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array([w for r in rares for w in r], pa.binary()))
-            columns = [pa.array(ids, id_type), pa.array(folds, pa.int64()), pa.array([len(e) for e in encoded], pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(found, pa.float64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_fold", "n_tokens", "_known", "_base", "_own", "_rare"])
-
-    schema = f"_id {base.schema['_id'].dataType.simpleString()}, _fold long, n_tokens long, _known long, _base double, _own double, _rare array<binary>"
-    scored = base.select("text", "_id", "_fold").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
-    held = saved(scored, "lm-scores")
+        model = gru.unpacked(params.value, gru.fresh(SYMBOLS))
+        for docs, rows in _chunks(batches):
+            found = gru.score(model, docs) / np.log(10)
+            yield from rows.append_column("_model", pa.array(found)).to_batches()
+
+    names = ["_row", "_id", "_fold", "n_tokens", "_known", "_base", "_own"]
+    schema = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in names)
+    scored = held.select(*names, "symbols").mapInArrow(run, f"{schema}, _model double")
     rare = held.select("_row", F.explode("_rare").alias("_word")).join(counts.select(F.col("word").alias("_word"), "c"), "_word")
     sums = rare.groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("_logs"), F.count("*").alias("_found"))
-    out = held.drop("_rare").join(sums, "_row", "left")
+    out = scored.join(sums, "_row", "left")
     more = F.coalesce("_logs", F.lit(0.0))
     return out.select(
         F.col("_id").alias(id_col), (F.col("_fold") == HELD_OUT).alias("held_out"), "n_tokens", (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
-        F.lit(words.total).cast("long").alias("train_tokens"), (F.col("_base") + more).alias("base_score"), (F.col("_own") + more).alias("score"),
+        F.lit(words.total).cast("long").alias("train_tokens"), (F.col("_base") + more).alias("base_score"), (F.col("_model") + F.col("_own") + more).alias("score"),
     )
 
 

@@ -51,7 +51,7 @@ def test_score_does_not_depend_on_windows_or_lanes(monkeypatch):
     docs = [rng.integers(0, 24, n) for n in (1, 5, 40, 333)]
     want = np.array([gru.score(p, [d])[0] for d in docs])
     for lanes, window in ((1, 16), (2, 7), (4, 1000)):
-        monkeypatch.setattr(gru, "LANES", lanes)
+        monkeypatch.setattr(gru, "SCORE_LANES", lanes)
         monkeypatch.setattr(gru, "WINDOW", window)
         assert np.allclose(gru.score(p, docs), want, atol=1e-3)
     every = [gru.score(p, [np.array([a])])[0] for a in range(24)]
@@ -59,11 +59,11 @@ def test_score_does_not_depend_on_windows_or_lanes(monkeypatch):
 
 
 def test_gradients_by_differences(monkeypatch):
-    for name, value in {"HIDDEN": 4, "WINDOW": 6, "CLASS_SIZE": 4, "LANES": 2}.items():
+    for name, value in {"HIDDEN": 4, "WINDOW": 6, "CLASS_SIZE": 4}.items():
         monkeypatch.setattr(gru, name, value)
     rng = np.random.default_rng(1)
     p = [a.astype(float) + rng.normal(size=a.shape) * 0.4 for a in gru.fresh(12, 1)]
-    x, y, _, real = next(gru.Lanes([rng.integers(0, 12, n) for n in (3, 6, 2, 1)]).windows())
+    x, y, _, real = next(gru.Lanes([rng.integers(0, 12, n) for n in (3, 6, 2, 1)], 2).windows())
     h = np.zeros((4, x.shape[1]))
     grads, rows, _, _ = gru.gradients(p, x, y, real, h)
     whole = np.zeros(p[0].shape)
@@ -80,6 +80,29 @@ def test_gradients_by_differences(monkeypatch):
             assert abs((losses[0] - losses[1]) / 0.02 - grads[k][at]) < 2e-2 * max(1, abs(grads[k][at]))
 
 
+def test_training_lowers_the_loss_of_held_out_texts(monkeypatch):
+    """A pass over texts whose next word depends on the last one, scored on others: well below their frequencies' loss."""
+    rng = np.random.default_rng(3)
+    step = rng.integers(1, 300, 300)
+    docs = [np.array(_walk(rng, step), np.int32) for _ in range(700)]
+    p = gru.fresh(300)
+    counts = np.bincount(np.concatenate(docs[:600]), minlength=300)
+    gru.set_biases(p, counts)
+    n = sum(map(len, docs[600:]))
+    before = -gru.score(p, docs[600:]).sum() / n
+    monkeypatch.setattr(gru, "LANES", 32)
+    seen = [np.full_like(a, 1e-6) for a in p]
+    gru.train(p, seen, docs[:600])
+    assert -gru.score(p, docs[600:]).sum() / n < 0.75 * before
+
+
+def _walk(rng, step):
+    out = [int(rng.integers(1, 300))]
+    for _ in range(80):
+        out.append(int(step[out[-1]]) if rng.random() < 0.8 else int(rng.integers(1, 300)))
+    return out
+
+
 def test_empty_table_and_nothing_to_train_on(spark, small):
     schema = "doc_id long, text string"
     assert lm_scoring.op8_query(spark.createDataFrame([], schema)).collect() == []
@@ -93,4 +116,58 @@ def test_size_of_the_model():
     assert p[1].shape[0] >= 16
     words = [b"w%d" % i for i in range(3000)]
     known = lm_scoring.Lexicon(3000, 3000, words, np.ones(3000), np.zeros(16), np.zeros(16)).ready()
-    assert len({s for s in known.encode(words).tolist() if s > lm_scoring.ENDINGS}) >= 2031  # words with a symbol of their own
+    assert len({s for s in known.symbols.tolist() if s > lm_scoring.ENDINGS}) >= 2031  # words with a symbol of their own
+
+
+def softmax(x):
+    e = [math.exp(v - max(x)) for v in x]
+    return [v / sum(e) for v in e]
+
+
+def brute_score(p, lexicon, counts, words):
+    """A text's log10 probability, one token and one number at a time."""
+    h, total, before = [0.0] * gru.HIDDEN, 0.0, len(p[0]) - 1
+    top = {w: 1 + lm_scoring.ENDINGS + i for i, w in enumerate(lexicon.words[: lm_scoring.SYMBOLS - 1 - lm_scoring.ENDINGS]) if w}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for w in [*words, b""]:
+        x, n = p[0][before], gru.HIDDEN
+        hu = [sum(h[i] * p[1][i][k] for i in range(n)) for k in range(3 * n)]
+        z, r = [sig(x[k] + hu[k]) for k in range(n)], [sig(x[n + k] + hu[n + k]) for k in range(n)]
+        c = [math.tanh(x[2 * n + k] + r[k] * hu[2 * n + k]) for k in range(n)]
+        h = [c[k] + z[k] * (h[k] - c[k]) for k in range(n)]
+        end = zlib.crc32(w[-2:]) % lm_scoring.ENDINGS
+        y = 0 if not w else top.get(w, 1 + end)
+        kind, own = divmod(y, gru.CLASS_SIZE)
+        total += math.log10(softmax([sum(h[i] * p[2][i][k] for i in range(n)) + p[3][k] for k in range(len(p[3]))])[kind])
+        total += math.log10(softmax([sum(h[i] * p[4][kind][i][k] for i in range(n)) + p[5][kind][k] for k in range(gru.CLASS_SIZE)])[own])
+        if 1 <= y <= lm_scoring.ENDINGS:  # within a class of rare words, by count
+            rare = [v for v in counts if v and v not in top and zlib.crc32(v[-2:]) % lm_scoring.ENDINGS == end]
+            total += math.log10((counts.get(w, 0) + 1) / (sum(counts[v] for v in rare) + len(rare) + 1))
+        before = y
+    return total
+
+
+def test_whole_documents_against_brute_force(monkeypatch):
+    """Texts with rare, unknown and common words: base and model score from what workers and the join add up."""
+    monkeypatch.setattr(lm_scoring, "SYMBOLS", 40)
+    monkeypatch.setattr(gru, "CLASS_SIZE", 8)
+    rng = np.random.default_rng(5)
+    p = [a + rng.normal(size=a.shape).astype(np.float32) * 0.3 for a in gru.fresh(40, 2)]
+    rows = corpus(120)[:-1] + [(200, "Da1 never seen \u00fc2 " * 9)]
+    counts = Counter(w for _, t in rows[::2] for w in [*lm_scoring.tokens(t), b""])
+    ordered = sorted(counts.items(), key=lambda r: (-r[1], r[0]))[:60]
+    tails = np.zeros((lm_scoring.ENDINGS, 2))
+    for w, c in counts.items():
+        if w and w not in [v for v, _ in ordered[: 40 - 1 - lm_scoring.ENDINGS]]:
+            tails[lm_scoring.ending(w)] += (c, 1)
+    known = lm_scoring.Lexicon(sum(counts.values()), len(counts), [w for w, _ in ordered], np.array([c for _, c in ordered], float), tails[:, 0], tails[:, 1]).ready()
+    double, unseen = [a.astype(float) for a in p], 0
+    for _, t in rows[:40] + rows[-3:]:
+        n, _, base, own, rare, symbols = known.read(t)
+        more = sum(math.log10(counts[w] + 1) for w in rare)
+        unseen += any(w not in counts for w in rare)
+        words = lm_scoring.tokens(t)
+        got = gru.score(p, [np.frombuffer(symbols, "<u2").astype(np.int32)])[0] / math.log(10) + own + more
+        assert n == len(words) + 1 and abs(got - brute_score(double, known, counts, words)) < 1e-4 * n, t
+        assert abs(base + more - sum(math.log10((counts[w] + 1) / (known.total + known.types + 1)) for w in [*words, b""])) < 1e-6
+    assert unseen
