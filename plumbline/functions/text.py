@@ -148,6 +148,13 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
+#: What is made plain in section text, one after the other.
+MARKUP = [
+    ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), (" - ", "-"), ("−", "-"), ("\u00a0", " "),
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), (" - ", "-"), ("&#8217;", "'"),
+]
+
+
 def flat_markup(text: Column) -> Column:
     """Tags out, quotes and dashes plain, entities read, lower case, single spaces: for matching in section text."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.citations import anchor_local, citations, section_of
+from plumbline.functions.text import flat_markup
 
 FIELD, RECORD = "\u001f", "\u001e"
 
@@ -63,12 +64,14 @@ def recheck(items: DataFrame, report: DataFrame) -> DataFrame:
 def verify(items: DataFrame, sections: DataFrame) -> DataFrame:
     """Items (item_id, clause, anchor) against section texts (title, section, text): markers missing, anchor found and local.
 
-    Each section is joined once for all the items that cite it.
+    An anchor is found in the text's plain form: tags out, quotes and dashes plain, entities read. A blank or null
+    anchor is never found. Each section is joined once for all the items that cite it.
     """
     cited = items.select("item_id", "anchor", *[v.alias(k) for k, v in section_of(F.col("clause")).items()])
     rows = cited.join(sections.select("title", "section", F.col("text").alias("_t")), ["title", "section"], "left")
-    flat = F.regexp_replace(F.regexp_replace(F.coalesce("_t", F.lit("")), "<[^>]+>", " "), r"\s+", " ")
-    has = F.contains(F.lower(flat), F.lower(F.trim(F.regexp_replace("anchor", r"\s+", " "))))
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce("_t", F.lit("")), "<[^>]+>", " "), r"(?U)\s+", " ")  # markers keep their case
+    needle = flat_markup(F.col("anchor"))
+    has = (F.trim(F.coalesce("anchor", F.lit(""))) != "") & F.contains(flat_markup(F.col("_t")), needle)
     there = F.array_distinct(F.regexp_extract_all(flat, F.lit(r"(\((?:[a-z]{1,2}|[0-9]{1,2}|[ivxlc]{1,5}|[A-Z]{1,2})\))"), F.lit(1)))
     missing = F.array_except("path", there)
     out = rows.select("item_id", F.coalesce(has, F.lit(False)).alias("anchor_present"), missing.alias("markers_missing"), anchor_local(F.col("_t"), F.col("anchor"), F.col("markers")).alias("anchor_local"))

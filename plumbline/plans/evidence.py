@@ -33,16 +33,17 @@ def _dig(s, d):
 
 def _prompts(s, d):
     asked = table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("_q"))
-    docs = table(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("_e"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("_e"))
     p = E.prompt(F.col("_q"), F.col("_e"))
     return asked.join(docs, "conv_id", "left").select("conv_id", "turn", E.short_hash(p).alias("prompt_hash"), F.length(p).cast("long").alias("n_chars"))
 
 
 def _baseline(s, d):
     i = F.col("doc_id")
-    docs = table(s, d, "documents").where("lang IS NOT NULL")
-    fresh = docs.select(i.alias("item_id"), "text", F.col("lang").alias("outcome")).where("item_id % 10 <> 1")
-    stored = docs.where("doc_id % 10 <> 2").select(i.alias("item_id"), (i % 50 == 0).alias("is_mock"), F.when(i % 9 == 0, "old").otherwise(F.lit("d")).alias("digest"), F.when(i % 8 == 0, "x").otherwise(F.col("text")).alias("text"), F.when(i % 12 == 0, "xx").otherwise(F.col("lang")).alias("outcome"))
+    docs = table(s, d, "documents").withColumn("lang", F.coalesce("lang", F.lit("none")))
+    moved = lambda k: F.when(i % 10 == k, -k - 10 * i).otherwise(i).alias("item_id")  # noqa: E731  ids that the other side lacks
+    fresh = docs.select(moved(1), "text", F.col("lang").alias("outcome"))
+    stored = docs.select(moved(2), (i % 50 == 0).alias("is_mock"), F.when(i % 9 == 0, "old").otherwise(F.lit("d")).alias("digest"), F.when(i % 8 == 0, "x").otherwise(F.col("text")).alias("text"), F.when(i % 12 == 0, "xx").otherwise(F.col("lang")).alias("outcome"))
     return E.baseline_problems(stored, fresh, "d")
 
 
@@ -103,10 +104,10 @@ SELECT filter, count(*) AS n FROM f WHERE filter IS NOT NULL GROUP BY ALL""",
     "json_count": "SELECT conv_id, count(*) FILTER (role = 'user') AS n_user, count(*) AS n_unnamed FROM conversations GROUP BY ALL",
     "json_path": """SELECT event_type, sum(regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT)::BIGINT AS total, 0::BIGINT AS n_deep FROM events GROUP BY ALL""",
     "prompt_build": r"""WITH p AS (SELECT conv_id, turn, CASE WHEN d.text IS NULL THEN c.text ELSE 'Excerpt:' || chr(10) || d.text || chr(10) || chr(10) || 'Question:' || chr(10) || c.text END AS p
-FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id AND d.doc_id % 2 = 0 WHERE role = 'user') SELECT conv_id, turn, left(sha256(p), 16) AS prompt_hash, length(p)::BIGINT AS n_chars FROM p""",
-    "baseline_checks": """WITH d AS (SELECT doc_id AS i, doc_id % 10 <> 2 AS s, doc_id % 10 <> 1 AS f FROM documents WHERE lang IS NOT NULL)
-SELECT 'mock' AS problem, count(*) FILTER (s AND i % 50 = 0) AS n FROM d UNION ALL SELECT 'digest', count(*) FILTER (s AND i % 9 = 0) FROM d UNION ALL SELECT 'missing', count(*) FILTER (f AND NOT s) FROM d UNION ALL SELECT 'unknown', count(*) FILTER (s AND NOT f) FROM d
-UNION ALL SELECT 'excerpt_drift', count(*) FILTER (s AND f AND i % 8 = 0) FROM d UNION ALL SELECT 'score_drift', count(*) FILTER (s AND f AND i % 12 = 0) FROM d UNION ALL SELECT 'duplicate', 0 FROM (SELECT 1)""",
+FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE role = 'user') SELECT conv_id, turn, left(sha256(p), 16) AS prompt_hash, length(p)::BIGINT AS n_chars FROM p""",
+    "baseline_checks": """WITH d AS (SELECT doc_id AS i, doc_id % 10 NOT IN (1, 2) AS met, text FROM documents)
+SELECT 'mock' AS problem, count(*) FILTER (i % 50 = 0) AS n FROM d UNION ALL SELECT 'digest', count(*) FILTER (i % 9 = 0) FROM d UNION ALL SELECT 'missing', count(*) FILTER (NOT met) FROM d UNION ALL SELECT 'unknown', count(*) FILTER (NOT met) FROM d
+UNION ALL SELECT 'excerpt_drift', count(*) FILTER (met AND i % 8 = 0 AND text IS DISTINCT FROM 'x') FROM d UNION ALL SELECT 'score_drift', count(*) FILTER (met AND i % 12 = 0) FROM d UNION ALL SELECT 'duplicate', 0 FROM (SELECT 1)""",
     "mock_responses": f"""WITH u AS (SELECT doc_id, {U.format('branch')} AS u, {U.format('confidence')} AS c FROM documents)
 SELECT doc_id AS item_id, CASE WHEN u < 0.55::DOUBLE THEN 'correct' WHEN u < 0.55::DOUBLE + 0.3::DOUBLE THEN 'adjacent' WHEN u < 0.55::DOUBLE + 0.3::DOUBLE + 0.02::DOUBLE THEN 'abstain' ELSE 'other' END AS branch, round(0.7 + c * (1.0::DOUBLE - 0.7::DOUBLE), 9) AS confidence, true AS is_mock FROM u""",
     "summary_intervals": f"""WITH {SCORES_SQL}, sv AS (SELECT arm, family, 'accuracy' AS metric, correct::INT::DOUBLE AS v FROM scores WHERE item_type = 'factual' UNION ALL SELECT arm, family, 'adjacent', (outcome = 'adjacent_substitution')::INT FROM scores WHERE item_type = 'factual'

@@ -20,7 +20,6 @@ KEYS = [
     (3, [["a", "le"]], [], [], ["an"]),
     (4, [["zzz"], ["for"], ["was", "est"]], [["on"]], [], ["re", "er", "le"]),
 ]
-CLAUSES = [(0, "29 CFR 1910.147(c)(6)(i)"), (1, "See 1910.95(c) and 40 CFR 68.79(a)"), (2, "ASME UG-127 or NFPA 70E"), (3, "API RP 520, ISO 4126-1; 54.15-13(b)"), (4, "129 cfr part 1904.39 (A)(2), api 520"), (5, "29 CFR 1910.147 (c) (6) (i) twice 29 CFR 1910.147(c)(6)(i)"), (6, "no citation"), (7, None)]
 
 
 def _said(s, d):
@@ -67,16 +66,29 @@ def _answers(s, d):
     return rows.select("conv_id", "turn", *[v.alias(k) for k, v in T.answer_parts(F.col("_r")).items()]).withColumn("answer", F.md5("answer"))
 
 
+def _cited(s, d):
+    """Whole texts, each with a clause of its own in its middle, in one of eight forms."""
+    i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    n, half = (F.abs(i) % 90 + 10).cast("string"), F.floor(F.length(t) / 2).cast("int")
+    forms = [
+        [F.lit("29 CFR 1910."), n, F.lit("(c)(6)(i)")], [F.lit("See 1910."), n, F.lit("(c) and 40 CFR 68."), n, F.lit("(a)")], [F.lit("ASME UG-1"), n, F.lit(" or NFPA 70E")], [F.lit("API RP 5"), n, F.lit(", ISO 4126-1; 54."), n, F.lit("-13(b)")],
+        [F.lit("129 cfr part 1904."), n, F.lit(" (A)(2), api 5"), n], [F.lit("29 CFR 1910."), n, F.lit(" (c) (6) (i) twice 29 CFR 1910."), n, F.lit("(c)(6)(i)")], [F.lit("no citation")], [F.lit("29 c.f.r. 1910."), n, F.lit("(d)")],
+    ]
+    clause = F.get(F.array(*[F.concat(*f) for f in forms]), (F.abs(i) % 8).cast("int"))
+    return table(s, d, "documents").select("doc_id", n.alias("_n"), F.concat(F.left(t, half), F.lit(" | "), clause, F.lit(" | "), F.substr(t, half + 1)).alias("said"))
+
+
 def _citations(s, d):
-    rows = s.createDataFrame(CLAUSES, "clause_id long, clause string").select("clause_id", F.explode(C.citations(F.col("clause"))).alias("_r"))
-    return rows.select("clause_id", C.as_text(F.col("_r")).alias("reference"), C.paywalled(F.col("_r.family")).alias("paywalled"))
+    rows = _cited(s, d).select("doc_id", F.explode(C.citations(F.col("said"))).alias("_r"))
+    return rows.select("doc_id", C.as_text(F.col("_r")).alias("reference"), C.paywalled(F.col("_r.family")).alias("paywalled"))
 
 
 def _grades(s, d):
-    found = s.createDataFrame(CLAUSES, "clause_id long, clause string").select("clause_id", C.citations(F.col("clause")).alias("_f"))
-    wanted = found.select(F.col("clause_id").alias("item_id"), F.col("_f").alias("_e"), F.array_union("_f", C.citations(F.lit("NFPA 70E"))).alias("_a")).where("item_id < 3")
-    out = found.crossJoin(F.broadcast(wanted))  # the constants above
-    return out.select("clause_id", "item_id", *[v.alias(k) for k, v in C.grade(F.col("_f"), F.col("_e"), F.col("_a")).items()]).withColumn("unsupported_paywalled", F.concat_ws("|", "unsupported_paywalled"))
+    """Every whole text against an item whose clause is form 0 and whose cross reference is form 1's."""
+    clause, other = F.concat(F.lit("29 CFR 1910."), F.col("_n"), F.lit("(c)(6)(i)")), F.concat(F.lit("40 CFR 68."), F.col("_n"), F.lit("(a)"))
+    rows = _cited(s, d).select("doc_id", C.citations(F.col("said")).alias("_f"), C.citations(clause).alias("_e"), C.citations(other).alias("_x"))
+    graded = C.grade(F.col("_f"), F.col("_e"), F.array_union("_e", "_x"))
+    return rows.select("doc_id", *[v.alias(k) for k, v in graded.items()]).withColumn("unsupported_paywalled", F.concat_ws("|", "unsupported_paywalled"))
 
 
 def _scored(s, d):
@@ -101,7 +113,7 @@ def _corpus(s, d):
     i, t = F.col("doc_id"), F.lit(None).cast("string")
     groups = F.when(i % 11 == 3, F.array().cast("array<array<string>>")).when(i % 11 == 4, F.array(F.array().cast("array<string>"))).otherwise(F.array(F.array(F.col("lang"))))
     return table(s, d, "documents").select(
-        F.when(i % 50 == 9, F.lit("dup")).otherwise(i.cast("string")).alias("id"), F.substring("text", 1, 40).alias("question"), F.when(i % 13 == 0, F.lit(" ")).otherwise(F.col("lang")).alias("correct_answer"), F.col("source").alias("family"),
+        F.when(i % 50 == 9, F.lit("dup")).otherwise(i.cast("string")).alias("id"), F.col("text").alias("question"), F.when(i % 13 == 0, F.lit(" ")).otherwise(F.col("lang")).alias("correct_answer"), F.col("source").alias("family"),
         F.when(i % 17 == 0, "other").when(i % 3 == 0, "category_error").otherwise("factual").alias("item_type"), (i % 6 != 0).alias("abstention_acceptable"),
         F.struct(groups.alias("required_concepts")).alias("answer_key"), F.struct(F.when(i % 19 == 0, "").otherwise(F.col("source")).alias("anchor_text"), F.when(i % 23 == 0, "none").otherwise(F.lit("29 CFR 1910.147(c)")).alias("clause")).alias("source"),
         F.struct(F.when(i % 29 == 0, "unverified").otherwise(F.lit("verified")).alias("status")).alias("verification"),
@@ -115,17 +127,21 @@ def _clauses(df):
 
 def _recheck(s, d):
     items = _clauses(table(s, d, "documents"))
-    stored = items.where("item_id % 7 <> 0").select("item_id", F.when(F.col("item_id") % 5 == 0, "old").otherwise(F.col("clause")).alias("clause"), (F.col("item_id") % 11 != 0).alias("ok"))
+    moved = F.when(F.col("item_id") % 7 == 0, -1 - F.col("item_id")).otherwise(F.col("item_id"))  # reported under another id
+    stored = items.select(moved.alias("item_id"), F.when(F.col("item_id") % 5 == 0, "old").otherwise(F.col("clause")).alias("clause"), (F.col("item_id") % 11 != 0).alias("ok"))
     return O.recheck(items, stored)
 
 
 def _verify(s, d):
-    i = F.col("doc_id")
-    docs = table(s, d, "documents")
-    marked = F.concat(F.lit("<p>(a) "), F.substring("text", 1, 60), F.lit("</p> (b) (1) "), F.substring("text", 61, 60), F.lit(" (2) end"))
+    """Each whole text as a section with markers at its start, middle and end; anchors are words of its second half."""
+    i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    docs = table(s, d, "documents").withColumn("_half", F.floor(F.length(t) / 2).cast("int"))
+    head, tail = F.left(t, F.col("_half")), F.substr(t, F.col("_half") + 1)
+    marked = F.concat(F.lit("<p>(a) "), head, F.lit("</p> (b) (1) ‘it’s’ &amp; – "), tail, F.lit(" (2) end"))
     sections = docs.select(F.lit("29").alias("title"), F.concat(F.lit("1910."), i.cast("string")).alias("section"), marked.alias("text"))
     clause = F.concat(F.lit("29 CFR 1910."), i.cast("string"), F.when(i % 3 == 0, "(a)").when(i % 3 == 1, "(b)(1)").otherwise("(c) and (1)"))
-    anchor = F.trim(F.when(i % 4 == 0, "absent words").otherwise(F.regexp_extract(F.substring("text", 61, 60), r"([a-zA-Z]{4,})", 1)))
+    word = F.regexp_extract(tail, r"([a-zA-Z]{4,})", 1)
+    anchor = F.when(i % 4 == 0, "absent words").when(i % 4 == 1, F.lit("'it's'  & -")).otherwise(word)  # typed with plain marks
     out = O.verify(docs.select(i.alias("item_id"), clause.alias("clause"), anchor.alias("anchor")), sections)
     return out.withColumn("markers_missing", F.concat_ws("", "markers_missing"))
 
@@ -209,6 +225,9 @@ SPACE = f"""WITH it(item_id) AS (VALUES (0), (1), (2), (3), (4)), fo AS (SELECT
 no AS (SELECT excerpt_id, form, {_norm('x')} AS t FROM fo), scn AS (SELECT item_id, excerpt_id, form, t, NULL AS error, form || excerpt_id AS rid FROM no CROSS JOIN it), {EVIDENCE}"""
 DOCS = "it AS (SELECT doc_id AS item_id, '29 CFR 19' || (doc_id % 90 + 10) || '.' || n_chars AS clause, * FROM documents)"
 
+#: Forms by id, as the query mixes them into the texts, which cite nothing themselves.
+CITED = "WITH c AS (SELECT doc_id, abs(doc_id) % 8 AS k, (abs(doc_id) % 90 + 10)::VARCHAR AS n FROM documents)"
+
 ORACLES = {
     "normalize_text": f"WITH n AS (SELECT doc_id, {_norm('text')} AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS digest FROM n",
     "contains_phrase": f"WITH {SAID}, p AS (SELECT unnest({_list(PHRASES)}) AS phrase) SELECT conv_id, turn, phrase, {HAS.format(t='t', p='phrase')} AS found FROM said, p",
@@ -227,7 +246,7 @@ SELECT conv_id, turn, md5(a) AS answer, CASE WHEN conv_id % 4 <> 0 AND turn % 3
     "answer_space_ceiling": f"{SPACE}, b AS (SELECT form, item_id, bool_or(outcome = 'correct') AS ok FROM oc GROUP BY ALL) SELECT form, count(*) AS n_items, count(*) FILTER (ok) AS n_attainable FROM b GROUP BY ALL",
     "max_coverage_ties": f"{SPACE}, m AS (SELECT *, max(coverage) OVER (PARTITION BY item_id, form) AS best FROM oc) SELECT item_id, form, round(coverage, 6) AS coverage, string_agg(excerpt_id::VARCHAR, ',' ORDER BY excerpt_id) AS excerpts FROM m WHERE coverage = best GROUP BY ALL",
     "failure_decomposition": f"{SPACE}, w AS (SELECT * FROM oc WHERE form = 'wrapped') SELECT item_id, CASE WHEN bool_or(outcome = 'correct') FILTER (excerpt_id = item_id * 3 + 1) THEN 'passes' WHEN bool_or(outcome = 'correct') THEN 'recoverable_by_reranking' ELSE 'no_excerpt_passes' END AS failure FROM w GROUP BY ALL",
-    "validation_violations": """WITH c AS (SELECT doc_id AS i, CASE WHEN doc_id % 50 = 9 THEN 'dup' ELSE doc_id::VARCHAR END AS id, left(text, 40) AS q, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE lang END AS a, source AS f,
+    "validation_violations": """WITH c AS (SELECT doc_id AS i, CASE WHEN doc_id % 50 = 9 THEN 'dup' ELSE doc_id::VARCHAR END AS id, text AS q, CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE lang END AS a, source AS f,
   CASE WHEN doc_id % 17 = 0 THEN 'other' WHEN doc_id % 3 = 0 THEN 'category_error' ELSE 'factual' END AS ty, doc_id % 6 <> 0 AS ok, CASE WHEN doc_id % 31 <> 0 THEN 'p' || (doc_id // 2) END AS pr,
   CASE WHEN doc_id % 37 = 0 THEN 'c' WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS ro, CASE WHEN doc_id % 23 = 0 THEN 'none' ELSE '29 CFR 1910.147(c)' END AS cl FROM documents),
 g AS (SELECT pr, string_agg(ro, ',' ORDER BY ro) AS r FROM c WHERE pr IS NOT NULL GROUP BY ALL)
@@ -237,19 +256,25 @@ UNION ALL SELECT 'blank_anchor', id, 'anchor_text' FROM c WHERE i % 19 = 0 UNION
 UNION ALL SELECT 'category_error_must_allow_abstention', id, 'abstention_acceptable' FROM c WHERE ty = 'category_error' AND NOT ok UNION ALL SELECT 'half_pair', id, pr FROM c WHERE pr IS NULL
 UNION ALL SELECT 'pair_role', id, ro FROM c WHERE ro = 'c' UNION ALL SELECT 'unparsed_clause', id, cl FROM c WHERE cl = 'none' UNION ALL SELECT 'duplicate_id', id, count(*)::VARCHAR FROM c GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'pair_roles', NULL, pr || ':' || r FROM g WHERE r <> 'a,b'""",
-    "verify_sources": r"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, doc_id % 4 AS m, regexp_replace('  (a) ' || left(text, 60) || '  (b) (1) ' || substr(text, 61, 60) || ' (2) end', '\s+', ' ', 'g') AS t, regexp_extract(substr(text, 61, 60), '([a-zA-Z]{4,})', 1) AS w FROM documents),
-a AS (SELECT *, CASE WHEN m = 0 THEN 'absent words' ELSE w END AS an, CASE k WHEN 0 THEN ['(a)'] WHEN 1 THEN ['(b)', '(1)'] ELSE ['(c)', '(1)'] END AS mk FROM d),
-b AS (SELECT *, strpos(lower(trim(t, ' ')), lower(an)) AS pos, contains(lower(t), lower(an)) AS has FROM a),
-l AS (SELECT *, regexp_extract_all(left(trim(t, ' '), greatest(pos - 1, 0)::BIGINT), '\((?:[a-z]{1,2}|[0-9]{1,2}|[ivxlc]{1,5}|[A-Z]{1,2})\)') AS pre FROM b)
-SELECT doc_id AS item_id, has AS anchor_present, CASE WHEN k = 2 AND NOT contains(t, '(c)') THEN '(c)' ELSE '' END AS markers_missing,
-  CASE WHEN an <> '' AND pos > 0 THEN list_has_any(list_slice(pre, greatest(len(pre) - 5, 1), len(pre)), mk) END AS anchor_local, has AND NOT (k = 2 AND NOT contains(t, '(c)')) AS ok FROM l""",
+    "verify_sources": r"""WITH h AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) // 2 AS half FROM documents),
+d AS (SELECT doc_id, doc_id % 3 AS k, doc_id % 4 AS m, regexp_extract(substr(x, half + 1), '([a-zA-Z]{4,})', 1) AS w, '<p>(a) ' || left(x, half) || '</p> (b) (1) ‘it’s’ &amp; – ' || substr(x, half + 1) || ' (2) end' AS raw FROM h),
+a AS (SELECT *, CASE m WHEN 0 THEN 'absent words' WHEN 1 THEN '''it''s''  & -' ELSE w END AS an, CASE k WHEN 0 THEN ['(a)'] WHEN 1 THEN ['(b)', '(1)'] ELSE ['(c)', '(1)'] END AS mk, regexp_replace(raw, '<[^>]+>', ' ', 'g') AS bare FROM d),
+n AS (SELECT *, lower(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(bare, '‘', ''''), '’', ''''), '“', '"'), '”', '"'), '–', '-'), ' - ', '-'), '−', '-'), chr(160), ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), ' - ', '-'), '&#8217;', ''''), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ')) AS flat,
+  lower(trim(regexp_replace(replace(an, ' - ', '-'), '\s+', ' ', 'g'), ' ')) AS needle, trim(regexp_replace(bare, '\s+', ' ', 'g'), ' ') AS plain FROM a),
+b AS (SELECT *, strpos(lower(plain), needle) AS pos, an <> '' AND contains(flat, needle) AS has FROM n),
+l AS (SELECT *, regexp_extract_all(left(plain, greatest(pos - 1, 0)::BIGINT), '\((?:[a-z]{1,2}|[0-9]{1,2}|[ivxlc]{1,5}|[A-Z]{1,2})\)') AS pre FROM b)
+SELECT doc_id AS item_id, has AS anchor_present, CASE WHEN k = 2 AND NOT contains(plain, '(c)') THEN '(c)' ELSE '' END AS markers_missing,
+  CASE WHEN an <> '' AND pos > 0 THEN list_has_any(list_slice(pre, greatest(len(pre) - 5, 1), len(pre)), mk) END AS anchor_local, has AND NOT (k = 2 AND NOT contains(plain, '(c)')) AS ok FROM l""",
     "corpus_digest": """WITH h AS (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS p, count(*) AS n FROM documents GROUP BY ALL),
 a AS (SELECT left(p, 5) AS p, sum(n)::BIGINT AS n, sha256(string_agg(p || ':' || n, chr(30) ORDER BY p)) AS d FROM h GROUP BY left(p, 5)),
 b AS (SELECT left(p, 3) AS p, sum(n)::BIGINT AS n, sha256(string_agg(d, chr(30) ORDER BY p)) AS d FROM a GROUP BY left(p, 3))
 SELECT sum(n)::BIGINT AS n_items, sha256(string_agg(d, chr(30) ORDER BY p)) AS digest FROM b""",
-    "offline_recheck": f"WITH {DOCS}, st AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'old' ELSE clause END AS c, item_id % 11 <> 0 AS ok FROM it WHERE item_id % 7 <> 0), j AS (SELECT item_id, CASE WHEN c IS NULL THEN 'not_in_report' WHEN c <> clause THEN 'clause_differs' WHEN NOT ok THEN 'failed' END AS problem FROM it LEFT JOIN st USING (item_id)) SELECT * FROM j WHERE problem IS NOT NULL",
+    "offline_recheck": f"WITH {DOCS}, st AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'old' ELSE clause END AS c, item_id % 11 <> 0 AS ok FROM it), sm AS (SELECT * REPLACE (CASE WHEN item_id % 7 = 0 THEN -1 - item_id ELSE item_id END AS item_id) FROM st), j AS (SELECT item_id, CASE WHEN c IS NULL THEN 'not_in_report' WHEN c <> clause THEN 'clause_differs' WHEN NOT ok THEN 'failed' END AS problem FROM it LEFT JOIN sm USING (item_id)) SELECT * FROM j WHERE problem IS NOT NULL",
     "corpus_stats": rf"WITH {DOCS} SELECT lang AS domain, count(*) AS n_items, count(*) FILTER (item_id % 2 = 0) AS n_pairs, round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_question_words, count(DISTINCT regexp_extract(clause, '(\d+)\.', 1)) AS n_parts FROM it GROUP BY ALL",
     "unsourced_numbers": r"WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\d+(?:,\d{3})*(?:\.\d+)?')) AS number FROM documents), s AS (SELECT DISTINCT unnest(regexp_extract_all(html, '\d+(?:,\d{3})*(?:\.\d+)?')) AS number FROM pages) SELECT doc_id, number FROM n ANTI JOIN s USING (number)",
-    "parse_citations": """SELECT clause_id::BIGINT AS clause_id, reference, paywalled FROM (VALUES (0, '29 CFR 1910.147(c)(6)(i)', false), (1, '40 CFR 68.79(a)', false), (1, '29 CFR 1910.95(c)', false), (2, 'ASME UG 127', true), (2, 'NFPA 70e', true),
- (3, '46 CFR 54.15-13(b)', false), (3, 'API 520', true), (3, 'ISO 4126-1', true), (4, '29 CFR 1904.39(a)(2)', false), (4, 'API 520', true), (5, '29 CFR 1910.147(c)(6)(i)', false)) AS v(clause_id, reference, paywalled)""",
+    "parse_citations": f"""{CITED}, r AS (SELECT doc_id, unnest(CASE k WHEN 0 THEN ['29 CFR 1910.' || n || '(c)(6)(i)'] WHEN 1 THEN ['40 CFR 68.' || n || '(a)', '29 CFR 1910.' || n || '(c)'] WHEN 2 THEN ['ASME UG 1' || n, 'NFPA 70e']
+  WHEN 3 THEN ['46 CFR 54.' || n || '-13(b)', 'API 5' || n, 'ISO 4126-1'] WHEN 4 THEN ['29 CFR 1904.' || n || '(a)(2)', 'API 5' || n] WHEN 5 THEN ['29 CFR 1910.' || n || '(c)(6)(i)'] WHEN 6 THEN [] ELSE ['29 CFR 1910.' || n || '(d)'] END) AS reference FROM c)
+SELECT doc_id, reference, NOT contains(reference, 'CFR') AS paywalled FROM r""",
+    "grade_citations": f"""{CITED} SELECT doc_id, CASE WHEN k IN (0, 5) THEN 'correct_clause' WHEN k IN (1, 7) THEN 'correct_section' WHEN k = 6 THEN 'none' ELSE 'wrong' END AS citation_grade, k = 1 AS cited_cross_reference,
+  CASE k WHEN 2 THEN 'ASME UG 1' || n || '|NFPA 70e' WHEN 3 THEN 'API 5' || n || '|ISO 4126-1' WHEN 4 THEN 'API 5' || n ELSE '' END AS unsupported_paywalled FROM c""",
 }
