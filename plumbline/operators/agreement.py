@@ -23,6 +23,12 @@ def cohen(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return both.select(*by, "n", po.alias("agreement"), pe.alias("expected"), F.when(pe < 1, F.try_divide(po - pe, 1 - pe)).alias("kappa"))
 
 
+def disagreements(human: DataFrame, automatic: DataFrame, on: str = "rating_id") -> DataFrame:
+    """(on, human, automatic) of the ratings that both sides (on, label) have and that differ; the human's is the primary one."""
+    both = human.select(on, F.col("label").alias("human")).join(automatic.select(on, F.col("label").alias("automatic")), on)
+    return both.where("human <> automatic")
+
+
 def fleiss(df: DataFrame, item: str = "item_id", label: str = "correct") -> DataFrame:
     """(n_items, n_raters, mean_agreement, expected, kappa) over items rated by all raters; null where expected is 1."""
     cells = df.groupBy(item, label).agg(F.count("*").alias("_c"))

@@ -115,6 +115,17 @@ def prints_as(value: Column, printed: Column, decimals: Column, scale: float = 1
     return F.abs(printed - F.round(value * scale * F.pow(F.lit(10.0), decimals)) / F.pow(F.lit(10.0), decimals)) < 1e-9
 
 
+def documents(items: DataFrame) -> DataFrame:
+    """(doc_id, text): what a retriever indexes of items (id, source), which is the source's names and its excerpt only."""
+    parts = [F.coalesce(f"source.{c}", F.lit("")) for c in ("standard", "clause", "section_title", "anchor_text")]
+    return items.select(F.col("id").alias("doc_id"), F.concat_ws(" ", *parts).alias("text"))
+
+
+def export(items: DataFrame) -> DataFrame:
+    """(id, json): each item's record as JSON for other tools, nulls left out."""
+    return items.select("id", F.to_json(F.struct(*items.columns)).alias("json"))
+
+
 def answered_from(standard: Column, clause: Column, title: Column, anchor: Column, wrapped: bool = True) -> Column:
     """A retriever's response that quotes an excerpt: with its citation around it, or bare."""
     return F.format_string("%s (%s, %s) states: %s See %s.", standard, clause, title, anchor, clause) if wrapped else anchor

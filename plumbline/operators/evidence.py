@@ -65,6 +65,15 @@ def baseline_problems(stored: DataFrame, fresh: DataFrame, digest: str) -> DataF
     return counted.select(F.explode(F.create_map(*[x for c in counted.columns for x in (F.lit(c), F.col(c))])).alias("problem", "n"))
 
 
+def require_baseline(stored: DataFrame, fresh: DataFrame, digest: str, config: dict[str, str] | None = None, stored_config: dict[str, str] | None = None) -> DataFrame:
+    """``stored`` if nothing is wrong with it; a broken rule of ``baseline_problems`` or another scoring config raises."""
+    if config != stored_config:
+        raise ValueError("the stored run was scored under other settings")
+    if found := baseline_problems(stored, fresh, digest).where("n > 0").collect():  # one row a rule
+        raise ValueError("; ".join(f"{r.problem}: {r.n}" for r in found))
+    return stored
+
+
 @dataclass(frozen=True)
 class Profile:
     """Chances of a mock system's branches; what is left is another answer."""

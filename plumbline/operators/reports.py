@@ -42,11 +42,16 @@ def corpus_summary(scores: DataFrame) -> DataFrame:
     )
 
 
+def policy_weights(policy: str) -> dict[str, float]:
+    """The weights of a policy by outcome; a name that has none raises."""
+    if policy not in POLICIES:
+        raise ValueError(f"no policy is called {policy!r}, only {sorted(POLICIES)}")
+    return POLICIES[policy]
+
+
 def utility(policy: str = "safety") -> Column:
     """Utility of a row by outcome; an unknown policy raises."""
-    if policy not in POLICIES:
-        raise ValueError(f"unknown scoring policy {policy!r}; available: {', '.join(sorted(POLICIES))}")
-    weights = POLICIES[policy]
+    weights = policy_weights(policy)
     out = F.when((F.col("outcome") == "abstained") & F.col("abstention_acceptable"), weights["abstained_acceptable"])
     for outcome, w in weights.items():
         out = out.when(F.col("outcome") == outcome, w)

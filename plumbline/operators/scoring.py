@@ -6,12 +6,33 @@ once, when keys are loaded, and the dear asserted check runs on boundary hits on
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import citations as C
 from plumbline.functions import text as T
+from plumbline.operators import reports
+
+
+@dataclass(frozen=True)
+class Config:
+    """Thresholds of the outcome and the policy that weighs it; the defaults are fixed values."""
+
+    coverage: float = 0.75
+    full_numeric: bool = True
+    few_terms: int = 2
+    low_coverage: float = 0.5
+    policy: str = "safety"
 
-COVERAGE, FEW_TERMS, LOW_COVERAGE = 0.75, 2, 0.5
+    def describe(self) -> dict[str, str]:
+        """All settings, the policy's weights among them, as text to store beside scores; an unknown policy raises."""
+        weights = reports.policy_weights(self.policy)
+        return {k: str(v) for k, v in asdict(self).items()} | {f"weight_{k}": str(v) for k, v in weights.items()}
+
+
+DEFAULT = Config()
 
 KEY = "required array<array<string>>, forbidden array<array<string>>, numeric array<struct<value: double, tolerance: double>>, adjacent array<string>"
 
@@ -50,9 +71,11 @@ def _asserted(text: Column, terms: Column) -> Column:
 
 
 def assessed(rows: DataFrame, normal: str = "normal") -> DataFrame:
-    """``rows`` (compiled key, normal text) with coverage, missing groups, forbidden and adjacent hits, numeric coverage.
+    """``rows`` (compiled key, normal text) with coverage, forbidden and adjacent hits, numeric coverage and what is missed.
 
-    coverage is 1 without required groups; numeric_coverage is null without numeric facts.
+    coverage is 1 without required groups; numeric_coverage is null without numeric facts. missing_groups are the
+    places of the unmet groups from 0, missing_numbers the values not found, contrasted the adjacent terms that are
+    only mentioned as what does not hold.
     """
     t = F.col(normal)
     met = F.transform("_required", lambda g: F.exists(g, lambda p: F.rlike(t, p)))
@@ -61,7 +84,9 @@ def assessed(rows: DataFrame, normal: str = "normal") -> DataFrame:
     return rows.withColumns(
         {
             "coverage": F.when(F.size("_met") == 0, 1.0).otherwise(F.size(F.filter("_met", lambda x: x)) / F.size("_met")),
-            "missing_groups": F.size(F.filter("_met", lambda x: ~x)),
+            "missing_groups": F.filter(F.transform("_met", lambda x, k: F.when(~x, k)), lambda k: k.isNotNull()),
+            "missing_numbers": F.transform(F.array_except("numeric", right), lambda n: n["value"]),
+            "contrasted": F.array_sort(F.array_distinct(F.transform(F.filter("_adjacent", lambda a: F.rlike(t, a["m"]) & ~F.rlike(t, a["a"])), lambda a: a["p"]))),
             "numeric_coverage": F.when(F.size("numeric") > 0, F.size(right) / F.size("numeric")),
             "forbidden_asserted": _asserted(t, F.col("_forbidden")),
             "adjacent_hits": _asserted(t, F.col("_adjacent")),
@@ -69,17 +94,18 @@ def assessed(rows: DataFrame, normal: str = "normal") -> DataFrame:
     ).drop("_met", "_numbers")
 
 
-def outcome(normal: str = "normal", error: str = "error") -> Column:
+def outcome(normal: str = "normal", error: str = "error", config: Config = DEFAULT) -> Column:
     """The ordered decision: error, empty, declined, correct, adjacent, other."""
     empty, declined = T.abstention(F.col(normal))
     n = F.size("adjacent_hits")
-    right = (F.col("coverage") >= COVERAGE) & (F.size("forbidden_asserted") == 0) & (F.coalesce("numeric_coverage", F.lit(1.0)) >= 1)
-    adjacent = (n >= FEW_TERMS) | ((n >= 1) & (F.col("coverage") < LOW_COVERAGE))
+    numeric = F.coalesce("numeric_coverage", F.lit(1.0)) >= 1 if config.full_numeric else F.lit(True)
+    right = (F.col("coverage") >= config.coverage) & (F.size("forbidden_asserted") == 0) & numeric
+    adjacent = (n >= config.few_terms) | ((n >= 1) & (F.col("coverage") < config.low_coverage))
     failed = F.coalesce(F.col(error), F.lit("")) != ""
     return F.when(failed | empty, "unscorable").when(declined, "abstained").when(right, "correct").when(adjacent, "adjacent_substitution").otherwise("other_incorrect")
 
 
-def score(items: DataFrame, responses: DataFrame, text: str = "text", cues: list[str] | None = None, on: str = "item_id") -> DataFrame:
+def score(items: DataFrame, responses: DataFrame, text: str = "text", cues: list[str] | None = None, on: str = "item_id", config: Config = DEFAULT) -> DataFrame:
     """Responses (item_id, text, error) with their outcome and evidence; a response of no known item raises.
 
     Items are joined by id, shuffled or broadcast as their size tells Spark. Unscorable rows carry no evidence.
@@ -87,17 +113,41 @@ def score(items: DataFrame, responses: DataFrame, text: str = "text", cues: list
     held = compiled(items, cues).withColumn("_known", F.lit(True))
     rows = T.normalized(responses, text).join(held, on, "left")
     rows = rows.withColumn(on, F.when(F.col("_known"), F.col(on)).otherwise(F.raise_error(F.concat(F.lit("no such item: "), F.col(on).cast("string"))).cast(dict(responses.dtypes)[on])))
-    rows = assessed(rows).withColumn("outcome", outcome())
+    rows = assessed(rows).withColumn("outcome", outcome(config=config))
     lost = F.col("outcome") == "unscorable"
-    none = F.array().cast("array<string>")
+    blank = {c: F.array().cast(rows.schema[c].dataType) for c in ("forbidden_asserted", "adjacent_hits", "contrasted", "missing_groups", "missing_numbers")}
     return rows.withColumns(
-        {
-            "coverage": F.when(lost, 0.0).otherwise(F.col("coverage")), "numeric_coverage": F.when(~lost, F.col("numeric_coverage")),
-            "forbidden_asserted": F.when(lost, none).otherwise(F.col("forbidden_asserted")), "adjacent_hits": F.when(lost, none).otherwise(F.col("adjacent_hits")),
-        }
+        {"coverage": F.when(lost, 0.0).otherwise(F.col("coverage")), "numeric_coverage": F.when(~lost, F.col("numeric_coverage"))} | {c: F.when(lost, none).otherwise(F.col(c)) for c, none in blank.items()}
     ).drop("_known", "_required", "_forbidden", "_adjacent", "normal")
 
 
+def expected(clause: Column) -> Column:
+    """The references that an item's own clause names."""
+    return C.citations(clause)
+
+
+def acceptable(clause: Column, cross_reference: Column) -> Column:
+    """Those, and the references of the clauses that an item's cross references name (array of strings)."""
+    others = F.flatten(F.transform(F.coalesce(cross_reference, F.array().cast("array<string>")), C.citations))
+    return F.concat(expected(clause), others)
+
+
+def score_full(items: DataFrame, responses: DataFrame, cues: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
+    """``score`` as a whole record: abstained, unscorable_reason, the citation's grade and flags, and the utility.
+
+    Items carry clause, cross_reference (array of clauses) and abstention_acceptable beside their key. Citations are
+    read from the text and from the response's list, if it has one. Unscorable rows cite nothing.
+    """
+    listed = F.concat_ws("\n", "citations") if "citations" in responses.columns else F.lit("")
+    rows = score(items, responses.withColumn("_said", F.concat_ws("\n", "text", listed)), cues=cues, config=config)
+    lost, error = F.col("outcome") == "unscorable", F.coalesce("error", F.lit(""))
+    found = F.when(lost, F.filter(C.citations(F.lit("")), lambda x: F.lit(False))).otherwise(C.citations(F.col("_said")))
+    rows = rows.withColumns({"_found": found, "_expected": expected(F.col("clause")), "_acceptable": acceptable(F.col("clause"), F.col("cross_reference"))})
+    rows = rows.withColumns(C.grade(F.col("_found"), F.col("_expected"), F.col("_acceptable")))
+    reason = F.when(lost & (error != ""), F.concat(F.lit("adapter_error: "), error)).when(lost, "empty_response")
+    return rows.withColumns({"abstained": F.col("outcome") == "abstained", "unscorable_reason": reason, "utility": reports.utility(config.policy)}).drop("_said", "_found", "_expected", "_acceptable")
+
+
 def answer_space(questions: DataFrame, excerpts: DataFrame, cues: list[str] | None = None) -> DataFrame:
     """(item_id, form, excerpt_id, outcome, coverage): every question against every excerpt in both forms.
 

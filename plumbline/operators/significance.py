@@ -12,48 +12,62 @@ from pyspark.sql import types as T
 
 SEED = 20260904
 DRAWS = 2000
+#: Standard deviations beyond which a binomial's probabilities are not summed.
+REACH = 12
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! of whole numbers: exact up to 20, then Stirling's series of ln gamma at n + 1, good to 1e-15 there."""
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
 def two_sided_p(df: DataFrame, k: str, n: str, p: float = 0.5) -> DataFrame:
     """``df`` with p_value: exact binomial, the sum of probabilities not above that of k (tolerance 1e-9); 1 for n = 0.
 
-    Log factorials come from a running sum over the counts that occur, so nothing overflows however large n is.
+    Probabilities are read off one by one in logarithms, so nothing overflows. Only counts less than REACH standard
+    deviations beyond k's distance from the mean are summed: what lies farther is less than 1e-30 of k's own.
     """
-    spark = df.sparkSession
     cases = df.select(F.col(k).alias("_k"), F.col(n).alias("_n")).distinct()
-    top = cases.agg(F.max("_n")).first()[0] or 0
-    steps = spark.range(1, top + 1).select(F.col("id").alias("_i"), F.sum(F.log("id")).over(W.orderBy("id")).alias("_f"))
-    facts = spark.createDataFrame([(0, 0.0)], "_i long, _f double").unionByName(steps)
-    fact = lambda key, name: facts.select(F.col("_i").alias(key), F.col("_f").alias(name))
-    each = cases.withColumn("_j", F.explode(F.expr("sequence(0L, _n)")))
-    each = each.join(fact("_n", "_fn"), "_n").join(fact("_j", "_fj"), "_j").withColumn("_r", F.col("_n") - F.col("_j")).join(fact("_r", "_fr"), "_r")
-    log_p = F.col("_fn") - F.col("_fj") - F.col("_fr") + F.col("_j") * math.log(p) + F.col("_r") * math.log(1 - p)
-    each = each.withColumn("_p", F.exp(log_p))
-    own = each.where("_j = _k").select(F.col("_k").alias("_k2"), F.col("_n").alias("_n2"), F.col("_p").alias("_own"))
-    sums = each.join(own, F.expr("_k = _k2 AND _n = _n2")).groupBy("_k", "_n").agg(F.least(F.sum(F.when(F.col("_p") <= F.col("_own") * (1 + 1e-9), F.col("_p"))), F.lit(1.0)).alias("p_value"))
+    mean, sd = F.col("_n") * p, F.sqrt(F.col("_n") * (p * (1 - p)))
+    far = F.abs(F.col("_k") - mean) + REACH * sd + REACH * REACH
+    low, high = F.greatest(F.lit(0), F.floor(mean - far)).cast("long"), F.least(F.col("_n"), F.ceil(mean + far).cast("long"))
+    each = cases.withColumn("_j", F.explode(F.sequence(low, high)))
+    log_p = lambda j: log_factorial(F.col("_n")) - log_factorial(j) - log_factorial(F.col("_n") - j) + j * math.log(p) + (F.col("_n") - j) * math.log(1 - p)
+    each = each.withColumns({"_p": F.exp(log_p(F.col("_j"))), "_own": F.exp(log_p(F.col("_k")))})
+    sums = each.groupBy("_k", "_n").agg(F.least(F.sum(F.when(F.col("_p") <= F.col("_own") * (1 + 1e-9), F.col("_p"))), F.lit(1.0)).alias("p_value"))
     return df.join(sums, (F.col(k) == F.col("_k")) & (F.col(n) == F.col("_n")), "left").drop("_k", "_n")
 
 
-def discordance(scores: DataFrame, repeat: int = 0) -> DataFrame:
+def discordance(scores: DataFrame, repeat: int | None = 0) -> DataFrame:
     """(arm_a, arm_b, both_right, a_only, b_only, neither, n) of factual items that both arms have, for a < b.
 
-    Items meet in one aggregation by item; arms, which are few, are paired within the item's row.
+    Items meet in one aggregation by item; arms, which are few, are paired within the item's row. Without a repeat all
+    repeats are taken, each for itself, and named in a column.
     """
-    one = scores.where((F.col("repeat") == repeat) & (F.col("item_type") == "factual"))
-    rows = one.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("arm", "correct"))).alias("_a"))
-    pairs = rows.select(F.posexplode("_a").alias("_i", "_x"), "_a").select("_x", F.explode(F.expr("slice(_a, _i + 2, size(_a))")).alias("_y"))
+    by = ["repeat"] if repeat is None else []
+    one = scores.where("item_type = 'factual'") if repeat is None else scores.where((F.col("repeat") == repeat) & (F.col("item_type") == "factual"))
+    rows = one.groupBy("item_id", *by).agg(F.sort_array(F.collect_list(F.struct("arm", "correct"))).alias("_a"))
+    pairs = rows.select(*by, F.posexplode("_a").alias("_i", "_x"), "_a").select(*by, "_x", F.explode(F.expr("slice(_a, _i + 2, size(_a))")).alias("_y"))
     x, y = F.col("_x.correct"), F.col("_y.correct")
-    return pairs.groupBy(F.col("_x.arm").alias("arm_a"), F.col("_y.arm").alias("arm_b")).agg(
+    return pairs.groupBy(*by, F.col("_x.arm").alias("arm_a"), F.col("_y.arm").alias("arm_b")).agg(
         F.count_if(x & y).alias("both_right"), F.count_if(x & ~y).alias("a_only"), F.count_if(~x & y).alias("b_only"), F.count_if(~x & ~y).alias("neither"), F.count("*").alias("n"),
     )
 
 
-def mcnemar(scores: DataFrame, repeat: int = 0) -> DataFrame:
+def mcnemar(scores: DataFrame, repeat: int | None = 0) -> DataFrame:
     """``discordance`` with the exact p of the discordant items."""
     table = discordance(scores, repeat).withColumns({"_least": F.least("a_only", "b_only"), "_total": F.col("a_only") + F.col("b_only")})
     return two_sided_p(table, "_least", "_total").drop("_least", "_total")
 
 
+def sensitivity(scores: DataFrame) -> DataFrame:
+    """(arm_a, arm_b, n_repeats, p_first, p_min, p_max): how a pair's exact p moves over the repeats that both arms have."""
+    p = mcnemar(scores, None)
+    return p.groupBy("arm_a", "arm_b").agg(F.count("*").alias("n_repeats"), F.max(F.when(F.col("repeat") == 0, F.col("p_value"))).alias("p_first"), F.min("p_value").alias("p_min"), F.max("p_value").alias("p_max"))
+
+
 def holm(df: DataFrame, p: str = "p_value", *ties: str) -> DataFrame:
     """``df`` with p_holm: (m - rank) p in rising order, made monotone, at most 1. One row a test."""
     order, whole = W.orderBy(p, *ties), W.partitionBy()
@@ -62,13 +76,15 @@ def holm(df: DataFrame, p: str = "p_value", *ties: str) -> DataFrame:
 
 
 def draws(groups: DataFrame, by: list[str], n_draws: int, seed: int) -> DataFrame:
-    """(by, _rep, _ix, _times): how often each cluster number is drawn in each replicate of each group (by, _n)."""
+    """(by, _n, _rep, _ix, _times): how often each cluster number is drawn in each replicate of each group (by, _n)."""
     spark = groups.sparkSession
-    reps = groups.join(F.broadcast(spark.range(n_draws).withColumnRenamed("id", "_rep")))  # groups are few
+    sizes = groups.select("_n").distinct()  # groups of one size share their draws
+    reps = spark.range(n_draws).withColumnRenamed("id", "_rep").join(F.broadcast(sizes))
     each = reps.withColumn("_slot", F.explode(F.expr("sequence(0L, _n - 1)")))
     word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_slot").cast("string")))
     ix = F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % F.col("_n")
-    return each.withColumn("_ix", ix).groupBy(*by, "_rep", "_ix").agg(F.count("*").alias("_times"))
+    drawn = each.withColumn("_ix", ix).groupBy("_n", "_rep", "_ix").agg(F.count("*").alias("_times"))
+    return groups.join(drawn, "_n")
 
 
 def clusters(rows: DataFrame, by: list[str], cluster: str, **sums: Column) -> DataFrame:
@@ -88,11 +104,36 @@ def bootstrap_mean(rows: DataFrame, by: list[str], cluster: str, value: Column,
     """(by, estimate, ci_low, ci_high, n_clusters) of the mean of ``value``, resampling whole clusters."""
     held = clusters(rows, by, cluster, _s=value.cast("double"), _c=F.when(value.isNotNull(), 1))
     groups = held.groupBy(*by).agg(F.count("*").alias("_n"), (F.sum("_s") / F.sum("_c")).alias("estimate"))
-    drawn = draws(groups.select(*by, "_n"), by, n_draws, seed).join(held.select(*by, "_ix", "_s", "_c"), [*by, "_ix"])
+    drawn = draws(groups.select(*by, "_n"), by, n_draws, seed).drop("_n").join(held.select(*by, "_ix", "_s", "_c"), [*by, "_ix"])
     stats = drawn.groupBy(*by, "_rep").agg(F.try_divide(F.sum(F.col("_s") * F.col("_times")), F.sum(F.col("_c") * F.col("_times"))).alias("_v"))
     return groups.withColumnRenamed("_n", "n_clusters").join(interval(stats, by, "_v"), by)
 
 
+def bootstrap(rows: DataFrame, by: list[str], cluster: str, sums: dict[str, Column], statistic: Column, keys: tuple[str, ...] = (), n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, estimate, ci_low, ci_high, n_clusters) of any statistic of sums, resampling whole clusters.
+
+    ``sums`` names sums over rows, apart for each value of ``keys`` (bins, say); ``statistic`` aggregates them over the
+    keys. A replicate weighs the sums of the clusters it draws.
+    """
+    cells = rows.groupBy(*by, cluster, *keys).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    held = clusters(rows, by, cluster, _c=F.lit(1)).select(*by, cluster, "_ix", "_n")
+    groups = held.groupBy(*by).agg(F.max("_n").alias("_n"))
+    whole = cells.groupBy(*by, *keys).agg(*(F.sum(k).alias(k) for k in sums)).groupBy(*by).agg(statistic.alias("estimate"))
+    drawn = draws(groups, by, n_draws, seed).drop("_n").join(cells.join(held.drop("_n"), [*by, cluster]), [*by, "_ix"])
+    per = drawn.groupBy(*by, "_rep", *keys).agg(*(F.sum(F.col(k) * F.col("_times")).alias(k) for k in sums))
+    stats = per.groupBy(*by, "_rep").agg(statistic.alias("_v"))
+    return groups.withColumnRenamed("_n", "n_clusters").join(whole, by).join(interval(stats, by, "_v"), by)
+
+
+def bootstrap_ece(df: DataFrame, by: str = "arm", cluster: str = "family", bins: int = 10, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """The expected calibration error with its interval; bins as in ``selective.reliability``."""
+    from plumbline.operators.selective import confident, guard_confidence
+
+    rows = confident(guard_confidence(df)).withColumn("_bin", F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)))
+    sums = {"_m": F.lit(1), "_s": F.col("confidence"), "_h": F.col("correct").cast("int")}
+    return bootstrap(rows, [by], cluster, sums, F.sum(F.abs(F.col("_s") - F.col("_h"))) / F.sum("_m"), ("_bin",), n_draws, seed)
+
+
 def bootstrap_aurc(df: DataFrame, by: str = "arm", cluster: str = "family", n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """(by, ci_low, ci_high) of the area under the risk-coverage curve, resampling clusters.
 
@@ -104,7 +145,7 @@ def bootstrap_aurc(df: DataFrame, by: str = "arm", cluster: str = "family", n_dr
     cells = rows.groupBy(by, cluster, "confidence").agg(F.count("*").alias("_m"), F.count_if("correct").alias("_h"))
     held = clusters(rows, [by], cluster, _c=F.lit(1)).select(by, cluster, "_ix", "_n")
     cells = cells.join(held, [by, cluster])
-    drawn = draws(held.groupBy(by).agg(F.max("_n").alias("_n")), [by], n_draws, seed).join(cells.drop("_n"), [by, "_ix"])
+    drawn = draws(held.groupBy(by).agg(F.max("_n").alias("_n")), [by], n_draws, seed).drop("_n").join(cells.drop("_n"), [by, "_ix"])
     ties = drawn.groupBy(by, "_rep", "confidence").agg(F.sum(F.col("_m") * F.col("_times")).alias("size"), F.sum(F.col("_h") * F.col("_times")).alias("hits"))
     above = W.partitionBy(by, "_rep").orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, -1)
     ties = ties.withColumns({"_b": F.coalesce(F.sum("size").over(above), F.lit(0)), "_g": F.coalesce(F.sum("hits").over(above), F.lit(0))})

@@ -29,19 +29,19 @@ def _bm25(s, d):
 
 
 def _bm25plus(s, d):
-    index, _, terms = _index(s, d)
-    return _out(R.top(R.bm25plus(index, terms)))
+    index, queries, terms = _index(s, d)
+    return _out(R.top_with_unmatched(R.bm25plus(index, terms), queries, index.docs))
 
 
 def _tfidf(s, d):
-    docs, _, terms = _tables(s, d)
-    return _out(R.top(R.tfidf(docs, terms)))
+    docs, queries, terms = _tables(s, d)
+    return _out(R.top_with_unmatched(R.tfidf(docs, terms), queries, docs))
 
 
 def _rrf(s, d):
-    docs, _, terms = _tables(s, d)
+    docs, queries, terms = _tables(s, d)
     index = R.build(docs, terms)
-    fused = R.fuse(R.tfidf(docs, terms), R.bm25plus(index, terms))
+    fused = R.fuse(R.tfidf(docs, terms), R.bm25plus(index, terms), queries, docs)
     order = R.W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first_rank")
     ranked = fused.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= R.TOP)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
@@ -107,6 +107,8 @@ qw AS (SELECT query_id, term, (1 + ln(qf)) * (ln((1 + n) / (1 + df)) + 1) AS v F
 wn AS (SELECT doc_id, sqrt(sum(w * w)) AS a FROM w GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(v * v)) AS b FROM qw GROUP BY ALL),
 co AS (SELECT query_id, doc_id, sum(v * w) / (any_value(a) * any_value(b)) AS score FROM qw JOIN w USING (term) JOIN wn USING (doc_id) JOIN qn USING (query_id) GROUP BY ALL)"""
 TOP = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM {} QUALIFY rank <= 3"
+#: Every document for every query; without a match the score is 0.
+ALL = "{a} AS (SELECT item_id AS query_id, documents.doc_id AS doc_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN {p} ON {p}.query_id = item_id AND {p}.doc_id = documents.doc_id)"
 COVER = """h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM p QUALIFY rank <= 3),
 we AS (SELECT query_id, term, coalesce(ln((n + 1) / df), ln(n + 1)) AS w FROM q LEFT JOIN df USING (term), st), wt AS (SELECT query_id, sum(w) AS t FROM we GROUP BY ALL),
 cv AS (SELECT query_id, doc_id, rank, round(coalesce((SELECT sum(w) FROM we JOIN tf USING (term) WHERE we.query_id = h.query_id AND tf.doc_id = h.doc_id), 0) / t, 6) AS coverage FROM h JOIN wt USING (query_id))"""
@@ -116,10 +118,10 @@ ORACLES = {
     "doc_freq": f"{BASE} SELECT term, df FROM df WHERE term IN (SELECT term FROM q)",
     "bm25_topk": f"""{BASE}, b AS (SELECT query_id, doc_id, sum(qf * ln((n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + norm)) AS score FROM q JOIN df USING (term) JOIN nm USING (term), st GROUP BY ALL),
 al AS (SELECT item_id AS query_id, documents.doc_id AS doc_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN b ON b.query_id = item_id AND b.doc_id = documents.doc_id) """ + TOP.format("al"),
-    "bm25plus_topk": f"{BASE}, {PLUS} " + TOP.format("p"),
-    "tfidf_topk": f"{BASE}, {COS} " + TOP.format("co"),
-    "rrf_fusion": f"""{BASE}, {PLUS}, {COS}, ra AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS a FROM co),
-rb AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS b FROM p),
+    "bm25plus_topk": f"{BASE}, {PLUS}, {ALL.format(a='al', p='p')} " + TOP.format("al"),
+    "tfidf_topk": f"{BASE}, {COS}, {ALL.format(a='al', p='co')} " + TOP.format("al"),
+    "rrf_fusion": f"""{BASE}, {PLUS}, {COS}, {ALL.format(a='a1', p='co')}, {ALL.format(a='a2', p='p')}, ra AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS a FROM a1),
+rb AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS b FROM a2),
 fu AS (SELECT query_id, doc_id, a, 1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) AS score FROM ra JOIN rb USING (query_id, doc_id))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, a) AS rank, doc_id, round(score, 9) AS score FROM fu QUALIFY rank <= 3""",
     "evidence_coverage": f"{BASE}, {PLUS}, {COVER} SELECT query_id, doc_id, rank, coverage FROM cv",

@@ -8,7 +8,7 @@ from plumbline.operators import agreement, reports, sampling, selective, signifi
 from plumbline.plans.scores import SCORES_SQL, scores
 from plumbline.session import table
 
-DRAWS = 400
+DRAWS = significance.DRAWS
 FACTUAL = "item_type = 'factual'"
 
 
@@ -36,6 +36,16 @@ def _breakdown_ci(s, d):
     return _rounded(df, "estimate", "ci_low", "ci_high", places=6)
 
 
+def _ece_interval(s, d):
+    df = significance.bootstrap_ece(scores(s, d), n_draws=DRAWS)
+    return _rounded(df, "estimate", "ci_low", "ci_high", places=6)
+
+
+def _disagreements(s, d):
+    rated = _quality_rule(s, d).withColumnRenamed("doc_id", "rating_id")
+    return agreement.disagreements(rated.select("rating_id", F.col("human").alias("label")), rated.select("rating_id", F.col("automatic").alias("label")))
+
+
 def _quality_rule(s, d):
     labels = table(s, d, "labels").select("doc_id", F.col("quality").cast("int").alias("human"))
     rule = F.when(F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")) * 20 > F.length("text"), 0).otherwise(1)
@@ -53,6 +63,9 @@ QUERIES = {
     "pair_partition": lambda s, d: reports.pair_partition(_first(s, d)),
     "breakdown_subsets": lambda s, d: _rounded(reports.breakdown(scores(s, d)), "accuracy"),
     "breakdown_intervals": _breakdown_ci,
+    "ece_interval": _ece_interval,
+    "rating_disagreements": _disagreements,
+    "repeat_sensitivity": lambda s, d: _rounded(significance.sensitivity(scores(s, d)), "p_first", "p_min", "p_max"),
     "utility_policy": lambda s, d: _rounded(reports.utility_table(scores(s, d)), "mean_utility", "risk_weighted"),
     "identical_item_sets": lambda s, d: reports.same_items(scores(s, d)),
     "release_gate": lambda s, d: _rounded(reports.gate(scores(s, d)), "accuracy", "abstained", "declined", "precision_answered"),
@@ -126,7 +139,26 @@ pe AS (SELECT {by}, sum(x * y) AS e FROM la JOIN lb USING ({by}, l) GROUP BY ALL
 ka AS (SELECT {by}, n, agreement, coalesce(e, 0) / (n::DOUBLE * n) AS expected FROM tot LEFT JOIN pe USING ({by}))
 SELECT {out} n, round(agreement, 9) AS agreement, round(expected, 9) AS expected, round(CASE WHEN expected < 1 THEN (agreement - expected) / (1 - expected) END, 9) AS kappa FROM ka"""
 
+#: The same tests within each repeat.
+MCR = MC.replace("x.repeat = 0 AND y.repeat = 0", "x.repeat = y.repeat").replace("x.family, x.correct", "x.repeat, x.family, x.correct").replace("SELECT arm_a, arm_b, count(*)", "SELECT repeat, arm_a, arm_b, count(*)").replace("mc AS (SELECT arm_a", "mc AS (SELECT repeat, arm_a")
+
 ORACLES = {
+    "ece_interval": f"""{EVERY}, c AS (SELECT *, least(floor(confidence * 10), 9) AS bin FROM f WHERE confidence IS NOT NULL), cl AS (SELECT DISTINCT arm, family FROM c),
+ci AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY family) - 1 AS ix, count(*) OVER (PARTITION BY arm) AS nc FROM cl),
+dr AS (SELECT arm, rep, (('0x' || substr(md5(concat_ws('|', '20260904', rep::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT) % nc AS ix FROM (SELECT *, unnest(range(0, nc)) AS slot FROM (SELECT DISTINCT arm, nc FROM ci) CROSS JOIN (SELECT range AS rep FROM range({DRAWS})))),
+w AS (SELECT arm, rep, ix, count(*) AS times FROM dr GROUP BY ALL), ce AS (SELECT arm, ix, bin, count(*) AS m, sum(confidence) AS s, count(*) FILTER (correct) AS h FROM c JOIN ci USING (arm, family) GROUP BY ALL),
+bi AS (SELECT arm, rep, bin, sum(m * times) AS m, abs(sum(s * times) - sum(h * times)) AS g FROM w JOIN ce USING (arm, ix) GROUP BY ALL), v AS (SELECT arm, rep, sum(g) / sum(m) AS val FROM bi GROUP BY ALL),
+wh AS (SELECT arm, sum(g) / sum(m) AS estimate FROM (SELECT arm, bin, sum(m) AS m, abs(sum(s) - sum(h)) AS g FROM ce GROUP BY ALL) GROUP BY ALL)
+SELECT arm, (SELECT max(nc) FROM ci WHERE ci.arm = v.arm) AS n_clusters, round(any_value(estimate), 6) AS estimate, round(quantile_cont(val, 0.025), 6) AS ci_low, round(quantile_cont(val, 0.975), 6) AS ci_high FROM v JOIN wh USING (arm) GROUP BY arm""",
+    "rating_disagreements": "WITH r AS (SELECT doc_id AS rating_id, quality::INT AS human, CASE WHEN length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 20 > length(text) THEN 0 ELSE 1 END AS automatic FROM labels JOIN documents USING (doc_id)) SELECT * FROM r WHERE human <> automatic",
+    "repeat_sensitivity": f"{W}, {MCR} SELECT arm_a, arm_b, count(*) AS n_repeats, round(max(p_value) FILTER (repeat = 0), 9) AS p_first, round(min(p_value), 9) AS p_min, round(max(p_value), 9) AS p_max FROM mc GROUP BY ALL",
+    "clopper_pearson": f"""{W.replace('WITH', 'WITH RECURSIVE', 1)}, m AS (SELECT arm, count(*) FILTER (correct) AS k, count(*) AS n FROM scores GROUP BY ALL),
+s AS (SELECT arm, k, n, unnest([0, 1]) AS side, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM m),
+bi AS (SELECT * FROM s UNION ALL SELECT arm, k, n, side, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, step + 1
+  FROM (SELECT *, CASE WHEN side = 0 THEN t < 0.025 ELSE t > 0.025 END AS below FROM (SELECT *, (lo + hi) / 2 AS mid,
+    list_sum(list_transform(range(CASE WHEN side = 0 THEN k ELSE 0 END, CASE WHEN side = 0 THEN n ELSE k END + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) AS t FROM bi WHERE step < 45))),
+e AS (SELECT arm, k, n, max(CASE WHEN side = 0 THEN CASE WHEN k = 0 THEN 0 ELSE lo END END) AS lo, max(CASE WHEN side = 1 THEN CASE WHEN k = n THEN 1 ELSE lo END END) AS hi FROM bi WHERE step = 45 GROUP BY ALL)
+SELECT arm, k, n, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high FROM e""",
     "corpus_summary": f"""{W}, i AS (SELECT DISTINCT item_id, domain, family, pair_id, pair_role, risk_tier, item_type FROM scores),
 u AS (SELECT 'all' AS scope, 'all' AS label, * FROM i UNION ALL SELECT 'domain', domain, * FROM i UNION ALL SELECT 'risk_tier', risk_tier, * FROM i)
 SELECT scope, label, count(*) AS n_items, count(*) FILTER (item_type = 'factual') AS n_factual, count(DISTINCT family) AS n_families, count(DISTINCT pair_id) FILTER (pair_role = 'a') AS n_pairs FROM u GROUP BY ALL""",

@@ -99,6 +99,28 @@ def _score(s, d):
     return _scored(s, d).select("conv_id", "turn", "item_id", "outcome", F.round("coverage", 6).alias("coverage"), F.round("numeric_coverage", 6).alias("numeric_coverage"), F.concat_ws("|", "forbidden_asserted").alias("forbidden"), F.concat_ws("|", "adjacent_hits").alias("adjacent"))
 
 
+def _missed(s, d):
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
+    return _scored(s, d).select("conv_id", "turn", "item_id", text("missing_groups").alias("missing_groups"), text("missing_numbers").alias("missing_numbers"), text("contrasted").alias("contrasted"))
+
+
+def _score_full(s, d):
+    """Responses that also cite: the item's clause, its cross reference, a paid standard, or nothing."""
+    k = F.abs(F.col("conv_id")) % 4
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(k == 0, " See 29 CFR 1910.147(c).").when(k == 1, " See 40 CFR 68.79.").when(k == 2, " per NFPA 70E.").otherwise(""))
+    items = _items(s).withColumns({"clause": F.lit("29 CFR 1910.147(c)"), "cross_reference": F.array(F.lit("40 CFR 68.79")), "abstention_acceptable": F.col("item_id") % 2 == 0})
+    out = S.score_full(items, _said(s, d).withColumn("text", said), CUES, S.Config(coverage=0.6))
+    return out.select(
+        "conv_id", "turn", "item_id", "outcome", "abstained", "unscorable_reason", "citation_grade", "cited_cross_reference", F.array_join("unsupported_paywalled", "|").alias("unsupported_paywalled"), "utility", F.round("coverage", 6).alias("coverage"),
+    )
+
+
+def _documents(s, d):
+    null = F.lit(None).cast("string")
+    items = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.struct(F.col("source").alias("standard"), F.col("lang").alias("clause"), null.alias("section_title"), F.col("text").alias("anchor_text")).alias("source"))
+    return O.documents(items).select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
 def _space(s, d):
     excerpts = table(s, d, "benchmark").select(F.col("item_id").alias("excerpt_id"), F.col("text").alias("bare"), O.answered_from(F.lit("a standard"), F.col("item_id").cast("string"), F.lit("by title"), F.col("text")).alias("wrapped"))
     return S.answer_space(_items(s), excerpts, CUES)
@@ -168,6 +190,9 @@ QUERIES = {
     "concept_coverage": lambda s, d: _score(s, d).select("conv_id", "turn", "item_id", "coverage", "numeric_coverage"),
     "adjacency_hits": lambda s, d: _score(s, d).select("conv_id", "turn", "item_id", "adjacent", "forbidden"),
     "score_outcome": _score,
+    "score_full": _score_full,
+    "missed_evidence": _missed,
+    "corpus_documents": _documents,
     "answer_space_ceiling": lambda s, d: S.ceilings(_space(s, d)),
     "max_coverage_ties": lambda s, d: S.best_excerpts(_space(s, d)).select("item_id", "form", F.round("coverage", 6).alias("coverage"), F.array_join(F.col("excerpts").cast("array<string>"), ",").alias("excerpts")),
     "failure_decomposition": lambda s, d: S.failure_classes(_space(s, d), _retrieved(s, d)),
@@ -225,6 +250,7 @@ SPACE = f"""WITH it(item_id) AS (VALUES (0), (1), (2), (3), (4)), fo AS (SELECT
 no AS (SELECT excerpt_id, form, {_norm('x')} AS t FROM fo), scn AS (SELECT item_id, excerpt_id, form, t, NULL AS error, form || excerpt_id AS rid FROM no CROSS JOIN it), {EVIDENCE}"""
 DOCS = "it AS (SELECT doc_id AS item_id, '29 CFR 19' || (doc_id % 90 + 10) || '.' || n_chars AS clause, * FROM documents)"
 
+CITING = "coalesce(text, '') || CASE abs(conv_id) % 4 WHEN 0 THEN ' See 29 CFR 1910.147(c).' WHEN 1 THEN ' See 40 CFR 68.79.' WHEN 2 THEN ' per NFPA 70E.' ELSE '' END"
 #: Forms by id, as the query mixes them into the texts, which cite nothing themselves.
 CITED = "WITH c AS (SELECT doc_id, abs(doc_id) % 8 AS k, (abs(doc_id) % 90 + 10)::VARCHAR AS n FROM documents)"
 
@@ -243,6 +269,15 @@ SELECT conv_id, turn, md5(a) AS answer, CASE WHEN conv_id % 4 <> 0 AND turn % 3
     "concept_coverage": f"{SCORED}, r AS ({FULL}) SELECT conv_id, turn, item_id, coverage, numeric_coverage FROM r",
     "adjacency_hits": f"{SCORED}, r AS ({FULL}) SELECT conv_id, turn, item_id, adjacent, forbidden FROM r",
     "score_outcome": f"{SCORED} {FULL}",
+    "score_full": f"""WITH {SAID.replace(_norm('text'), _norm(CITING))}, scn AS (SELECT *, conv_id * 1000 + turn AS rid FROM said), {EVIDENCE.replace('coverage >= 0.75', 'coverage >= 0.6')}, z AS (SELECT *, abs(conv_id) % 4 AS k, {LOST} AS lost FROM oc)
+SELECT conv_id, turn, item_id, outcome, outcome = 'abstained' AS abstained, CASE WHEN lost AND error IS NOT NULL THEN 'adapter_error: ' || error WHEN lost THEN 'empty_response' END AS unscorable_reason,
+  CASE WHEN lost OR k = 3 THEN 'none' WHEN k = 0 THEN 'correct_clause' ELSE 'wrong' END AS citation_grade, NOT lost AND k = 1 AS cited_cross_reference, CASE WHEN NOT lost AND k = 2 THEN 'NFPA 70e' ELSE '' END AS unsupported_paywalled,
+  CASE outcome WHEN 'abstained' THEN CASE WHEN item_id % 2 = 0 THEN 0.9 ELSE 0.25 END WHEN 'correct' THEN 1.0 WHEN 'other_incorrect' THEN -0.5 WHEN 'adjacent_substitution' THEN -1.0 ELSE 0.0 END::DOUBLE AS utility, round(CASE WHEN lost THEN 0 ELSE coverage END, 6) AS coverage FROM z""",
+    "missed_evidence": f"""{SCORED}, mg AS (SELECT rid, string_agg(g::VARCHAR, '|' ORDER BY g) AS m FROM gr WHERE NOT ok GROUP BY ALL),
+ct AS (SELECT r.rid, string_agg(DISTINCT p, '|' ORDER BY p) AS c FROM scn r JOIN ka USING (item_id) WHERE {HAS.format(t='t', p='p')} AND NOT {SAYS.format(t='t', p='p', cues=_list(CUES))} GROUP BY ALL)
+SELECT conv_id, turn, item_id, CASE WHEN {LOST} THEN '' ELSE coalesce(m, '') END AS missing_groups, CASE WHEN NOT {LOST} AND numeric_coverage < 1 THEN '3.0' ELSE '' END AS missing_numbers, CASE WHEN {LOST} THEN '' ELSE coalesce(c, '') END AS contrasted
+FROM oc LEFT JOIN mg USING (rid) LEFT JOIN ct USING (rid)""",
+    "corpus_documents": "WITH t AS (SELECT doc_id, concat_ws(' ', coalesce(source, ''), coalesce(lang, ''), '', coalesce(text, '')) AS t FROM documents) SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n FROM t",
     "answer_space_ceiling": f"{SPACE}, b AS (SELECT form, item_id, bool_or(outcome = 'correct') AS ok FROM oc GROUP BY ALL) SELECT form, count(*) AS n_items, count(*) FILTER (ok) AS n_attainable FROM b GROUP BY ALL",
     "max_coverage_ties": f"{SPACE}, m AS (SELECT *, max(coverage) OVER (PARTITION BY item_id, form) AS best FROM oc) SELECT item_id, form, round(coverage, 6) AS coverage, string_agg(excerpt_id::VARCHAR, ',' ORDER BY excerpt_id) AS excerpts FROM m WHERE coverage = best GROUP BY ALL",
     "failure_decomposition": f"{SPACE}, w AS (SELECT * FROM oc WHERE form = 'wrapped') SELECT item_id, CASE WHEN bool_or(outcome = 'correct') FILTER (excerpt_id = item_id * 3 + 1) THEN 'passes' WHEN bool_or(outcome = 'correct') THEN 'recoverable_by_reranking' ELSE 'no_excerpt_passes' END AS failure FROM w GROUP BY ALL",

@@ -20,7 +20,7 @@ CORPUS = f"schema_version string, domain string, domain_title string, source_fam
 QUARANTINE = "schema_version string, status string, purpose string, policy string, items array<struct<id: string, intended_domain: string, draft_question: string, why_excluded: string>>"
 RUN = """schema string, library_version string, adapter struct<name: string, arm: string>, corpus_digest string, n_items int, repeat int, seed long, started_utc string, duration_s double, is_mock_demonstration boolean,
 responses array<struct<item_id: string, text: string, citations: array<string>, confidence: double, latency_s: double, error: string, metadata: map<string, string>, provenance: string>>,
-scores array<struct<item_id: string, domain: string, family: string, item_type: string, risk_tier: string, pair_id: string, outcome: string, concept_coverage: double, numeric_coverage: double, abstained: boolean, citation_grade: string, confidence: double, unscorable_reason: string>>"""
+scores array<struct<item_id: string, domain: string, family: string, item_type: string, risk_tier: string, pair_id: string, outcome: string, concept_coverage: double, numeric_coverage: double, abstained: boolean, citation_grade: string, confidence: double, unscorable_reason: string>>, scoring_config map<string, string>, environment map<string, string>"""
 
 
 class CorpusError(ValueError):

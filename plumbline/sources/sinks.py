@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import re
 
+import platform
+
+import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline import __version__
+from plumbline.sources.corpus import RUN
+
 
 def safe_name(name: str, mock: bool = False) -> str:
     """A file name part: runs of other characters become one dash; mock runs say so."""
@@ -19,6 +25,39 @@ def write_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> N
     scores.withColumn("adapter_file", clean).write.mode(mode).partitionBy("adapter_file", "repeat").parquet(path)
 
 
+def environment() -> dict[str, str]:
+    """What a run was made with."""
+    return {"python": platform.python_version(), "platform": platform.platform(), "pyspark": pyspark.__version__}
+
+
+def write_runs(scored: DataFrame, path: str, digest: str, config: dict[str, str], seed: int | None = None, mode: str = "errorifexists") -> None:
+    """Runs as JSON that ``read_runs`` reads back: one record for each (adapter, arm, repeat) of ``scored``.
+
+    scored: rows of ``score_full`` with adapter, arm, repeat and is_mock; columns of the record that it lacks are null.
+    A run's responses and scores, which are as many as its corpus has items, are gathered into its record. Records are
+    files in folders by adapter and repeat, mock ones under a name that says so.
+    """
+    kinds = scored.sparkSession.createDataFrame([], RUN).schema
+    have = {"concept_coverage": F.col("coverage")} | {c: F.col(c) for c in scored.columns}
+
+    def record(field: str):
+        fields = kinds[field].dataType.elementType.fields
+        return F.struct(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+    rows = scored.select("adapter", "arm", "repeat", "is_mock", record("responses").alias("_r"), record("scores").alias("_s"))
+    by_id = lambda a, b: F.when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).otherwise(0)
+    gathered = lambda c: F.array_sort(F.collect_list(c), by_id)
+    runs = rows.groupBy("adapter", "arm", "repeat").agg(F.bool_or("is_mock").alias("is_mock_demonstration"), F.count("*").cast("int").alias("n_items"), gathered("_r").alias("responses"), gathered("_s").alias("scores"))
+    told = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    clean = F.regexp_replace(F.regexp_replace("adapter", r"[^A-Za-z0-9._-]+", "-"), "^-+|-+$", "")
+    out = runs.select(
+        F.lit("run").alias("schema"), F.lit(__version__).alias("library_version"), F.struct(F.col("adapter").alias("name"), "arm").alias("adapter"), F.lit(digest).alias("corpus_digest"), "n_items", F.col("repeat").cast("int").alias("_repeat"),
+        F.lit(seed).cast("long").alias("seed"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started_utc"), "is_mock_demonstration", "responses", "scores", told(config).alias("scoring_config"), told(environment()).alias("environment"),
+        F.concat(F.when(F.col("is_mock_demonstration"), "mock__").otherwise(""), clean).alias("adapter_file"), F.col("repeat").cast("int").alias("repeat"), F.col("repeat").cast("int").alias("repeat_file"),
+    ).drop("_repeat")
+    out.write.mode(mode).partitionBy("adapter_file", "repeat_file").json(path)
+
+
 def write_sample(sheet: DataFrame, key: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The blinded sheet and its key as separate tables."""
     for df, name in ((sheet, "sheet"), (key, "key")):

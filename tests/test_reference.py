@@ -1,6 +1,7 @@
 """Hand vectors and invariants of the evaluation operators."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,8 @@ def test_wilson_and_policy(spark):
 
 def test_rank_fusion_and_bm25(spark):
     ranks = lambda order: spark.createDataFrame([(0, d, -float(i)) for i, d in enumerate(order)], "query_id long, doc_id string, score double")
-    fused = {r.doc_id: r for r in retrieval.fuse(ranks("abc"), ranks("bac")).collect()}
+    three, one = spark.createDataFrame([(x,) for x in "abc"], "doc_id string"), spark.createDataFrame([(0,)], "query_id long")
+    fused = {r.doc_id: r for r in retrieval.fuse(ranks("abc"), ranks("bac"), one, three).collect()}
     assert abs(fused["a"].score - (1 / 61 + 1 / 62)) < 1e-15 and sorted(fused, key=lambda d: (-fused[d].score, fused[d].first_rank)) == ["a", "b", "c"]
     docs = spark.createDataFrame([(1, "pressure valve"), (2, "pressure relief"), (3, "pressure"), (4, "other words")], "doc_id long, text string")
     queries = spark.createDataFrame([(0, "Pressure pressure")], "query_id long, text string")
@@ -117,6 +119,43 @@ def test_rank_fusion_and_bm25(spark):
     assert abs(plus[1.0][1] - plus[0.0][1] - 2 * math.log(5 / 3)) < 1e-12
 
 
+def test_rankings_go_on_with_the_least_ids_without_a_match(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "POOL", 2)  # the pool has to grow
+    docs = spark.createDataFrame([(i, "valve" if i in (1, 2, 3, 40) else "other") for i in range(1, 60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "valve"), (1, "nothing here"), (2, "")], "query_id long, text string")
+    terms = retrieval.query_terms(queries)
+    index = retrieval.build(docs, terms)
+    rows = lambda df: {q: [(r.doc_id, r.score > 0) for r in sorted(df.collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 1, 2)}
+    for scored in (retrieval.bm25plus(index, terms), retrieval.tfidf(docs, terms)):
+        got = rows(retrieval.top_with_unmatched(scored, queries, docs, 6))
+        assert got[0] == [(1, True), (2, True), (3, True), (40, True), (4, False), (5, False)]
+        assert got[1] == got[2] == [(i, False) for i in range(1, 7)]
+    fused = retrieval.fuse(retrieval.tfidf(docs, terms), retrieval.bm25plus(index, terms), queries, docs, n=6)
+    best = sorted((r for r in fused.collect() if r.query_id == 0), key=lambda r: (-r.score, r.first_rank))[:6]
+    assert [r.doc_id for r in best] == [1, 2, 3, 40, 4, 5] and abs(best[4].score - 2 / 65) < 1e-12
+    assert rows(retrieval.top_with_unmatched(retrieval.tfidf(docs.limit(0), terms), queries, docs.limit(0), 3)) == {0: [], 1: [], 2: []}
+
+
+def test_binomials_of_any_size(spark):
+    ns = [0, 1, 5, 20, 21, 50, 1000, 10**6]
+    found = {r.n: r.f for r in spark.createDataFrame([(n,) for n in ns], "n long").select("n", significance.log_factorial(F.col("n")).alias("f")).collect()}
+    assert all(abs(found[n] - math.lgamma(n + 1)) <= 1e-13 * max(1, found[n]) for n in ns)
+    cases = [(0, 0), (0, 9), (3, 9), (40, 100), (480, 1000), (500, 1000), (0, 400), (49_000, 100_000)]
+    exact = lambda k, n: min(1.0, float(sum(Fraction(math.comb(n, j), 2**n) for j in range(n + 1) if math.comb(n, j) <= math.comb(n, k))))
+    got = significance.two_sided_p(spark.createDataFrame(cases, "k long, n long"), "k", "n").collect()
+    assert all(abs(r.p_value - exact(r.k, r.n)) <= 1e-9 * exact(r.k, r.n) for r in got if r.n <= 1000) and len(got) == len(cases)
+    assert 2.4e-10 < next(r.p_value for r in got if r.n == 100_000) < 2.6e-10
+    skewed = significance.two_sided_p(spark.createDataFrame([(2, 30)], "k long, n long"), "k", "n", 0.2).first().p_value
+    pm = [math.comb(30, j) * 0.2**j * 0.8 ** (30 - j) for j in range(31)]
+    assert abs(skewed - sum(x for x in pm if x <= pm[2] * (1 + 1e-9))) < 1e-12
+
+
+def test_disagreements(spark):
+    side = lambda *rows: spark.createDataFrame(rows, "rating_id long, label string")
+    rows = agreement.disagreements(side((1, "a"), (2, "b"), (3, "a")), side((1, "a"), (2, "c"), (4, "a"))).collect()
+    assert [tuple(r) for r in rows] == [(2, "b", "c")]
+
+
 def norm(spark, *texts):
     return T.normalized(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
 

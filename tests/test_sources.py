@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import adapters, corpus, scoring
+from plumbline.operators import adapters, corpus, evidence, scoring
 from plumbline.sources import corpus as C
 from plumbline.sources import sinks
 from plumbline.streaming import arms
@@ -68,6 +68,55 @@ def test_guards(spark, tmp_path):
     assert sinks.safe_name("a b/c", True) == "mock__a-b-c"
 
 
+def test_runs_round_trip(spark, tmp_path):
+    none = "array<array<string>>"
+    key = spark.createDataFrame([("i1", [["lock"]], [], [], ["tag"], "29 CFR 1910.147(c)", ["40 CFR 68.79"], True), ("i2", [["x"], ["y"]], [], [(3.0, 0.0)], ["tag"], "29 CFR 1910.95", [], False)], f"item_id string, required {none}, forbidden {none}, numeric array<struct<value: double, tolerance: double>>, adjacent array<string>, clause string, cross_reference array<string>, abstention_acceptable boolean")
+    said = [("i1", "a lock; see 1910.147(c)", [], None), ("i2", "x unlike a tag", ["NFPA 70E", "40 CFR 68.79"], None)]
+    responses = spark.createDataFrame(said, "item_id string, text string, citations array<string>, error string")
+    scored = scoring.score_full(key, responses, cues=["unlike"])
+    rows = {r.item_id: r for r in scored.collect()}
+    assert (rows["i1"].outcome, rows["i1"].citation_grade, rows["i1"].utility) == ("correct", "correct_clause", 1.0)
+    assert (rows["i2"].citation_grade, rows["i2"].unsupported_paywalled, rows["i2"].cited_cross_reference) == ("wrong", ["NFPA 70e"], False)
+    assert (rows["i2"].missing_groups, rows["i2"].missing_numbers, rows["i2"].contrasted) == ([1], [3.0], ["tag"])
+    loose = scoring.score_full(key, responses, cues=["unlike"], config=scoring.Config(coverage=0.5, full_numeric=False))
+    assert {r.item_id: r.outcome for r in loose.collect()}["i2"] == "correct"
+    silent = spark.createDataFrame([("i1", "1910.147", None, "late"), ("i2", " ", None, None)], "item_id string, text string, citations array<string>, error string")
+    lost = {r.item_id: (r.unscorable_reason, r.citation_grade, r.utility) for r in scoring.score_full(key, silent).collect()}
+    assert lost == {"i1": ("adapter_error: late", "none", 0.0), "i2": ("empty_response", "none", 0.0)}
+    with pytest.raises(ValueError, match="no policy"):
+        scoring.Config(policy="none such").describe()
+    named = scored.withColumns({"adapter": F.lit("my sys:1"), "arm": F.lit("a"), "repeat": F.lit(2), "is_mock": F.lit(True)})
+    sinks.write_runs(named, str(tmp_path / "runs"), "dig", scoring.DEFAULT.describe(), seed=7)
+    back = C.read_runs(spark, str(tmp_path / "runs" / "*" / "*"), "dig")
+    run = back.first()
+    assert (run.adapter.name, run["repeat"], run.seed, run.n_items, run.is_mock_demonstration) == ("my sys:1", 2, 7, 2, True)
+    assert [r.text for r in run.responses] == [t for _, t, _, _ in said] and run.scoring_config["coverage"] == "0.75" and run.environment["pyspark"]
+    assert {r.item_id: r.outcome for r in C.run_scores(back).collect()} == {i: r.outcome for i, r in rows.items()}
+    with pytest.raises(C.CorpusError):
+        C.read_runs(spark, str(tmp_path / "runs" / "*" / "*"), "other")
+
+
+def test_baselines_are_rejected(spark):
+    rows = lambda *x: spark.createDataFrame(x, "item_id long, is_mock boolean, digest string, text string, outcome string")
+    fresh = rows((1, False, "d", "t", "correct")).drop("is_mock", "digest")
+    sound = rows((1, False, "d", "t", "correct"))
+    assert evidence.require_baseline(sound, fresh, "d").count() == 1
+    for bad in (rows((1, True, "d", "t", "correct")), rows((1, False, "e", "t", "correct")), rows((1, False, "d", "u", "correct")), rows((2, False, "d", "t", "correct"))):
+        with pytest.raises(ValueError):
+            evidence.require_baseline(bad, fresh, "d")
+    with pytest.raises(ValueError):
+        evidence.require_baseline(sound, fresh, "d", {"coverage": "0.75"}, {"coverage": "0.5"})
+
+
+def test_expected_and_acceptable_citations_and_export(spark):
+    df = spark.createDataFrame([("29 CFR 1910.147(c)", ["40 CFR 68.79", "NFPA 70E"]), ("none", None)], "clause string, others array<string>")
+    rows = df.select(F.size(scoring.expected(F.col("clause"))).alias("e"), F.size(scoring.acceptable(F.col("clause"), F.col("others"))).alias("a")).collect()
+    assert [tuple(r) for r in rows] == [(1, 3), (0, 0)]
+    items = spark.createDataFrame([("i", ("S", "C", None, "anchor words"))], "id string, source struct<standard: string, clause: string, section_title: string, anchor_text: string>")
+    assert corpus.documents(items).first().text == "S C  anchor words"
+    assert json.loads(corpus.export(items).first().json) == {"id": "i", "source": {"standard": "S", "clause": "C", "anchor_text": "anchor words"}}
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5), ("b", None)], "k string, v double")
     df.coalesce(1).write.option("header", True).csv(str(tmp_path / "t"))
