@@ -2,17 +2,20 @@
 
 Unit vectors u are quantised as u = s q + e with q in int8 and the error's length |e| known for each vector. For two
 of them, u.v differs from s t (q.p) by at most |e| (1 + |f|) + |f|, so a tile product of the q alone shows which pairs
-can reach the threshold, and only those are computed again in double precision. Products run as float32 matrix
-products of whole numbers, which are exact below 2**24.
+surely reach the threshold, which surely do not, and which are possible. Products run as float32 matrix products of
+whole numbers, which are exact below 2**24.
 
 Vectors that are equal are one class with a weight. Classes are dealt to blocks (nearest of a few pivots, then a hash,
 so no block is large), blocks too far apart by the triangle inequality of angles are never paired, and each remaining
-pair of blocks is one tile. A tile passes on, for each class with links, their weight and one edge of a spanning
-forest, never its pairs.
+pair of blocks is one tile. What goes to the tiles are the codes, a byte a component, packed in lumps. A tile passes on,
+for each class with links, their weight and one edge of a spanning forest, never its pairs; and each class that is in a
+possible pair. Those alone meet their whole vectors, tile by tile, where their possible pairs are computed in double
+precision.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,11 +28,14 @@ from plumbline.llm.components import Forest, components
 from plumbline.llm.scratch import saved
 from plumbline.llm.skew import join_counted
 
+LOG = logging.getLogger(__name__)
+
 THRESHOLD = 0.9
-PIVOTS = 8
-#: Classes in a block: n / MIN_BLOCKS within these bounds, and never so few that there are more than MAX_BLOCKS.
-BLOCK_ROWS = (256, 8192)
-MIN_BLOCKS = 16
+#: Pivots: the square root of a 1024th of the classes within these bounds.
+PIVOTS = (8, 256)
+#: Classes in a block: n / MIN_BLOCKS within these bounds (and BLOCK_BYTES of codes), and never so few that there are more than MAX_BLOCKS.
+BLOCK_ROWS, BLOCK_BYTES = (256, 32768), 1 << 25
+MIN_BLOCKS = 8
 MAX_BLOCKS = 1 << 14
 SUB = 1024
 SLACK = 1e-9
@@ -47,76 +53,131 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(q as whole numbers in float32, scale, length of the error) of unit rows."""
-    s = np.abs(u).max(axis=1) / 127
+    """(q in int8, scale, bound of the error's length) of unit rows; the last two are numbers that float32 holds."""
+    s = np.nextafter((np.abs(u).max(axis=1) / 127).astype(np.float32), np.float32(2)).astype(np.float64)
     q = np.rint(u / s[:, None])
-    return q.astype(np.float32 if u.shape[1] <= 1000 else np.float64), s, np.linalg.norm(u - q * s[:, None], axis=1)
+    error = np.linalg.norm(u - q * s[:, None], axis=1) + 1e-12
+    return q.astype(np.int8), s, np.nextafter(error.astype(np.float32), np.float32(4)).astype(np.float64)
+
+
+Codes = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Position pairs (i in a, j in b, or i < j in a) with cosine >= threshold, a part at a time."""
-    ua = unit(a)
-    ub = ua if b is None else unit(b)
-    (qa, sa, ea), (qb, sb, eb) = quantise(ua), quantise(ub)
-    for i0 in range(0, len(ua), SUB):
-        for j0 in range(i0 if b is None else 0, len(ub), SUB):
+def possible(a: Codes, b: Codes | None, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i in a, j in b or i < j in a, sure) of the pairs that may have cosine >= threshold; sure ones have, a part at a time."""
+    kind = np.float32 if a[0].shape[1] <= 1000 else np.float64
+    (qa, sa, ea), (qb, sb, eb) = ((q.astype(kind), s, e) for q, s, e in (a, a if b is None else b))
+    for i0 in range(0, len(qa), SUB):
+        for j0 in range(i0 if b is None else 0, len(qb), SUB):
             i, j = slice(i0, i0 + SUB), slice(j0, j0 + SUB)
             product = qa[i] @ qb[j].T
             widest = eb[j].max()
             low = (threshold - SLACK - ea[i] * (1 + widest) - widest) / sa[i]
             low = np.where(low > 0, low / sb[j].max(), -np.inf).astype(product.dtype) - 1  # loose by one for rounding
             x, y = np.nonzero(product >= low[:, None])
-            bound = product[x, y] * sa[i][x] * sb[j][y] + ea[i][x] * (1 + eb[j][y]) + eb[j][y]
-            x, y = (v[bound >= threshold - SLACK] for v in (x, y))
             if b is None and i0 == j0:
                 x, y = (v[x < y] for v in (x, y))
-            if len(x) * 8 > product.size:
-                exact = (ua[i] @ ub[j].T)[x, y]
-            else:
-                exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", ua[i][x[k : k + (1 << 16)]], ub[j][y[k : k + (1 << 16)]]) for k in range(0, len(x), 1 << 16))])
-            sure = exact >= threshold
-            yield x[sure] + i0, y[sure] + j0
+            about, off = product[x, y] * sa[i][x] * sb[j][y], ea[i][x] * (1 + eb[j][y]) + eb[j][y]
+            may = about + off >= threshold - SLACK
+            yield x[may] + i0, y[may] + j0, (about - off >= threshold + SLACK)[may]
+
+
+#: What a tile returns: links and forest edges of classes, or (_tile not null) classes of possible pairs with their codes.
+TILE = "_cid long, _links long, _root long, _tile long, _side long, _diagonal boolean, _w long, _q binary, _s double, _e double"
 
 
-def _tile(threshold: float):
+def _linked(cid: np.ndarray, w: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """_cid, _links and _root from pairs of positions."""
+    links, forest = np.zeros(len(cid), np.int64), Forest(len(cid))
+    for i, j in pairs:
+        np.add.at(links, i, w[j])
+        np.add.at(links, j, w[i])
+        forest.add(i, j)
+    found, at = forest.labels(), np.flatnonzero(links)
+    return {"_cid": cid[at], "_links": links[at], "_root": cid[found[at]]}
+
+
+def _first_pass(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("_side").to_numpy()
+        order = np.argsort(side, kind="stable")
+        lumps = lambda name, kind: np.concatenate([np.frombuffer(table.column(name)[int(k)].as_buffer(), kind) for k in order])
+        cid, w, s, e = lumps("_cids", "<i8"), lumps("_ws", "<i8"), lumps("_ss", "<f4").astype(float), lumps("_es", "<f4").astype(float)
+        q = lumps("_qs", np.int8).reshape(len(cid), -1)
+        sides = np.repeat(side[order], [len(table.column("_cids")[int(k)].as_buffer()) // 8 for k in order])
+        n, alone = int((sides == 0).sum()), bool(table.column("_diagonal")[0].as_py())
+        maybe = np.zeros(len(cid), bool)
+
+        def sure() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if n and (alone or n < len(cid)):
+                for i, j, known in possible((q[:n], s[:n], e[:n]), None if alone else (q[n:], s[n:], e[n:]), threshold):
+                    j = j if alone else j + n
+                    maybe[i[~known]] = maybe[j[~known]] = True
+                    yield i[known], j[known]
+
+        found, at = _linked(cid, w, sure()), np.flatnonzero(maybe)
+        k, m = len(found["_cid"]), len(at)
+        none = lambda count, kind: pa.nulls(count, kind)
+        tile = table.column("_tile")[0].as_py()
+        both = {
+            "_cid": [pa.array(found["_cid"]), pa.array(cid[at])], "_links": [pa.array(found["_links"]), none(m, pa.int64())], "_root": [pa.array(found["_root"]), none(m, pa.int64())],
+            "_tile": [none(k, pa.int64()), pa.array(np.full(m, tile, np.int64))], "_side": [none(k, pa.int64()), pa.array(sides[at])], "_diagonal": [none(k, pa.bool_()), pa.array(np.full(m, alone))],
+            "_w": [none(k, pa.int64()), pa.array(w[at])], "_q": [none(k, pa.binary()), pa.array([q[r].tobytes() for r in at], pa.binary())], "_s": [none(k, pa.float64()), pa.array(s[at])], "_e": [none(k, pa.float64()), pa.array(e[at])],
+        }
+        return pa.table({c: pa.chunked_array(v) for c, v in both.items()})
+
+    return run
+
+
+def _second_pass(threshold: float):
+    """Links of the possible pairs that are not sure, by whole vectors."""
+
     def run(table: pa.Table) -> pa.Table:
         side = table.column("_side").to_numpy()
         order = np.argsort(side, kind="stable")
         table, n = table.take(pa.array(order)), int((side == 0).sum())
-        x, cid, w = matrix(table.column("_v")), table.column("_cid").to_numpy(), table.column("_w").to_numpy()
-        alone = bool(table.column("_diagonal")[0].as_py())
-        links, forest = np.zeros(len(x), np.int64), Forest(len(x))
-        if n and (alone or n < len(x)):
-            for i, j in tile_links(x[:n], None if alone else x[n:], threshold):
-                j = j if alone else j + n
-                np.add.at(links, i, w[j])
-                np.add.at(links, j, w[i])
-                forest.add(i, j)
-        found, at = forest.labels(), np.flatnonzero(links)
-        return pa.table({"_cid": cid[at], "_links": links[at], "_root": cid[found[at]]})
+        u, cid, w = unit(matrix(table.column("_v"))), table.column("_cid").to_numpy(), table.column("_w").to_numpy()
+        q = np.frombuffer(b"".join(table.column("_q").to_pylist()), np.int8).reshape(len(cid), -1)
+        s, e, alone = table.column("_s").to_numpy(), table.column("_e").to_numpy(), bool(table.column("_diagonal")[0].as_py())
+
+        def exact() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if n and (alone or n < len(cid)):
+                for i, j, known in possible((q[:n], s[:n], e[:n]), None if alone else (q[n:], s[n:], e[n:]), threshold):
+                    i, j = i[~known], (j if alone else j + n)[~known]
+                    for k in range(0, len(i), 1 << 16):
+                        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                        near = np.einsum("ij,ij->i", u[x], u[y]) >= threshold
+                        yield x[near], y[near]
+
+        return pa.table(_linked(cid, w, exact()))
 
     return run
 
 
-def _tiled(classes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(_cid, _links, _root) of all tiles over classes (_cid, _w, _v) of one length."""
+def _tiled(classes: DataFrame, n: int, size: int, threshold: float) -> DataFrame:
+    """(_cid, _links, _root) of all tiles over the n classes (_cid, _w, _v) of one length, ``size``."""
     spark = classes.sparkSession
-    rows = max(min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], n // MIN_BLOCKS)), -(-n // (MAX_BLOCKS - PIVOTS)))
-    picked = classes.orderBy(F.xxhash64("_v"), "_cid").limit(PIVOTS).select("_v").collect()
+    most = max(1, min(BLOCK_ROWS[1], BLOCK_BYTES // size))
+    rows = max(min(most, max(BLOCK_ROWS[0], n // MIN_BLOCKS)), -(-n // (MAX_BLOCKS - PIVOTS[1])))
+    n_pivots = min(PIVOTS[1], max(PIVOTS[0], int((n / 1024) ** 0.5)))
+    picked = classes.orderBy(F.xxhash64("_v"), "_cid").limit(n_pivots).select("_v").collect()  # PIVOTS[1] at most
     pivots = unit(np.array([r[0] for r in picked], np.float64))
+    n_pivots = len(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cosine = unit(matrix(b.column(2))) @ pivots.T
+                u = unit(matrix(b.column(2)))
+                q, s, e = quantise(u)
+                cosine = u @ pivots.T
                 near = cosine.argmax(axis=1)
                 angle = np.arccos(np.clip(cosine[np.arange(len(near)), near], -1, 1))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int64)), pa.array(angle)], names=["_cid", "_w", "_v", "_pivot", "_angle"])
+                codes = pa.array([r.tobytes() for r in q], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], codes, pa.array(s), pa.array(e), pa.array(near.astype(np.int64)), pa.array(angle)], names=["_cid", "_w", "_q", "_s", "_e", "_pivot", "_angle"])
 
-    kind = classes.schema["_v"].dataType.simpleString()
-    placed = saved(classes.select("_cid", "_w", "_v").mapInArrow(place, f"_cid long, _w long, _v {kind}, _pivot long, _angle double"), "vector-places")
-    size = {r["_pivot"]: r["count"] for r in placed.groupBy("_pivot").count().collect()}
-    chunks = [-(-size.get(p, 0) // rows) for p in range(PIVOTS)]
+    placed = saved(classes.select("_cid", "_w", "_v").mapInArrow(place, "_cid long, _w long, _q binary, _s double, _e double, _pivot long, _angle double"), "vector-codes")
+    size_of = {r["_pivot"]: r["count"] for r in placed.groupBy("_pivot").count().collect()}
+    chunks = [-(-size_of.get(p, 0) // rows) for p in range(n_pivots)]
     first = np.concatenate(([0], np.cumsum(chunks)))
     pick = lambda v: F.get(F.array(*[F.lit(int(k)) for k in v]), F.col("_pivot").cast("int"))
     block = pick(first[:-1]) + F.pmod(F.xxhash64("_cid"), F.greatest(pick(chunks), F.lit(1))).cast("int")
@@ -124,27 +185,35 @@ def _tiled(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     reach = np.zeros(int(first[-1]))
     for r in blocked.groupBy("_block").agg(F.max("_angle").alias("a")).collect():  # at most MAX_BLOCKS rows
         reach[r["_block"]] = r["a"]
-    owner = np.repeat(np.arange(PIVOTS), chunks)
+    owner = np.repeat(np.arange(n_pivots), chunks)
     between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
     theta = np.arccos(threshold) + 1e-6
     shared = spark.sparkContext.broadcast((reach, owner, between))
+    kept = sum(int((between[owner[k]][owner] - reach[k] - reach <= theta).sum()) for k in range(len(reach)))
+    LOG.info("vectors of %d: %d classes in %d blocks, %d of %d ordered pairs of blocks pruned", size, n, len(reach), len(reach) ** 2 - kept, len(reach) ** 2)
+    names = ["_tile", "_side", "_diagonal", "_cids", "_ws", "_qs", "_ss", "_es"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach, owner, between = shared.value
         total = len(reach)
         for b in batches:
-            mine = b.column(3).to_numpy()
+            mine = b.column(5).to_numpy()
             for k in np.unique(mine):
                 at = np.flatnonzero(mine == k)
-                partners = np.flatnonzero(between[owner[k]][owner] - reach[k] - reach <= theta)
-                part = pa.RecordBatch.from_arrays([b.column(c).take(pa.array(at)) for c in range(3)], names=["_cid", "_w", "_v"])
-                for j in partners.tolist():
-                    tile, m = min(k, j) * total + max(k, j), len(at)
-                    extra = [np.full(m, tile, np.int64), np.full(m, int(k > j), np.int64), np.full(m, k == j)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, extra)], names=["_cid", "_w", "_v", "_tile", "_side", "_diagonal"])
+                part = b.take(pa.array(at))
+                number = lambda c, kind: part.column(c).to_numpy().astype(kind).tobytes()  # noqa: E731,B023
+                lump = [number(0, "<i8"), number(1, "<i8"), b"".join(part.column(2).to_pylist()), number(3, "<f4"), number(4, "<f4")]
+                partners = np.flatnonzero(between[owner[k]][owner] - reach[k] - reach <= theta).tolist()
+                for p in range(0, len(partners), 64):
+                    to = partners[p : p + 64]
+                    out = [pa.array([min(k, j) * total + max(k, j) for j in to], pa.int64()), pa.array([int(k > j) for j in to], pa.int64()), pa.array([bool(k == j) for j in to])]
+                    yield pa.RecordBatch.from_arrays([*out, *(pa.array([x] * len(to), pa.binary()) for x in lump)], names=names)
 
-    tiles = blocked.select("_cid", "_w", "_v", "_block").mapInArrow(spread, f"_cid long, _w long, _v {kind}, _tile long, _side long, _diagonal boolean")
-    return tiles.groupBy("_tile").applyInArrow(_tile(threshold), "_cid long, _links long, _root long")
+    lumps = "_tile long, _side long, _diagonal boolean, _cids binary, _ws binary, _qs binary, _ss binary, _es binary"
+    tiles = blocked.select("_cid", "_w", "_q", "_s", "_e", "_block").mapInArrow(spread, lumps)
+    once = saved(tiles.groupBy("_tile").applyInArrow(_first_pass(threshold), TILE), "vector-tiles")
+    again = once.where("_tile IS NOT NULL").drop("_links", "_root").join(classes.select("_cid", "_v"), "_cid")
+    return once.where("_tile IS NULL").select("_cid", "_links", "_root").unionByName(again.groupBy("_tile").applyInArrow(_second_pass(threshold), "_cid long, _links long, _root long"))
 
 
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -163,7 +232,7 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     lengths = [(r["k"], r["count"]) for r in classes.groupBy(F.size("_v").alias("k")).count().orderBy("k").collect()]
     if not lengths:
         return held.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = saved(reduce(DataFrame.unionByName, [_tiled(classes.where(F.size("_v") == k), n, threshold) for k, n in lengths]), "vector-links")
+    found = saved(reduce(DataFrame.unionByName, [_tiled(classes.where(F.size("_v") == k), n, k, threshold) for k, n in lengths]), "vector-links")
     links = found.groupBy("_cid").agg(F.sum("_links").alias("_links"))
     linked = saved(components(found.select(F.col("_cid").alias("a"), F.col("_root").alias("b"))), "vector-components")
     roots = linked.join(classes.select("_cid", "_least"), F.col("node") == F.col("_cid")).groupBy("root").agg(F.min("_least").alias("_component"))

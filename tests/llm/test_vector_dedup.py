@@ -33,6 +33,7 @@ def brute(rows):
 @pytest.mark.parametrize("threshold_spread", [0.2, 0.45])
 def test_query_against_brute_force(spark, monkeypatch, threshold_spread):
     monkeypatch.setattr(vector_dedup, "BLOCK_ROWS", (8, 16))
+    monkeypatch.setattr(vector_dedup, "PIVOTS", (4, 8))
     monkeypatch.setattr(vector_dedup, "SUB", 7)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(9, 16))
@@ -51,10 +52,23 @@ def test_bound_holds_for_any_vectors():
         u = vector_dedup.unit(rng.standard_t(2, size=(300, 24)) * np.r_[np.full(3, scale), np.ones(21)])
         q, s, e = vector_dedup.quantise(u)
         assert np.abs(q).max() <= 127
+        q = q.astype(int)
         off = np.abs(u @ u.T - (q @ q.T).astype(float) * s[:, None] * s)
         assert (off <= e[:, None] * (1 + e) + e + 1e-12).all()
 
 
+def test_possible_pairs_hold_all_links_and_sure_ones_are():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 12))
+    u = vector_dedup.unit(centres[rng.integers(0, 6, 400)] + 0.3 * rng.normal(size=(400, 12)))
+    codes, links = vector_dedup.quantise(u), np.triu(u @ u.T >= 0.9, 1)
+    parts = list(vector_dedup.possible(codes, None))
+    i, j, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
+    seen = np.zeros_like(links)
+    seen[i, j] = True
+    assert (seen | ~links).all() and links[i[sure], j[sure]].all() and 0 < (~sure).sum() < len(i) / 2
+
+
 def test_empty_and_all_invalid(spark):
     schema = "vec_id long, embedding array<float>"
     assert vector_dedup.op5_query(spark.createDataFrame([], schema)).collect() == []
