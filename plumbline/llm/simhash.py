@@ -32,9 +32,10 @@ SEED = 42
 RADIUS = 2
 #: Sampled fingerprints from which the tree between shards is built, and how many of them a shard gets.
 SAMPLE = 1 << 18
-SHARD_SAMPLE = 16
-#: Distinct fingerprints that a shard should have, and above which it is split again.
-SHARD_ROWS = 2048
+SHARD_SAMPLE = 32
+#: Distinct fingerprints that a shard should have (each level of the tree copies boundaries, so shards are not small), and
+#: above which it is split again.
+SHARD_ROWS = 1 << 13
 MAX_SHARD_ROWS = 1 << 22
 #: Tiles up to this size are compared directly.
 TILE = 512
@@ -151,30 +152,42 @@ def _route(points: DataFrame, tree: VantageTree) -> DataFrame:
     return points.select("fp").mapInArrow(run, "fp long, shard long")
 
 
-def _sample(points: DataFrame, n: int) -> np.ndarray:
-    rows = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(n).collect()
+def _sample(points: DataFrame, n: int, total: int) -> np.ndarray:
+    """About ``n`` of the ``total`` distinct fingerprints, those of least hash; no task gathers more than its share."""
+    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) * F.lit(total)
+    rows = points.select("fp").where(part < F.lit(n << 40)).collect() if total > n else points.select("fp").collect()
     return np.array([r[0] for r in rows], np.int64).view(np.uint64)
 
 
+def _in_tiles(points: DataFrame, rows: int, first: int) -> tuple[DataFrame, int]:
+    """(points as the shards of all pairs of its blocks, numbered from ``first``; the next number) for what no vantage parts."""
+    blocks = -(-2 * rows // MAX_SHARD_ROWS)
+    own = F.pmod(F.xxhash64("fp", F.lit("block")), F.lit(blocks))
+    each = points.select("fp", own.alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_j"))
+    return each.select("fp", (F.lit(first) + F.least("_i", "_j") * blocks + F.greatest("_i", "_j")).alias("shard")), first + blocks * blocks
+
+
 def near_components(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) for the distinct fingerprints ``fp`` that link with another; exact for any sample.
 
-    The driver gets the sample (at most SAMPLE fingerprints) and a count for each shard that is too large.
+    The driver gets the sample (about SAMPLE fingerprints) and a count for each shard that is too large.
     """
-    shards = min(max(points.count() // SHARD_ROWS, 1), SAMPLE // SHARD_SAMPLE)
-    tree = VantageTree(_sample(points, shards * SHARD_SAMPLE), SHARD_SAMPLE, radius)
+    n = points.count()
+    shards = min(max(n // SHARD_ROWS, 1), SAMPLE // SHARD_SAMPLE)
+    tree = VantageTree(_sample(points, shards * SHARD_SAMPLE, n), SHARD_SAMPLE, radius)
     routed, parts, first = saved(_route(points, tree), "simhash-shards"), [], tree.shards
-    while large := [r["shard"] for r in routed.groupBy("shard").count().where(F.col("count") > MAX_SHARD_ROWS).collect()]:
-        parts.append(routed.where(~F.col("shard").isin(large)))
+    while large := {r["shard"]: r["count"] for r in routed.groupBy("shard").count().where(F.col("count") > MAX_SHARD_ROWS).collect()}:
+        parts.append(routed.where(~F.col("shard").isin(list(large))))
         rest = []
-        for shard in large:
+        for shard, rows in large.items():
             own = routed.where(F.col("shard") == shard)
-            deeper = VantageTree(_sample(own, SAMPLE), SHARD_SAMPLE, radius, first)
+            deeper = VantageTree(_sample(own, SAMPLE, rows), SHARD_SAMPLE, radius, first)
             if deeper.root is not None and deeper.root >= 0:
                 first = deeper.shards
                 rest.append(_route(own, deeper))
-            else:  # no vantage parts it: compared tile by tile in one task, 8 bytes a row
-                parts.append(own)
+            else:
+                tiles, first = _in_tiles(own, rows, first)
+                parts.append(tiles)
         if not rest:
             routed = None
             break

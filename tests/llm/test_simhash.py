@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import simhash
 
@@ -106,6 +107,19 @@ def test_large_shards_are_split_again(spark, monkeypatch):
     assert got == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
 
 
+def test_shards_that_no_vantage_parts_go_to_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MAX_SHARD_ROWS", 50)
+    monkeypatch.setattr(simhash, "split", lambda points, radius: None)
+    p = near_points(np.random.default_rng(5), 200, [7], 3)
+    got = {r.node: r.root for r in simhash.near_components(spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp long")).collect()}
+    groups = {}
+    for x, k in zip(p.view(np.int64).tolist(), brute_labels(p).tolist(), strict=True):
+        groups.setdefault(k, []).append(x)
+    assert got == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
+    tiles, following = simhash._in_tiles(spark.range(200).select(F.col("id").alias("fp")), 200, 5)
+    assert tiles.groupBy("shard").count().agg(F.max("count")).first()[0] < 200 and following == 5 + 64
+
+
 def test_repeats_null_ids_and_empty(spark):
     schema = "doc_id long, text string, n int"
     rows = [(5, "a b c", 1), (5, "a b c", 2), (None, "a b c", 3), (None, "q r s t u", 4), (3, None, 5), (9, "", 6)]
