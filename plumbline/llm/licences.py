@@ -39,6 +39,8 @@ KNOWN = [
     ("GPL-3.0-notice", [], "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0-notice", [], "Licensed under CC BY-NC 4.0."),
 ]
+#: A caller's table of digests is broadcast up to so many rows (about 15 MB).
+BROADCAST_KNOWN = 100_000
 #: Full texts by file, each named as its licence.
 FOLDER = Path(__file__).parent / "licence_texts"
 #: Licence identifiers of the files whose names are not theirs.
@@ -74,12 +76,13 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
 def scan(docs: DataFrame, text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """``docs`` with canonical_sha256 and license_id (null: not a known text). Columns of those names are replaced.
 
-    Every row gives one row, repeated or not. Null, empty and punctuation-only texts have a null digest and no
+    ``known`` is broadcast up to BROADCAST_KNOWN rows and shuffled beyond, where Spark splits digests that many rows
+    share. Every row gives one row, repeated or not. Null, empty and punctuation-only texts have a null digest and no
     licence. Only a text that is a licence as a whole is one; a licence line inside prose is not.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
+    known = F.broadcast(known_digests(docs.sparkSession)) if known is None else known if known.limit(BROADCAST_KNOWN + 1).count() > BROADCAST_KNOWN else F.broadcast(known)
     kept = docs.drop("canonical_sha256", "license_id").withColumn("canonical_sha256", digest(F.col(text)))
-    return kept.join(F.broadcast(known), F.col("canonical_sha256") == F.col("_known"), "left").drop("_known")
+    return kept.join(known, F.col("canonical_sha256") == F.col("_known"), "left").drop("_known")
 
 
 def op10_query(docs: DataFrame) -> DataFrame:

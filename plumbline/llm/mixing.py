@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
     Water filling in closed form: with sources sorted by cap over weight, the level at k is the total less the caps
     before k, over the weights from k on; sources stop at their cap while the level is above it. The level rises while
-    it is above a source's cap and falls from then on, so the first level within reach is the largest.
+    it is above a source's cap and falls from then on, so the first level within reach is the largest. The windows
+    hold one row a source in one task: the table grows with the number of sources, not of documents.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     by_ratio = W.orderBy("_ratio", F.col("source").asc_nulls_last())

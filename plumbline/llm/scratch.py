@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +12,15 @@ LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; set here only where the session has none."""
+    """The cluster's ``spark.checkpoint.dir``; set here only where a session on one machine has none.
+
+    On a cluster without that setting this raises: executors would write to disks that the others do not see.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +52,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+def kept_alone(make: Callable[[], DataFrame], name: str) -> Table:
+    """The result of ``make`` as a table, without the tables that were written on the way to it."""
+    before = list(_MADE)
+    out = Table(make(), name)
+    for made in [t for t in _MADE if t not in before and t is not out]:
+        made.drop()
+    return out
+
+
 def clear() -> None:
     """Removes all tables that this driver's operators have written; call it when their results are stored."""
     for made in list(_MADE):

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.scratch import saved
+from plumbline.llm.skew import join_counted
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (rule, verdict) of the registered query; a rule is a host followed by a path prefix.
@@ -41,8 +44,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
 
     A rule fits its host and all subdomains if the path starts with the rule's path, character by character; the
     longest rule wins, of equal strings the one that allows. Without a fitting rule: rule null, verdict ``default``.
-    Null or malformed URLs have empty host and path, which no rule fits. Repeated rows are judged alike; empty tables
-    on either side give no rows or no hits.
+    Null or malformed URLs have empty host and path, which no rule fits; they are set apart, and URLs that many pages
+    share meet their verdict by broadcast. Repeated rows are judged alike; empty tables on either side give no rows or
+    no hits.
     """
     digest = F.sha2(F.col("rule"), 256)
     best_of = rules.groupBy("rule").agg(F.min("verdict").alias("verdict"))  # 'allow' sorts before 'block'
@@ -56,13 +60,18 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    urls = placed.select("host", "path").distinct()
+    with_host = (F.col("host") != "") | (F.col("path") != "")
+    urls_of = placed.where(with_host).select("host", "path")
+    urls = urls_of.distinct()
     pairs = urls.select("host", "path", F.explode(F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))).alias("_expression"))
     full = F.sha2("_expression", 256)
     hits = pairs.select("host", "path", full.alias("_digest"), F.substring(full, 1, SHORT_HEX).alias("_short"))
     hits = hits.join(keyed, F.col("_short") == F.col("_rule_short")).where("_digest = _rule_digest")
     won = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("_won"))
-    out = placed.join(won, ["host", "path"], "left")
+    counted = urls_of.groupBy("host", "path").agg(F.count("*").alias("_n")).join(won, ["host", "path"], "left")
+    found = saved(counted.select(F.struct("host", "path").alias("_url"), "_n", "_won"), "url-verdicts")
+    out = join_counted(placed.where(with_host).withColumn("_url", F.struct("host", "path")), found, "_url").drop("_url")
+    out = out.unionByName(placed.where(~with_host).withColumn("_won", F.lit(None).cast(won.schema["_won"].dataType)))
     return out.withColumns({"rule": F.col("_won.rule"), "verdict": F.coalesce("_won.verdict", F.lit(default))}).drop("_won")
 
 

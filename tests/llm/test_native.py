@@ -181,6 +181,25 @@ def test_url_rules(spark):
     assert url_rules.op4_query(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_url_rules_without_rules_and_with_two_verdicts(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None), (3, "http://b.org")], "page_id long, url string")
+    none = url_rules.judge(pages, url_rules.rule_table(spark, []))
+    assert sorted((r.page_id, r.rule, r.verdict) for r in none.collect()) == [(1, None, "allow"), (2, None, "allow"), (3, None, "allow")]
+    twice = url_rules.judge(pages, url_rules.rule_table(spark, [("com/", "block"), ("com/", "allow"), ("a.com/x", "block"), ("a.com/x", "block")]))
+    assert sorted((r.page_id, r.rule, r.verdict) for r in twice.collect()) == [(1, "a.com/x", "block"), (2, None, "allow"), (3, None, "allow")]
+    same = url_rules.judge(pages, url_rules.rule_table(spark, [("com/", "block"), ("com/", "allow")]))
+    assert [(r.rule, r.verdict) for r in same.collect() if r.page_id == 1] == [("com/", "allow")]
+
+
+def test_very_long_texts_in_shards_and_mixes(spark):
+    long = "word " * 700_000
+    docs = spark.createDataFrame([(1, long, "a"), (2, "x y", "a"), (3, "z", "b"), (4, None, None)], "doc_id long, text string, source string")
+    shards = {r.doc_id: r for r in sharding.op6_query(docs).collect()}
+    assert shards[1].n_bytes == len(long) and shards[1].shard_docs == 1 and shards[2].shard_bytes <= sharding.LIMIT_BYTES
+    mix = {r.doc_id: r for r in mixing.op9_query(docs).collect()}
+    assert mix[1].size == 700_000 and mix[4].size == 0 and mix[3].target == 3.0 and all(r.taken <= 3 * r.size for r in mix.values())
+
+
 @pytest.mark.parametrize("limit", [60, 400, 10**6])
 def test_sharding(spark, limit):
     rng = random.Random(8)

@@ -9,7 +9,7 @@ from test_native import base
 from test_simhash import brute_components, brute_print
 from tokenizers import Tokenizer
 
-from plumbline.llm import mixing, packing, secrets
+from plumbline.llm import mixing, packing, scratch, secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -78,3 +78,22 @@ def test_stages_on_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_tables_on_the_way_are_dropped(spark, folder):
+    before = len(scratch._MADE)
+    corpus_pipeline.run(spark, folder)
+    assert len(scratch._MADE) - before <= 3  # the last stage's input and its own tables
+    scratch.clear()
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        conf = {}  # noqa: RUF012
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Cluster)
