@@ -76,22 +76,35 @@ def require_baseline(stored: DataFrame, fresh: DataFrame, digest: str, config: d
 
 @dataclass(frozen=True)
 class Profile:
-    """Chances of a mock system's branches; what is left is another answer."""
+    """Chances of a mock system's branches, what is left being another answer, and its ranges of confidence."""
 
     correct: float
     adjacent: float
     abstain: float
-    low: float = 0.4
-    high: float = 0.9
+    sure: tuple[float, float] = (0.4, 0.9)
+    unsure: tuple[float, float] = (0.4, 0.9)
 
 
-PROFILES = {"careful": Profile(0.5, 0.05, 0.35), "bold": Profile(0.55, 0.3, 0.02, 0.7, 1.0)}
+#: The profiles.
+PROFILES = {
+    "ungrounded": Profile(0.18, 0.60, 0.03, (0.72, 0.95), (0.62, 0.93)),
+    "pseudo_grounded": Profile(0.44, 0.34, 0.04, (0.75, 0.97), (0.68, 0.95)),
+    "grounded": Profile(0.80, 0.07, 0.07, (0.70, 0.96), (0.40, 0.75)),
+    "abstainer": Profile(0.0, 0.0, 1.0, (0.0, 0.1), (0.0, 0.1)),
+}
 
 
 def mock(items: DataFrame, profile: Profile, seed: int = 20260903, repeat: int = 0) -> DataFrame:
-    """(item_id, branch, confidence) by a hash of seed, repeat and id, whatever the order; rows are marked as mock."""
+    """(item_id, branch, text, confidence) by a hash of seed, repeat and id, whatever the order; rows are marked as mock.
+
+    items: item_id, correct_answer, adjacent_answer; a null answer is told as an empty text. A right answer is as sure
+    as the profile is when right, all others as it is when wrong.
+    """
     draw = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{repeat}|{salt}"), F.col("item_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     u = draw("branch")
     a, b, c = profile.correct, profile.correct + profile.adjacent, profile.correct + profile.adjacent + profile.abstain
     branch = F.when(u < a, "correct").when(u < b, "adjacent").when(u < c, "abstain").otherwise("other")
-    return items.select("item_id", branch.alias("branch"), (profile.low + draw("confidence") * (profile.high - profile.low)).alias("confidence"), F.lit(True).alias("is_mock"))
+    text = F.when(u < a, F.col("correct_answer")).when(u < b, F.col("adjacent_answer")).when(u < c, "I do not know.").otherwise("Another rule holds here.")
+    within = lambda ends: ends[0] + draw("confidence") * (ends[1] - ends[0])
+    confidence = F.when(u < a, within(profile.sure)).otherwise(within(profile.unsure))
+    return items.select("item_id", branch.alias("branch"), F.coalesce(text, F.lit("")).alias("text"), confidence.alias("confidence"), F.lit(True).alias("is_mock"))

@@ -48,8 +48,9 @@ def _baseline(s, d):
 
 
 def _mock(s, d):
-    items = table(s, d, "documents").select(F.col("doc_id").alias("item_id"))
-    return E.mock(items, E.PROFILES["bold"], repeat=1).select("item_id", "branch", F.round("confidence", 9).alias("confidence"), "is_mock")
+    items = table(s, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("correct_answer"), F.col("source").alias("adjacent_answer"))
+    each = [E.mock(items, p, repeat=1).withColumn("profile", F.lit(k)) for k, p in E.PROFILES.items()]
+    return reduce(DataFrame.unionByName, each).select("profile", "item_id", "branch", F.md5("text").alias("digest"), F.round("confidence", 9).alias("confidence"), "is_mock")
 
 
 def _intervals(s, d):
@@ -108,8 +109,11 @@ FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE role =
     "baseline_checks": """WITH d AS (SELECT doc_id AS i, doc_id % 10 NOT IN (1, 2) AS met, text FROM documents)
 SELECT 'mock' AS problem, count(*) FILTER (i % 50 = 0) AS n FROM d UNION ALL SELECT 'digest', count(*) FILTER (i % 9 = 0) FROM d UNION ALL SELECT 'missing', count(*) FILTER (NOT met) FROM d UNION ALL SELECT 'unknown', count(*) FILTER (NOT met) FROM d
 UNION ALL SELECT 'excerpt_drift', count(*) FILTER (met AND i % 8 = 0 AND text IS DISTINCT FROM 'x') FROM d UNION ALL SELECT 'score_drift', count(*) FILTER (met AND i % 12 = 0) FROM d UNION ALL SELECT 'duplicate', 0 FROM (SELECT 1)""",
-    "mock_responses": f"""WITH u AS (SELECT doc_id, {U.format('branch')} AS u, {U.format('confidence')} AS c FROM documents)
-SELECT doc_id AS item_id, CASE WHEN u < 0.55::DOUBLE THEN 'correct' WHEN u < 0.55::DOUBLE + 0.3::DOUBLE THEN 'adjacent' WHEN u < 0.55::DOUBLE + 0.3::DOUBLE + 0.02::DOUBLE THEN 'abstain' ELSE 'other' END AS branch, round(0.7 + c * (1.0::DOUBLE - 0.7::DOUBLE), 9) AS confidence, true AS is_mock FROM u""",
+    "mock_responses": f"""WITH p(profile, a, b, c, s0, s1, u0, u1) AS (VALUES {', '.join(f"('{k}', {p.correct}::DOUBLE, {p.correct}::DOUBLE + {p.adjacent}::DOUBLE, {p.correct}::DOUBLE + {p.adjacent}::DOUBLE + {p.abstain}::DOUBLE, {p.sure[0]}::DOUBLE, {p.sure[1]}::DOUBLE, {p.unsure[0]}::DOUBLE, {p.unsure[1]}::DOUBLE)" for k, p in E.PROFILES.items())}),
+d AS (SELECT doc_id, text, source, {U.format('branch')} AS u, {U.format('confidence')} AS x FROM documents),
+r AS (SELECT *, CASE WHEN u < a THEN 'correct' WHEN u < b THEN 'adjacent' WHEN u < c THEN 'abstain' ELSE 'other' END AS branch FROM d CROSS JOIN p)
+SELECT profile, doc_id AS item_id, branch, md5(coalesce(CASE branch WHEN 'correct' THEN text WHEN 'adjacent' THEN source WHEN 'abstain' THEN 'I do not know.' ELSE 'Another rule holds here.' END, '')) AS digest,
+  round(CASE WHEN branch = 'correct' THEN s0 + x * (s1 - s0) ELSE u0 + x * (u1 - u0) END, 9) AS confidence, true AS is_mock FROM r""",
     "summary_intervals": f"""WITH {SCORES_SQL}, sv AS (SELECT arm, family, 'accuracy' AS metric, correct::INT::DOUBLE AS v FROM scores WHERE item_type = 'factual' UNION ALL SELECT arm, family, 'adjacent', (outcome = 'adjacent_substitution')::INT FROM scores WHERE item_type = 'factual'
 UNION ALL SELECT arm, family, 'clause', (citation_grade = 'correct_clause')::INT FROM scores UNION ALL SELECT arm, family, 'utility', CASE WHEN outcome = 'abstained' AND abstention_acceptable THEN 0.9 WHEN outcome = 'correct' THEN 1 WHEN outcome = 'abstained' THEN 0.25
   WHEN outcome = 'other_incorrect' THEN -0.5 WHEN outcome = 'adjacent_substitution' THEN -1 ELSE 0 END FROM scores), {_boot('sv', 'arm, metric', DRAWS)}

@@ -29,9 +29,11 @@ def test_sound_baseline_has_no_problems(spark):
 
 
 def test_mock_is_order_independent(spark):
-    items = spark.range(300).withColumnRenamed("id", "item_id")
-    a, b = (sorted(map(tuple, evidence.mock(x, evidence.PROFILES["careful"]).collect())) for x in (items, items.orderBy(F.desc("item_id"))))
-    assert a == b and 0.4 < sum(r[1] == "correct" for r in a) / 300 < 0.6 and all(0.4 <= r[2] <= 0.9 and r[3] for r in a)
+    items = spark.range(300).select(F.col("id").alias("item_id"), F.lit("right").alias("correct_answer"), F.lit(None).cast("string").alias("adjacent_answer"))
+    a, b = (sorted(map(tuple, evidence.mock(x, evidence.PROFILES["pseudo_grounded"]).collect())) for x in (items, items.orderBy(F.desc("item_id"))))
+    assert a == b and 0.34 < sum(r[1] == "correct" for r in a) / 300 < 0.54 and all(0.68 <= r[3] <= 0.97 and r[4] for r in a)
+    assert {r[2] for r in a if r[1] == "correct"} == {"right"} and {r[2] for r in a if r[1] == "adjacent"} == {""}
+    assert {r.branch for r in evidence.mock(items, evidence.PROFILES["abstainer"]).collect()} == {"abstain"}
 
 
 def test_running_sums_over_buckets(spark):
