@@ -7,12 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where checkpoints go when the session names no folder (tests on one machine).
+#: Where tables go when the session names no folder (tests on one machine).
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; set here only where a session on one machine has none.
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where a session on one machine has none.
 
     On a cluster without that setting this raises: executors would write to disks that the others do not see.
     """
@@ -21,8 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        found = LOCAL_DEFAULT
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = LOCAL_DEFAULT  # a running session does not let the setting be changed
     return found.rstrip("/")
 
 
