@@ -66,6 +66,26 @@ def contains(text: Column, phrase: str) -> Column:
     return text.rlike(phrase_pattern(phrase)) if phrase.strip() else F.lit(False)
 
 
+def phrase_spans(text: Column, phrase: str) -> Column:
+    """[(start, end)] of a phrase's occurrences in normal text, from 0, ends exclusive; a blank phrase or null text has none."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    if not phrase.strip():
+        return none
+    pattern = phrase_pattern(phrase)
+    # the text between and the occurrences alternate, so running lengths are the spans
+    between = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def step(held: Column, pair: Column) -> Column:
+        begin = held["at"] + F.length(pair["gap"])
+        end = begin + F.length(pair["hit"])
+        return F.struct(end.alias("at"), F.concat(held["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
+
+    pairs = F.transform(found, lambda hit, i: F.struct(F.get(between, i).alias("gap"), hit.alias("hit")))
+    return F.coalesce(F.aggregate(pairs, start, step, lambda held: held["spans"]), none)
+
+
 def contains_any(text: Column, phrases: list[str]) -> Column:
     """One pattern for all phrases, compiled once a task."""
     some = [phrase_pattern(p) for p in phrases if p.strip()]

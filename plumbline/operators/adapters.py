@@ -51,9 +51,18 @@ def retrieved(items: DataFrame, top: DataFrame, passages: DataFrame) -> DataFram
     return out.drop("confidence").join(rows.select("item_id", F.round("score", 4).alias("confidence")), "item_id").select("item_id", "text", "citations", "confidence", "latency_s", "error")
 
 
+def wait(tried: int, told: str | float | None = None, first: float = 1.0, most: float = 32.0) -> float:
+    """Seconds until the next try: what the other side tells if that is a number, else doubling; never above ``most``."""
+    try:
+        return min(float(told), most)
+    except (TypeError, ValueError):
+        return min(first * 2**tried, most)
+
+
 def external(items: DataFrame, ask: Callable[[dict], dict], tries: int = 1, first_wait: float = 1.0, most_wait: float = 32.0) -> DataFrame:
     """Responses of ``ask(item) -> {item_id, text, citations, confidence}``, with latency; waits double between tries.
 
+    An exception with ``retry_after`` (seconds) says itself how long to wait.
     Rows are asked one after another within a task, tasks side by side; nothing is gathered on the driver.
     """
     schema = RESPONSE.format(id=dict(items.dtypes)["item_id"])
@@ -70,7 +79,7 @@ def external(items: DataFrame, ask: Callable[[dict], dict], tries: int = 1, firs
                     except Exception as e:  # the system's failure is its row's outcome
                         error = f"{type(e).__name__}: {e}"
                         if n + 1 < tries:
-                            time.sleep(min(first_wait * 2**n, most_wait))
+                            time.sleep(max(0.0, wait(n, getattr(e, "retry_after", None), first_wait, most_wait)))
                 if reply.get("item_id", item["item_id"]) != item["item_id"]:
                     raise ValueError(f"asked {item['item_id']}, answered {reply['item_id']}")
                 out.append((item["item_id"], reply.get("text", ""), list(reply.get("citations", [])), reply.get("confidence"), time.perf_counter() - began, error))
