@@ -56,6 +56,13 @@ def _coverage(s, d):
     return _covered(s, d).select("query_id", "doc_id", "rank", F.round("coverage", 6).alias("coverage"))
 
 
+def _answers(s, d):
+    queries = _tables(s, d)[1]
+    passages = table(s, d, "documents").select("doc_id", F.col("lang").alias("standard"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("clause"), F.col("source").alias("title"), F.col("text").alias("anchor"))
+    said = R.answers(_covered(s, d), queries.select("query_id", F.col("text").alias("query")), passages, "none")
+    return said.select("query_id", "decision", "text", F.size("citations").alias("n_citations"), "confidence", F.get_json_object("audit", "$.answer_sha256").alias("answer_sha256"))
+
+
 def _sweep(s, d):
     docs, queries, _ = _tables(s, d)
     hits = _covered(s, d).where("rank = 1")
@@ -92,6 +99,7 @@ QUERIES = {
     "rrf_fusion": _rrf,
     "evidence_coverage": _coverage,
     "assistant_decision": lambda s, d: R.decide(_covered(s, d)),
+    "assistant_answers": _answers,
     "threshold_sweep": _sweep,
     "span_merge": _spans,
 }
@@ -126,6 +134,11 @@ fu AS (SELECT query_id, doc_id, a, 1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 +
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, a) AS rank, doc_id, round(score, 9) AS score FROM fu QUALIFY rank <= 3""",
     "evidence_coverage": f"{BASE}, {PLUS}, {COVER} SELECT query_id, doc_id, rank, coverage FROM cv",
     "assistant_decision": f"{BASE}, {PLUS}, {COVER} SELECT query_id, doc_id, coverage, CASE WHEN coverage >= 0.3 THEN 'answer' ELSE 'abstain' END AS decision FROM cv WHERE rank = 1",
+    "assistant_answers": f"""{BASE}, {PLUS}, {COVER}, be AS (SELECT b.item_id AS query_id, coalesce(coverage, 0.0) AS confidence, coverage >= 0.3 AS yes, coalesce(lang, '') AS st, 'document ' || doc_id AS cl, coalesce(source, '') AS ti, coalesce(d.text, '') AS an
+FROM benchmark b LEFT JOIN cv ON query_id = item_id AND rank = 1 LEFT JOIN documents d USING (doc_id)),
+sa AS (SELECT query_id, confidence, coalesce(yes, false) AS yes, CASE WHEN yes THEN st || ' (' || cl || ', ' || ti || ') states: "' || an || '" [1] Source: ' || st || ', ' || cl || '.'
+ELSE 'I cannot answer this from the governed corpus: the retrieved evidence is insufficient (evidence coverage ' || printf('%.2f', confidence) || ' < threshold 0.30). No source is cited.' END AS text FROM be)
+SELECT query_id, CASE WHEN yes THEN 'answer' ELSE 'abstain' END AS decision, text, yes::INT AS n_citations, confidence, sha256(text) AS answer_sha256 FROM sa""",
     "threshold_sweep": f"""{BASE}, {PLUS}, {COVER}, be AS (SELECT coverage, contains(d.text, b.text) AS ok FROM cv JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank = 1)
 SELECT threshold::DOUBLE AS threshold, count(*) AS n, count(*) FILTER (coverage >= threshold) AS answered, round(avg((coverage >= threshold AND ok)::INT), 9) AS accuracy, round(avg(ok::INT) FILTER (coverage >= threshold), 9) AS precision_answered
 FROM be, (VALUES (0.0), (0.2), (0.3), (0.4), (0.5), (0.6)) AS v(threshold) GROUP BY threshold""",
