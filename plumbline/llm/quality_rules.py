@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.draw import drawn
 from plumbline.llm.scratch import Table
 from plumbline.llm.words import words
 
@@ -109,10 +110,8 @@ def sample(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Data
 
     Only rows that pass the base are in it, as the cascade asks its rules about no others.
     """
-    n = docs.count()
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("sample")), F.lit(1 << 40))
-    drawn = docs.select(F.col(text).alias("text")).where(place * F.lit(n) < F.lit(rows << 40)) if n > rows else docs.select(F.col(text).alias("text"))
-    return features(drawn).where(~base_failed())
+    texts = drawn(docs, rows, docs.count(), F.monotonically_increasing_id(), F.lit("sample")).select(F.col(text).alias("text"))
+    return features(texts).where(~base_failed())
 
 
 def estimate(sampled: DataFrame, rules: list[Rule], text: str = "text") -> list[tuple[str, float, float]]:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import licences, mixing, quality_rules, sharding, url_rules
+from plumbline.llm import draw, licences, mixing, quality_rules, sharding, url_rules
 
 PYTHON = ("PythonUDF", "ArrowEval", "MapInPandas", "MapInArrow", "BatchEvalPython")
 
@@ -97,6 +97,21 @@ def test_sample_is_from_all_partitions(spark):
     assert len(rows) == 8 and 250 < sum(r["count"] for r in rows) < 550
 
 
+def test_draws_of_any_count(spark):
+    """A count of 10^10 rows or of none draws its share without overflow; 20 million rows draw about what is asked for."""
+    assert draw.share(512, 10**10) == -(-(512 << 40) // 10**10) and draw.share(5, 0) == draw.share(9, 3) == draw.SPACE
+    rows = spark.range(20_000_000)
+    assert draw.drawn(rows, 512, 10**10, F.col("id")).count() < 30
+    assert 300 < draw.drawn(rows, 512, 20_000_000, F.col("id")).count() < 800
+    assert draw.drawn(rows, 20_000_000, 20_000_000, F.col("id")) is rows
+
+
+def test_sample_of_many_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(60)),)], "text string")
+    monkeypatch.setattr(type(docs), "count", lambda self: 10**10)
+    assert len(quality_rules.sample(docs).collect()) <= 1
+
+
 def test_quality_empty(spark):
     assert quality_rules.op1_query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
