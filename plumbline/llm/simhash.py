@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.components import Forest, components
+from plumbline.llm.draw import drawn
 from plumbline.llm.scratch import saved
 from plumbline.llm.skew import join_counted
 
@@ -154,8 +155,7 @@ def _route(points: DataFrame, tree: VantageTree) -> DataFrame:
 
 def _sample(points: DataFrame, n: int, total: int) -> np.ndarray:
     """About ``n`` of the ``total`` distinct fingerprints, those of least hash; no task gathers more than its share."""
-    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) * F.lit(total)
-    rows = points.select("fp").where(part < F.lit(n << 40)).collect() if total > n else points.select("fp").collect()
+    rows = drawn(points.select("fp"), n, total, F.col("fp")).collect()
     return np.array([r[0] for r in rows], np.int64).view(np.uint64)
 
 

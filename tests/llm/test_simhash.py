@@ -120,6 +120,12 @@ def test_shards_that_no_vantage_parts_go_to_tiles(spark, monkeypatch):
     assert tiles.groupBy("shard").count().agg(F.max("count")).first()[0] < 200 and following == 5 + 64
 
 
+def test_sample_of_many_fingerprints(spark):
+    points = spark.range(1 << 16).select(F.xxhash64("id").alias("fp"))
+    assert len(simhash._sample(points, 1 << 18, 10**10)) < 30
+    assert 400 < len(simhash._sample(points, 512, 1 << 16)) < 650
+
+
 def test_repeats_null_ids_and_empty(spark):
     schema = "doc_id long, text string, n int"
     rows = [(5, "a b c", 1), (5, "a b c", 2), (None, "a b c", 3), (None, "q r s t u", 4), (3, None, 5), (9, "", 6)]
