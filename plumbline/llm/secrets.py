@@ -38,7 +38,12 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=
 TOKEN_ENTROPY = 3.5
 IDENTIFIER = re.compile(r"""(?ai:(?:user|user_?name|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.A)
 IDENTIFIER_HINTS = ("user", "login", "account", "client", "access")
-ENDPOINT = re.compile(r"""(?a:[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.:/-]+)""", re.A)
+#: An endpoint is a URL (found by what follows its scheme, see ``endpoints``) or a host that is assigned.
+AFTER_SCHEME = re.compile(r"""://[^\s"'<>]{4}""", re.A)
+URL_REST = re.compile(r"""[^\s"'<>]*""", re.A)
+HOST = re.compile(r"""(?ai:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.:/-]+""", re.A)
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+SCHEME = LETTERS | frozenset("0123456789+.-")
 ENDPOINT_HINTS = ("://", "host", "endpoint", "server")
 
 #: What parts two scopes: a line with nothing but blanks.
@@ -81,6 +86,36 @@ class _Starts:
         return k > 0 and self.ends[k - 1] > low
 
 
+def _url(text: str, at: int) -> tuple[int, int] | None:
+    """The first URL at or after ``at``. Its scheme is read backwards from its ://, so each character of a run is read once."""
+    m = AFTER_SCHEME.search(text, at)
+    while m:
+        k, start = m.start(), None
+        while k > at and text[k - 1] in SCHEME:
+            k -= 1
+            if text[k] in LETTERS:
+                start = k
+        if start is not None:
+            return start, URL_REST.match(text, m.end()).end()
+        m = AFTER_SCHEME.search(text, m.start() + 3)
+    return None
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs and assigned hosts, leftmost and non-overlapping, in time that follows the text's length."""
+    out, at = [], 0
+    url, host = _url(text, 0), HOST.search(text)
+    while url or host:
+        first = url if url and (not host or url[0] <= host.start()) else host.span()
+        out.append(first)
+        at = first[1]
+        if url and url[0] < at:
+            url = _url(text, at)
+        if host and host.start() < at:
+            host = HOST.search(text, at)
+    return out
+
+
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     """Weak candidates whose complements co-occur in their scope. Candidates that overlap a strong span are part of it."""
     low = text.lower()
@@ -95,7 +130,7 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     secrets = [(m.start(), m.end()) for m in TOKEN.finditer(text) if free(m.start(), m.end()) and not taken.meets(m.start(), m.end()) and _random_looking(m[0])]
     if not (secrets or strong_secrets):
         return []
-    endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text) if free(m.start(), m.end())] if any(h in low for h in ENDPOINT_HINTS) else []
+    at_hosts = [x for x in endpoints(text) if free(*x)] if any(h in low for h in ENDPOINT_HINTS) else []
     breaks = [m.start() for m in BLANK_LINE.finditer(text)]
     all_ids, all_secrets = _Starts(identifiers + strong_identifiers), _Starts(secrets + strong_secrets)
 
@@ -105,7 +140,7 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
 
     out = [(s, e, "weak_secret") for s, e in secrets if all_ids.meets(*scope(s, e))]
     out += [(s, e, "weak_identifier") for s, e in identifiers if all_secrets.meets(*scope(s, e))]
-    out += [(s, e, "weak_endpoint") for s, e in endpoints if all_ids.meets(*scope(s, e)) and all_secrets.meets(*scope(s, e))]
+    out += [(s, e, "weak_endpoint") for s, e in at_hosts if all_ids.meets(*scope(s, e)) and all_secrets.meets(*scope(s, e))]
     return out
 
 

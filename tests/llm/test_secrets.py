@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from plumbline.llm import secrets
 
@@ -53,6 +54,32 @@ def test_weak_candidates_need_their_complements():
     assert kinds("user = alice deadbeef01deadbeef01") == ["weak_identifier"]  # a strong secret completes it
 
 
+#: Endpoints as one pattern, which takes quadratic time on long runs of letters.
+ENDPOINT = re.compile(r"""(?a:[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9.:/-]+)""", re.A)
+
+
+def test_endpoints_against_the_pattern():
+    rng = random.Random(9)
+    parts = ["a", "Z", "9", "+", ".", "-", "://", ":", "/", "host", "Server=", "endpoint: ", "=", "a.b", "http", "<", "'", " ", "\n", "é", "wxyz"]
+    seen = 0
+    for _ in range(30000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = [m.span() for m in ENDPOINT.finditer(text)]
+        assert secrets.endpoints(text) == want, text
+        seen += bool(want)
+    assert seen > 2000
+
+
+def test_long_runs_take_linear_time():
+    around = f"user: bob_smith host=db.example.org password=abcdefgh12345 {WEAK} "
+    want = [k for _, _, k in secrets.find(around)[1]]
+    for run in ("a" * 10_000_000, "0" * 10_000_000, "deadbeef01" * 1_000_000, ".-+" * 3_000_000, "://" * 2_000_000, "a://" * 1_000_000, "host" * 1_000_000, "host:" * 500_000, "user" * 1_000_000, "\n " * 500_000, "A" * 5_000_000):
+        began = time.process_time()
+        found = secrets.find(around + run)[1]
+        assert time.process_time() - began < 15, run[:12]
+        assert [k for _, _, k in found][: len(want)] == want or "\n" in run
+
+
 def brute_weak(text):
     """Weak spans paragraph by paragraph, every part against every other; no span reaches over a line's end."""
     out, at = [], 0
@@ -62,7 +89,7 @@ def brute_weak(text):
         clear = lambda m, taken: not any(s < m.end() and m.start() < e for s, e, *_ in taken)
         ids = [m for m in secrets.IDENTIFIER.finditer(part) if clear(m, strong)]
         tokens = [m for m in secrets.TOKEN.finditer(part) if clear(m, strong) and clear(m, [i.span() for i in ids]) and secrets._random_looking(m[0])]
-        ends = [m for m in secrets.ENDPOINT.finditer(part) if clear(m, strong)]
+        ends = [m for m in ENDPOINT.finditer(part) if clear(m, strong)]
         has_id = bool(ids) or any(k == "access" for *_, k in strong)
         has_secret = bool(tokens) or any(k != "access" for *_, k in strong)
         for kind, found, linked in (("weak_secret", tokens, has_id), ("weak_identifier", ids, has_secret), ("weak_endpoint", ends, has_id and has_secret)):
