@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import Forest, components
+from plumbline.llm.draw import drawn
 from plumbline.llm.scratch import saved
 from plumbline.llm.skew import join_counted
 
@@ -160,8 +161,8 @@ def _tiled(classes: DataFrame, n: int, size: int, threshold: float) -> DataFrame
     most = max(1, min(BLOCK_ROWS[1], BLOCK_BYTES // size))
     rows = max(min(most, max(BLOCK_ROWS[0], n // MIN_BLOCKS)), -(-n // (MAX_BLOCKS - PIVOTS[1])))
     n_pivots = min(PIVOTS[1], max(PIVOTS[0], int((n / 1024) ** 0.5)))
-    picked = classes.orderBy(F.xxhash64("_v"), "_cid").limit(n_pivots).select("_v").collect()  # PIVOTS[1] at most
-    pivots = unit(np.array([r[0] for r in picked], np.float64))
+    picked = drawn(classes.select("_v"), 4 * n_pivots, n, F.col("_v")).collect() or classes.select("_v").limit(1).collect()  # about 4 * PIVOTS[1] at most
+    pivots = unit(np.array(sorted(r[0] for r in picked)[:: max(1, len(picked) // n_pivots)][:n_pivots], np.float64))
     n_pivots = len(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
