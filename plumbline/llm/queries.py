@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import licences, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
+from plumbline.llm import centroids, licences, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
 from plumbline.session import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_lm_scores": lambda s, d: lm_scoring.op8_query(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
         "op10_licences": lambda s, d: licences.op10_query(table(s, d, "documents")),
+        "op11_centroids": lambda s, d: centroids.op11_query(table(s, d, "embeddings")),
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_sharding": sharding.OP6_SQL,
         "op9_mixing": mixing.OP9_SQL,
         "op10_licences": licences.op10_sql(),
+        "op11_centroids": centroids.op11_sql(),
     }
