@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import centroids, licences, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
+from plumbline.llm import centroids, filter_audit, licences, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
 from plumbline.session import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_mixing": lambda s, d: mixing.op9_query(table(s, d, "documents")),
         "op10_licences": lambda s, d: licences.op10_query(table(s, d, "documents")),
         "op11_centroids": lambda s, d: centroids.op11_query(table(s, d, "embeddings")),
+        "op12_filter_audit": lambda s, d: filter_audit.op12_query(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_mixing": mixing.OP9_SQL,
         "op10_licences": licences.op10_sql(),
         "op11_centroids": centroids.op11_sql(),
+        "op12_filter_audit": filter_audit.OP12_SQL,
     }
