@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import centroids, filter_audit, licences, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
+from plumbline.llm import centroids, filter_audit, licences, lm_scoring, mixing, multi_index, packing, quality_rules, secrets, sharding, simhash, url_rules, vector_dedup
 from plumbline.session import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_licences": lambda s, d: licences.op10_query(table(s, d, "documents")),
         "op11_centroids": lambda s, d: centroids.op11_query(table(s, d, "embeddings")),
         "op12_filter_audit": lambda s, d: filter_audit.op12_query(table(s, d, "documents"), table(s, d, "labels")),
+        "op13_neighbours": lambda s, d: multi_index.op13_query(table(s, d, "embeddings")),
     }
 
 
