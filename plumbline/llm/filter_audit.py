@@ -2,9 +2,10 @@
 
 Texts are routed by fingerprint: documents go to the partition of their text's xxhash, where equal hashes form a chain of
 (full text, least id), so texts are told apart by themselves and a hash collision only makes a chain longer. A row whose
-text a smaller id has is a duplicate. Map tasks keep such chains too and send each distinct text once, with its least id;
-their other rows are settled there and travel without text. So a text that a third of all rows share arrives once a map
-task, and a task holds the distinct texts of its own partition, never a group of copies.
+text a smaller id has is a duplicate. Map tasks keep such chains too and send each distinct text once (a bounded amount
+of text at a time), with its least id; their other rows are settled there and travel without text. So a text that a third
+of all rows share arrives a few times from a map task, and a task holds the distinct texts of its own partition, never a
+group of copies.
 
 Which filters a document fails is a mask of bits. Masks meet the labels by id, and combineByKey merges them into count
 vectors, one number a mask, for each part. All orders follow from a part's vector alone: a filter removes what fails it
@@ -18,10 +19,14 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from plumbline.llm.scratch import saved
 
 UPPER, MARKS = bytes(range(65, 91)), b"#$%&*|"
 
@@ -34,6 +39,8 @@ FILTERS: dict[str, Callable[[str, bytes, list[bytes]], bool]] = {
 }
 #: The filter that fails a text which a smaller id has too.
 DUPLICATE = "E"
+#: Characters of text that a map task's chains hold before it sends them, and that it sends at once.
+HELD, SENT = 1 << 26, 1 << 22
 #: With more filters the n! orders would be too many rows.
 MOST_FILTERS = 7
 
@@ -76,24 +83,45 @@ class Chains:
         return ((key, link) for key, chain in self.by_print.items() for link in chain)
 
 
-def _sent(filters: list[Callable], digest: Callable[[str], int], duplicate: int):
-    """Map side: (fingerprint, (text, id, mask, parts)) for least ids, (spread key, (None, id, mask, parts)) for settled rows."""
-
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        chains, settled = Chains(), Counter()
-        for doc, part, text in rows:
-            text, part = text or "", part or ""
-            mask = fails(text, filters)
-            if doc is None:  # no id is smaller than none, nor none than any
-                settled[part, mask] += 1
-                continue
-            late = chains.add(digest(text), text, doc, mask, {part: 1})
-            if late:
-                yield fingerprint(str(late[0])), (None, late[0], late[1] | duplicate, late[2])
-        for (part, mask), n in settled.items():
-            yield fingerprint(part), (None, None, mask, {part: n})
-        for key, link in chains.links():
-            yield key, tuple(link)
+def _sent(filters: list[Callable], digest: Callable[[str], int], duplicate: int, schema: pa.Schema):
+    """Map side: rows (key, text, id, part, mask, n), with the text for least ids and without it for settled rows."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def links(chains: Chains) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for key, (text, doc, mask, parts) in chains.links():
+            rows += [(key, text, doc, part, mask, n) for part, n in parts.items()]
+            size += len(text)
+            if size > SENT:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains, nameless, held = Chains(), Counter(), 0
+        for b in batches:
+            done = []
+            for doc, part, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text, part = text or "", part or ""
+                mask = fails(text, filters)
+                if doc is None:  # no id is smaller than none, nor none than any
+                    nameless[part, mask] += 1
+                    continue
+                if late := chains.add(digest(text) >> 1, text, doc, mask, {part: 1}):
+                    done += [(fingerprint(str(late[0])) >> 1, None, late[0], p, late[1] | duplicate, n) for p, n in late[2].items()]
+                else:
+                    held += len(text)
+            if done:
+                yield batch(done)
+            if held > HELD:  # the reduce side takes any number of links of a text
+                yield from links(chains)
+                chains, held = Chains(), 0
+        if nameless:
+            yield batch([(fingerprint(part) >> 1, None, None, part, mask, n) for (part, mask), n in nameless.items()])
+        yield from links(chains)
 
     return run
 
@@ -104,10 +132,10 @@ def _settled(duplicate: int):
     def run(arrived: Iterable[tuple]) -> Iterator[tuple]:
         chains = Chains()
         rows = lambda doc, mask, parts: ((doc, p, mask, n) for p, n in parts.items())
-        for key, (text, doc, mask, parts) in arrived:
+        for key, (text, doc, part, mask, n) in arrived:
             if text is None:
-                yield from rows(doc, mask, parts)
-            elif late := chains.add(key, text, doc, mask, parts):
+                yield doc, part, mask, n
+            elif late := chains.add(key, text, doc, mask, {part: n}):
                 yield from rows(late[0], late[1] | duplicate, late[2])
         for _, (_, doc, mask, parts) in chains.links():
             yield from rows(doc, mask, parts)
@@ -116,16 +144,20 @@ def _settled(duplicate: int):
 
 
 def masks(docs: DataFrame, id_col: str, part: str, text: str, filters: list[Callable], digest: Callable[[str], int] = fingerprint) -> DataFrame:
-    """(_id, part, mask, n): how many rows of an id and part have that mask; the duplicate filter is the highest bit."""
-    duplicate = 1 << len(filters)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(part).cast("string").alias("part"), F.col(text).alias("text"))
-    source = rows.rdd.map(tuple)
-    partitions = max(source.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    routed = source.mapPartitions(_sent(filters, digest, duplicate)).partitionBy(partitions, lambda key: key)
-    found = routed.mapPartitions(_settled(duplicate), preservesPartitioning=True)
-    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType())])
+    """(_id, part, mask, n): how many rows of an id and part have that mask; the duplicate filter is the highest bit.
+
+    What the map side sends is written, so a task that is run again cannot settle other rows than those already read.
+    """
+    spark, duplicate = docs.sparkSession, 1 << len(filters)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(part).cast("string").alias("part"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["_id"].dataType
+    sent = T.StructType([T.StructField("key", T.LongType()), T.StructField("text", T.StringType()), T.StructField("_id", kind), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType())])
+    source = saved(rows.mapInArrow(_sent(filters, digest, duplicate, to_arrow_schema(sent)), sent), "audit-sent").rdd.map(lambda r: (r[0], tuple(r[1:])))
+    partitions = max(source.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = source.partitionBy(partitions, lambda key: key).mapPartitions(_settled(duplicate), preservesPartitioning=True)
+    schema = T.StructType([sent["_id"], sent["part"], sent["mask"], sent["n"]])
     # ids that repeat, and null, meet the labels as one row a part and mask
-    return docs.sparkSession.createDataFrame(found, schema, verifySchema=False).groupBy("_id", "part", "mask").agg(F.sum("n").alias("n"))
+    return spark.createDataFrame(found, schema, verifySchema=False).groupBy("_id", "part", "mask").agg(F.sum("n").alias("n"))
 
 
 def report(letters: str, vector: np.ndarray) -> Iterator[tuple]:

@@ -3,6 +3,7 @@ import re
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import filter_audit
@@ -61,12 +62,19 @@ def test_query_against_brute_force(spark, digest):
     assert len(got) == len(found) and got == brute(docs, labels)
 
 
-def test_copies_are_settled_where_they_are_read():
+def test_copies_are_settled_where_they_are_read(monkeypatch):
     """A map task sends one text for a group of copies, whatever its size; chains tell colliding texts apart."""
-    rows = [(i, "en", "copy") for i in range(500, 0, -1)] + [(0, "en", "other"), (7, "de", None)]
-    sent = list(filter_audit._sent([], lambda text: 3, 1)(rows))
-    assert sorted(v[:2] for _, v in sent if v[0] is not None) == [("", 7), ("copy", 1), ("other", 0)]
-    assert sorted(v[1] for _, v in sent if v[0] is None) == list(range(2, 501))
+    rows = [(i, "en", "copy") for i in range(500, 0, -1)] + [(0, "en", "other"), (7, "de", None), (None, "en", "copy")]
+    schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("_id", "part", "text"), r, strict=True)) for r in rows[k : k + 100]]) for k in range(0, 503, 100)]
+    run = lambda: [r for b in filter_audit._sent([], lambda text: 3, 1, schema)(iter(batches)) for r in b.to_pylist()]
+    sent = run()
+    assert sorted((r["text"], r["_id"]) for r in sent if r["text"] is not None) == [("", 7), ("copy", 1), ("other", 0)]
+    assert sorted(r["_id"] for r in sent if r["text"] is None and r["_id"]) == list(range(2, 501))
+    assert [(r["mask"], r["n"]) for r in sent if r["_id"] is None] == [(0, 1)]
+    monkeypatch.setattr(filter_audit, "HELD", 3)
+    monkeypatch.setattr(filter_audit, "SENT", 3)
+    assert sorted(r["_id"] for r in run() if r["text"] == "copy") == [1, 101, 201, 301, 401]
 
 
 def test_vectors_of_a_part():
