@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators import significance
+
 #: Utility of each outcome by policy; abstained_acceptable is for items that may be declined.
 POLICIES = {
     "safety": {"correct": 1.0, "abstained": 0.25, "abstained_acceptable": 0.9, "other_incorrect": -0.5, "adjacent_substitution": -1.0, "unscorable": 0.0},
@@ -118,6 +120,24 @@ def arm_summary(scores: DataFrame) -> DataFrame:
     return out.withColumns({"wilson_low": low, "wilson_high": high}).drop("_k")
 
 
+def summarize(scores: DataFrame, policy: str = "safety", cluster: str = "family", n_draws: int = significance.DRAWS, seed: int = significance.SEED) -> DataFrame:
+    """``arm_summary`` with n_items, the mean utility of a policy, and cluster intervals of the headline rates.
+
+    accuracy and adjacent are over factual rows, clause and utility over all. The four are sums of one row a cluster
+    and share their draws: scores are read once for the intervals, whatever their number.
+    """
+    fact = F.col("item_type") == "factual"
+    values = {
+        "accuracy": F.when(fact, F.col("correct").cast("double")), "adjacent": F.when(fact, (F.col("outcome") == "adjacent_substitution").cast("double")),
+        "clause": (F.col("citation_grade") == "correct_clause").cast("double"), "utility": utility(policy),
+    }
+    long = significance.bootstrap(scores, ["arm"], cluster, *significance.means(values), n_draws=n_draws, seed=seed)
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    ends = long.groupBy("arm").agg(*(pick(m, c).alias(f"{m}_{c}") for m in values for c in ("ci_low", "ci_high")), pick("utility", "estimate").alias("mean_utility"), F.max("n_clusters").alias("n_clusters"))
+    items = scores.groupBy("arm").agg(F.count_distinct("item_id").alias("n_items"))
+    return arm_summary(scores).join(ends, "arm").join(items, "arm").withColumn("utility_policy", F.lit(policy))
+
+
 def subsets(scores: DataFrame) -> DataFrame:
     """Factual rows, once for each subset that has them: all, by domain, in a complete pair, not in one."""
     fact = scores.where("item_type = 'factual'")

@@ -10,6 +10,8 @@ from plumbline.operators.prefix import running
 EULER_GAMMA = 0.5772156649015329
 #: Buckets of confidence in which running sums are taken, a unit of confidence.
 BUCKETS = 1024
+#: Shares of the rows that a summary reports the accuracy at.
+TARGETS = (0.25, 0.5, 0.75)
 
 
 def confident(df: DataFrame) -> DataFrame:
@@ -59,21 +61,29 @@ def curve_rows(df: DataFrame, by: str = "arm", ties: tuple[str, ...] = ("item_id
     return run.select(by, *ties, "rank", (F.col("rank") / F.col("_all")).alias("coverage"), (F.col("_h") / F.col("rank")).alias("selective_accuracy"))
 
 
-def aurc(df: DataFrame, by: str = "arm") -> DataFrame:
-    """(by, n, aurc, aurc_random, aurc_optimal, e_aurc), ties at the expectation of a random order.
+def area_part() -> Column:
+    """What a tie group adds to the area, ties at the expectation of a random order.
 
-    A tie group of m rows with hit rate r below B rows with H hits adds m (1 - r) - (H - r B)(Har(B + m) - Har(B)).
+    A group of m rows with hit rate r below B rows with H hits adds m (1 - r) - (H - r B)(Har(B + m) - Har(B)).
     """
     m, b, h0 = F.col("size"), F.col("before_n"), F.col("before_hits")
     r = F.col("hits") / m
-    part = m * (1 - r) - (h0 - r * b) * (harmonic(b + m) - harmonic(b))
-    sums = tie_groups(df, by).groupBy(by).agg(F.sum(part).alias("_area"), F.sum("size").alias("n"), F.sum("hits").alias("_hits"))
-    n, h = F.col("n"), F.col("_hits")
-    best = ((n - h) - h * (harmonic(n) - harmonic(h))) / n
+    return m * (1 - r) - (h0 - r * b) * (harmonic(b + m) - harmonic(b))
+
+
+def least_area(n: Column, hits: Column) -> Column:
+    """The area where all hits rank first."""
+    return ((n - hits) - hits * (harmonic(n) - harmonic(hits))) / n
+
+
+def aurc(df: DataFrame, by: str = "arm") -> DataFrame:
+    """(by, n, aurc, aurc_random, aurc_optimal, e_aurc)."""
+    sums = tie_groups(df, by).groupBy(by).agg(F.sum(area_part()).alias("_area"), F.sum("size").alias("n"), F.sum("hits").alias("_hits"))
+    n, h, best = F.col("n"), F.col("_hits"), least_area(F.col("n"), F.col("_hits"))
     return sums.select(by, "n", (F.col("_area") / n).alias("aurc"), (1 - h / n).alias("aurc_random"), best.alias("aurc_optimal"), (F.col("_area") / n - best).alias("e_aurc"))
 
 
-def at_coverage(df: DataFrame, targets: tuple[float, ...] = (0.25, 0.5, 0.75), by: str = "arm") -> DataFrame:
+def at_coverage(df: DataFrame, targets: tuple[float, ...] = TARGETS, by: str = "arm") -> DataFrame:
     """(by, target, coverage, selective_accuracy) of the first point that covers each target."""
     if not all(0 < t <= 1 for t in targets):
         raise ValueError("targets lie in (0, 1]")

@@ -10,10 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators import selective
+
 SEED = 20260904
 DRAWS = 2000
 #: Standard deviations beyond which a binomial's probabilities are not summed.
 REACH = 12
+#: Steps of a search over the counts of a binomial: those of a long.
+HALVINGS = 63
 
 
 def log_factorial(n: Column) -> Column:
@@ -23,20 +27,59 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
+def _excess(n: str) -> str:
+    """What ln n! has beyond (n + 1/2) ln n - n + ln(2 pi) / 2, for n > 0."""
+    x = f"double({n})"
+    small = f"ln(double(factorial(int({n})))) - (({x} + 0.5) * ln({x}) - {x} + {0.5 * math.log(2 * math.pi)}D)"
+    return f"(CASE WHEN {n} <= 20 THEN {small} ELSE (1 / 12D - (1 / 360D - (1 / 1260D - 1 / 1680D / ({x} * {x})) / ({x} * {x})) / ({x} * {x})) / {x} END)"
+
+
+def _deviance(x: str, mean: str) -> str:
+    """x ln(x / mean) + mean - x, without cancellation where x is near the mean."""
+    v, series = f"(({x} - {mean}) / ({x} + {mean}))", "0D"
+    for j in range(9, 0, -1):
+        series = f"{v} * {v} * (1 / {2 * j + 1}D + {series})"
+    return f"(CASE WHEN abs({v}) < 0.1 THEN ({x} - {mean}) * {v} + 2 * {x} * {v} * {series} ELSE {x} * ln({x} / {mean}) + {mean} - {x} END)"
+
+
+def log_binomial(k: str, n: str, p: float) -> str:
+    """ln P(X = k) in SQL for k in 0..n, by saddle point: differences of small numbers, so it is as good for any n."""
+    x, m, rest, q = f"double({k})", f"double({n})", f"double({n} - {k})", repr(1 - p)
+    inner = f"{_excess(n)} - {_excess(k)} - {_excess(f'({n} - {k})')} - {_deviance(x, f'({m} * {p!r}D)')} - {_deviance(rest, f'({m} * {q}D)')} + 0.5 * ln({m} / ({2 * math.pi!r}D * {x} * {rest}))"
+    return f"(CASE WHEN {k} <= 0 THEN {m} * {math.log1p(-p)!r}D WHEN {k} >= {n} THEN {m} * {math.log(p)!r}D ELSE {inner} END)"
+
+
+def _first(low: str, high: str, holds) -> Column:
+    """The least whole number above ``low`` at which the SQL ``holds``, if it holds from there up to ``high``; by halving."""
+    at = "(s.low + (s.high - s.low) DIV 2)"
+    step = f"CASE WHEN s.high - s.low <= 1 THEN s WHEN {holds(at)} THEN named_struct('low', s.low, 'high', {at}) ELSE named_struct('low', {at}, 'high', s.high) END"
+    return F.expr(f"aggregate(sequence(1, {HALVINGS}), named_struct('low', bigint({low}), 'high', bigint({high})), (s, i) -> {step}).high")
+
+
 def two_sided_p(df: DataFrame, k: str, n: str, p: float = 0.5) -> DataFrame:
     """``df`` with p_value: exact binomial, the sum of probabilities not above that of k (tolerance 1e-9); 1 for n = 0.
 
-    Probabilities are read off one by one in logarithms, so nothing overflows. Only counts less than REACH standard
-    deviations beyond k's distance from the mean are summed: what lies farther is less than 1e-30 of k's own.
+    Those counts are two tails: they end where halving finds the probability of k below and above the mode. Each tail is
+    summed from its end outwards, over REACH standard deviations at most, beyond which less than 1e-30 of it is left.
+    So the work follows the standard deviation of n, wherever k is, and is less the farther out the tail begins.
     """
-    cases = df.select(F.col(k).alias("_k"), F.col(n).alias("_n")).distinct()
-    mean, sd = F.col("_n") * p, F.sqrt(F.col("_n") * (p * (1 - p)))
-    far = F.abs(F.col("_k") - mean) + REACH * sd + REACH * REACH
-    low, high = F.greatest(F.lit(0), F.floor(mean - far)).cast("long"), F.least(F.col("_n"), F.ceil(mean + far).cast("long"))
-    each = cases.withColumn("_j", F.explode(F.sequence(low, high)))
-    log_p = lambda j: log_factorial(F.col("_n")) - log_factorial(j) - log_factorial(F.col("_n") - j) + j * math.log(p) + (F.col("_n") - j) * math.log(1 - p)
-    each = each.withColumns({"_p": F.exp(log_p(F.col("_j"))), "_own": F.exp(log_p(F.col("_k")))})
-    sums = each.groupBy("_k", "_n").agg(F.least(F.sum(F.when(F.col("_p") <= F.col("_own") * (1 + 1e-9), F.col("_p"))), F.lit(1.0)).alias("p_value"))
+    cases = df.select(F.col(k).cast("long").alias("_k"), F.col(n).cast("long").alias("_n")).distinct()
+    size, logs = F.col("_n"), lambda j: log_binomial(j, "_n", p)
+    cases = cases.withColumns({"_mode": F.least(size, F.floor((size + 1) * F.lit(p)).cast("long")), "_own": F.expr(logs("_k")) + 1e-9})
+    # below the mode probabilities rise, so the first count that is too likely ends the lower tail
+    ends = {"_low": _first("-1", "_mode + 1", lambda j: f"{logs(j)} > _own") - 1, "_high": _first("_mode", "_n + 1", lambda j: f"{logs(j)} <= _own")}
+    cases = cases.withColumns(ends)
+    reach = (F.ceil(F.sqrt(size * (p * (1 - p))) * REACH) + REACH * REACH).cast("long")
+    # from k outwards each probability is at most this share of the one before
+    down = F.try_divide(F.col("_low") * (1 - p), (size - F.col("_low") + 1) * p)
+    up = F.try_divide((size - F.col("_high")) * p, (F.col("_high") + 1) * (1 - p))
+    terms = lambda r: F.when(r > 0, F.least(reach, F.ceil(F.try_divide(F.lit(-70.0), F.log(r))).cast("long"))).otherwise(F.lit(0).cast("long"))
+    whole = F.col("_low") >= F.col("_mode")
+    lower = F.when(~whole & (F.col("_low") >= 0), F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_low") - terms(down)), F.col("_low")))
+    upper = F.when(~whole & (F.col("_high") <= size), F.sequence(F.col("_high"), F.least(size, F.col("_high") + terms(up))))
+    empty = F.array().cast("array<long>")
+    each = cases.select("_k", "_n", whole.alias("_whole"), F.explode_outer(F.concat(F.coalesce(lower, empty), F.coalesce(upper, empty))).alias("_j"))
+    sums = each.groupBy("_k", "_n").agg(F.when(F.bool_or("_whole"), 1.0).otherwise(F.least(F.coalesce(F.sum(F.exp(F.expr(logs("_j")))), F.lit(0.0)), F.lit(1.0))).alias("p_value"))
     return df.join(sums, (F.col(k) == F.col("_k")) & (F.col(n) == F.col("_n")), "left").drop("_k", "_n")
 
 
@@ -75,98 +118,192 @@ def holm(df: DataFrame, p: str = "p_value", *ties: str) -> DataFrame:
     return df.withColumn("_s", F.least(step, F.lit(1.0))).withColumn("p_holm", F.max("_s").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_s")
 
 
-def draws(groups: DataFrame, by: list[str], n_draws: int, seed: int) -> DataFrame:
-    """(by, _n, _rep, _ix, _times): how often each cluster number is drawn in each replicate of each group (by, _n)."""
-    spark = groups.sparkSession
-    sizes = groups.select("_n").distinct()  # groups of one size share their draws
-    reps = spark.range(n_draws).withColumnRenamed("id", "_rep").join(F.broadcast(sizes))
-    each = reps.withColumn("_slot", F.explode(F.expr("sequence(0L, _n - 1)")))
-    word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_slot").cast("string")))
-    ix = F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % F.col("_n")
-    drawn = each.withColumn("_ix", ix).groupBy("_n", "_rep", "_ix").agg(F.count("*").alias("_times"))
-    return groups.join(drawn, "_n")
+def _poisson_steps() -> list[str]:
+    """Hex words of 32 bits at which a Poisson number of mean 1 steps up, as a uniform word reads them."""
+    steps, below = [], 0.0
+    for k in range(12):
+        below += math.exp(-1) / math.factorial(k)
+        steps.append(f"{math.ceil(below * 2**32):08x}")
+    return steps
 
 
-def clusters(rows: DataFrame, by: list[str], cluster: str, **sums: Column) -> DataFrame:
-    """(by, _ix, _n, sums): clusters numbered in order within their group, rows summed before anything is resampled."""
-    each = rows.groupBy(*by, cluster).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    return each.withColumns({"_ix": F.row_number().over(W.partitionBy(*by).orderBy(cluster)).cast("long") - 1, "_n": F.count("*").over(W.partitionBy(*by))})
+#: A word below the first step weighs 0, below the second 1, and so on.
+STEPS = _poisson_steps()
+#: Replicates that one digest weighs (it has as many words), and parts of the replicates, which are dealt out apart.
+WORDS, PARTS = 4, 16
 
 
-def interval(stats: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
-    """(by, ci_low, ci_high): linear percentiles over replicates; null replicates are left out."""
-    tail = (1 - level) / 2
-    ends = F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail)))
-    return stats.groupBy(*by).agg(ends.alias("_e")).select(*by, F.col("_e")[0].alias("ci_low"), F.col("_e")[1].alias("ci_high"))
+def resampled(cells: DataFrame, cluster: str, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """``cells`` with _rep and _times: once as they are (replicate -1), and once for each replicate that draws their cluster.
+
+    A replicate takes each cluster a Poisson number of times of mean 1, read off a digest of seed, replicate and cluster:
+    the resampling of a fixed number of clusters without the condition on that number, which ratios of sums do not
+    depend on (their spread differs by a share of 1 / (2 clusters)). So nothing is numbered, joined or shuffled to be
+    drawn, a cluster has the same weight in all groups and cells, and every engine draws the same.
+    """
+    word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_four").cast("string"), F.col(cluster).cast("string")))
+    fours = -(-n_draws // WORDS)
+    each = -(-(fours + 1) // PARTS)  # -1 stands before the fours
+    # few cells would be expanded in one task: their replicates are dealt out first
+    dealt = cells.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = dealt.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*dealt.columns))
+    four = F.explode(F.sequence(F.col("_part") * each - 1, F.col("_part") * each + each - 2))
+    each = dealt.withColumn("_four", four).withColumn("_word", F.when(F.col("_four") >= 0, word))
 
+    def times(i: int) -> str:
+        part = f"substring(_word, {1 + 8 * i}, 8)"
+        return "CASE " + " ".join(f"WHEN {part} < '{x}' THEN {k}" for k, x in enumerate(STEPS)) + f" ELSE {len(STEPS)} END"
 
-def bootstrap_mean(rows: DataFrame, by: list[str], cluster: str, value: Column, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """(by, estimate, ci_low, ci_high, n_clusters) of the mean of ``value``, resampling whole clusters."""
-    held = clusters(rows, by, cluster, _s=value.cast("double"), _c=F.when(value.isNotNull(), 1))
-    groups = held.groupBy(*by).agg(F.count("*").alias("_n"), (F.sum("_s") / F.sum("_c")).alias("estimate"))
-    drawn = draws(groups.select(*by, "_n"), by, n_draws, seed).drop("_n").join(held.select(*by, "_ix", "_s", "_c"), [*by, "_ix"])
-    stats = drawn.groupBy(*by, "_rep").agg(F.try_divide(F.sum(F.col("_s") * F.col("_times")), F.sum(F.col("_c") * F.col("_times"))).alias("_v"))
-    return groups.withColumnRenamed("_n", "n_clusters").join(interval(stats, by, "_v"), by)
+    # the first digest's place is taken by the cells as they are
+    picks = ", ".join(f"struct(IF(_four < 0, {-1 if i == 0 else n_draws}, _four * {WORDS} + {i}) AS _rep, IF(_four < 0, 1, {times(i)}) AS _times)" for i in range(WORDS))
+    return each.select(*cells.columns, F.expr(f"inline(array({picks}))")).where((F.col("_times") > 0) & (F.col("_rep") < n_draws))
 
 
-def bootstrap(rows: DataFrame, by: list[str], cluster: str, sums: dict[str, Column], statistic: Column, keys: tuple[str, ...] = (), n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """(by, estimate, ci_low, ci_high, n_clusters) of any statistic of sums, resampling whole clusters.
+def intervals(stats: DataFrame, by: list[str], measures: list[str], carry: tuple[str, ...] = (), level: float = 0.95) -> DataFrame:
+    """(by, measure, estimate, ci_low, ci_high, carry) from a row of measures a replicate; -1 gives the estimate.
 
-    ``sums`` names sums over rows, apart for each value of ``keys`` (bins, say); ``statistic`` aggregates them over the
-    keys. A replicate weighs the sums of the clusters it draws.
+    Ends are linear percentiles over the replicates; null replicates are left out.
+    """
+    tail = (1 - level) / 2
+    ends = lambda m: F.percentile(F.when(F.col("_rep") >= 0, F.col(m)), F.array(F.lit(tail), F.lit(1 - tail)))
+    own = lambda m: F.max(F.when(F.col("_rep") == -1, F.col(m)))
+    wide = stats.groupBy(*by).agg(*(own(m).alias(f"_o_{m}") for m in (*measures, *carry)), *(ends(m).alias(f"_e_{m}") for m in measures))
+    long = F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"_o_{m}").alias("estimate"), F.col(f"_e_{m}")[0].alias("ci_low"), F.col(f"_e_{m}")[1].alias("ci_high")) for m in measures)))
+    return wide.select(*by, long, *(F.col(f"_o_{c}").alias(c) for c in carry))
+
+
+def bootstrap(rows: DataFrame, by: list[str], cluster: str, sums: dict[str, Column], statistics: dict[str, Column], keys: tuple[str, ...] = (), n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, measure, estimate, ci_low, ci_high, n_clusters) of any statistics of sums, resampling whole clusters.
+
+    ``sums`` names sums over rows, apart for each value of ``keys`` (bins, say); each of ``statistics`` aggregates them
+    over the keys. All are taken from one set of draws: rows become one row of sums a cluster (and key), a replicate
+    weighs those, and its statistics are one row.
     """
     cells = rows.groupBy(*by, cluster, *keys).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    held = clusters(rows, by, cluster, _c=F.lit(1)).select(*by, cluster, "_ix", "_n")
-    groups = held.groupBy(*by).agg(F.max("_n").alias("_n"))
-    whole = cells.groupBy(*by, *keys).agg(*(F.sum(k).alias(k) for k in sums)).groupBy(*by).agg(statistic.alias("estimate"))
-    drawn = draws(groups, by, n_draws, seed).drop("_n").join(cells.join(held.drop("_n"), [*by, cluster]), [*by, "_ix"])
-    per = drawn.groupBy(*by, "_rep", *keys).agg(*(F.sum(F.col(k) * F.col("_times")).alias(k) for k in sums))
-    stats = per.groupBy(*by, "_rep").agg(statistic.alias("_v"))
-    return groups.withColumnRenamed("_n", "n_clusters").join(whole, by).join(interval(stats, by, "_v"), by)
+    # a cluster's first cell counts it, so the clusters are summed with the rest
+    first = F.row_number().over(W.partitionBy(*by, cluster).orderBy(*keys)) == 1 if keys else F.lit(True)
+    cells = cells.withColumn("_clusters", first.cast("long"))
+    per = resampled(cells, cluster, n_draws, seed).groupBy(*by, "_rep", *keys).agg(*(F.sum(F.col(k) * F.col("_times")).alias(k) for k in (*sums, "_clusters")))
+    stats = per.groupBy(*by, "_rep").agg(*(c.alias(k) for k, c in statistics.items()), F.sum("_clusters").alias("n_clusters"))
+    return intervals(stats, by, list(statistics), ("n_clusters",))
+
+
+def means(values: dict[str, Column]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(sums, statistics) for ``bootstrap`` of the mean of each value, over the rows in which it is not null."""
+    sums = {f"_s_{k}": v.cast("double") for k, v in values.items()} | {f"_c_{k}": F.when(v.isNotNull(), 1) for k, v in values.items()}
+    return sums, {k: F.try_divide(F.sum(f"_s_{k}"), F.sum(f"_c_{k}")) for k in values}
+
+
+def bootstrap_mean(rows: DataFrame, by: list[str], cluster: str, value: Column, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, estimate, ci_low, ci_high, n_clusters) of the mean of ``value``, resampling whole clusters."""
+    return bootstrap(rows, by, cluster, *means({"mean": value}), n_draws=n_draws, seed=seed).drop("measure")
 
 
 def bootstrap_ece(df: DataFrame, by: str = "arm", cluster: str = "family", bins: int = 10, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """The expected calibration error with its interval; bins as in ``selective.reliability``."""
-    from plumbline.operators.selective import confident, guard_confidence
-
-    rows = confident(guard_confidence(df)).withColumn("_bin", F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)))
+    rows = selective.confident(selective.guard_confidence(df)).withColumn("_bin", F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)))
     sums = {"_m": F.lit(1), "_s": F.col("confidence"), "_h": F.col("correct").cast("int")}
-    return bootstrap(rows, [by], cluster, sums, F.sum(F.abs(F.col("_s") - F.col("_h"))) / F.sum("_m"), ("_bin",), n_draws, seed)
+    gap = F.sum(F.abs(F.col("_s") - F.col("_h"))) / F.sum("_m")
+    return bootstrap(rows, [by], cluster, sums, {"ece": gap}, ("_bin",), n_draws, seed).drop("measure")
+
+
+def bootstrap_selective(df: DataFrame, by: str = "arm", cluster: str = "family", targets: tuple[float, ...] = selective.TARGETS, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, measure, estimate, ci_low, ci_high) of aurc, e_aurc and accuracy_at_<percent> for each coverage target.
+
+    A replicate is a weighting of (cluster, confidence) cells, summed to tie groups and ordered from the highest
+    confidence down; all measures are read off one pass over its groups. A replicate without rows has none and is left
+    out. Rows without a confidence, and groups without any with one, have no part.
+    """
+    cells = selective.confident(df).groupBy(by, cluster, "confidence").agg(F.count("*").alias("_m"), F.count_if("correct").alias("_h"))
+    weigh = lambda c: F.sum(F.col(c) * F.col("_times"))
+    ties = resampled(cells, cluster, n_draws, seed).groupBy(by, "_rep", "confidence").agg(weigh("_m").alias("size"), weigh("_h").alias("hits"))
+    whole = W.partitionBy(by, "_rep")
+    above = whole.orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, -1)
+    ties = ties.withColumns({"before_n": F.coalesce(F.sum("size").over(above), F.lit(0)), "before_hits": F.coalesce(F.sum("hits").over(above), F.lit(0)), "_all": F.sum("size").over(whole)})
+    upto, good = F.col("before_n") + F.col("size"), F.col("before_hits") + F.col("hits")
+    reached = lambda t: F.min_by(F.when(upto / F.col("_all") >= t - 1e-12, good / upto), F.when(upto / F.col("_all") >= t - 1e-12, upto))
+    names = [f"accuracy_at_{round(100 * t)}" for t in targets]
+    rep = ties.groupBy(by, "_rep").agg(F.sum(selective.area_part()).alias("_area"), F.sum("size").alias("_n"), F.sum("hits").alias("_hits"), *(reached(t).alias(m) for m, t in zip(names, targets, strict=True)))
+    area = F.col("_area") / F.col("_n")
+    stats = rep.select(by, "_rep", area.alias("aurc"), (area - selective.least_area(F.col("_n"), F.col("_hits"))).alias("e_aurc"), *names)
+    return intervals(stats, [by], ["aurc", "e_aurc", *names])
 
 
 def bootstrap_aurc(df: DataFrame, by: str = "arm", cluster: str = "family", n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """(by, ci_low, ci_high) of the area under the risk-coverage curve, resampling clusters.
+    """(by, ci_low, ci_high) of the area under the risk-coverage curve, resampling clusters."""
+    return bootstrap_selective(df, by, cluster, (), n_draws, seed).where("measure = 'aurc'").select(by, "ci_low", "ci_high")
+
 
-    A replicate is a weighting of (cluster, confidence) cells; its tie groups are weighted sums of them.
+def summarize_selective(df: DataFrame, by: str = "arm", cluster: str = "family", targets: tuple[float, ...] = selective.TARGETS, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """One row a group: what answering the most confident first gives, with intervals.
+
+    (by, n_items, n_with_confidence, n_distinct_confidences, accuracy_full_coverage, aurc, aurc_ci_low, aurc_ci_high,
+    aurc_random, aurc_optimal, e_aurc with its interval, and for each target accuracy, achieved coverage and interval).
+    A group without any confidence keeps its row; its measures are null.
     """
-    from plumbline.operators.selective import confident, harmonic
-
-    rows = confident(df)
-    cells = rows.groupBy(by, cluster, "confidence").agg(F.count("*").alias("_m"), F.count_if("correct").alias("_h"))
-    held = clusters(rows, [by], cluster, _c=F.lit(1)).select(by, cluster, "_ix", "_n")
-    cells = cells.join(held, [by, cluster])
-    drawn = draws(held.groupBy(by).agg(F.max("_n").alias("_n")), [by], n_draws, seed).drop("_n").join(cells.drop("_n"), [by, "_ix"])
-    ties = drawn.groupBy(by, "_rep", "confidence").agg(F.sum(F.col("_m") * F.col("_times")).alias("size"), F.sum(F.col("_h") * F.col("_times")).alias("hits"))
-    above = W.partitionBy(by, "_rep").orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, -1)
-    ties = ties.withColumns({"_b": F.coalesce(F.sum("size").over(above), F.lit(0)), "_g": F.coalesce(F.sum("hits").over(above), F.lit(0))})
-    r = F.col("hits") / F.col("size")
-    part = F.col("size") * (1 - r) - (F.col("_g") - r * F.col("_b")) * (harmonic(F.col("_b") + F.col("size")) - harmonic(F.col("_b")))
-    stats = ties.groupBy(by, "_rep").agg((F.sum(part) / F.sum("size")).alias("_v"))
-    return interval(stats, [by], "_v")
-
-
-def compare_arms(scores: DataFrame, alpha: float = 0.05, repeat: int = 0, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """(arm_a, arm_b, n, difference, ci_low, ci_high, a_only, b_only, p_value, p_holm, significant) for every a < b."""
+    names = [f"accuracy_at_{round(100 * t)}" for t in targets]
+    counts = df.groupBy(by).agg(
+        F.count("*").alias("n_items"), F.count(F.nanvl("confidence", F.lit(None).cast("double"))).alias("n_with_confidence"),
+        F.count_distinct(F.nanvl("confidence", F.lit(None).cast("double"))).alias("n_distinct_confidences"), F.avg(F.col("correct").cast("double")).alias("accuracy_full_coverage"),
+    )
+    areas = selective.aurc(df, by).drop("n")
+    points = selective.at_coverage(df, targets, by)
+    at = lambda c, t: F.max(F.when(F.abs(F.col("target") - t) < 1e-9, F.col(c)))
+    wide = points.groupBy(by).agg(*(at("selective_accuracy", t).alias(m) for m, t in zip(names, targets, strict=True)), *(at("coverage", t).alias(f"coverage_at_{m[12:]}") for m, t in zip(names, targets, strict=True)))
+    ends = bootstrap_selective(df, by, cluster, targets, n_draws, seed)
+    pick = lambda m, e: F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}")
+    ends = ends.groupBy(by).agg(*(pick(m, e) for m in ("aurc", "e_aurc", *names) for e in ("ci_low", "ci_high")))
+    return counts.join(areas, by, "left").join(wide, by, "left").join(ends, by, "left")
+
+
+def compare_arms(scores: DataFrame, alpha: float = 0.05, repeat: int = 0, n_draws: int = DRAWS, seed: int = SEED, unequal: str = "raise") -> DataFrame:
+    """(arm_a, arm_b, n, difference, ci_low, ci_high, a_only, b_only, p_value, p_holm, significant) for every a < b.
+
+    Arms must have answered the same factual items in the repeat. Where they have not, reading the result raises with
+    some of the missing items before anything is compared; ``unequal="pair"`` compares each pair on the items it shares.
+    """
+    if unequal not in ("raise", "pair"):
+        raise ValueError(f"unequal item sets can raise or pair, not {unequal!r}")
     one = scores.where((F.col("repeat") == repeat) & (F.col("item_type") == "factual"))
+    one = same_items_or_raise(one) if unequal == "raise" else one
     rows = one.groupBy("item_id", "family").agg(F.sort_array(F.collect_list(F.struct("arm", "correct"))).alias("_a"))
     pairs = rows.select("family", F.posexplode("_a").alias("_i", "_x"), "_a").select("family", "_x", F.explode(F.expr("slice(_a, _i + 2, size(_a))")).alias("_y"))
     gap = pairs.select("family", F.col("_x.arm").alias("arm_a"), F.col("_y.arm").alias("arm_b"), (F.col("_x.correct").cast("int") - F.col("_y.correct").cast("int")).alias("_d"))
     by = ["arm_a", "arm_b"]
     ends = bootstrap_mean(gap, by, "family", F.col("_d"), n_draws, seed).withColumnRenamed("estimate", "difference").drop("n_clusters")
-    tests = holm(mcnemar(scores, repeat), "p_value", "arm_a", "arm_b").select(*by, "n", "a_only", "b_only", "p_value", "p_holm")
+    tests = holm(mcnemar(one, repeat), "p_value", "arm_a", "arm_b").select(*by, "n", "a_only", "b_only", "p_value", "p_holm")
     return tests.join(ends, by).withColumn("significant", F.col("p_holm") < alpha)
 
 
+#: Missing items that an error names, for each arm.
+NAMED = 5
+
+
+def same_items_or_raise(rows: DataFrame, item: str = "item_id") -> DataFrame:
+    """``rows``, if every arm in them has the same items; reading them raises with some items that arms lack otherwise.
+
+    The audit is part of the plan: each item's arms are counted against all arms, what is missing is summed to one row
+    (a few items an arm), and the rows meet that row before anything else is done with them.
+    """
+    arms = rows.select("arm").distinct().agg(F.sort_array(F.collect_list("arm")).alias("_arms"))  # arms are few
+    have = rows.groupBy(item).agg(F.collect_set("arm").alias("_have"))
+    lacks = have.join(F.broadcast(arms)).select(F.col(item).cast("string").alias("_item"), F.explode(F.array_except("_arms", "_have")).alias("_arm"))
+    few = lacks.withColumn("_r", F.row_number().over(W.partitionBy("_arm").orderBy("_item"))).where(F.col("_r") <= NAMED)
+    said = few.groupBy("_arm").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    line = F.format_string("arm %s lacks items such as %s", F.col("_arm"), F.array_join("_items", ", "))
+    audit = said.agg(F.sort_array(F.collect_list(line)).alias("_said"))
+    message = F.concat(F.lit("arms can be compared on the same items only: "), F.array_join("_said", "; "))
+    checked = audit.select(F.when(F.size("_said") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("_same"))
+    return rows.join(F.broadcast(checked)).where("_same").drop("_same")
+
+
+def shared_items(scores: DataFrame, item: str = "item_id") -> DataFrame:
+    """The rows of items that every arm has in the same repeat."""
+    arms = scores.agg(F.count_distinct("arm").alias("_arms"))
+    full = scores.groupBy(item, "repeat").agg(F.count_distinct("arm").alias("_n")).join(F.broadcast(arms)).where("_n = _arms")
+    return scores.join(full.select(item, "repeat"), [item, "repeat"], "left_semi")
+
+
 def _tail(k: int, n: int, p: float) -> float:
     """P(X >= k) for a binomial of n and p: the regularised incomplete beta at p of (k, n - k + 1)."""
     if k <= 0 or p >= 1:

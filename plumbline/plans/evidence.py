@@ -13,6 +13,7 @@ from plumbline.operators import retrieval as R
 from plumbline.plans.retrieval import BASE, PLUS, TOP, _index
 from plumbline.plans.scores import SCORES_SQL, scores
 from plumbline.plans.statistics import DRAWS, EVERY, HAR, POINTS, _boot
+from plumbline.plans.statistics import ORACLES as STATISTICS_SQL
 from plumbline.session import table
 
 
@@ -54,13 +55,16 @@ def _mock(s, d):
 
 
 def _intervals(s, d):
-    """Accuracy and adjacent rate over factual rows, clause rate and utility over all: metrics as rows, one bootstrap."""
+    """Accuracy and adjacent rate over factual rows, clause rate and utility over all, from one set of draws."""
     fact = F.col("item_type") == "factual"
     values = {"accuracy": F.when(fact, F.col("correct").cast("double")), "adjacent": F.when(fact, (F.col("outcome") == "adjacent_substitution").cast("double")), "clause": (F.col("citation_grade") == "correct_clause").cast("double"), "utility": reports.utility()}
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in values.items()]))
-    rows = scores(s, d).select("arm", "family", each.alias("_m")).select("arm", "family", "_m.*").where("v IS NOT NULL")
-    out = significance.bootstrap_mean(rows, ["arm", "metric"], "family", F.col("v"), DRAWS)
-    return out.withColumns({c: F.round(c, 6) for c in ("estimate", "ci_low", "ci_high")})
+    out = significance.bootstrap(scores(s, d), ["arm"], "family", *significance.means(values)).withColumnRenamed("measure", "metric")
+    return out.drop("n_clusters").withColumns({c: F.round(c, 6) for c in ("estimate", "ci_low", "ci_high")})
+
+
+def _summary(s, d):
+    out = reports.summarize(scores(s, d))
+    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
 
 
 def _brier(s, d):
@@ -92,11 +96,17 @@ QUERIES = {
     "baseline_checks": _baseline,
     "mock_responses": _mock,
     "summary_intervals": _intervals,
+    "summary_full": _summary,
     "brier_interval": _brier,
     "selective_summary": _selective,
     "self_match": _self_match,
 }
 
+#: Rounded sixth decimals of the two parts of a summary, joined.
+SUMMARY = """SELECT a.* REPLACE ({rounded}), {ends}, mean_utility, (SELECT count(DISTINCT family) FROM fam WHERE fam.arm = a.arm) AS n_clusters, (SELECT count(DISTINCT item_id) FROM fam WHERE fam.arm = a.arm) AS n_items, 'safety' AS utility_policy
+FROM ({summary}) a JOIN (SELECT arm, {picks}, max(estimate) FILTER (metric = 'utility') AS mean_utility FROM ({intervals}) GROUP BY arm) b USING (arm)"""
+RATES = ["accuracy", "scorable_accuracy", "adjacent_rate", "abstention_rate", "declined_rate", "unscorable_rate", "correct_clause_rate", "fabricated_paywalled_rate", "accuracy_spread", "paired_accuracy", "wilson_low", "wilson_high"]
+
 U = "('0x' || substr(md5(concat_ws('|', '20260903', '1', '{}', doc_id::VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 ORACLES = {
     "evidence_search": """WITH r AS (SELECT doc_id % 3 = 0 AS b, doc_id % 2 = 0 AS a, doc_id % 5 < 2 AS ab, doc_id % 7 > 2 AS o FROM documents WHERE contains(replace(lower(concat_ws(' ', doc_id::VARCHAR, lang, source, text)), '_', ' '), 'src1')),
@@ -116,12 +126,17 @@ SELECT profile, doc_id AS item_id, branch, md5(coalesce(CASE branch WHEN 'correc
   round(CASE WHEN branch = 'correct' THEN s0 + x * (s1 - s0) ELSE u0 + x * (u1 - u0) END, 9) AS confidence, true AS is_mock FROM r""",
     "summary_intervals": f"""WITH {SCORES_SQL}, sv AS (SELECT arm, family, 'accuracy' AS metric, correct::INT::DOUBLE AS v FROM scores WHERE item_type = 'factual' UNION ALL SELECT arm, family, 'adjacent', (outcome = 'adjacent_substitution')::INT FROM scores WHERE item_type = 'factual'
 UNION ALL SELECT arm, family, 'clause', (citation_grade = 'correct_clause')::INT FROM scores UNION ALL SELECT arm, family, 'utility', CASE WHEN outcome = 'abstained' AND abstention_acceptable THEN 0.9 WHEN outcome = 'correct' THEN 1 WHEN outcome = 'abstained' THEN 0.25
-  WHEN outcome = 'other_incorrect' THEN -0.5 WHEN outcome = 'adjacent_substitution' THEN -1 ELSE 0 END FROM scores), {_boot('sv', 'arm, metric', DRAWS)}
-SELECT arm, metric, nc AS n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm, metric)""",
-    "brier_interval": f"""{EVERY}, sv AS (SELECT arm, family, (confidence - correct::INT) * (confidence - correct::INT) AS v FROM f WHERE confidence IS NOT NULL), {_boot('sv', 'arm', DRAWS)}
+  WHEN outcome = 'other_incorrect' THEN -0.5 WHEN outcome = 'adjacent_substitution' THEN -1 ELSE 0 END FROM scores), {_boot('sv', 'arm, metric')}
+SELECT arm, metric, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm, metric)""",
+    "brier_interval": f"""{EVERY}, sv AS (SELECT arm, family, (confidence - correct::INT) * (confidence - correct::INT) AS v FROM f WHERE confidence IS NOT NULL), {_boot('sv', 'arm')}
 SELECT arm, nc AS n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm)""",
     "selective_summary": f"""{EVERY}, {POINTS}, x AS (SELECT arm, sum(m * (1 - h::DOUBLE / m) - (bh - h::DOUBLE / m * b) * (coalesce({HAR.format(n='b + m')}, 0) - coalesce({HAR.format(n='b')}, 0))) / sum(m) AS aurc, sum(m)::BIGINT AS n, count(*) AS n_distinct FROM t GROUP BY ALL),
 a AS (SELECT arm, target, selective_accuracy AS s FROM p, (VALUES (0.25), (0.5), (0.75)) AS v(target) WHERE coverage >= target - 1e-12 QUALIFY row_number() OVER (PARTITION BY arm, target ORDER BY n_answered) = 1)
 SELECT arm, n, round(aurc, 9) AS aurc, n_distinct, round((SELECT s FROM a WHERE a.arm = x.arm AND target = 0.25), 9) AS at_25, round((SELECT s FROM a WHERE a.arm = x.arm AND target = 0.5), 9) AS at_50, round((SELECT s FROM a WHERE a.arm = x.arm AND target = 0.75), 9) AS at_75 FROM x""",
     "self_match": f"{BASE}, {PLUS}, t AS ({TOP.format('p').replace('rank <= 3', 'rank = 1')}) SELECT count(*) AS n, count(*) FILTER (contains(d.text, b.text)) AS n_self FROM t JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id)",
 }
+ENDS = [(m, c) for m in ("accuracy", "adjacent", "clause", "utility") for c in ("ci_low", "ci_high")]
+ORACLES["summary_full"] = f"WITH {SCORES_SQL}, fam AS (SELECT arm, family, item_id FROM scores) " + SUMMARY.format(
+    rounded=", ".join(f"round({c}, 6) AS {c}" for c in RATES), ends=", ".join(f"{m}_{c}" for m, c in ENDS), picks=", ".join(f"max({c}) FILTER (metric = '{m}') AS {m}_{c}" for m, c in ENDS),
+    summary=STATISTICS_SQL["arm_summary"], intervals=ORACLES["summary_intervals"],
+)

@@ -79,8 +79,10 @@ QUERIES = {
     "ece": lambda s, d: _rounded(selective.ece(scores(s, d)), "ece"),
     "mcnemar_exact": lambda s, d: _rounded(significance.mcnemar(scores(s, d)), "p_value"),
     "holm_adjust": lambda s, d: _rounded(significance.holm(significance.mcnemar(scores(s, d)), "p_value", "arm_a", "arm_b").select("arm_a", "arm_b", "p_value", "p_holm"), "p_value", "p_holm"),
-    "arm_comparisons": lambda s, d: _rounded(significance.compare_arms(scores(s, d)), "difference", "ci_low", "ci_high", "p_value", "p_holm", places=6),
+    "arm_comparisons": lambda s, d: _rounded(significance.compare_arms(scores(s, d), unequal="pair"), "difference", "ci_low", "ci_high", "p_value", "p_holm", places=6),
     "bootstrap_accuracy": _bootstrap,
+    "selective_intervals": lambda s, d: _rounded(significance.bootstrap_selective(scores(s, d)), "estimate", "ci_low", "ci_high", places=6).withColumns({c: F.col(c) + 0.0 for c in ("estimate", "ci_low", "ci_high")}),
+    "guarded_comparison": lambda s, d: _rounded(significance.compare_arms(significance.shared_items(scores(s, d))), "difference", "ci_low", "ci_high", "p_value", "p_holm", places=6),
     "bootstrap_aurc": lambda s, d: _rounded(significance.bootstrap_aurc(scores(s, d), n_draws=DRAWS), "ci_low", "ci_high", places=6),
     "cohen_kappa": lambda s, d: _rounded(agreement.cohen(_quality_rule(s, d), "human", "automatic", []), "agreement", "expected", "kappa"),
     "multiclass_kappa": lambda s, d: _rounded(agreement.cohen(_first(s, d).withColumn("human", F.when(F.col("item_id") % 5 == 0, "other_incorrect").otherwise(F.col("outcome"))), "human", "outcome", ["arm"]), "agreement", "expected", "kappa"),
@@ -118,14 +120,21 @@ HOLM = """, hs AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (O
 ho AS (SELECT *, max(st) OVER (ORDER BY p_value, arm_a, arm_b ROWS UNBOUNDED PRECEDING) AS p_holm FROM hs)"""
 
 
-def _boot(src: str, by: str, n_draws: int) -> str:
+#: How often a replicate takes a cluster, by a word of its digest.
+TIMES = "CASE " + " ".join(f"WHEN substr(w, 1 + 8 * i::INT, 8) < '{x}' THEN {k}" for k, x in enumerate(significance.STEPS)) + f" ELSE {len(significance.STEPS)} END"
+
+
+def _draws(src: str) -> str:
+    """The rows of src, once for each replicate that takes their family, with rep and times."""
+    return f"""SELECT * FROM (SELECT *, four * 4 + i AS rep, {TIMES} AS times FROM (SELECT *, md5(concat_ws('|', '20260904', four::VARCHAR, family::VARCHAR)) AS w
+  FROM {src} CROSS JOIN (SELECT range AS four FROM range({DRAWS // 4}))) CROSS JOIN (SELECT range AS i FROM range(4))) WHERE times > 0"""
+
+
+def _boot(src: str, by: str) -> str:
     """CTEs for a bootstrap of the mean of v over (by, family) of src; bs has the result."""
     return f"""cl AS (SELECT {by}, family, sum(v)::DOUBLE AS s, count(v) AS c FROM {src} GROUP BY ALL),
-ci AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY family) - 1 AS ix FROM cl),
 gn AS (SELECT {by}, count(*) AS nc, sum(s) / sum(c) AS estimate FROM cl GROUP BY ALL),
-dr AS (SELECT {by}, rep, (('0x' || substr(md5(concat_ws('|', '20260904', rep::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT) % nc AS ix
-  FROM (SELECT *, unnest(range(0, nc)) AS slot FROM gn CROSS JOIN (SELECT range AS rep FROM range({n_draws})))),
-st2 AS (SELECT {by}, rep, sum(s) / sum(c) AS val FROM dr JOIN ci USING ({by}, ix) GROUP BY ALL),
+st2 AS (SELECT {by}, rep, sum(s * times) / nullif(sum(c * times), 0) AS val FROM ({_draws('cl')}) GROUP BY ALL),
 bs AS (SELECT {by}, quantile_cont(val, 0.025) AS ci_low, quantile_cont(val, 0.975) AS ci_high FROM st2 GROUP BY ALL)"""
 
 
@@ -139,17 +148,26 @@ pe AS (SELECT {by}, sum(x * y) AS e FROM la JOIN lb USING ({by}, l) GROUP BY ALL
 ka AS (SELECT {by}, n, agreement, coalesce(e, 0) / (n::DOUBLE * n) AS expected FROM tot LEFT JOIN pe USING ({by}))
 SELECT {out} n, round(agreement, 9) AS agreement, round(expected, 9) AS expected, round(CASE WHEN expected < 1 THEN (agreement - expected) / (1 - expected) END, 9) AS kappa FROM ka"""
 
+#: The measures of every replicate; -1 takes each family once. Harmonic numbers are a table.
+REPLICATES = f"""hn AS (SELECT i, sum(1.0::DOUBLE / i) OVER (ORDER BY i) AS har FROM (SELECT range AS i FROM range(1, 100000))), h0 AS (SELECT 0 AS i, 0.0::DOUBLE AS har UNION ALL SELECT * FROM hn),
+ce AS (SELECT arm, family, confidence, count(*) AS m, count(*) FILTER (correct) AS h FROM f WHERE confidence IS NOT NULL GROUP BY ALL),
+dd AS (SELECT arm, confidence, m, h, rep, times FROM ({_draws('ce')}) UNION ALL SELECT arm, confidence, m, h, -1, 1 FROM ce),
+ti AS (SELECT arm, rep, confidence, sum(m * times)::BIGINT AS m, sum(h * times)::BIGINT AS h FROM dd GROUP BY ALL),
+tb AS (SELECT *, coalesce(sum(m) OVER o, 0)::BIGINT AS b, coalesce(sum(h) OVER o, 0)::BIGINT AS bh, (sum(m) OVER (PARTITION BY arm, rep))::BIGINT AS n FROM ti WINDOW o AS (PARTITION BY arm, rep ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pt AS (SELECT *, (b + m)::DOUBLE / n AS cov, (bh + h)::DOUBLE / (b + m) AS acc FROM tb),
+v0 AS (SELECT arm, rep, sum(m) AS n, sum(pt.h) AS hits, sum(m * (1 - pt.h::DOUBLE / m) - (bh - pt.h::DOUBLE / m * b) * (y.har - x.har)) / sum(m) AS aurc,
+  arg_min(acc, b) FILTER (cov >= 0.25 - 1e-12) AS at_25, arg_min(acc, b) FILTER (cov >= 0.5 - 1e-12) AS at_50, arg_min(acc, b) FILTER (cov >= 0.75 - 1e-12) AS at_75 FROM pt JOIN h0 x ON x.i = b JOIN h0 y ON y.i = b + m GROUP BY ALL),
+v AS (SELECT v0.*, ((n - hits) - hits * (y.har - x.har)) / n AS best FROM v0 JOIN h0 x ON x.i = hits JOIN h0 y ON y.i = n)"""
+
 #: The same tests within each repeat.
 MCR = MC.replace("x.repeat = 0 AND y.repeat = 0", "x.repeat = y.repeat").replace("x.family, x.correct", "x.repeat, x.family, x.correct").replace("SELECT arm_a, arm_b, count(*)", "SELECT repeat, arm_a, arm_b, count(*)").replace("mc AS (SELECT arm_a", "mc AS (SELECT repeat, arm_a")
 
 ORACLES = {
-    "ece_interval": f"""{EVERY}, c AS (SELECT *, least(floor(confidence * 10), 9) AS bin FROM f WHERE confidence IS NOT NULL), cl AS (SELECT DISTINCT arm, family FROM c),
-ci AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY family) - 1 AS ix, count(*) OVER (PARTITION BY arm) AS nc FROM cl),
-dr AS (SELECT arm, rep, (('0x' || substr(md5(concat_ws('|', '20260904', rep::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT) % nc AS ix FROM (SELECT *, unnest(range(0, nc)) AS slot FROM (SELECT DISTINCT arm, nc FROM ci) CROSS JOIN (SELECT range AS rep FROM range({DRAWS})))),
-w AS (SELECT arm, rep, ix, count(*) AS times FROM dr GROUP BY ALL), ce AS (SELECT arm, ix, bin, count(*) AS m, sum(confidence) AS s, count(*) FILTER (correct) AS h FROM c JOIN ci USING (arm, family) GROUP BY ALL),
-bi AS (SELECT arm, rep, bin, sum(m * times) AS m, abs(sum(s * times) - sum(h * times)) AS g FROM w JOIN ce USING (arm, ix) GROUP BY ALL), v AS (SELECT arm, rep, sum(g) / sum(m) AS val FROM bi GROUP BY ALL),
+    "ece_interval": f"""{EVERY}, c AS (SELECT *, least(floor(confidence * 10), 9) AS bin FROM f WHERE confidence IS NOT NULL),
+ce AS (SELECT arm, family, bin, count(*) AS m, sum(confidence) AS s, count(*) FILTER (correct) AS h FROM c GROUP BY ALL),
+bi AS (SELECT arm, rep, bin, sum(m * times) AS m, abs(sum(s * times) - sum(h * times)) AS g FROM ({_draws('ce')}) GROUP BY ALL), v AS (SELECT arm, rep, sum(g) / sum(m) AS val FROM bi GROUP BY ALL),
 wh AS (SELECT arm, sum(g) / sum(m) AS estimate FROM (SELECT arm, bin, sum(m) AS m, abs(sum(s) - sum(h)) AS g FROM ce GROUP BY ALL) GROUP BY ALL)
-SELECT arm, (SELECT max(nc) FROM ci WHERE ci.arm = v.arm) AS n_clusters, round(any_value(estimate), 6) AS estimate, round(quantile_cont(val, 0.025), 6) AS ci_low, round(quantile_cont(val, 0.975), 6) AS ci_high FROM v JOIN wh USING (arm) GROUP BY arm""",
+SELECT arm, (SELECT count(DISTINCT family) FROM ce WHERE ce.arm = v.arm) AS n_clusters, round(any_value(estimate), 6) AS estimate, round(quantile_cont(val, 0.025), 6) AS ci_low, round(quantile_cont(val, 0.975), 6) AS ci_high FROM v JOIN wh USING (arm) GROUP BY arm""",
     "rating_disagreements": "WITH r AS (SELECT doc_id AS rating_id, quality::INT AS human, CASE WHEN length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 20 > length(text) THEN 0 ELSE 1 END AS automatic FROM labels JOIN documents USING (doc_id)) SELECT * FROM r WHERE human <> automatic",
     "repeat_sensitivity": f"{W}, {MCR} SELECT arm_a, arm_b, count(*) AS n_repeats, round(max(p_value) FILTER (repeat = 0), 9) AS p_first, round(min(p_value), 9) AS p_min, round(max(p_value), 9) AS p_max FROM mc GROUP BY ALL",
     "clopper_pearson": f"""{W.replace('WITH', 'WITH RECURSIVE', 1)}, m AS (SELECT arm, count(*) FILTER (correct) AS k, count(*) AS n FROM scores GROUP BY ALL),
@@ -186,7 +204,7 @@ SELECT arm, count(*) FILTER (a_correct AND b_correct) AS n_both, count(*) AS n_p
     "breakdown_subsets": f"""{W}, {SUBSETS}, {PAIRS.format(src="(SELECT * FROM scores WHERE item_type = 'factual')")}
 SELECT arm, subset, count(DISTINCT item_id) AS n_items, count(*) AS n_obs, round(avg(correct::INT), 9) AS accuracy FROM sb GROUP BY ALL
 UNION ALL SELECT arm, 'pairs_both_correct', count(DISTINCT pair_id), count(*), round(avg((a_correct AND b_correct)::INT), 9) FROM pr GROUP BY arm""",
-    "breakdown_intervals": f"""{W}, {SUBSETS}, sv AS (SELECT *, correct::INT AS v FROM sb), {_boot('sv', 'arm, subset', DRAWS)}
+    "breakdown_intervals": f"""{W}, {SUBSETS}, sv AS (SELECT *, correct::INT AS v FROM sb), {_boot('sv', 'arm, subset')}
 SELECT arm, subset, nc AS n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm, subset)""",
     "utility_policy": f"""{W}, u AS (SELECT arm, 'safety' AS policy, CASE WHEN outcome = 'abstained' AND abstention_acceptable THEN 0.9 WHEN outcome = 'correct' THEN 1 WHEN outcome = 'abstained' THEN 0.25
   WHEN outcome = 'other_incorrect' THEN -0.5 WHEN outcome = 'adjacent_substitution' THEN -1 ELSE 0 END::DOUBLE AS u, CASE risk_tier WHEN 'high' THEN 1 WHEN 'medium' THEN 0.6 ELSE 0.3 END::DOUBLE AS w FROM scores
@@ -218,21 +236,18 @@ SELECT arm, threshold, (SELECT count(*) FROM c WHERE c.arm = th.arm AND confiden
     "ece": f"{EVERY}, {BINS} SELECT arm, round(sum(n * abs(mean_confidence - accuracy)) / sum(n), 9) AS ece FROM r GROUP BY ALL",
     "mcnemar_exact": f'{W}, {MC} SELECT arm_a, arm_b, both_right, a_only, b_only, neither, n, round(p_value, 9) AS p_value FROM mc',
     "holm_adjust": f"{W}, {MC}{HOLM} SELECT arm_a, arm_b, round(p_value, 9) AS p_value, round(p_holm, 9) AS p_holm FROM ho",
-    "arm_comparisons": f"""{W}, {MC}{HOLM}, sv AS (SELECT arm_a, arm_b, family, x::INT - y::INT AS v FROM d), {_boot('sv', 'arm_a, arm_b', significance.DRAWS)}
+    "arm_comparisons": f"""{W}, {MC}{HOLM}, sv AS (SELECT arm_a, arm_b, family, x::INT - y::INT AS v FROM d), {_boot('sv', 'arm_a, arm_b')}
 SELECT arm_a, arm_b, n, a_only, b_only, round(p_value, 6) AS p_value, round(p_holm, 6) AS p_holm, round(estimate, 6) AS difference, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, p_holm < 0.05 AS significant
 FROM ho JOIN gn USING (arm_a, arm_b) JOIN bs USING (arm_a, arm_b)""",
-    "bootstrap_accuracy": f"""{W}, sv AS (SELECT arm, family, correct::INT AS v FROM scores WHERE item_type = 'factual'), {_boot('sv', 'arm', significance.DRAWS)}
+    "bootstrap_accuracy": f"""{W}, sv AS (SELECT arm, family, correct::INT AS v FROM scores WHERE item_type = 'factual'), {_boot('sv', 'arm')}
 SELECT arm, nc AS n_clusters, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM gn JOIN bs USING (arm)""",
-    "bootstrap_aurc": f"""{EVERY}, c AS (SELECT * FROM f WHERE confidence IS NOT NULL), hn AS (SELECT i, sum(1.0 / i) OVER (ORDER BY i) AS har FROM (SELECT range AS i FROM range(1, 100000))), h0 AS (SELECT 0 AS i, 0.0 AS har UNION ALL SELECT * FROM hn),
-cl AS (SELECT DISTINCT arm, family FROM c), ci AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY family) - 1 AS ix, count(*) OVER (PARTITION BY arm) AS nc FROM cl),
-dr AS (SELECT arm, rep, (('0x' || substr(md5(concat_ws('|', '20260904', rep::VARCHAR, slot::VARCHAR)), 1, 8))::BIGINT) % nc AS ix
-  FROM (SELECT *, unnest(range(0, nc)) AS slot FROM (SELECT DISTINCT arm, nc FROM ci) CROSS JOIN (SELECT range AS rep FROM range({DRAWS})))),
-w AS (SELECT arm, rep, ix, count(*) AS times FROM dr GROUP BY ALL),
-ce AS (SELECT arm, ix, confidence, count(*) AS m, count(*) FILTER (correct) AS h FROM c JOIN ci USING (arm, family) GROUP BY ALL),
-ti AS (SELECT arm, rep, confidence, sum(m * times)::BIGINT AS m, sum(h * times)::BIGINT AS h FROM w JOIN ce USING (arm, ix) GROUP BY ALL),
-tb AS (SELECT *, coalesce(sum(m) OVER o, 0)::BIGINT AS b, coalesce(sum(h) OVER o, 0)::BIGINT AS bh FROM ti WINDOW o AS (PARTITION BY arm, rep ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT arm, rep, sum(m * (1 - h::DOUBLE / m) - (bh - h::DOUBLE / m * b) * (y.har - x.har)) / sum(m) AS val FROM tb JOIN h0 x ON x.i = b JOIN h0 y ON y.i = b + m GROUP BY ALL)
-SELECT arm, round(quantile_cont(val, 0.025), 6) AS ci_low, round(quantile_cont(val, 0.975), 6) AS ci_high FROM v GROUP BY ALL""",
+    "bootstrap_aurc": f"""{EVERY}, {REPLICATES} SELECT arm, round(quantile_cont(aurc, 0.025), 6) AS ci_low, round(quantile_cont(aurc, 0.975), 6) AS ci_high FROM v WHERE rep >= 0 GROUP BY arm""",
+    "selective_intervals": f"""{EVERY}, {REPLICATES}, lo AS (SELECT arm, rep, unnest(['aurc', 'e_aurc', 'accuracy_at_25', 'accuracy_at_50', 'accuracy_at_75']) AS measure, unnest([aurc, aurc - best, at_25, at_50, at_75]) AS val FROM v)
+SELECT arm, measure, round(max(val) FILTER (rep = -1), 6) + 0.0 AS estimate, round(quantile_cont(val, 0.025) FILTER (rep >= 0), 6) + 0.0 AS ci_low, round(quantile_cont(val, 0.975) FILTER (rep >= 0), 6) + 0.0 AS ci_high FROM lo GROUP BY ALL""",
+    "guarded_comparison": f"""{W.replace('scores AS (', 'every_score AS (')}, ar AS (SELECT count(DISTINCT arm) AS n FROM every_score), sh AS (SELECT item_id, repeat FROM every_score GROUP BY ALL HAVING count(DISTINCT arm) = (SELECT n FROM ar)),
+scores AS (SELECT * FROM every_score SEMI JOIN sh USING (item_id, repeat)), {MC}{HOLM}, sv AS (SELECT arm_a, arm_b, family, x::INT - y::INT AS v FROM d), {_boot('sv', 'arm_a, arm_b')}
+SELECT arm_a, arm_b, n, a_only, b_only, round(p_value, 6) AS p_value, round(p_holm, 6) AS p_holm, round(estimate, 6) AS difference, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, p_holm < 0.05 AS significant
+FROM ho JOIN gn USING (arm_a, arm_b) JOIN bs USING (arm_a, arm_b)""",
     "cohen_kappa": "WITH r AS (SELECT 1 AS one, quality::INT AS a, CASE WHEN length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) * 20 > length(text) THEN 0 ELSE 1 END AS b FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL), " + KAPPA.format(by="one", src="r", out=""),
     "multiclass_kappa": f"{FIRST}, r AS (SELECT arm, CASE WHEN item_id % 5 = 0 THEN 'other_incorrect' ELSE outcome END AS a, outcome AS b FROM f), " + KAPPA.format(by="arm", src="r", out="arm,"),
     "fleiss_kappa": f"""{FIRST}, i AS (SELECT item_id, count(*) AS r, count(*) FILTER (correct) AS c FROM f GROUP BY ALL), m AS (SELECT * FROM i WHERE r = (SELECT max(r) FROM i)),
