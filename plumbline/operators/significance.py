@@ -130,25 +130,37 @@ def _poisson_steps() -> list[str]:
 #: A word below the first step weighs 0, below the second 1, and so on.
 STEPS = _poisson_steps()
 #: Replicates that one digest weighs (it has as many words), and parts of the replicates, which are dealt out apart.
-WORDS, PARTS = 4, 16
+WORDS, PARTS = 4, 4
 
 
-def resampled(cells: DataFrame, cluster: str, n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+def resampled(cells: DataFrame, cluster: str, n_draws: int = DRAWS, seed: int = SEED, shared: bool = False) -> DataFrame:
     """``cells`` with _rep and _times: once as they are (replicate -1), and once for each replicate that draws their cluster.
 
     A replicate takes each cluster a Poisson number of times of mean 1, read off a digest of seed, replicate and cluster:
     the resampling of a fixed number of clusters without the condition on that number, which ratios of sums do not
-    depend on (their spread differs by a share of 1 / (2 clusters)). So nothing is numbered, joined or shuffled to be
-    drawn, a cluster has the same weight in all groups and cells, and every engine draws the same.
+    depend on (their spread differs by a share of 1 / (2 clusters)). So clusters are not numbered, a cluster has the same
+    weight in all groups and cells, and every engine draws the same. Where clusters have many cells each (``shared``),
+    a cluster's digests are taken once and joined to its cells; else each cell takes its own, without a join.
     """
-    word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_four").cast("string"), F.col(cluster).cast("string")))
-    fours = -(-n_draws // WORDS)
-    each = -(-(fours + 1) // PARTS)  # -1 stands before the fours
+    spark = cells.sparkSession
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # few cells would be expanded in one task: their replicates are dealt out first
-    dealt = cells.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    dealt = dealt.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*dealt.columns))
+    if not shared:
+        dealt = cells.withColumn("_part", parts)
+        return _drawn(dealt.repartition(n, F.xxhash64(*dealt.columns)), cluster, cells.columns, n_draws, seed)
+    named = cells.withColumn("_key", F.to_json(F.struct(F.col(cluster).alias("c"))))  # a null cluster is one, too
+    dealt = named.withColumn("_part", parts).repartition(n, "_key", "_part")
+    names = named.select(cluster, "_key").distinct().withColumn("_part", parts).repartition(n, "_key", "_part")
+    return dealt.join(_drawn(names, cluster, ["_key", "_part"], n_draws, seed).hint("shuffle_hash"), ["_key", "_part"]).select(*cells.columns, "_rep", "_times")
+
+
+def _drawn(dealt: DataFrame, cluster: str, columns: list[str], n_draws: int, seed: int) -> DataFrame:
+    """``columns`` of rows of (cluster, _part) with the replicates of their part and how often those take the cluster."""
+    word = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_four").cast("string"), F.col(cluster).cast("string")))
+    each = -(-(-(-n_draws // WORDS) + 1) // PARTS)  # -1 stands before the fours
     four = F.explode(F.sequence(F.col("_part") * each - 1, F.col("_part") * each + each - 2))
-    each = dealt.withColumn("_four", four).withColumn("_word", F.when(F.col("_four") >= 0, word))
+    rows = dealt.withColumn("_four", four).withColumn("_word", F.when(F.col("_four") >= 0, word))
 
     def times(i: int) -> str:
         part = f"substring(_word, {1 + 8 * i}, 8)"
@@ -156,7 +168,7 @@ def resampled(cells: DataFrame, cluster: str, n_draws: int = DRAWS, seed: int =
 
     # the first digest's place is taken by the cells as they are
     picks = ", ".join(f"struct(IF(_four < 0, {-1 if i == 0 else n_draws}, _four * {WORDS} + {i}) AS _rep, IF(_four < 0, 1, {times(i)}) AS _times)" for i in range(WORDS))
-    return each.select(*cells.columns, F.expr(f"inline(array({picks}))")).where((F.col("_times") > 0) & (F.col("_rep") < n_draws))
+    return rows.select(*columns, F.expr(f"inline(array({picks}))")).where((F.col("_times") > 0) & (F.col("_rep") < n_draws))
 
 
 def intervals(stats: DataFrame, by: list[str], measures: list[str], carry: tuple[str, ...] = (), level: float = 0.95) -> DataFrame:
@@ -183,7 +195,7 @@ def bootstrap(rows: DataFrame, by: list[str], cluster: str, sums: dict[str, Colu
     # a cluster's first cell counts it, so the clusters are summed with the rest
     first = F.row_number().over(W.partitionBy(*by, cluster).orderBy(*keys)) == 1 if keys else F.lit(True)
     cells = cells.withColumn("_clusters", first.cast("long"))
-    per = resampled(cells, cluster, n_draws, seed).groupBy(*by, "_rep", *keys).agg(*(F.sum(F.col(k) * F.col("_times")).alias(k) for k in (*sums, "_clusters")))
+    per = resampled(cells, cluster, n_draws, seed, bool(keys)).groupBy(*by, "_rep", *keys).agg(*(F.sum(F.col(k) * F.col("_times")).alias(k) for k in (*sums, "_clusters")))
     stats = per.groupBy(*by, "_rep").agg(*(c.alias(k) for k, c in statistics.items()), F.sum("_clusters").alias("n_clusters"))
     return intervals(stats, by, list(statistics), ("n_clusters",))
 
@@ -216,7 +228,7 @@ def bootstrap_selective(df: DataFrame, by: str = "arm", cluster: str = "family",
     """
     cells = selective.confident(df).groupBy(by, cluster, "confidence").agg(F.count("*").alias("_m"), F.count_if("correct").alias("_h"))
     weigh = lambda c: F.sum(F.col(c) * F.col("_times"))
-    ties = resampled(cells, cluster, n_draws, seed).groupBy(by, "_rep", "confidence").agg(weigh("_m").alias("size"), weigh("_h").alias("hits"))
+    ties = resampled(cells, cluster, n_draws, seed, True).groupBy(by, "_rep", "confidence").agg(weigh("_m").alias("size"), weigh("_h").alias("hits"))
     whole = W.partitionBy(by, "_rep")
     above = whole.orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, -1)
     ties = ties.withColumns({"before_n": F.coalesce(F.sum("size").over(above), F.lit(0)), "before_hits": F.coalesce(F.sum("hits").over(above), F.lit(0)), "_all": F.sum("size").over(whole)})

@@ -84,7 +84,7 @@ def _selective(s, d):
 
 def _self_match(s, d):
     index, queries, terms = _index(s, d)
-    hits = R.top(R.bm25plus(index, terms), 1).join(queries.withColumnRenamed("text", "_q"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    hits = R.top(R.bm25plus_best(index, terms, 1), 1).join(queries.withColumnRenamed("text", "_q"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     return hits.agg(F.count("*").alias("n"), F.count_if(F.contains("text", "_q")).alias("n_self"))
 
 

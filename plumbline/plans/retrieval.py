@@ -25,23 +25,22 @@ def _out(df):
 
 def _bm25(s, d):
     index, queries, terms = _index(s, d)
-    return _out(R.top_with_unmatched(R.bm25(index, terms), queries, index.docs))
+    return _out(R.top_with_unmatched(R.bm25_best(index, terms), queries, index.docs))
 
 
 def _bm25plus(s, d):
     index, queries, terms = _index(s, d)
-    return _out(R.top_with_unmatched(R.bm25plus(index, terms), queries, index.docs))
+    return _out(R.top_with_unmatched(R.bm25plus_best(index, terms), queries, index.docs))
 
 
 def _tfidf(s, d):
-    docs, queries, terms = _tables(s, d)
-    return _out(R.top_with_unmatched(R.tfidf(docs, terms), queries, docs))
+    index, queries, terms = _index(s, d)
+    return _out(R.top_with_unmatched(R.tfidf(index, terms), queries, index.docs))
 
 
 def _rrf(s, d):
-    docs, queries, terms = _tables(s, d)
-    index = R.build(docs, terms)
-    fused = R.fuse(R.tfidf(docs, terms), R.bm25plus(index, terms), queries, docs)
+    index, queries, terms = _index(s, d)
+    fused = R.fuse(R.tfidf(index, terms), R.bm25plus(index, terms), queries, index.docs)
     order = R.W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first_rank")
     ranked = fused.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= R.TOP)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
@@ -49,7 +48,7 @@ def _rrf(s, d):
 
 def _covered(s, d):
     index, _, terms = _index(s, d)
-    return R.coverage(terms, index, R.top(R.bm25plus(index, terms)))
+    return R.coverage(terms, index, R.top(R.bm25plus_best(index, terms)))
 
 
 def _coverage(s, d):

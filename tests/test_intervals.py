@@ -69,9 +69,10 @@ def times_null(rep):
 
 def test_resampled_cells(spark):
     cells = spark.createDataFrame([("a", 1), ("b", 2)], "family string, n int")
-    got = {(r.family, r._rep): r._times for r in significance.resampled(cells, "family", 10).collect()}
     want = {(f, rep): times(rep, f) for f in "ab" for rep in range(10)}
-    assert got == {k: v for k, v in want.items() if v} | {("a", -1): 1, ("b", -1): 1}
+    for shared in (False, True):
+        got = {(r.family, r._rep): r._times for r in significance.resampled(cells, "family", 10, shared=shared).collect()}
+        assert got == {k: v for k, v in want.items() if v} | {("a", -1): 1, ("b", -1): 1}
     many = significance.resampled(spark.range(400).withColumnRenamed("id", "family"), "family", 1000).where("_rep >= 0").agg(F.sum("_times").alias("s"), F.sum(F.col("_times") * F.col("_times")).alias("q")).first()
     assert abs(many.s / 4e5 - 1) < 0.01 and abs(many.q / 4e5 - 2) < 0.03  # Poisson: mean 1, mean square 2
 

@@ -119,8 +119,7 @@ def test_rank_fusion_and_bm25(spark):
     assert abs(plus[1.0][1] - plus[0.0][1] - 2 * math.log(5 / 3)) < 1e-12
 
 
-def test_rankings_go_on_with_the_least_ids_without_a_match(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "POOL", 2)  # the pool has to grow
+def test_rankings_go_on_with_the_least_ids_without_a_match(spark):
     docs = spark.createDataFrame([(i, "valve" if i in (1, 2, 3, 40) else "other") for i in range(1, 60)], "doc_id long, text string")
     queries = spark.createDataFrame([(0, "valve"), (1, "nothing here"), (2, "")], "query_id long, text string")
     terms = retrieval.query_terms(queries)
