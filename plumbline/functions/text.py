@@ -110,21 +110,30 @@ def any_asserted(text: Column, phrases: list[str], cues: list[str] | None = None
     return F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(asserted(text, p, cues), F.lit(p)) for p in phrases]), lambda x: x.isNotNull())))
 
 
+#: Names of the whole numbers below twenty and of the tens, and the hundreds that are read.
+SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+HUNDREDS = {"1 hundred": 100.0, "2 hundred": 200.0, "3 hundred": 300.0, "5 hundred": 500.0, "one hundred": 100.0, "one hundred twenty": 120.0, "one hundred eighty": 180.0}
+
+
+def spelled(n: int, join: str = "-") -> str:
+    """A whole number below 100 in words; ``join`` stands between ten and unit."""
+    ten, unit = divmod(n, 10)
+    if n < len(SMALL):
+        return SMALL[n]
+    return TENS[ten - 2] + (join + SMALL[unit] if unit else "")
+
+
 def number_words() -> dict[str, float]:
-    """Spelled whole numbers 0-99 with hyphen or space, and the round hundreds; "two hundred" reads as 2."""
-    units = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-    tens = dict(zip(range(20, 100, 10), "twenty thirty forty fifty sixty seventy eighty ninety".split(), strict=True))
-    out = {w: float(i) for i, w in enumerate(units)} | {w: float(n) for n, w in tens.items()}
-    out |= {f"{w}{join}{units[k]}": float(n + k) for n, w in tens.items() for k in range(1, 10) for join in "- "}
-    out |= {f"{n} hundred": 100.0 * n for n in (1, 2, 3, 5)}
-    return out | {"one hundred": 100.0, "one hundred twenty": 120.0, "one hundred eighty": 180.0}
+    """Spelled whole numbers 0-99 with hyphen or space, and the hundreds that are read; "two hundred" reads as 2."""
+    return {spelled(n, join): float(n) for n in range(100) for join in "- "} | HUNDREDS
 
 
 def numbers(text: Column) -> Column:
     """Array of all numbers in normal text: digits first, then spelled ones."""
-    spelled = number_words()
-    table = F.create_map(*[F.lit(x) for kv in spelled.items() for x in kv])
-    pattern = r"(?U)(?<![\w-])(" + "|".join(sorted(map(re.escape, spelled), key=len, reverse=True)) + r")(?![\w-])"
+    words = number_words()
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    pattern = r"(?U)(?<![\w-])(" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?![\w-])"
     digits = F.transform(F.regexp_extract_all(text, F.lit(DIGITS), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
     return F.concat(digits, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.element_at(table, x)))
 
@@ -168,7 +177,7 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
-#: What is made plain in section text, one after the other.
+#: What is made plain in section text, one after the other. A long dash stays as it is.
 MARKUP = [
     ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), (" - ", "-"), ("−", "-"), ("\u00a0", " "),
     ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), (" - ", "-"), ("&#8217;", "'"),
@@ -178,6 +187,6 @@ MARKUP = [
 def flat_markup(text: Column) -> Column:
     """Tags out, quotes and dashes plain, entities read, lower case, single spaces: for matching in section text."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    for bad, good in {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", " - ": "-", "&#8217;": "'"}.items():
+    for bad, good in MARKUP:
         out = F.replace(out, F.lit(bad), F.lit(good))
     return F.lower(F.trim(F.regexp_replace(out, SPACE, " ")))

@@ -171,6 +171,14 @@ def test_text(spark):
     assert [x.x for x in v] == [["10000", "10,000"], ["1.3"], ["7"]]
 
 
+def test_markup_and_number_words(spark):
+    rows = [("a \u2013 b \u2212 c\u00a0d", "a-b-c d"), ("x\u2014y \u2014 z", "x\u2014y \u2014 z"), ("<p>\u201cIt\u2019s&amp;&#8217;</p>", "\"it's&'"), (None, "")]
+    got = spark.createDataFrame(rows, "t string, want string").select(T.flat_markup(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got), got
+    words = T.number_words()
+    assert len(words) == 28 + 2 * 72 + 7 and words["ninety-nine"] == words["ninety nine"] == 99 and words["twenty"] == 20 and words["one hundred eighty"] == 180
+
+
 def test_abstention_and_answer_parts(spark):
     df = norm(spark, "I don't know.", "I cannot confirm, but the interval is five years.", "x", "Five years.")
     got = {r.t: (r.e, r.a) for r in df.select("t", *[c.alias(k) for k, c in zip("ea", T.abstention(F.col("normal")), strict=True)]).collect()}
