@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from plumbline.plans import evidence, retrieval, statistics, texts
+from plumbline.plans import evidence, ledger, retrieval, statistics, texts
 
-MODULES = [statistics, texts, retrieval, evidence]
+MODULES = [statistics, texts, retrieval, evidence, ledger]
 
 
 def queries() -> dict[str, Callable]:

@@ -154,7 +154,7 @@ def _recheck(s, d):
     return O.recheck(items, stored)
 
 
-def _verify(s, d):
+def verifiable(s, d):
     """Each whole text as a section with markers at its start, middle and end; anchors are words of its second half."""
     i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
     docs = table(s, d, "documents").withColumn("_half", F.floor(F.length(t) / 2).cast("int"))
@@ -164,7 +164,11 @@ def _verify(s, d):
     clause = F.concat(F.lit("29 CFR 1910."), i.cast("string"), F.when(i % 3 == 0, "(a)").when(i % 3 == 1, "(b)(1)").otherwise("(c) and (1)"))
     word = F.regexp_extract(tail, r"([a-zA-Z]{4,})", 1)
     anchor = F.when(i % 4 == 0, "absent words").when(i % 4 == 1, F.lit("'it's'  & -")).otherwise(word)  # typed with plain marks
-    out = O.verify(docs.select(i.alias("item_id"), clause.alias("clause"), anchor.alias("anchor")), sections)
+    return docs.select(i.alias("item_id"), clause.alias("clause"), anchor.alias("anchor")), sections
+
+
+def _verify(s, d):
+    out = O.verify(*verifiable(s, d))
     return out.withColumn("markers_missing", F.concat_ws("", "markers_missing"))
 
 

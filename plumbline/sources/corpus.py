@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.corpus import violations
+from plumbline.operators.significance import same_items_or_raise
 
 SCHEMA_VERSION = "1.0"
 EXCLUDED = "EXCLUDED_FROM_SCORING"
@@ -79,6 +82,25 @@ def run_scores(runs: DataFrame) -> DataFrame:
     return rows.select("adapter", "arm", "repeat", "is_mock", "_s.*").withColumns({k: F.col("outcome") == v for k, v in (("correct", "correct"), ("adjacent", "adjacent_substitution"), ("abstained_flag", "abstained"))})
 
 
+def read_arms(spark: SparkSession, paths: dict[str, str], digest: str | None = None) -> DataFrame:
+    """Scores of the factual items of several arms (name -> run file), ready to be compared item by item.
+
+    Each file holds one run with factual items, or this raises. Reading the rows raises where the arms' items differ.
+    """
+    arms = []
+    for name, path in paths.items():
+        runs = read_runs(spark, path, digest)
+        if (n := runs.count()) != 1:
+            raise CorpusError(f"{path}: expected one run, found {n}")
+        scores = run_scores(runs).where("item_type = 'factual'").withColumn("arm", F.lit(name))
+        if scores.isEmpty():
+            raise CorpusError(f"{path}: no factual items")
+        arms.append(scores)
+    if not arms:
+        raise CorpusError("no arms to load")
+    return same_items_or_raise(reduce(DataFrame.unionByName, arms))
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stored CSV result by its header, with an explicit schema."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
