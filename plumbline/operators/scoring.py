@@ -11,9 +11,10 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline import scratch
 from plumbline.functions import citations as C
 from plumbline.functions import text as T
-from plumbline.operators import reports
+from plumbline.operators import phrases, reports
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ KEY = "required array<array<string>>, forbidden array<array<string>>, numeric ar
 
 def pattern_of(phrase: Column) -> Column:
     """``phrase_pattern`` as a column, for phrases that are data."""
-    folded = F.trim(F.regexp_replace(F.lower(phrase), r"\s+", " "))
+    folded = phrases.folded(phrase)
     quoted = F.regexp_replace(F.regexp_replace(folded, r"([\\.\[\]{}()*+?^$|&~#-])", r"\\$1"), " ", r"\\s+")
     return F.concat(F.lit("(?<![a-z0-9])"), quoted, F.when(folded.rlike("[0-9]$"), "(?![0-9])").otherwise(""))
 
@@ -94,15 +95,19 @@ def assessed(rows: DataFrame, normal: str = "normal") -> DataFrame:
     ).drop("_met", "_numbers")
 
 
+def decided(empty: Column, declined: Column, coverage: Column, n_forbidden: Column, n_adjacent: Column, numeric: Column, failed: Column, config: Config = DEFAULT) -> Column:
+    """The ordered decision from its facts: error, empty, declined, correct, adjacent, other; numeric is null without facts."""
+    full = F.coalesce(numeric, F.lit(1.0)) >= 1 if config.full_numeric else F.lit(True)
+    right = (coverage >= config.coverage) & (n_forbidden == 0) & full
+    adjacent = (n_adjacent >= config.few_terms) | ((n_adjacent >= 1) & (coverage < config.low_coverage))
+    return F.when(failed | empty, "unscorable").when(declined, "abstained").when(right, "correct").when(adjacent, "adjacent_substitution").otherwise("other_incorrect")
+
+
 def outcome(normal: str = "normal", error: str = "error", config: Config = DEFAULT) -> Column:
-    """The ordered decision: error, empty, declined, correct, adjacent, other."""
+    """The decision over assessed rows."""
     empty, declined = T.abstention(F.col(normal))
-    n = F.size("adjacent_hits")
-    numeric = F.coalesce("numeric_coverage", F.lit(1.0)) >= 1 if config.full_numeric else F.lit(True)
-    right = (F.col("coverage") >= config.coverage) & (F.size("forbidden_asserted") == 0) & numeric
-    adjacent = (n >= config.few_terms) | ((n >= 1) & (F.col("coverage") < config.low_coverage))
     failed = F.coalesce(F.col(error), F.lit("")) != ""
-    return F.when(failed | empty, "unscorable").when(declined, "abstained").when(right, "correct").when(adjacent, "adjacent_substitution").otherwise("other_incorrect")
+    return decided(empty, declined, F.col("coverage"), F.size("forbidden_asserted"), F.size("adjacent_hits"), F.col("numeric_coverage"), failed, config)
 
 
 def score(items: DataFrame, responses: DataFrame, text: str = "text", cues: list[str] | None = None, on: str = "item_id", config: Config = DEFAULT) -> DataFrame:
@@ -148,15 +153,40 @@ def score_full(items: DataFrame, responses: DataFrame, cues: list[str] | None =
     return rows.withColumns({"abstained": F.col("outcome") == "abstained", "unscorable_reason": reason, "utility": reports.utility(config.policy)}).drop("_said", "_found", "_expected", "_acceptable")
 
 
+def _phrases_of(questions: DataFrame) -> DataFrame:
+    """(item_id, role, place, phrase) of all phrases of keys; place is a required phrase's group."""
+    none = F.array().cast("array<array<string>>")
+    role = lambda name, c: questions.select("item_id", F.lit(name).alias("role"), F.lit(None).cast("int").alias("place"), F.explode(c).alias("phrase"))
+    groups = questions.select("item_id", F.lit("required").alias("role"), F.posexplode(F.coalesce("required", none)).alias("place", "_g"))
+    required = groups.select("item_id", "role", "place", F.explode("_g").alias("phrase"))
+    return required.unionByName(role("forbidden", F.flatten(F.coalesce("forbidden", none)))).unionByName(role("adjacent", F.col("adjacent")))
+
+
 def answer_space(questions: DataFrame, excerpts: DataFrame, cues: list[str] | None = None) -> DataFrame:
-    """(item_id, form, excerpt_id, outcome, coverage): every question against every excerpt in both forms.
+    """(item_id, form, excerpt_id, outcome, coverage): every question (ids unique) against every excerpt in both forms.
 
-    The exhaustive product is the operator's meaning; excerpts of a corpus are few and are broadcast. Excerpts are
-    normalised once, before they are multiplied.
+    The exhaustive product is the operator's meaning, but it is one of ids and facts: texts are normalised and written
+    once, phrases are looked up in the texts that can hold them, and what a pair has of its key is joined to the product.
     """
+    ids = ["excerpt_id", "form"]
     both = excerpts.select("excerpt_id", F.explode(F.array(F.struct(F.lit("wrapped").alias("form"), F.col("wrapped").alias("text")), F.struct(F.lit("bare").alias("form"), F.col("bare").alias("text")))).alias("_e")).select("excerpt_id", "_e.*")
-    rows = compiled(questions, cues).crossJoin(F.broadcast(T.normalized(both, "text").drop("text"))).withColumn("error", F.lit(None).cast("string"))
-    return assessed(rows).withColumn("outcome", outcome()).select("item_id", "form", "excerpt_id", "outcome", "coverage")
+    texts = scratch.saved(T.normalized(both, "text").drop("text"), "excerpts")
+    uses = _phrases_of(questions)
+    found = phrases.occurrences(texts, ids, uses, pattern_of, lambda p: asserted_pattern(p, cues))
+    n = lambda role, c: F.size(F.collect_set(F.when(role, c)))  # noqa: E731  bounded by one key
+    said = lambda name: (F.col("role") == name) & F.col("asserted")
+    evidence = found.join(uses, "phrase").groupBy("item_id", *ids).agg(
+        n(F.col("role") == "required", F.col("place")).alias("_met"), n(said("forbidden"), F.col("phrase")).alias("_forbidden"), n(said("adjacent"), F.col("phrase")).alias("_adjacent")
+    )
+    empty, declined = T.abstention(F.col("normal"))
+    facts = texts.select(*ids, empty.alias("_empty"), declined.alias("_declined"), T.numbers(F.col("normal")).alias("_numbers"))
+    right = F.filter("numeric", lambda x: F.exists("_numbers", lambda v: F.abs(v - x["value"]) <= x["tolerance"]))
+    asked = questions.select("item_id", F.coalesce(F.size("required"), F.lit(0)).alias("_groups"), "numeric")
+    product = asked.crossJoin(facts).select("item_id", *ids, "_groups", "_empty", "_declined", F.when(F.size("numeric") > 0, F.size(right) / F.size("numeric")).alias("_numeric"))
+    rows = product.join(evidence, ["item_id", *ids], "left").na.fill(0, ["_met", "_forbidden", "_adjacent"])
+    rows = rows.withColumn("coverage", F.when(F.col("_groups") <= 0, 1.0).otherwise(F.col("_met") / F.col("_groups")))
+    result = decided(F.col("_empty"), F.col("_declined"), F.col("coverage"), F.col("_forbidden"), F.col("_adjacent"), F.col("_numeric"), F.lit(False))
+    return rows.select("item_id", "form", "excerpt_id", result.alias("outcome"), "coverage")
 
 
 def ceilings(space: DataFrame) -> DataFrame:
