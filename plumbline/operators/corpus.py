@@ -129,3 +129,22 @@ def export(items: DataFrame) -> DataFrame:
 def answered_from(standard: Column, clause: Column, title: Column, anchor: Column, wrapped: bool = True) -> Column:
     """A retriever's response that quotes an excerpt: with its citation around it, or bare."""
     return F.format_string("%s (%s, %s) states: %s See %s.", standard, clause, title, anchor, clause) if wrapped else anchor
+
+
+#: Fixed value: where the citation of a wrapped excerpt ends.
+STATES = ") states: "
+
+
+def source_parts(wrapped: Column, anchor: Column) -> Column:
+    """(prefix, suffix) of a wrapped excerpt around its anchor; null if either is null.
+
+    The anchor stands behind the end of the citation, since a title may hold its words as well. A wrapper that does not
+    hold its anchor there raises.
+    """
+    at = F.locate(STATES, wrapped)
+    start = at + len(STATES)
+    fits = (at > 0) & (F.substr(wrapped, start, F.length(anchor)) == anchor)
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    parts = F.struct(trimmed(F.left(wrapped, start - 1)).alias("prefix"), trimmed(F.substr(wrapped, start + F.length(anchor))).alias("suffix"))
+    wrong = F.raise_error(F.concat(F.lit("no such excerpt in its wrapper: "), F.left(anchor, F.lit(80)))).cast("struct<prefix: string, suffix: string>")
+    return F.when(wrapped.isNotNull() & anchor.isNotNull(), F.when(fits, parts).otherwise(wrong))

@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.prefix import hex_bucket, running
 
+#: The outcomes that people rate; what cannot be scored is not rated.
+RATED = ("adjacent_substitution", "correct", "other_incorrect", "abstained")
+RUN = ["adapter", "arm", "repeat"]
+
+
+def ratable(scores: DataFrame, responses: DataFrame, items: DataFrame, outcomes: tuple[str, ...] = RATED) -> DataFrame:
+    """What a sample for rating is drawn from: scores of the given outcomes with their response and item.
+
+    scores: adapter, arm, repeat, item_id, outcome; responses: the first four and text; items: item_id, question,
+    correct_answer, clause, adjacent_label. A score without a response or an item is left out. Items join last, so the
+    responses, which are large, meet the scores on the whole key and are shuffled once.
+    """
+    scored = scores.where(F.col("outcome").isin(list(outcomes))).select(*RUN, "item_id", F.col("outcome").alias("automatic_outcome"))
+    said = scored.join(responses.select(*RUN, "item_id", F.col("text").alias("response_text")), [*RUN, "item_id"])
+    known = items.select("item_id", "question", F.col("correct_answer").alias("reference_answer"), "clause", "adjacent_label")
+    return said.join(known, "item_id").select(*RUN, "item_id", "automatic_outcome", "question", "response_text", "reference_answer", "clause", "adjacent_label")
+
 
 def stratified(rows: DataFrame, stratum: str, key: list[str], share: float = 0.2, seed: int = 20260904) -> DataFrame:
     """``rows`` sampled: of each stratum of n rows max(1, round(n * share)), in hash order, with rating_id.

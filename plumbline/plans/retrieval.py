@@ -59,7 +59,9 @@ def _answers(s, d):
     queries = _tables(s, d)[1]
     passages = table(s, d, "documents").select("doc_id", F.col("lang").alias("standard"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("clause"), F.col("source").alias("title"), F.col("text").alias("anchor"))
     said = R.answers(_covered(s, d), queries.select("query_id", F.col("text").alias("query")), passages, "none")
-    return said.select("query_id", "decision", "text", F.size("citations").alias("n_citations"), "confidence", F.get_json_object("audit", "$.answer_sha256").alias("answer_sha256"))
+    record = F.from_json("audit", "retrieved array<struct<id: string>>, threshold double, corpus_digest string, answer_sha256 string")
+    told = said.withColumn("_a", record).withColumn("retrieved", F.array_join(F.transform("_a.retrieved", lambda h: h["id"]), ","))
+    return told.select("query_id", "decision", "text", F.size("citations").alias("n_citations"), "confidence", "retrieved", "_a.threshold", "_a.corpus_digest", "_a.answer_sha256")
 
 
 def _sweep(s, d):
@@ -137,7 +139,8 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 FROM benchmark b LEFT JOIN cv ON query_id = item_id AND rank = 1 LEFT JOIN documents d USING (doc_id)),
 sa AS (SELECT query_id, confidence, coalesce(yes, false) AS yes, CASE WHEN yes THEN st || ' (' || cl || ', ' || ti || ') states: "' || an || '" [1] Source: ' || st || ', ' || cl || '.'
 ELSE 'I cannot answer this from the governed corpus: the retrieved evidence is insufficient (evidence coverage ' || printf('%.2f', confidence) || ' < threshold 0.30). No source is cited.' END AS text FROM be)
-SELECT query_id, CASE WHEN yes THEN 'answer' ELSE 'abstain' END AS decision, text, yes::INT AS n_citations, confidence, sha256(text) AS answer_sha256 FROM sa""",
+SELECT query_id, CASE WHEN yes THEN 'answer' ELSE 'abstain' END AS decision, text, yes::INT AS n_citations, confidence, coalesce(retrieved, '') AS retrieved, 0.3::DOUBLE AS threshold, 'none' AS corpus_digest, sha256(text) AS answer_sha256
+FROM sa LEFT JOIN (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS retrieved FROM cv GROUP BY ALL) USING (query_id)""",
     "threshold_sweep": f"""{BASE}, {PLUS}, {COVER}, be AS (SELECT coverage, contains(d.text, b.text) AS ok FROM cv JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank = 1)
 SELECT threshold::DOUBLE AS threshold, count(*) AS n, count(*) FILTER (coverage >= threshold) AS answered, round(avg((coverage >= threshold AND ok)::INT), 9) AS accuracy, round(avg(ok::INT) FILTER (coverage >= threshold), 9) AS precision_answered
 FROM be, (VALUES (0.0), (0.2), (0.3), (0.4), (0.5), (0.6)) AS v(threshold) GROUP BY threshold""",

@@ -94,6 +94,17 @@ QUERIES = {
     "stratified_sample": lambda s, d: sampling.stratified(scores(s, d), "outcome", ["arm", "item_id", "repeat"]).select("rating_id", "arm", "item_id", "repeat", "outcome"),
 }
 
+
+def _ratable(s, d):
+    """Every third item has no response, every fifth is unknown."""
+    rows, i = scores(s, d).withColumn("adapter", F.col("arm")), F.col("item_id")
+    said = rows.where(i % 3 != 0).select("adapter", "arm", "repeat", "item_id", F.concat_ws(" ", "arm", F.col("repeat").cast("string")).alias("text"))
+    items = rows.where(i % 5 != 0).groupBy("item_id").agg(F.min("domain").alias("question")).withColumns({c: F.col("question") for c in ("correct_answer", "clause", "adjacent_label")})
+    return sampling.ratable(rows, said, items).select("arm", "repeat", "item_id", "automatic_outcome", "question", "response_text")
+
+
+QUERIES["ratable_rows"] = _ratable
+
 W = f"WITH {SCORES_SQL}"
 FIRST = f"{W}, f AS (SELECT * FROM scores WHERE repeat = 0)"
 EVERY = f"{W}, f AS (SELECT * FROM scores)"
@@ -256,6 +267,7 @@ SELECT n_items, n_raters, round(pa, 9) AS mean_agreement, round(p * p + (1 - p)
     "item_difficulty": f"{FIRST} SELECT item_id, count(*) AS n_raters, count(*) FILTER (correct) AS n_correct, round(avg(correct::INT), 9) AS difficulty FROM f GROUP BY ALL",
     "point_biserial": f"""{FIRST}, s AS (SELECT *, correct::INT AS x, (sum(correct::INT) OVER (PARTITION BY item_id)) - correct::INT AS y FROM f)
 SELECT arm, count(*) AS n, round(CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END, 9) AS discrimination FROM s GROUP BY ALL""",
+    "ratable_rows": f"{W} SELECT arm, repeat, item_id, outcome AS automatic_outcome, min(domain) OVER (PARTITION BY item_id) AS question, arm || ' ' || repeat AS response_text FROM scores WHERE item_id % 3 <> 0 AND item_id % 5 <> 0 QUALIFY outcome <> 'unscorable'",
     "stratified_sample": f"""{W}, h AS (SELECT *, md5(concat_ws('|', '20260904', arm, item_id::VARCHAR, repeat::VARCHAR)) AS h, md5(concat_ws('|', '20260904id', arm, item_id::VARCHAR, repeat::VARCHAR)) AS g FROM scores),
 r AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY h, arm, item_id, repeat) AS r, count(*) OVER (PARTITION BY outcome) AS n FROM h), p AS (SELECT * FROM r WHERE r <= greatest(1, round_even(n * 0.2::DOUBLE, 0)))
 SELECT 'adj-' || lpad((row_number() OVER (ORDER BY g, arm, item_id, repeat) - 1)::VARCHAR, 4, '0') AS rating_id, arm, item_id, repeat, outcome FROM p""",

@@ -126,6 +126,13 @@ def _space(s, d):
     return S.answer_space(_items(s), excerpts, CUES)
 
 
+def _parts(s, d):
+    """Excerpts whose words are their title's as well."""
+    text, name = F.col("text"), F.col("item_id").cast("string")
+    parts = O.source_parts(O.answered_from(F.lit("a standard"), name, text, text), text)
+    return table(s, d, "benchmark").select("item_id", parts["prefix"].alias("prefix"), parts["suffix"].alias("suffix"))
+
+
 def _retrieved(s, d):
     return s.createDataFrame([(i, i * 3 + 1) for i in range(5)], "item_id long, excerpt_id long")
 
@@ -206,6 +213,7 @@ QUERIES = {
     "verify_sources": _verify,
     "corpus_stats": _stats,
     "unsourced_numbers": _unsourced,
+    "source_parts": _parts,
 }
 
 
@@ -311,6 +319,7 @@ SELECT sum(n)::BIGINT AS n_items, sha256(string_agg(d, chr(30) ORDER BY p)) AS d
     "offline_recheck": f"WITH {DOCS}, st AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'old' ELSE clause END AS c, item_id % 11 <> 0 AS ok FROM it), sm AS (SELECT * REPLACE (CASE WHEN item_id % 7 = 0 THEN -1 - item_id ELSE item_id END AS item_id) FROM st), j AS (SELECT item_id, CASE WHEN c IS NULL THEN 'not_in_report' WHEN c <> clause THEN 'clause_differs' WHEN NOT ok THEN 'failed' END AS problem FROM it LEFT JOIN sm USING (item_id)) SELECT * FROM j WHERE problem IS NOT NULL",
     "corpus_stats": rf"WITH {DOCS} SELECT lang AS domain, count(*) AS n_items, count(*) FILTER (item_id % 2 = 0) AS n_pairs, round(avg(len(regexp_extract_all(text, '\S+'))), 6) AS mean_question_words, count(DISTINCT regexp_extract(clause, '(\d+)\.', 1)) AS n_parts FROM it GROUP BY ALL",
     "unsourced_numbers": r"WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\d+(?:,\d{3})*(?:\.\d+)?')) AS number FROM documents), s AS (SELECT DISTINCT unnest(regexp_extract_all(html, '\d+(?:,\d{3})*(?:\.\d+)?')) AS number FROM pages) SELECT doc_id, number FROM n ANTI JOIN s USING (number)",
+    "source_parts": "SELECT item_id, 'a standard (' || item_id || ', ' || text || ') states:' AS prefix, 'See ' || item_id || '.' AS suffix FROM benchmark",
     "parse_citations": f"""{CITED}, r AS (SELECT doc_id, unnest(CASE k WHEN 0 THEN ['29 CFR 1910.' || n || '(c)(6)(i)'] WHEN 1 THEN ['40 CFR 68.' || n || '(a)', '29 CFR 1910.' || n || '(c)'] WHEN 2 THEN ['ASME UG 1' || n, 'NFPA 70e']
   WHEN 3 THEN ['46 CFR 54.' || n || '-13(b)', 'API 5' || n, 'ISO 4126-1'] WHEN 4 THEN ['29 CFR 1904.' || n || '(a)(2)', 'API 5' || n] WHEN 5 THEN ['29 CFR 1910.' || n || '(c)(6)(i)'] WHEN 6 THEN [] ELSE ['29 CFR 1910.' || n || '(d)'] END) AS reference FROM c)
 SELECT doc_id, reference, NOT contains(reference, 'CFR') AS paywalled FROM r""",

@@ -64,6 +64,11 @@ def write_sample(sheet: DataFrame, key: DataFrame, path: str, mode: str = "error
         df.write.mode(mode).option("header", True).csv(f"{path}/{name}")
 
 
+def write_audit(answers: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The audit records of ``retrieval.answers`` as JSON lines, one an answer; answers without a record are left out."""
+    answers.where("audit IS NOT NULL").select("audit").write.mode(mode).text(path)
+
+
 def differs(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows of one side that the other lacks, repeats counted: empty where an artifact is up to date."""
     fresh = fresh.select(*stored.columns)

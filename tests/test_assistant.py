@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import adapters
 from plumbline.operators import retrieval as R
+from plumbline.sources import sinks
 
 
 def test_answers_and_audit(spark):
@@ -24,6 +25,12 @@ def test_answers_and_audit(spark):
     assert json.loads(got[3].audit)["retrieved"] == []
 
 
+def test_audit_is_written_as_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"query": "a\\nb"}'), (2, None)], "query_id long, audit string")
+    sinks.write_audit(rows, str(tmp_path / "audit"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "audit")).collect()] == [{"query": "a\nb"}]
+
+
 def test_answers_of_empty_tables(spark):
     none = spark.createDataFrame([], "query_id long, doc_id string, rank int, score double, coverage double")
     passages = spark.createDataFrame([], "doc_id string, standard string, clause string, title string, anchor string")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import adapters, corpus, evidence, prefix, retrieval
+from plumbline.operators import adapters, corpus, evidence, prefix, retrieval, sampling
 
 
 def test_search_and_filters(spark):
@@ -53,3 +53,24 @@ def test_retrieval_adapter_quotes_the_best_passage(spark):
     r = adapters.retrieved(items, top, passages).first()
     assert r.text == "S (C 1, T) states: inspection interval of disks See C 1." and r.citations == ["C 1"] and r.confidence == round(top.first().score, 4)
     assert [x.clause for x in corpus.labels(passages, "clause").collect()] == ["C 1", "C 2"]
+
+
+def test_source_parts_stand_behind_the_citation(spark):
+    rows = spark.createDataFrame([("S (C 1, ask ) twice) states: ask ) See C 1.", "ask )"), ("S (C, T) states: ", ""), (None, "x"), ("x", None)], "w string, a string")
+    got = [r.p for r in rows.select(corpus.source_parts(F.col("w"), F.col("a")).alias("p")).collect()]
+    assert [tuple(p) if p else None for p in got] == [("S (C 1, ask ) twice) states:", "See C 1."), ("S (C, T) states:", ""), None, None]
+    for w, a in (("S (C, T) says: x", "x"), ("S (C, T) states: y x", "x")):
+        with pytest.raises(Exception, match="no such excerpt"):
+            spark.createDataFrame([(w, a)], "w string, a string").select(corpus.source_parts(F.col("w"), F.col("a"))).collect()
+
+
+def test_only_rated_outcomes_with_response_and_item_are_drawn(spark):
+    run = "adapter string, arm string, repeat int, item_id string"
+    scores = spark.createDataFrame([("a", "m", 0, i, o) for i, o in (("1", "correct"), ("2", "abstained"), ("3", "unscorable"), ("4", "correct"), ("5", "correct"))], f"{run}, outcome string")
+    said = spark.createDataFrame([("a", "m", 0, i, f"text {i}") for i in "1235"] + [("a", "m", 1, "4", "another repeat")], f"{run}, text string")
+    items = spark.createDataFrame([(i, "q", "r", "c", None) for i in "1234"], "item_id string, question string, correct_answer string, clause string, adjacent_label string")
+    rows = sampling.ratable(scores, said, items)
+    assert sorted((r.item_id, r.automatic_outcome, r.response_text, r.adjacent_label) for r in rows.collect()) == [("1", "correct", "text 1", None), ("2", "abstained", "text 2", None)]
+    sheet, key = sampling.blinded(sampling.stratified(rows, "automatic_outcome", [*sampling.RUN, "item_id"]), ["question", "response_text", "reference_answer", "clause"])
+    assert sheet.columns == ["rating_id", "question", "response_text", "reference_answer", "clause"] and key.count() == 2
+    assert sampling.ratable(scores.limit(0), said, items).count() == 0
