@@ -67,9 +67,10 @@ def _answers(s, d):
 
 
 def _cited(s, d):
-    """Whole texts, each with a clause of its own in its middle, in one of eight forms."""
+    """Whole texts, each with a clause of its own between two words of its middle, in one of eight forms."""
     i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    n, half = (F.abs(i) % 90 + 10).cast("string"), F.floor(F.length(t) / 2).cast("int")
+    n, space = (F.abs(i) % 90 + 10).cast("string"), F.call_function("locate", F.lit(" "), t, F.floor(F.length(t) / 2).cast("int") + 1)
+    half = F.when(space > 0, space).otherwise(F.length(t))  # half an address would read as a section
     forms = [
         [F.lit("29 CFR 1910."), n, F.lit("(c)(6)(i)")], [F.lit("See 1910."), n, F.lit("(c) and 40 CFR 68."), n, F.lit("(a)")], [F.lit("ASME UG-1"), n, F.lit(" or NFPA 70E")], [F.lit("API RP 5"), n, F.lit(", ISO 4126-1; 54."), n, F.lit("-13(b)")],
         [F.lit("129 cfr part 1904."), n, F.lit(" (A)(2), api 5"), n], [F.lit("29 CFR 1910."), n, F.lit(" (c) (6) (i) twice 29 CFR 1910."), n, F.lit("(c)(6)(i)")], [F.lit("no citation")], [F.lit("29 c.f.r. 1910."), n, F.lit("(d)")],

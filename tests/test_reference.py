@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import citations as C
 from plumbline.functions import text as T
 from plumbline.operators import agreement, corpus, reports, retrieval, sampling, scoring, selective, significance
+from plumbline.plans import texts
 
 
 def arm(spark, confidence, correct, **more):
@@ -195,6 +196,15 @@ def C_text(r):
     return f"{r.family} {r.section}{''.join(f'({x})' for x in r.chain)}"
 
 
+def test_addresses_are_no_sections(spark, tmp_path):
+    assert cited(spark, "from 68.108.182.17, 54.12-13.5.6 and 54.12.1") == []
+    assert cited(spark, "See 68.108. Or 54.12-13, 1910.147.") == ["40 cfr 68.108", "46 cfr 54.12-13", "29 cfr 1910.147"]
+    rows = [(6, "ab 10.10.54.153 c"), (14, "10.10.54.153"), (22, None), (30, "")]  # the middle of the first two lies before 54
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert texts.QUERIES["parse_citations"](spark, str(tmp_path)).collect() == []
+    assert [r.citation_grade for r in texts.QUERIES["grade_citations"](spark, str(tmp_path)).collect()] == ["none"] * 4
+
+
 def test_citations(spark):
     assert cited(spark, "29 CFR 1910.147(c)(6)(I), 1910.147(c)(6)(i) and § 1926.50 (a); UG-127, nfpa 70E, API RP 520, iso 4126-1; 99.5(a)") == [
         "29 cfr 1910.147(c)(6)(i)", "29 cfr 1926.50(a)", "asme ug 127", "nfpa 70e", "api 520", "iso 4126-1",
