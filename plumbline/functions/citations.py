@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Patterns of the citation forms.
 CFR = r"(?i)(\d{1,2})\s*c\.?f\.?r\.?\s*(?:part\s*)?(\d{2,4}(?:\.\d+)?(?:-\d+)?)((?:\s*\([0-9a-z]{1,4}\))*)"
-BARE = r"(?i)(?<![\d.])(?:§\s*)?(19\d{2}\.\d++|68\.\d++|54\.\d++(?:-\d++)?)(?!\.\d)((?:\s*\([0-9a-z]{1,4}\))*)"  # 68.1.2.3 is an address
+BARE = r"(?i)(?<![\d.])(?:§\s*)?(19\d{2}\.\d++|68\.\d++|54\.\d++(?:-\d++)?+)(?!\.\d)((?:\s*\([0-9a-z]{1,4}\))*)"  # 68.1.2.3 is an address
 BARE_TITLES = {"1904.": "29 cfr", "1910.": "29 cfr", "1926.": "29 cfr", "68.": "40 cfr", "54.": "46 cfr"}
 PAID = {
     "asme ug": r"(?i)\bug-?\s?(\d{2,3})\b", "nfpa": r"(?i)\bnfpa\s*(\d{1,4}[a-z]?)\b",
