@@ -25,30 +25,30 @@ def _out(df):
 
 def _bm25(s, d):
     index, queries, terms = _index(s, d)
-    return _out(R.top_with_unmatched(R.bm25_best(index, terms), queries, index.docs))
+    return _out(R.best(index, terms, queries, "bm25"))
 
 
 def _bm25plus(s, d):
     index, queries, terms = _index(s, d)
-    return _out(R.top_with_unmatched(R.bm25plus_best(index, terms), queries, index.docs))
+    return _out(R.best(index, terms, queries, "bm25plus"))
 
 
 def _tfidf(s, d):
     index, queries, terms = _index(s, d)
-    return _out(R.top_with_unmatched(R.tfidf(index, terms), queries, index.docs))
+    return _out(R.best(index, terms, queries, "tfidf"))
 
 
 def _rrf(s, d):
     index, queries, terms = _index(s, d)
-    fused = R.fuse(R.tfidf(index, terms), R.bm25plus(index, terms), queries, index.docs)
+    fused = R.fused(index, terms, queries)
     order = R.W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first_rank")
     ranked = fused.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= R.TOP)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 def _covered(s, d):
-    index, _, terms = _index(s, d)
-    return R.coverage(terms, index, R.top(R.bm25plus_best(index, terms)))
+    index, queries, terms = _index(s, d)
+    return R.coverage(terms, index, R.best(index, terms, queries, "bm25plus", every=False))
 
 
 def _coverage(s, d):
@@ -66,8 +66,8 @@ def _answers(s, d):
 
 def _sweep(s, d):
     docs, queries, _ = _tables(s, d)
-    hits = _covered(s, d).where("rank = 1")
-    rows = hits.join(queries.withColumnRenamed("text", "_q"), "query_id").join(docs, "doc_id")
+    hits = R.saved(_covered(s, d).where("rank = 1"), "retrieval-hits")
+    rows = hits.join(queries.withColumnRenamed("text", "_q"), "query_id").join(R.of_hits(docs, hits), "doc_id")
     out = R.sweep(rows, F.contains("text", "_q"))
     return out.withColumns({c: F.round(c, 9) for c in ("accuracy", "precision_answered")})
 
