@@ -87,8 +87,10 @@ def section_of(clause: Column) -> dict[str, Column]:
 def anchor_local(section_text: Column, anchor: Column, markers: Column) -> Column:
     """Whether a cited marker is among the last six before the anchor; null without anchor, markers or a match."""
     flat = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)\s+", " "))
-    text, needle = flat(section_text), flat(anchor)
-    at = F.call_function("locate", F.lower(needle), F.lower(text))
-    before = F.regexp_extract_all(F.left(text, F.greatest(at - 1, F.lit(0))), F.lit(f"({MARKER})"), F.lit(1))
-    last = F.slice(before, F.greatest(F.size(before) - 5, F.lit(1)), F.lit(6))
-    return F.when((needle != "") & (F.size(markers) > 0) & (at > 0), F.arrays_overlap(last, markers))
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  an array of one element binds a value once
+    needle = flat(anchor)
+    last = lambda b: F.slice(b, F.greatest(F.size(b) - 5, F.lit(1)), F.lit(6))
+    before = lambda text, at: F.regexp_extract_all(F.left(text, F.greatest(at - 1, F.lit(0))), F.lit(f"({MARKER})"), F.lit(1))
+    near = lambda text, at: F.when(at > 0, let(before(text, at), lambda b: F.arrays_overlap(last(b), markers)))
+    found = let(flat(section_text), lambda text: let(F.call_function("locate", F.lower(needle), F.lower(text)), lambda at: near(text, at)))
+    return F.when((needle != "") & (F.size(markers) > 0), found)
