@@ -34,6 +34,8 @@ class Config:
 
 
 DEFAULT = Config()
+#: Items up to which their keys and patterns are broadcast.
+BROADCAST_ITEMS = 10_000
 
 KEY = "required array<array<string>>, forbidden array<array<string>>, numeric array<struct<value: double, tolerance: double>>, adjacent array<string>"
 
@@ -113,9 +115,13 @@ def outcome(normal: str = "normal", error: str = "error", config: Config = DEFAU
 def score(items: DataFrame, responses: DataFrame, text: str = "text", cues: list[str] | None = None, on: str = "item_id", config: Config = DEFAULT) -> DataFrame:
     """Responses (item_id, text, error) with their outcome and evidence; a response of no known item raises.
 
-    Items are joined by id, shuffled or broadcast as their size tells Spark. Unscorable rows carry no evidence.
+    Few items are broadcast, more are shuffled: a shuffle by few items would leave most tasks without a response. As
+    patterns cost more than reading, responses are dealt out evenly first. Unscorable rows carry no evidence.
     """
     held = compiled(items, cues).withColumn("_known", F.lit(True))
+    if items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
+        held = F.broadcast(held)
+        responses = responses.repartition(int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = T.normalized(responses, text).join(held, on, "left")
     rows = rows.withColumn(on, F.when(F.col("_known"), F.col(on)).otherwise(F.raise_error(F.concat(F.lit("no such item: "), F.col(on).cast("string"))).cast(dict(responses.dtypes)[on])))
     rows = assessed(rows).withColumn("outcome", outcome(config=config))

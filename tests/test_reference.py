@@ -270,3 +270,12 @@ def test_corpus_helpers(spark):
     assert a == b != corpus.digest(df, ["item_id", "item_type"]).first().digest
     r = spark.range(1).select(corpus.prints_as(F.lit(0.12345), F.lit(12.3), F.lit(1), 100.0).alias("x"), corpus.prints_as(F.lit(0.12345), F.lit(12.4), F.lit(1), 100.0).alias("y")).first()
     assert (r.x, r.y) == (True, False)
+
+
+def test_few_items_leave_no_task_without_responses(spark):
+    items = spark.createDataFrame([(0, [["a"]], [], [], ["b"])], f"item_id long, {scoring.KEY}")
+    said = spark.range(64).select("id", F.lit(0).cast("long").alias("item_id"), F.lit("a").alias("text"), F.lit(None).cast("string").alias("error"))
+    out = scoring.score(items, said)
+    assert {r.outcome for r in out.collect()} == {"unscorable"}  # shorter than an answer
+    parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 64 and len(parts) == 4
