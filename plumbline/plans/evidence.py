@@ -84,7 +84,8 @@ def _selective(s, d):
 
 def _self_match(s, d):
     index, queries, terms = _index(s, d)
-    hits = R.top(R.bm25plus_best(index, terms, 1), 1).join(queries.withColumnRenamed("text", "_q"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    best = R.saved(R.best(index, terms, queries, "bm25plus", 1, every=False), "retrieval-hits")
+    hits = best.join(queries.withColumnRenamed("text", "_q"), "query_id").join(R.of_hits(table(s, d, "documents").select("doc_id", "text"), best), "doc_id")
     return hits.agg(F.count("*").alias("n"), F.count_if(F.contains("text", "_q")).alias("n_self"))
 
 
