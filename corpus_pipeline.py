@@ -21,7 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 or more of their five-word shingles, the one of least id."""
+    """One document of each group of near copies, the one of least id: by vantage-point trees on fingerprints, and by whole sets.
+
+    Texts link at two differing bits or fewer, or where they share 0.8 or more of their five-word shingles.
+    """
     return near_copies.keep_first(docs)
 
 

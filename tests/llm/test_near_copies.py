@@ -77,3 +77,20 @@ def test_repeats_null_ids_and_empty(spark):
     kept = near_copies.keep_first(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, "q r s t u"), (3, ""), (5, "a b c")]
     assert near_copies.keep_first(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_fingerprints_alone_link_too(spark):
+    """The trees' links count even where the sets share less: a passage said once beside one said 40 times moves few bits."""
+    rng = random.Random(11)
+    once, other = ([f"w{rng.randint(0, 10**6)}" for _ in range(n)] for n in (60, 40))
+    texts = [" ".join(once * 40), " ".join(once * 40 + other), " ".join(other)]
+    assert (brute_print(texts[0]) ^ brute_print(texts[1])).bit_count() <= 2 and brute_kept(texts) == [0, 1, 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+
+
+def test_many_named_rows_give_the_same(spark, monkeypatch):
+    texts = corpus()[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "NAMED_ROWS", 0)
+    assert sorted(r.doc_id for r in near_copies.keep_first(docs).collect()) == brute_kept(texts)
