@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +37,18 @@ TOKEN = r"([a-z0-9]+(?:\.[0-9]+)*)"
 DIGITS = r"(?U)(?<![\w.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+#: Texts that a worker holds as Python strings at once.
+ROWS_AT_ONCE = 128
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    """NFKC, a few texts of the batch at a time."""
+    made = []
+    for k in range(0, len(texts), ROWS_AT_ONCE):
+        own = texts.slice(k, ROWS_AT_ONCE).to_pylist()
+        made.append(pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in own], texts.type))
+    return pa.concat_arrays(made) if made else texts
 
 
 def fold(text: Column) -> Column:
