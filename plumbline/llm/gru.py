@@ -44,7 +44,11 @@ def set_biases(p: Params, counts: np.ndarray) -> None:
 
 
 class Lanes:
-    """Documents laid end to end in lanes of like length, longest lane first; ``windows`` cuts them."""
+    """Documents laid end to end in lanes of like length, longest lane first; ``windows`` cuts them.
+
+    Where a long document leaves few lanes running, windows grow longer, so that each has about as many tokens as the
+    first: what a window costs beside its tokens is paid for tokens, not for the length of the longest document.
+    """
 
     def __init__(self, docs: list[np.ndarray], most: int) -> None:
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
@@ -65,42 +69,54 @@ class Lanes:
 
     def windows(self) -> Iterator[tuple[np.ndarray, ...]]:
         """(inputs, targets, owners, real) of shape (window, lanes still running); an input of START clears the state."""
-        for at in range(0, int(self.lengths.max(initial=0)), WINDOW):
+        at, end = 0, int(self.lengths.max(initial=0))
+        while at < end:
             n = int((self.lengths > at).sum())
-            steps = np.arange(at, at + WINDOW)[:, None]
+            steps = np.arange(at, min(at + WINDOW * (len(self.lengths) // n), max(end, at + WINDOW)))[:, None]
+            at += len(steps)
             real = steps < self.lengths[:n]
             index = np.where(real, self.starts[:n] + steps, 0)
             yield self.inputs[index], self.targets[index], self.owners[index], real
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
+def _recur(p: Params, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(states (window, H + 1, lanes) with a row of ones, what backpropagation needs of each step).
 
-def _recur(p: Params, x: np.ndarray, h: np.ndarray, keep: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """(states (window, H, lanes), last state (H, lanes)); ``keep`` takes what backpropagation needs.
-
-    A state is a column, so that every operation runs along all lanes.
+    A state is a column, so that every operation runs along all lanes. Without ``keep`` all steps share one place.
     """
-    n2, out = 2 * HIDDEN, np.empty((x.shape[0], *h.shape), np.float32)
+    n2, (steps, lanes), dtype = 2 * HIDDEN, x.shape, np.result_type(p[0], h)
     gathered, ut = np.ascontiguousarray(p[0][x].transpose(0, 2, 1)), np.ascontiguousarray(p[1].T)
-    for t in range(len(x)):
-        h = h * (x[t] != START).astype(np.float32)
-        g, hu = gathered[t], ut @ h
-        zr = _sigmoid(g[:n2] + hu[:n2])
-        z, r = zr[:HIDDEN], zr[HIDDEN:]
-        c = np.tanh(g[n2:] + r * hu[n2:])
-        if keep is not None:
-            keep.append((h, z, r, c, hu[n2:]))
-        h = c + z * (h - c)
-        out[t] = h
-    return out, h
+    going, cleared = (x != START).astype(dtype), (x == START).any(axis=1).tolist()
+    before, gates, fresh_part, hu = (np.empty((steps if keep else 1, k, lanes), dtype) for k in (HIDDEN, n2, HIDDEN, 3 * HIDDEN))
+    out = np.empty((steps, HIDDEN + 1, lanes), dtype)
+    out[:, HIDDEN] = 1
+    for t in range(steps):
+        k, g = t if keep else 0, gathered[t]
+        if cleared[t]:
+            h = np.multiply(h, going[t], out=before[k])
+        elif keep:
+            before[k] = h
+        np.matmul(ut, h, out=hu[k])
+        zr, c, new = gates[k], fresh_part[k], out[t, :HIDDEN]
+        np.add(g[:n2], hu[k, :n2], out=zr)
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[HIDDEN:], hu[k, n2:], out=c)
+        c += g[n2:]
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=new)
+        new *= zr[:HIDDEN]
+        new += c
+        h = new
+    return out, (before, gates, fresh_part, hu[:, n2:], going)
 
 
 def _with_biases(p: Params) -> tuple[np.ndarray, np.ndarray, bool]:
     """(class weights, word weights, whether exp needs a shift), biases as a last row that meets a state of one.
 
-    States lie within (-1, 1), so an entry is bounded by the weights; the usual shift by a column's largest entry is
+    States lie within (-1, 1), so an entry is bounded by the weights; the usual shift by a row's largest entry is
     needed only where that bound is near what float32 holds.
     """
     top, own = np.concatenate((p[2], p[3][None])), np.concatenate((p[4], p[5][:, None]), axis=1)
@@ -108,57 +124,57 @@ def _with_biases(p: Params) -> tuple[np.ndarray, np.ndarray, bool]:
     return top, own, bool(most > 60)
 
 
-def _exp(w: np.ndarray, s: np.ndarray, shift: bool) -> np.ndarray:
-    """exp(w.T s) down the columns, up to a factor for each column."""
-    x = w.T @ s
+def _softmax(x: np.ndarray, marks: np.ndarray, shift: bool, marked: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(the share of each row's mark, a place in flat x, in its row's exp; one over the row's sum); x becomes exp(x).
+
+    With t the sum of a row's entries e and a mark m at its target, the gradient e / t - m is (e - t m) / t: ``marked``
+    leaves e - t m in x, and what is divided are the few columns of the states and of the result, not the entries.
+    """
     if shift:
-        x -= x.max(axis=0)
-    return np.exp(x, out=x)
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    flat, total = x.reshape(-1), x @ np.ones(x.shape[1], x.dtype)
+    hit = flat.take(marks)
+    if marked:
+        flat[marks] = hit - total
+    return hit.astype(float) / total, 1 / total
 
 
-def _output(p: Params, s: np.ndarray, y: np.ndarray, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """(natural log probability of each target y from its state, a column of s; the loss's gradient by s).
+def _output(p: Params, states: np.ndarray, y: np.ndarray, real: np.ndarray, grads: Params | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(places of the real tokens by class, natural log probability of their targets, the loss's gradient by state).
 
-    With t the sum of a column's entries e and a mark m at its target, the gradient e / t - m is (e - t m) / t: what is
-    divided are the few rows of the states and of the result, not the entries.
+    Tokens are rows here, those of a class together: each class meets its run of them in one product, and all
+    entries then go through exp at once.
     """
+    at = np.flatnonzero(real)
+    y = y.ravel()[at]
     order = np.argsort((y // CLASS_SIZE).astype(np.int16), kind="stable")
-    y, h = y[order], len(s)
-    held = np.empty((h + 1, len(y)), s.dtype)
-    s.take(order, axis=1, out=held[:h], mode="clip")
-    held[h] = 1
-    kind, own, at = y // CLASS_SIZE, y % CLASS_SIZE, np.arange(len(y))
+    at, y = at[order], y[order]
+    kind, own, row = y // CLASS_SIZE, y % CLASS_SIZE, np.arange(len(y))
+    held = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, HIDDEN + 1).take(at, axis=0)
     top, inner, shift = _with_biases(p)
-    found = _exp(top, held, shift)
-    total = found.sum(axis=0)
-    odds = found[kind, at].astype(float) / total  # the product of two may be less than float32 holds
+    runs, marked = list(zip(*_runs(kind), strict=True)), grads is not None
+    outer, words = held @ top, np.empty((len(y), CLASS_SIZE), held.dtype)
+    for k, a, b in runs:
+        np.matmul(held[a:b], inner[k], out=words[a:b])
+    odds, outer_part = _softmax(outer, row * outer.shape[1] + kind, shift, marked)
+    more, words_part = _softmax(words, row * CLASS_SIZE + own, shift, marked)
+    odds *= more  # the product of two may be less than float32 holds
     ds = None
     if grads is not None:
-        found[kind, at] -= total
-        inverse = 1 / total
-        both = (held * inverse) @ found.T
-        grads[2] += both[:h]
-        grads[3] += both[h]
-        ds = p[2] @ found
-        ds *= inverse
-    for k, a, b in zip(*_runs(kind), strict=True):
-        sk, mark = held[:, a:b], (own[a:b], at[: b - a])
-        found = _exp(inner[k], sk, shift)
-        total = found.sum(axis=0)
-        odds[a:b] *= found[mark] / total
-        if grads is not None:
-            found[mark] -= total
-            inverse = 1 / total
-            both = (sk * inverse) @ found.T
-            grads[4][k] += both[:h]
-            grads[5][k] += both[h]
-            back = p[4][k] @ found
-            back *= inverse
-            ds[:, a:b] += back
-    back = np.empty_like(order)
-    back[order] = at
-    score = np.log(np.maximum(odds, 1e-300))
-    return score[back], None if ds is None else ds.take(back, axis=1)
+        both = (held * outer_part[:, None]).T @ outer
+        grads[2] += both[:HIDDEN]
+        grads[3] += both[HIDDEN]
+        ds, back, held = outer @ p[2].T, np.empty((len(y), HIDDEN), held.dtype), held * words_part[:, None]
+        ds *= outer_part[:, None]
+        for k, a, b in runs:
+            both = held[a:b].T @ words[a:b]
+            grads[4][k] += both[:HIDDEN]
+            grads[5][k] += both[HIDDEN]
+            np.matmul(words[a:b], p[4][k].T, out=back[a:b])
+        back *= words_part[:, None]
+        ds += back
+    return at, np.log(np.maximum(odds, 1e-300)), ds
 
 
 def _runs(kind: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -166,20 +182,15 @@ def _runs(kind: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return kind[cuts[:-1]].tolist(), cuts[:-1], cuts[1:]
 
 
-def _columns(states: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """(H, real tokens) of states (window, H, lanes)."""
-    flat = states.transpose(1, 0, 2).reshape(HIDDEN, -1)
-    return flat if real.all() else flat[:, real.ravel()]
-
-
 def score(p: Params, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document (an array of symbols), state carried through all of it."""
     total, lanes = np.zeros(len(docs)), Lanes(docs, SCORE_LANES)
     h = np.zeros((HIDDEN, len(lanes.lengths)), np.float32)
     for x, y, o, real in lanes.windows():
-        states, h = _recur(p, x, h[:, : x.shape[1]], None)
-        found, _ = _output(p, _columns(states, real), y[real], None)
-        total += np.bincount(o[real], found, len(docs))
+        states, _ = _recur(p, x, h[:, : x.shape[1]], False)
+        h = states[-1, :HIDDEN]
+        at, found, _ = _output(p, states, y, real, None)
+        total += np.bincount(o.ravel()[at], found, len(docs))
     return total
 
 
@@ -188,36 +199,38 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.n
 
     The table's gradient has only those rows. Truncation: none flows into the state that the window starts from.
     """
-    kept: list = []
-    states, last = _recur(p, x, h, kept)
+    states, (before, gates, c, hc, going) = _recur(p, x, h, True)
     grads = [np.zeros((0, 0), np.float32), *(np.zeros_like(a) for a in p[1:])]
-    found, ds = _output(p, _columns(states, real), y[real], grads)
-    if real.all():
-        d_states = ds.reshape(HIDDEN, *x.shape)
-    else:
-        d_states = np.zeros((HIDDEN, *x.shape), ds.dtype)
-        d_states[:, real] = ds
-    n2, u, dh = 2 * HIDDEN, p[1], np.zeros_like(last)
-    d_table = np.empty((*x.shape, 3 * HIDDEN), last.dtype)
+    at, found, ds = _output(p, states, y, real, grads)
+    d_states = np.zeros((x.size, HIDDEN), ds.dtype)
+    d_states[at] = ds
+    d_states = np.ascontiguousarray(d_states.reshape(*x.shape, HIDDEN).transpose(0, 2, 1))
+    n2, u, last = 2 * HIDDEN, p[1], states[-1, :HIDDEN]
+    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    # what does not depend on the steps behind: dc = dh by_c, dz = dh by_z, dr = dc by_r
+    rest = 1 - z
+    by_c, by_z, by_r = rest * (1 - c * c), (before - c) * z * rest, hc * r * (1 - r)
+    d, inside = (np.empty((len(x), 3 * HIDDEN, x.shape[1]), last.dtype) for _ in range(2))
+    dh = np.zeros_like(last)
     for t in range(len(x) - 1, -1, -1):
-        h, z, r, c, hc = kept[t]
-        dh = dh + d_states[:, t]
-        dc = dh * (1 - z) * (1 - c * c)
-        d = np.empty((3 * HIDDEN, x.shape[1]), last.dtype)
-        d[:HIDDEN] = dh * (h - c) * z * (1 - z)
-        d[HIDDEN:n2] = dc * hc * r * (1 - r)
-        d[n2:] = dc
-        d_table[t] = d.T
-        d[n2:] *= r
-        grads[1] += h @ d.T
-        dh = (dh * z + u @ d) * (x[t] != START)
+        dh += d_states[t]
+        dt, dc = d[t], d[t, n2:]
+        np.multiply(dh, by_c[t], out=dc)
+        np.multiply(dh, by_z[t], out=dt[:HIDDEN])
+        np.multiply(dc, by_r[t], out=dt[HIDDEN:n2])
+        inside[t, :n2] = dt[:n2]
+        np.multiply(dc, r[t], out=inside[t, n2:])
+        dh *= z[t]
+        dh += u @ inside[t]
+        dh *= going[t]
+    grads[1] += np.matmul(before, inside.transpose(0, 2, 1)).sum(axis=0)
     at = np.flatnonzero(real)
     flat = x.ravel()[at]
     flat = np.where(flat == START, len(p[0]) - 1, flat)
     order = np.argsort(flat.astype(np.int16 if len(p[0]) < 1 << 15 else np.int64), kind="stable")
     flat = flat[order]
     first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else flat
-    by_token = d_table.reshape(-1, 3 * HIDDEN).take(at[order], axis=0)
+    by_token = np.ascontiguousarray(d.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN).take(at[order], axis=0)
     grads[0] = np.add.reduceat(by_token, first, axis=0) if len(order) else np.zeros((0, 3 * HIDDEN), np.float32)
     return grads, flat[first], last, -float(found.sum())
 

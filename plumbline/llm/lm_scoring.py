@@ -99,25 +99,40 @@ class Lexicon:
         out[self.symbols[top]] = self.counts[top]
         return out
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """(index of each word or -1, the words without one, their endings)."""
-        get = self.index.get
-        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        rare = [words[i] for i in np.flatnonzero(at < 0).tolist()]
-        return at, rare, np.array([ending(w) for w in rare], np.int64)
-
     def read(self, text: str | None) -> tuple[int, int, float, float, list[bytes], bytes]:
         """What ``encode`` says of a text: n_tokens, _known, _base, _own, _rare, symbols."""
-        found = tokens(text)
-        at, rare, ends = self.look_up(found)
-        symbols = np.zeros(len(found) + 1, "<u2")
+        n, known, base, own, rare, symbols = (column[0].as_py() for column in self.read_all([text]))
+        return n, known, base, own, rare, symbols
+
+    def read_all(self, texts: list[str | None]) -> list[pa.Array]:
+        """``read`` of each text, a column a value: the words of all go through one look-up."""
+        words: list[bytes] = []
+        stops = []  # where a text's end stands
+        for text in texts:
+            words += tokens(text)
+            stops.append(len(words))
+            words.append(END)
+        stops = np.array(stops, np.int64)
+        after = np.concatenate(([0], stops + 1))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        hit = at >= 0
+        inside = ~hit
+        inside[stops] = False
+        where = np.flatnonzero(inside)
+        rare = [words[i] for i in where.tolist()]
+        ends = np.fromiter(map(ending, rare), np.int64, len(rare))
+        symbols, base, own = np.zeros(len(words), "<u2"), np.full(len(words), -self.unseen_log), np.zeros(len(words))
         if len(self.words):
-            symbols[:-1] = self.symbols[at]
-        symbols[:-1][at < 0] = 1 + ends
-        at = np.append(at, self.index.get(END, -1))
-        hit = at[at >= 0]
-        base = float(self.base_logs[hit].sum()) - self.unseen_log * (len(at) - len(hit))
-        return len(at), len(hit), base, float(self.own_logs[hit].sum() + self.rare_logs[ends].sum()), rare, symbols.tobytes()
+            found = at[hit]
+            symbols[hit], base[hit], own[hit] = self.symbols[found], self.base_logs[found], self.own_logs[found]
+        symbols[stops], symbols[where], own[where] = 0, 1 + ends, self.rare_logs[ends]
+        total = lambda x: np.add.reduceat(x, after[:-1]) if texts else x
+        offsets = lambda x: pa.array(x, pa.int32())
+        return [
+            pa.array(np.diff(after)), pa.array(total(hit.astype(np.int64))), pa.array(total(base)), pa.array(total(own)),
+            pa.ListArray.from_arrays(offsets(np.searchsorted(where, after)), pa.array(rare, pa.binary())),
+            pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets(2 * after).buffers()[1], pa.py_buffer(symbols)]),
+        ]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -177,9 +192,7 @@ def encode(docs: DataFrame, words: Lexicon) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
-                columns = zip(*(known.read(x.as_py()) for x in part.column(0)), strict=True)
-                made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *known.read_all(part.column(0).to_pylist())], names=names)
 
     names = ["_id", "_fold", "_part", "n_tokens", "_known", "_base", "_own", "_rare", "symbols"]
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names[:3])

@@ -171,3 +171,29 @@ def test_whole_documents_against_brute_force(monkeypatch):
         assert n == len(words) + 1 and abs(got - brute_score(double, known, counts, words)) < 1e-4 * n, t
         assert abs(base + more - sum(math.log10((counts[w] + 1) / (known.total + known.types + 1)) for w in [*words, b""])) < 1e-6
     assert unseen
+
+
+def test_windows_follow_tokens_not_the_longest_document():
+    """Short documents beside a long one: every symbol once and in order, in windows of about the first one's tokens."""
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 9, n) for n in (20_000, *[40] * 200)]
+    lanes, seen = gru.Lanes(docs, 64), [[] for _ in docs]
+    windows = list(lanes.windows())
+    for x, y, owners, real in windows:
+        assert real.any(axis=1).all() and x.size <= gru.WINDOW * 64
+        for lane in range(x.shape[1]):
+            for i in np.unique(owners[:, lane][real[:, lane]]):
+                seen[i] += y[:, lane][real[:, lane] & (owners[:, lane] == i)].tolist()
+    assert all(s == d.tolist() for s, d in zip(seen, docs, strict=True))
+    assert len(windows) < 40  # 1,250 if each had 16 steps
+
+
+def test_texts_are_read_together_as_alone():
+    words = [b"a", b"b\xc3\xbc", b""]
+    known = lm_scoring.Lexicon(9, 5, words, np.array([5.0, 3.0, 1.0]), np.arange(16.0), np.ones(16)).ready()
+    texts = ["A bü new", None, "", "new " * 30, "a"]
+    together = list(zip(*(c.to_pylist() for c in known.read_all(texts)), strict=True))
+    assert together == [known.read(t) for t in texts]
+    assert [r[:2] for r in together] == [(4, 3), (1, 1), (1, 1), (31, 1), (2, 2)] and together[0][4] == [b"new"] and len(together[3][5]) == 62
+    none = lm_scoring.Lexicon(0, 0, [], np.zeros(0), np.zeros(16), np.zeros(16)).ready().read("a b")
+    assert none[:2] == (3, 0) and none[4] == [b"a", b"b"]
