@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,6 +135,70 @@ def _poisson_steps() -> list[str]:
 STEPS = _poisson_steps()
 #: Replicates that one digest weighs (it has as many words), and parts of the replicates, which are dealt out apart.
 WORDS, PARTS = 4, 4
+#: Clusters whose weights a worker holds at a time, and groups whose sums it holds before it passes them on.
+CLUSTERS_AT_ONCE, GROUPS_HELD = 512, 512
+
+
+def weights(clusters: list[str | None], n_draws: int = DRAWS, seed: int = SEED) -> np.ndarray:
+    """(clusters, 1 + n_draws): one for the cells as they are, then how often each replicate takes each cluster.
+
+    The same numbers as ``resampled``: a null cluster is left out of what is digested, as ``concat_ws`` does.
+    """
+    heads = [f"{seed}|{four}".encode() for four in range(-(-n_draws // WORDS))]
+    steps = np.array([int(x, 16) for x in STEPS], np.int64)
+    out = np.ones((len(clusters), 1 + n_draws))
+    for row, name in zip(out, clusters, strict=True):
+        tail = b"" if name is None else b"|" + name.encode()
+        words = np.frombuffer(b"".join([md5(head + tail).digest() for head in heads]), ">u4")
+        row[1:] = np.searchsorted(steps, words[:n_draws].astype(np.int64), side="right")
+    return out
+
+
+def replicates(cells: DataFrame, cluster: str, by: list[str], sums: list[str], n_draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """(by, _rep, sums double): the sums over cells of each group in each replicate that draws any of it; -1 has the cells as they are.
+
+    The cells of a cluster lie together, so its digests are taken once for all groups, and a task sums a group's cells
+    by one product with their weights: what is shuffled is a row a group and replicate, not one a cell and replicate. A
+    sum that is null counts as zero.
+    """
+    if not by:
+        return replicates(cells.withColumn("_one", F.lit(1)), cluster, ["_one"], sums, n_draws, seed).drop("_one")
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.select(*by, F.col(cluster).cast("string").alias("_name"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums)).repartition(n, "_name").sortWithinPartitions("_name")
+    kept = [dealt.schema[c] for c in by]
+    schema = T.StructType([*kept, T.StructField("_rep", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in sums)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def passed() -> pa.RecordBatch:
+            drawn = [np.flatnonzero(x[-1]) for x in held.values()]
+            group = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in drawn]))
+            found = np.concatenate([x[:-1, at] for x, at in zip(held.values(), drawn, strict=True)], axis=1)
+            keys = [pa.array(k, t).take(group) for k, t in zip(zip(*held, strict=True), types, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*keys, pa.array((np.concatenate(drawn) - 1).astype(np.int32)), *map(pa.array, found)], names=schema.names)
+
+        for b in batches:
+            types = b.schema.types[: len(by)]
+            code = b.column(len(by)).dictionary_encode(null_encoding="encode")
+            at, names = code.indices.to_numpy(), code.dictionary.to_pylist()
+            values = np.stack([*(b.column(i).to_numpy() for i in range(len(by) + 1, b.num_columns)), np.ones(b.num_rows)])
+            for low in range(0, len(names), CLUSTERS_AT_ONCE):
+                times = weights(names[low : low + CLUSTERS_AT_ONCE], n_draws, seed)
+                rows = np.flatnonzero((at >= low) & (at < low + CLUSTERS_AT_ONCE))
+                groups = pa.Table.from_batches([b.select(by)]).take(rows).append_column("_row", pa.array(rows)).group_by(by, use_threads=False).aggregate([("_row", "list")])
+                for key, mine in zip(zip(*(groups[c].to_pylist() for c in by), strict=True), groups["_row_list"], strict=True):
+                    mine = mine.values.to_numpy()
+                    found = values[:, mine] @ times[at[mine] - low]
+                    held[key] = held[key] + found if key in held else found
+                    if len(held) >= GROUPS_HELD:
+                        yield passed()
+        if held:
+            yield passed()
+
+    drawn = dealt.mapInArrow(run, schema)
+    return drawn.groupBy(*by, "_rep").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def resampled(cells: DataFrame, cluster: str, n_draws: int = DRAWS, seed: int = SEED, shared: bool = False) -> DataFrame:
@@ -195,8 +263,8 @@ def bootstrap(rows: DataFrame, by: list[str], cluster: str, sums: dict[str, Colu
     # a cluster's first cell counts it, so the clusters are summed with the rest
     first = F.row_number().over(W.partitionBy(*by, cluster).orderBy(*keys)) == 1 if keys else F.lit(True)
     cells = cells.withColumn("_clusters", first.cast("long"))
-    per = resampled(cells, cluster, n_draws, seed, bool(keys)).groupBy(*by, "_rep", *keys).agg(*(F.sum(F.col(k) * F.col("_times")).alias(k) for k in (*sums, "_clusters")))
-    stats = per.groupBy(*by, "_rep").agg(*(c.alias(k) for k, c in statistics.items()), F.sum("_clusters").alias("n_clusters"))
+    per = replicates(cells, cluster, [*by, *keys], [*sums, "_clusters"], n_draws, seed)
+    stats = per.groupBy(*by, "_rep").agg(*(c.alias(k) for k, c in statistics.items()), F.sum("_clusters").cast("long").alias("n_clusters"))
     return intervals(stats, by, list(statistics), ("n_clusters",))
 
 
@@ -227,8 +295,8 @@ def bootstrap_selective(df: DataFrame, by: str = "arm", cluster: str = "family",
     out. Rows without a confidence, and groups without any with one, have no part.
     """
     cells = selective.confident(df).groupBy(by, cluster, "confidence").agg(F.count("*").alias("_m"), F.count_if("correct").alias("_h"))
-    weigh = lambda c: F.sum(F.col(c) * F.col("_times"))
-    ties = resampled(cells, cluster, n_draws, seed, True).groupBy(by, "_rep", "confidence").agg(weigh("_m").alias("size"), weigh("_h").alias("hits"))
+    drawn = replicates(cells, cluster, [by, "confidence"], ["_m", "_h"], n_draws, seed)
+    ties = drawn.select(by, "_rep", "confidence", F.col("_m").cast("long").alias("size"), F.col("_h").cast("long").alias("hits"))
     whole = W.partitionBy(by, "_rep")
     above = whole.orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, -1)
     ties = ties.withColumns({"before_n": F.coalesce(F.sum("size").over(above), F.lit(0)), "before_hits": F.coalesce(F.sum("hits").over(above), F.lit(0)), "_all": F.sum("size").over(whole)})

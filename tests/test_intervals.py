@@ -77,6 +77,37 @@ def test_resampled_cells(spark):
     assert abs(many.s / 4e5 - 1) < 0.01 and abs(many.q / 4e5 - 2) < 0.03  # Poisson: mean 1, mean square 2
 
 
+def test_replicates_against_brute_force(spark, monkeypatch):
+    """Null groups, keys and clusters, many clusters a batch and more groups than a worker holds: sums as cell by cell."""
+    monkeypatch.setattr(significance, "CLUSTERS_AT_ONCE", 3)
+    monkeypatch.setattr(significance, "GROUPS_HELD", 2)
+    rng = np.random.default_rng(7)
+    rows = [(["x", "y", None][i % 3], int(rng.integers(4)) if i % 5 else None, f"c{i % 11}" if i % 11 else None, int(rng.integers(9)), None if i % 4 else 0.5 * i) for i in range(150)]
+    cells = spark.createDataFrame(rows, "arm string, bin int, family string, n long, s double")
+    for by in (["arm", "bin"], ["arm"], []):
+        want = {}
+        for arm, b, f, n, s in rows:
+            for rep in range(-1, 10):
+                took = 1 if rep < 0 else times(rep, f) if f else times_null(rep)
+                if took:
+                    key = (*[{"arm": arm, "bin": b}[c] for c in by], rep)
+                    was = want.get(key, (0, 0))
+                    want[key] = (was[0] + took * n, was[1] + took * (s or 0))
+        got = {tuple(r[:-2]): (r.n, r.s) for r in significance.replicates(cells, "family", by, ["n", "s"], 10).collect()}
+        assert got == want
+    none = significance.replicates(cells.limit(0), "family", ["arm"], ["n"], 10)
+    assert none.collect() == [] and none.schema.names == ["arm", "_rep", "n"]
+
+
+def test_cells_are_not_multiplied_by_replicates(spark):
+    """A task sums a cluster's cells for all replicates: no row a cell and replicate is made, for whatever statistic."""
+    df = spark.createDataFrame(observations(), "arm string, family string, confidence double, correct boolean")
+    mean = significance.bootstrap_mean(df, ["arm"], "family", F.col("correct").cast("int"))
+    for found in (mean, significance.bootstrap_ece(df), significance.bootstrap_selective(df, targets=())):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "md5(" not in plan  # each row of which was a cell and four replicates
+
+
 def test_summary_shares_its_draws(spark):
     rng = np.random.default_rng(5)
     outcomes = ["correct", "abstained", "adjacent_substitution", "other_incorrect", "unscorable"]
