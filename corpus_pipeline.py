@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, near_copies, packing, quality_rules, secrets
+from plumbline.llm import batches, mixing, near_copies, packing, quality_rules, secrets
 from plumbline.llm.scratch import kept_alone
 from plumbline.session import table
 
@@ -25,11 +25,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts link at two differing bits or fewer, or where they share 0.8 or more of their five-word shingles.
     """
+    batches.bound(spark)
     return near_copies.keep_first(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with a mark in place of each secret; n_chars follows the text."""
+    batches.bound(spark)
     clean = docs.withColumn("text", secrets.redacted("text"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
@@ -41,6 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens; repeated documents are packed each for itself."""
+    batches.bound(spark)
     return packing.op3_query(docs)
 
 

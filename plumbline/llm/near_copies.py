@@ -17,13 +17,13 @@ and those whose sizes alone keep them below the similarity.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.batches import each
 from plumbline.llm.components import Forest, components
 from plumbline.llm.scratch import Table, saved
 from plumbline.llm.simhash import cluster, fingerprints
@@ -73,16 +73,16 @@ def signature(text: str | None) -> np.ndarray:
     return np.concatenate((head, np.array(bands, np.uint64))).view(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def signatures(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def signatures(texts: pa.Array) -> pa.Array:
     """Column form of ``signature``."""
-    return pd.Series([signature(t) for t in texts], dtype=object)
+    return each(signature, pa.list_(pa.int64()), texts)
 
 
-@F.pandas_udf(T.BinaryType())
-def sets(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def sets(texts: pa.Array) -> pa.Array:
     """Column form of ``shingles``, as bytes."""
-    return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+    return each(lambda t: shingles(t).tobytes(), pa.binary(), texts)
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -92,10 +92,10 @@ def similar(a: bytes, b: bytes) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
-@F.pandas_udf(T.BooleanType())
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def linked(a: pa.Array, b: pa.Array) -> pa.Array:
     """Column form of ``similar``."""
-    return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return each(similar, pa.bool_(), a, b)
 
 
 def _by_row(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:

@@ -22,7 +22,6 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -313,15 +312,16 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int
     plan = spark.sparkContext.broadcast([np.ascontiguousarray(x[np.lexsort((x[:, 2], x[:, 0]))]) for d in range(table[:, 1].max(initial=-1) + 1) if len(x := table[table[:, 1] == d])])
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
             out = []
-            n, rem, rank, row = (f[c].to_numpy(np.int64) for c in ("n_tokens", "_rem", "_rank", "_row"))
+            n, rem, rank, row, before = (f.column(c).to_numpy() for c in ("n_tokens", "_rem", "_rank", "_row", "_full_before"))
             full = n // capacity
-            which = np.repeat(np.arange(len(f)), full)
+            which = np.repeat(np.arange(len(n)), full)
             k = np.arange(len(which)) - np.repeat(np.cumsum(full) - full, full)
-            crcs = f["crcs"].to_numpy()
-            out.append((which, k * capacity, np.full(len(k), capacity), np.array([crcs[i][j] for i, j in zip(which, k, strict=True)], np.float64), windows + f["_full_before"].to_numpy(np.int64)[which] + k, np.zeros(len(k), np.int64)))
+            crcs, of = f.column("crcs").flatten().to_numpy(), f.column("crcs").offsets.to_numpy().astype(np.int64)
+            of = of - of[:1]
+            out.append((which, k * capacity, np.full(len(k), capacity), crcs[of[which] + k], windows + before[which] + k, np.zeros(len(k), np.int64)))
             for p in plan.value:
                 keys, want = (p[:, 0] << 48) + p[:, 2], (rem << 48) + rank
                 at = np.clip(np.searchsorted(keys, want, "right") - 1, 0, None)
@@ -330,29 +330,35 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int
                 item = q[:, 9] + rank[hit] - q[:, 2]
                 start = full[hit] * capacity + q[:, 4]
                 whole = (q[:, 4] == 0) & (q[:, 5] == rem[hit])
-                crc = np.array([crcs[i][-1] if w else np.nan for i, w in zip(hit, whole, strict=True)], np.float64)
+                crc = np.full(len(hit), -1)
+                crc[whole] = crcs[of[hit[whole] + 1] - 1]
                 out.append((hit, start, q[:, 5], crc, q[:, 6] + item // q[:, 7], q[:, 8] + item % q[:, 7] * q[:, 5]))
             which, start, length, crc, seq, offset = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pd.DataFrame({"_row": row[which], "doc_id": f["doc_id"].iloc[which].to_numpy(), "start": start, "length": length, "ids_crc32": pd.array(crc, "Int64"), "doc_tokens": n[which], "sequence_id": seq, "offset": offset})
+            made = [*map(pa.array, (row[which], start, length)), pa.array(crc, mask=crc < 0), *map(pa.array, (n[which], seq, offset)), f.column("doc_id").take(pa.array(which))]
+            yield pa.RecordBatch.from_arrays(made, names=["_row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "doc_id"])
 
-    pieces = _ranked(held, capacity).mapInPandas(cut, f"{PIECES}, doc_id {id_type}")
+    pieces = _ranked(held, capacity).mapInArrow(cut, f"{PIECES}, doc_id {id_type}")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     own = [c for c in columns if c != "ids_crc32"]
 
-    def sliced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = [unpack_ids(d)[s : s + n].astype("<u4") for d, s, n in zip(f.pop("_ids"), f["start"], f["length"], strict=True)]
-            f["ids_crc32"] = [zlib.crc32(x.tobytes()) for x in parts]
-            if with_ids:
-                f["ids"] = [x.astype(np.int32) for x in parts]
-            yield f
+    names = [*columns, "ids"] if with_ids else columns
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                f = batch.slice(at, 256)
+                parts = [unpack_ids(d.as_buffer())[s : s + n].astype("<u4") for d, s, n in zip(f.column("_ids"), f.column("start").to_pylist(), f.column("length").to_pylist(), strict=True)]
+                made = {c: f.column(c) for c in own} | {"ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64())}
+                if with_ids:
+                    made["ids"] = pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([made[c] for c in names], names=names)
 
     schema = f"doc_id {id_type}, {PIECES.replace('_row long, ', '')}" + ", ids array<int>" * with_ids
     ids = held.select("_row", F.col("ids").alias("_ids"))
     if with_ids:
-        return pieces.join(ids, "_row").select(*own, "_ids").mapInPandas(sliced, schema).select(*columns, "ids")
+        return pieces.join(ids, "_row").select(*own, "_ids").mapInArrow(sliced, schema)
     pieces = saved(pieces, "pack-pieces")
-    late = pieces.where("ids_crc32 IS NULL").join(ids, "_row").select(*own, "_ids").mapInPandas(sliced, schema)
+    late = pieces.where("ids_crc32 IS NULL").join(ids, "_row").select(*own, "_ids").mapInArrow(sliced, schema)
     return pieces.where("ids_crc32 IS NOT NULL").select(*columns).unionByName(late.select(*columns))
 
 

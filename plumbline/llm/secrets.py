@@ -17,12 +17,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.batches import each
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_identifier", "weak_endpoint")
 
@@ -199,10 +200,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(id_col, text).mapInArrow(run, schema)
 
 
-@F.pandas_udf(T.StringType())
-def redacted(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def redacted(texts: pa.Array) -> pa.Array:
     """Column form of ``redact``; null stays null."""
-    return texts.map(redact, na_action="ignore")
+    return each(redact, texts.type, texts)
 
 
 def op2_query(docs: DataFrame) -> DataFrame:

@@ -16,13 +16,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.batches import each
 from plumbline.llm.components import Forest, components
 from plumbline.llm.draw import drawn
 from plumbline.llm.scratch import saved
@@ -63,10 +63,10 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def fingerprints(texts: pa.Array) -> pa.Array:
     """Column form of ``fingerprint``."""
-    return pd.Series([fingerprint(t) for t in texts], dtype=np.int64)
+    return each(fingerprint, pa.int64(), texts)
 
 
 class VantageTree:
